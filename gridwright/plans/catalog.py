@@ -1,4 +1,7 @@
-"""Registered queries of the operations analytics."""
+"""All registered queries of the operations analytics."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from gridwright.plans import coverage_queries
+
+_PARTS = (coverage_queries,)
+QUERIES: dict = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+ORACLE_SQL: dict = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}
