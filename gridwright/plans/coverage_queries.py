@@ -2,29 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridwright.functions import geom
 from gridwright.operators import coverage, raster
 from gridwright.operators.grid_join import cell, within
+from gridwright.plans.registering import registry
 from gridwright.plans.scene_sql import over
 from gridwright.schema import BATTERY_S, CRITICAL_KINDS, DEFAULT_OCCUPANCY, OCCUPANCY, SIM_FACTOR, STOREY_M
 from gridwright.sources import scene
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-
-
-def query(sql: str | None = None):  # noqa: ANN201
-    def register(f):  # noqa: ANN001, ANN202
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
+QUERIES, ORACLE_SQL, query = registry()
 
 _PAIRS = ", pair as (select * from site join building on (cx - x) * (cx - x) + (cy - y) * (cy - y) <= range_m * range_m)"
 _DARK2D = _PAIRS + ", dark as (select distinct bid from pair where failed and bid not in (select bid from pair where not failed))"
