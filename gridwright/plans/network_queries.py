@@ -160,29 +160,28 @@ _REACH = "{0}(a, b) as (select src, dst from {1} union select {0}.a, {1}.dst fro
 @query(
     over(
         "road",
-        ", e as (select distinct src, dst from road where src < 60 and dst < 60), " + _REACH.format("r", "e")
+        ", e as (select distinct src, dst from road), " + _REACH.format("r", "e")
         + ", scc as (select x.a as node, min(x.b) as root from r x join r y on x.a = y.b and x.b = y.a group by x.a) select node from scc where root = (select root from scc group by root order by count(*) desc, root limit 1)",
         recursive=True,
     )
 )
 def scc_core(spark: SparkSession, sf: str) -> DataFrame:
-    """The routable core: the largest strongly connected part of the depot's district."""
-    return graph.strong_core(scene.road_edge(spark, sf).where("src < 60 and dst < 60"))
+    """The routable core: the largest strongly connected part of the roads."""
+    return graph.strong_core(scene.road_edge(spark, sf))
 
 
 @query(
     over(
         "road",
-        ", e as (select src, dst from road where way % 3 <> 0 and src < 80 and dst < 80), u as (select src, dst from e union select dst, src from e), n as (select s_suppkey as node from supplier where s_suppkey < 80), "
+        ", e as (select src, dst from road where not closed), u as (select src, dst from e union select dst, src from e), n as (select s_suppkey as node from supplier), "
         + _REACH.format("r", "u")
         + " select node, least(node, coalesce(min(b), node)) as label from n left join r on r.a = node group by node",
         recursive=True,
     )
 )
 def weak_components(spark: SparkSession, sf: str) -> DataFrame:
-    e = scene.road_edge(spark, sf).where("way % 3 <> 0 and src < 80 and dst < 80")
-    nodes = spark.read.parquet(f"{sf}/supplier.parquet").where("s_suppkey < 80").select(F.col("s_suppkey").alias("node"))
-    return graph.components(e, nodes)
+    """What hangs together once closed streets are out."""
+    return graph.components(scene.road_edge(spark, sf).where("not closed"), _nodes(spark, sf))
 
 
 # Transport graph: hubs are the sites without a parent; every 11th site has failed.
@@ -278,21 +277,27 @@ def cascade_depth(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def restoration_order(spark: SparkSession, sf: str) -> DataFrame:
-    """Greedy repair: at each turn the failed site that lights most sites, ties to the smaller id. First eight turns."""
-    links, hub = graph.settled(_links(spark, sf)), spark.sql("select 0L as node")
-    left = [r.node for r in _failed(spark, sf).orderBy("node").limit(6).collect()]
-    rows, turn = [], 0
-    others = _failed(spark, sf).where(~F.col("node").isin(left)) if left else _failed(spark, sf)
-    while left:
+    """Greedy repair: at each turn the failed site whose repair lights most sites, ties to the smaller id.
+
+    All picks of a turn are one frontier over (pick, node), so a turn costs the depth of the network.
+    """
+    links = graph.settled(_links(spark, sf).select("src", "dst").distinct())
+    left = graph.settled(_failed(spark, sf))
+    turns, turn = None, 0
+    while not left.isEmpty():
         turn += 1
-        gains = []
-        for pick in left:
-            still = spark.createDataFrame([(n,) for n in left if n != pick], "node long").unionByName(others)
-            gains.append((-graph.reachable(links, hub, still).count(), pick))
-        gain, pick = min(gains)
-        rows.append((turn, pick, -gain))
-        left.remove(pick)
-    return spark.createDataFrame(rows, "turn int, node long, lit long")
+        picks = left.withColumnRenamed("node", "pick")
+        seen = graph.settled(picks.withColumn("node", F.lit(0).cast("long")).join(left, "node", "left_anti").select("pick", "node"))
+        front = seen
+        while not front.isEmpty():
+            step = front.join(links, F.col("node") == F.col("src")).select("pick", F.col("dst").alias("node")).distinct()
+            dark = step.join(left.withColumn("down", F.lit(True)), "node", "left").where("down is null or node = pick").select("pick", "node")
+            front = graph.settled(dark.join(seen, ["pick", "node"], "left_anti"))
+            seen = graph.settled(seen.unionByName(front))
+        best = graph.settled(seen.groupBy("pick").agg(F.count("*").alias("lit")).orderBy(F.desc("lit"), "pick").limit(1).select(F.lit(turn).alias("turn"), F.col("pick").alias("node"), "lit"))
+        turns = best if turns is None else turns.unionByName(best)
+        left = graph.settled(left.join(best, "node", "left_anti"))
+    return turns
 
 
 @query(over("link", ", " + "c(a, n, h) as (select parent, child, 1 from link union select c.a, l.child, c.h + 1 from c join link l on l.parent = c.n) select a as ancestor, n as node, min(h) as hops from c group by a, n", recursive=True))

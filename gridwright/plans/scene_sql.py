@@ -30,7 +30,7 @@ road_f as (select s_suppkey as src, s_suppkey + 1 as dst, s_suppkey * 2 as way f
     union all select s_suppkey, s_suppkey + 10, s_suppkey * 2 + 1 from supplier, road_n where s_suppkey + 10 < n),
 road as (select src, dst, way, cast(50 + way * 37 % 100 as double) as length, (['primary', 'secondary', 'residential', 'service', 'track'])[way % 5 + 1] as highway,
     'Street ' || (way % 12) as name, cast(src % 10 * 100 + dst % 10 * 100 as double) as x2, cast(src // 10 * 100 + dst // 10 * 100 as double) as y2,
-    28e0 + way * 11 % 50 / 10e0 as elev from (select * from road_f union all select dst, src, way from road_f where way % 7 <> 0))"""
+    28e0 + way * 11 % 50 / 10e0 as elev, way % 3 = 0 as closed from (select * from road_f union all select dst, src, way from road_f where way % 7 <> 0))"""
 DEM = """dem as (select id % 40 as ix, id // 40 as iy, id % 40 * 50e0 - 500 as x, id // 40 * 50e0 - 500 as y,
     case when abs(id % 40 * 50e0 - 500 - 333) <= 120 then 30e0 else 40e0 + (id % 40 * 3 + id // 40 * 7) % 5 end as z from range(1600) r(id))"""
 STORM = """storm as (select * from (values (1, 500e0, 500e0, 1000e0, 80e0, 0e0, 1000e0, 90e0, 36e0, 6e0), (2, -800e0, 200e0, 700e0, 45e0, 200e0, 800e0, 0e0, 18e0, 3e0),

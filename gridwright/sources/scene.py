@@ -157,6 +157,7 @@ def road_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("src") % WIDTH * 100 + F.col("dst") % WIDTH * 100).cast("double").alias("x2"),
         (F.floor(F.col("src") / WIDTH) * 100 + F.floor(F.col("dst") / WIDTH) * 100).cast("double").alias("y2"),
         (28.0 + F.col("way") * 11 % 50 / 10).alias("elev"),
+        (F.col("way") % 3 == 0).alias("closed"),
     )
 
 
