@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -43,6 +45,13 @@ def bounded_broadcast(df: DataFrame, max_rows: int = 1_000_000, name: str = "sid
     return F.broadcast(side) if side.count() <= max_rows else side
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of ``rows``, so that few texts are Python strings at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def widened(df: DataFrame, ddl: str) -> StructType:
     """The schema of ``df`` with the columns of ``ddl`` after its own."""
     return StructType(df.schema.fields + StructType.fromDDL(ddl).fields)

@@ -11,15 +11,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridwright.llm.common import bounded_broadcast, components, written
+from gridwright.llm.common import bounded_broadcast, components, pieces, written
 
 #: Documents that share a group's token union, members that are opened together, and documents of a
 #: batch of small groups.
 GROUP = 32
 CHUNK = 2048
 BATCH = 4000
+#: Numbers of sets from which a shingle counts as more common, and the largest bitmap of one step.
+LEVELS = (2, 8, 64)
+MAX_BITS = 30
 
-_CACHE = 500_000
+_FLUSH = 2_000_000
+_LAST = 65_535
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
 
@@ -32,18 +36,13 @@ class Shingler:
     """Sorted distinct hashes of the word shingles of a text (A-Z lower-cased)."""
 
     def __init__(self, words: int) -> None:
-        self.n, self.known = words, {}
+        self.n = words
 
     def of(self, text: str | None) -> np.ndarray:
         words = (text or "").encode().lower().split()
         if not words:
             return np.zeros(0, np.uint64)
-        known = self.known
-        if len(known) > _CACHE:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh64_intdigest(w)
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
         span = min(self.n, len(words))
         out = np.full(len(words) - span + 1, span, np.uint64)
         for j in range(span):
@@ -52,68 +51,118 @@ class Shingler:
         return np.unique(_mix(out * _B))
 
 
-def bands(percent: int) -> list[tuple[int, int, int]]:
-    """(least size, largest size, parts) of each band of set sizes.
+class Commonness:
+    """How many texts' sets hold a shingle, by steps, from bitmaps over hash prefixes.
 
-    Two sets that link differ in at most (a + b)(1 - t)/(1 + t) shingles. Parts outnumber that by one
-    and by an allowance for empty parts, so two sets that link agree on a part.
+    A shingle that several sets hold is never taken for a rarer one; a few are taken for more common.
+    So the least step is only for shingles of one set, which can't link anything.
     """
-    out, least = [], 1
-    while least < 1 << 40:
-        after = max(least + 1, least * 3 // 2)
-        differ = 2 * (after - 1) * (100 - percent) // (100 + percent)
-        out.append((least, after - 1, differ + 1 + (0 if differ == 0 else 1 + differ // 12)))
-        least = after
+
+    def __init__(self, bitmaps: list[np.ndarray]) -> None:
+        self.bitmaps = bitmaps
+        self.shifts = [np.uint64(64 - (len(x) * 8).bit_length() + 1) for x in bitmaps]
+
+    def of(self, tokens: np.ndarray) -> np.ndarray:
+        level = np.zeros(len(tokens), np.uint8)
+        for bits, shift in zip(self.bitmaps, self.shifts, strict=True):
+            at = tokens >> shift
+            level += (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1)
+        return level
+
+
+def _power(n: int) -> int:
+    """The exponent of the least power of two from ``n``."""
+    return max(0, int(n) - 1).bit_length()
+
+
+def _gaps(sorted_slots: np.ndarray, start: int) -> np.ndarray:
+    """Gaps between slots in 16 bits; the largest value stands for itself and goes on."""
+    gaps = np.diff(sorted_slots, prepend=np.uint64(start)).astype(np.int64)
+    more, rest = np.divmod(gaps, _LAST)
+    out = np.full(len(gaps) + int(more.sum()), _LAST, np.uint16)
+    out[np.cumsum(more + 1) - 1] = rest
     return out
 
 
-class Signatures:
-    """Keys of a set such that any two sets that link, and aren't equal, have one in common.
+def _slots(gaps: np.ndarray, start: int) -> np.ndarray:
+    return (np.cumsum(gaps.astype(np.int64)) + start)[gaps != _LAST]
 
-    The hash range is cut into parts, by the size band of the larger of two sets; a key is a part
-    with all the set's shingles in it. Where too many parts are empty to be sure of a full one in
-    common, the prefix that two such sets must share is added, shingle by shingle.
+
+def commonness(docs: DataFrame, words: int, n_docs: int) -> Commonness:
+    """Counts every shingle of all of ``docs``, as hash prefixes, and keeps the steps of ``LEVELS``.
+
+    Tasks send sorted prefixes as 16-bit gaps, about two bytes a shingle, by hash range; a range's
+    counts become a block of each bitmap. The bitmaps have about 512 bits a document, up to
+    2**``MAX_BITS``; when full they tell fewer shingles apart, which costs time and loses no link.
+    """
+    width = 16 + max(14, _power(n_docs))
+    ranges = min(16, max(7, _power(n_docs // 2048)))
+    sizes = [min(MAX_BITS, max(20, _power(512 * n_docs))) - (3 if k else 0) for k in range(len(LEVELS))]
+    first = np.arange(1 << ranges, dtype=np.uint64) << np.uint64(width - ranges)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, held, n = Shingler(words), [], 0
+
+        def flushed() -> pa.RecordBatch:
+            slots = np.sort(np.concatenate(held) >> np.uint64(64 - width))
+            ends = np.append(np.searchsorted(slots, first[1:]), len(slots))
+            starts = np.concatenate([[0], ends[:-1]])
+            there = np.flatnonzero(ends > starts)
+            gaps = [_gaps(slots[starts[k] : ends[k]], int(first[k])).tobytes() for k in there]
+            return pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(gaps, pa.binary())], ["range", "gaps"])
+
+        for part in pieces(batches):
+            for text in part.column(0).to_pylist():
+                held.append(shingler.of(text))
+                n += len(held[-1])
+            if n > _FLUSH:
+                yield flushed()
+                held, n = [], 0
+        if n:
+            yield flushed()
+
+    def count(frame: pd.DataFrame) -> pd.DataFrame:
+        k = int(frame["range"].iloc[0])
+        slots = np.sort(np.concatenate([_slots(np.frombuffer(x, np.uint16), int(first[k])) for x in frame["gaps"]]))
+        slots, seen = np.unique(slots, return_counts=True)
+        blocks = []
+        for size, least in zip(sizes, LEVELS, strict=True):
+            bits = np.zeros(1 << (size - ranges), np.uint8)
+            bits[(slots[seen >= least] >> (width - size)) - (k << (size - ranges))] = 1
+            blocks.append(np.packbits(bits, bitorder="little").tobytes())
+        return pd.DataFrame({"range": [k], "blocks": [blocks]})
+
+    sent = docs.select("text").mapInArrow(send, "range int, gaps binary").groupBy("range").applyInPandas(count, "range int, blocks array<binary>")
+    bitmaps = [np.zeros(1 << (size - 3), np.uint8) for size in sizes]
+    for row in sent.toLocalIterator():
+        for bits, block in zip(bitmaps, row.blocks, strict=True):
+            bits[row.range * len(block) : (row.range + 1) * len(block)] = np.frombuffer(block, np.uint8)
+    return Commonness(bitmaps)
+
+
+def keys_of(tokens: np.ndarray, level: np.ndarray, percent: int) -> np.ndarray:
+    """The shingles, rarest first, one of which any set that links with this one has among its own.
+
+    Those that only this set has are left out: nothing can meet them.
     """
+    prefix = len(tokens) - -(-len(tokens) * percent // 100) + 1
+    chosen = np.argsort(level, kind="stable")[:prefix]
+    return tokens[chosen[level[chosen] > 0]].view(np.int64)
 
-    def __init__(self, percent: int) -> None:
-        self.percent, self.bands = percent, bands(percent)
-        self.least = np.array([b[0] for b in self.bands])
 
-    def of(self, tokens: np.ndarray) -> np.ndarray:
-        n = len(tokens)
-        own = int(np.searchsorted(self.least, n, "right")) - 1
-        found, mixed = [], _mix(tokens * _B)
-        high = tokens >> np.uint64(32)
-        for band in (own, own + 1):
-            least, most, parts = self.bands[band]
-            differ = 2 * most * (100 - self.percent) // (100 + self.percent)
-            if differ == 0 or n * 100 < self.percent * least:
-                continue
-            part = (high * np.uint64(parts)) >> np.uint64(32)
-            starts = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1])
-            sums = np.add.reduceat(mixed, starts)
-            own_band = np.array([band + 1], np.uint64)
-            found.append(_mix(sums + part[starts] * _A + own_band * _C))
-            if len(starts) <= differ:
-                prefix = n - -(-n * self.percent // 100) + 1
-                found.append(_mix(mixed[:prefix] + own_band * _A))
-        return np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
-
-
-def signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
+def signed(docs: DataFrame, words: int, percent: int, common: Commonness) -> DataFrame:
     """(doc_id, n_shingles, class, keys): equal sets have the same class; an empty set has none."""
+    steps = docs.sparkSession.sparkContext.broadcast(common)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, signatures = Shingler(words), Signatures(percent)
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                sets = [shingler.of(t) for t in part.column(1).to_pylist()]
-                classes = [class_of(s) for s in sets]
-                keys = [signatures.of(s) if len(s) else np.zeros(0, np.int64) for s in sets]
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in keys])])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes, pa.int64()), lists], ["doc_id", "n_shingles", "class", "keys"])
+        shingler = Shingler(words)
+        for part in pieces(batches):
+            sets = [shingler.of(t) for t in part.column(1).to_pylist()]
+            classes = [class_of(s) for s in sets]
+            keys = [keys_of(s, steps.value.of(s), percent) for s in sets]
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in keys])])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys)))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes, pa.int64()), lists], ["doc_id", "n_shingles", "class", "keys"])
 
     return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n_shingles long, class long, keys array<long>")
 
@@ -190,15 +239,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, chunk: i
     if 100 * intersection >= ``percent`` * union; component_id is the least doc_id over links. Shingles
     are 64-bit hashes.
 
-    Equal sets are one class. Classes that share a key of ``Signatures`` are candidates of each other;
-    candidates that hang together form a group, whose members' sets are fetched and compared by a
+    Equal sets are one class. Sets that link share one of their first shingles, rarest first (see
+    ``keys_of``); classes that share such a key are candidates of each other. Candidates that hang together form a group, whose members' sets are fetched and compared by a
     token-group matrix. Groups of more than ``chunk`` members are opened in pairs of hashed chunks, so
     no task holds more; small groups go in batches. No link is lost and no pair list is built.
 
     Null and empty texts have no set and link with nothing. Rows with a null id join their component
     and don't name it. Repeated rows are one class. An empty table gives an empty result.
     """
-    rows = written(signed(docs, words, percent), "jaccard-keys")
+    docs = docs.select("doc_id", "text")
+    rows = written(signed(docs, words, percent, commonness(docs, words, docs.count())), "jaccard-keys")
     keyed = rows.where("size(keys) > 0").select(F.explode("keys").alias("key"), "class")
     spread = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     stars = keyed.repartition(spread, "key").sortWithinPartitions("key", "class").mapInArrow(_stars, "u long, v long")
@@ -211,17 +261,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, chunk: i
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                sets = [shingler.of(t) for t in part.column(0).to_pylist()]
-                good = pa.array([class_of(s) == c for s, c in zip(sets, part.column(2).to_pylist(), strict=True)], pa.bool_())
-                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), part.column(3), pa.array([s.tobytes() for s in sets], pa.binary())], ["label", "class", "chunks", "tokens"]).filter(good)
+        for part in pieces(batches):
+            sets = [shingler.of(t) for t in part.column(0).to_pylist()]
+            good = pa.array([class_of(s) == c for s, c in zip(sets, part.column(2).to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), part.column(3), pa.array([s.tobytes() for s in sets], pa.binary())], ["label", "class", "chunks", "tokens"]).filter(good)
 
     side = bounded_broadcast(wanted, name="jaccard-side")
     sets = (
-        docs.select("doc_id", "text")
-        .join(side, F.col("doc_id").eqNullSafe(F.col("id")))
+        docs.join(side, F.col("doc_id").eqNullSafe(F.col("id")))
         .select("text", "label", "class", "chunks")
         .mapInArrow(fetch, "label long, class long, chunks int, tokens binary")
     )
