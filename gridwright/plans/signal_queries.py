@@ -319,3 +319,11 @@ def event_tail(spark: SparkSession, sf: str) -> DataFrame:
 @query(over("metrics6", " select count(*) as samples, " + ", ".join(f"round(avg({m}), 6) as {m}" for m in METRICS) + " from metrics6"))
 def metric_means(spark: SparkSession, sf: str) -> DataFrame:
     return scene.metrics6(spark, sf).agg(F.count("*").alias("samples"), *[F.round(F.avg(m), 6).alias(m) for m in METRICS])
+
+
+@query()
+def detected_incidents(spark: SparkSession, sf: str) -> DataFrame:
+    """Incidents that the detector's state changes open and close."""
+    from gridwright.streaming.event_log import incidents
+
+    return incidents(detector.detect(scene.metrics6(spark, sf)).where("changed"))
