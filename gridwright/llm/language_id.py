@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridwright.llm.common import sample_below, widened
+from gridwright.llm.common import pieces, sample_below, widened
 
 #: Longest n-gram, n-grams of a profile, labelled documents that a profile learns from at most, and
 #: languages at most; the last two bound what is gathered and broadcast.
@@ -87,7 +87,7 @@ def learn_profiles(
     sample = known.join(F.broadcast(shares), "lang").where(sample_below(F.col("doc_id"), F.col("share"))).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             parts: dict[str, list] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 parts.setdefault(lang, []).append(_grams(text, max_n))
@@ -142,7 +142,7 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], max_n: int = MAX_
     schema = widened(docs.select(*names), "lang_pred string, score double")
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             said = [ranker.value.predict(t) for t in batch.column(at).to_pylist()]
             kept = [batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays([*kept, pa.array([x for x, _ in said], pa.string()), pa.array([y for _, y in said], pa.float64())], [*names, "lang_pred", "score"])

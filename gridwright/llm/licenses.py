@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridwright.llm.common import bounded_broadcast, widened, written
+from gridwright.llm.common import bounded_broadcast, pieces, widened, written
 
 # The phrases and labels of the base scan.
 PHRASES = {
@@ -43,7 +43,6 @@ K = 3
 NEAR = 3
 LEAST = 0.8
 
-_CACHE = 500_000
 #: A-Z to a-z, other ASCII but digits and letters to a space; other bytes stay.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -57,18 +56,13 @@ class Rolling:
     """Hashes of all rolling ``k``-grams of words."""
 
     def __init__(self, k: int = K) -> None:
-        self.k, self.known = k, {}
+        self.k = k
 
     def of(self, words: list[bytes]) -> np.ndarray:
         n = len(words) - self.k + 1
         if n <= 0:
             return np.zeros(0, np.int64)
-        known = self.known
-        if len(known) > _CACHE:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh64_intdigest(w)
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
         out = np.zeros(n, np.uint64)
         for j in range(self.k):
             out = (out ^ h[j : j + n]) * _A
@@ -96,13 +90,11 @@ def candidate_spans(docs: DataFrame, templates: list[tuple[str, str]], k: int =
 
     def roll(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling(k)
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                found = [rolling.of(words_of(t)) for t in part.column(1).to_pylist()]
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in found])])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found)))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists], ["text_key", "grams"])
+        for part in pieces(batches):
+            found = [rolling.of(words_of(t)) for t in part.column(1).to_pylist()]
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in found])])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found)))
+            yield pa.RecordBatch.from_arrays([part.column(0), lists], ["text_key", "grams"])
 
     rolled = docs.where("text is not null").select("text_key", "text").mapInArrow(roll, "text_key long, grams array<long>")
     votes = (
@@ -167,7 +159,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, phrase
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.list_(pa.struct([("label", pa.string()), ("first", pa.int64()), ("end", pa.int64())]))]
-        for batch in batches:
+        for batch in pieces(batches):
             out: list[tuple] = []
             for text, marks in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 words = words_of(text)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridwright.llm.common import sample_below, widened
+from gridwright.llm.common import pieces, sample_below, widened
 
 #: Hash bits of the features; labelled documents of a class that the fit takes at most; documents of a
 #: shard; passes over it; the learning rate's alpha and beta; L1 by the root of the shard's documents,
@@ -22,7 +22,6 @@ SHARD_DOCS = 8000
 PASSES = 6
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 0.2, 0.01
 
-_CACHE = 500_000
 #: A-Z to a-z, other ASCII but digits and letters to a space; other bytes stay.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
@@ -33,18 +32,12 @@ class Features:
 
     def __init__(self, bits: int = BITS) -> None:
         self.shift = np.uint64(64 - bits)
-        self.words: dict[bytes, int] = {}
 
     def of(self, text: str | None) -> np.ndarray:
         words = (text or "").encode().translate(_FOLD).split()
         if not words:
             return np.zeros(0, np.int64)
-        known = self.words
-        if len(known) > _CACHE:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh64_intdigest(w)
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
         parts = [h * _A, (h[:-1] * _B) ^ (h[1:] * _C), (h[:-2] * _C) ^ (h[2:] * _D)]
         return np.unique((np.concatenate(parts) * _A) >> self.shift).astype(np.int64)
 
@@ -126,7 +119,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], bits: int = BIT
         dense = np.zeros((1 << bits) + 1, np.float32)
         dense[sparse.value[0]] = sparse.value[1]
         hashed = Features(bits)
-        for batch in batches:
+        for batch in pieces(batches):
             sums = np.array([float(dense[hashed.of(t)].sum()) for t in batch.column(text_at).to_pylist()]) + float(dense[-1])
             p = 1 / (1 + np.exp(-np.clip(sums, -35, 35)))
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*names, "score", "predicted"])
