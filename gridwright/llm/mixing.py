@@ -88,7 +88,7 @@ def land(sizes: list[float], chances: list[float], goal: float) -> list[float]:
     for j, k in enumerate(open_):
         out[k] = float(best >> j & 1)
     over = sum(s for s, p in zip(sizes, out, strict=True) if p) - goal
-    for _ in range(4):
+    for _ in range(32):
         gain, k = min(((abs(over + (s if not p else -s)), k) for k, (s, p) in enumerate(zip(sizes, out, strict=True))), default=(math.inf, -1))
         if gain >= abs(over):
             break
@@ -130,7 +130,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, total: float = TOTAL, most: f
     t = targets.select(F.col("source").alias("s"), "source_size", "target")
     joined = rows.join(F.broadcast(t), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     mean = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    planned = joined.withColumn("sure", F.floor(mean + 1e-12)).withColumn("p", F.when(F.col("size") > 0, F.greatest(F.lit(0.0), mean - F.col("sure"))).otherwise(0.0))
+    planned = joined.withColumn("sure", F.when(F.col("size") > 0, F.floor(mean + 1e-12)).otherwise(0)).withColumn("p", F.when(F.col("size") > 0, F.greatest(F.lit(0.0), mean - F.col("sure"))).otherwise(0.0))
     schema = "source string, doc_id long, row long, size long, p double, draw double"
     open_ = planned.where("p > 0").select("source", "doc_id", "row", "size", "p")
     settled: list[DataFrame] = []
