@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridwright.functions.geom import crossings, square
+from gridwright.functions.geom import crossing_span
 from gridwright.operators.grid_join import along, within
 from gridwright.schema import COVERED_SHARE, FACADE_FRACTIONS, MIN_SAMPLE_Z
 
@@ -50,14 +50,20 @@ def line_of_sight(sites: DataFrame, buildings: DataFrame, clearance: Column | fl
     )
     points = _samples(F.col("x1"), F.col("y1"), F.col("half"), F.col("height"))
     rays = near.withColumn("ray", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), a.alias("x"), b.alias("y"), c.alias("z")) for k, (a, b, c) in enumerate(points)])))
-    cut = crossings(square(F.col("px"), F.col("py"), F.col("oh")), F.col("x0"), F.col("y0"), F.col("ray.x"), F.col("ray.y"))
-    tested = rays.where(F.col("roof") > F.least("z0", "ray.z")).withColumn("cut", cut).where(F.size("cut") > 0)
+    corners = [(F.col("px") + F.col("oh") * a, F.col("py") + F.col("oh") * b) for a, b in ((-1, -1), (1, -1), (1, 1), (-1, 1))]
+    first, last = crossing_span(corners, F.col("x0"), F.col("y0"), F.col("ray.x"), F.col("ray.y"))
+    rx, ry = F.col("ray.x") - F.col("x0"), F.col("ray.y") - F.col("y0")
+    px, py = F.col("px") - F.col("x0"), F.col("py") - F.col("y0")
+    reach, run = F.col("oh") * 1.4143, F.hypot(rx, ry)
+    along_it = rx * px + ry * py
+    touched = (F.abs(rx * py - ry * px) <= reach * run) & (along_it >= -reach * run) & (along_it <= (run + reach) * run)
+    tested = rays.where(F.col("roof") > F.least("z0", "ray.z")).where((run == 0) | touched)
 
     def over(t: Column) -> Column:
         return F.col("z0") + (F.col("ray.z") - F.col("z0")) * t - F.col("roof")
 
     need = clearance if isinstance(clearance, Column) else F.lit(float(clearance))
-    hit = tested.where((over(F.element_at("cut", 1)) < need) | (over(F.element_at("cut", -1)) < need))
+    hit = tested.where((over(first) < need) | (over(last) < need))
     masks = hit.groupBy("site", "bid").agg(F.bit_or(F.expr("shiftleft(1, ray.k)")).alias("mask"))
     seen = 1 - F.bit_count(F.coalesce("mask", F.lit(0))) / len(points)
     return pairs.select("site", "bid").join(masks, ["site", "bid"], "left").select(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import pandas as pd
@@ -37,11 +38,14 @@ def replay(jobs: DataFrame, crews_a_region: int = 4, smart: bool = True) -> Data
         frame = frame.sort_values(["t", "incident"], kind="stable")
         crews = [{"id": k, "xy": (0.0, 0.0), "job": None, "until": 0.0, "arrive": 0.0, "next": []} for k in range(crews_a_region)]
         done: dict[int, dict] = {}
-        waiting: list[dict] = []
+        waiting: list[tuple[float, int, dict]] = []
 
         def travel(a: tuple, b: tuple) -> float:
             return math.hypot(a[0] - b[0], a[1] - b[1]) / METRES_A_SECOND
 
+        def wait(job: dict) -> None:
+            heapq.heappush(waiting, (-job["priority"], job["incident"], job))
+
         def go(crew: dict, job: dict, now: float) -> None:
             crew["job"], crew["arrive"] = job, now + travel(crew["xy"], job["xy"])
             crew["until"] = crew["arrive"] + REPAIR_S.get(job["severity"], DEFAULT_REPAIR_S)
@@ -55,9 +59,7 @@ def replay(jobs: DataFrame, crews_a_region: int = 4, smart: bool = True) -> Data
                 if crew["next"]:
                     go(crew, crew["next"].pop(0), at)
                 elif waiting:
-                    pick = min(waiting, key=lambda j: (-j["priority"], j["incident"]))
-                    waiting.remove(pick)
-                    go(crew, pick, at)
+                    go(crew, heapq.heappop(waiting)[2], at)
 
         for row in frame.itertuples(index=False):
             job = {"incident": int(row.incident), "xy": (row.x, row.y), "severity": row.severity, "priority": row.priority}
@@ -77,10 +79,10 @@ def replay(jobs: DataFrame, crews_a_region: int = 4, smart: bool = True) -> Data
             if weaker:
                 crew = crews[min(weaker)[1]]
                 done[crew["job"]["incident"]].update(crew=None, assigned_at=None, started_at=None, resolved_at=None, preempted=True)
-                waiting.append(crew["job"])
+                wait(crew["job"])
                 go(crew, job, row.t)
             else:
-                waiting.append(job)
+                wait(job)
         advance(math.inf)
         return pd.DataFrame(list(done.values())).astype({"crew": "Int64"})
 
