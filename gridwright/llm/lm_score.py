@@ -19,14 +19,17 @@ from gridwright.llm.common import written
 #: Words that workers look up by themselves, and of these the words of the softmax: CLASSES of
 #: MEMBERS each. Other words are in one of RARE classes, by their ending.
 LOOKED_UP = 131_072
-CLASSES = 32
+CLASSES = 24
 MEMBERS = 64
-RARE = 16
-#: Rows of hashed feature weights; tokens of a gradient step; learning rate; rows of a block of the
-#: model on its way to the mean; trainers for each of the cluster's cores.
+RARE = 8
+#: Rows of hashed feature weights; tokens of a gradient step and of a scoring one; learning rate;
+#: bound of a weight; rows of a block of the model on its way to the mean; trainers for each of the
+#: cluster's cores.
 ROWS = 1 << 14
-STEP = 8192
+STEP = 4096
+SCORE_STEP = 2048
 RATE = 0.5
+BOUND = 20.0
 BLOCK = 16
 TRAINERS_PER_CORE = 2
 
@@ -130,10 +133,10 @@ def unigram_model(v: Vocabulary, rows: int = ROWS) -> Model:
         mass[v.classes[k]] += v.counts[k]
         members[v.classes[k], k // CLASSES] = math.log(v.counts[k])
     members[(members < -1e8).all(axis=1)] = 0
+    members -= np.log(np.exp(members).sum(axis=1, keepdims=True))
     mass[CLASSES:] = v.rare_n + 0.5 * (v.rare_size + 1)
-    return Model(
-        np.zeros((rows, CLASSES + RARE), np.float32), np.zeros((rows, MEMBERS), np.float32), np.log(np.maximum(mass, 0.5)).astype(np.float32), members
-    )
+    mass = np.maximum(mass, 0.5)
+    return Model(np.zeros((rows, CLASSES + RARE), np.float32), np.zeros((rows, MEMBERS), np.float32), np.log(mass / mass.sum()).astype(np.float32), members)
 
 
 class Reader:
@@ -160,9 +163,9 @@ class Reader:
         return np.array(found, np.int64)
 
     def arrays(self, ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(token ids, features of the classes (3), features of the members (2)) over texts.
+        """(token ids, features of the classes (2), features of the members (1)) over texts.
 
-        Histories are the word before (n-gram), the one before that alone (skip) and both.
+        Histories are the word before (n-gram) and, for classes, the one before that alone (skip).
         """
         sizes = np.array([len(x) for x in ids])
         joined = np.concatenate(ids)
@@ -172,10 +175,9 @@ class Reader:
         two = np.where(at >= 2, np.roll(joined, 2), -1001).astype(np.uint64)
         a, b = one * _A, two * _B
         a, b = a ^ (a >> np.uint64(32)), b ^ (b >> np.uint64(31))
-        both = (a * _C + b) * _D
         own = np.where((joined >= 0) & (joined < self.v.in_softmax), self.v.classes[np.maximum(joined, 0)], 0).astype(np.uint64) if len(self.v.classes) else np.zeros(len(joined), np.uint64)
-        for_class = np.stack([(x * _D >> np.uint64(40)) & self.mask for x in (a, b * _C, both ^ (both >> np.uint64(29)))])
-        for_member = np.stack([((x + (own + np.uint64(1)) * _C) * _D >> np.uint64(40)) & self.mask for x in (a, b * _C)])
+        for_class = np.stack([(x * _D >> np.uint64(40)) & self.mask for x in (a, b * _C)])
+        for_member = ((a + (own + np.uint64(1)) * _C) * _D >> np.uint64(40)) & self.mask
         return joined, for_class.astype(np.int64), for_member.astype(np.int64)
 
     def class_of(self, joined: np.ndarray) -> np.ndarray:
@@ -184,23 +186,26 @@ class Reader:
         return np.where(joined >= 0, self.v.classes[np.maximum(joined, 0)], -1 - joined)
 
 
+def _sums(x: np.ndarray) -> np.ndarray:
+    return x @ np.ones(x.shape[1], np.float32)
+
+
 def _softmax(logits: np.ndarray) -> np.ndarray:
-    logits -= logits.max(axis=1, keepdims=True)
+    """In place. Biases are log chances and weights stay within ``BOUND``, so nothing overflows."""
     np.exp(logits, out=logits)
-    logits /= logits.sum(axis=1, keepdims=True)
+    logits *= (1 / _sums(logits))[:, None]
     return logits
 
 
 def _descend(weights: np.ndarray, spent: np.ndarray, seen: np.ndarray, rows: np.ndarray, slope: np.ndarray) -> None:
-    """One step of each row of ``weights`` that ``rows`` names, at the row's own rate."""
-    order = np.argsort(rows, kind="stable")
-    ordered = rows[order]
-    starts = np.concatenate([[0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1])
-    sums = np.add.reduceat(slope[order], starts, axis=0)
-    at = ordered[starts]
+    """One step of each row of ``weights`` that ``rows`` (in order) names, at the row's own rate."""
+    starts = np.concatenate([[0], np.flatnonzero(rows[1:] != rows[:-1]) + 1])
+    sums = np.add.reduceat(slope, starts, axis=0)
+    at = rows[starts]
     spent[at] += np.einsum("ij,ij->i", sums, sums)
     seen[at] += np.diff(np.append(starts, len(rows)))
-    weights[at] -= RATE * sums / np.sqrt(spent[at] + 1.0)[:, None]
+    sums *= (RATE / np.sqrt(spent[at] + 1.0))[:, None]
+    weights[at] = np.clip(weights[at] - sums, -BOUND, BOUND)
 
 
 def train_pass(batches: Iterator[list[np.ndarray]], reader: Reader, model: Model) -> tuple[np.ndarray, np.ndarray]:
@@ -214,24 +219,25 @@ def train_pass(batches: Iterator[list[np.ndarray]], reader: Reader, model: Model
         classes = reader.class_of(joined)
         for a in range(0, len(joined), STEP):
             b = min(a + STEP, len(joined))
-            f = for_class[:, a:b]
-            logits = model.of_class[f[0]] + model.of_class[f[1]]
-            logits += model.of_class[f[2]]
+            order = np.argsort(for_class[0, a:b])
+            gram, skip, target = for_class[0, a:b][order], for_class[1, a:b][order], classes[a:b][order]
+            logits = model.of_class[gram]
+            logits += model.of_class[skip]
             logits += model.class_bias
             p = _softmax(logits)
-            p[np.arange(b - a), classes[a:b]] -= 1
-            for rows_ in f:
-                _descend(model.of_class, spent[0], seen[0], rows_, p)
+            p[np.arange(b - a), target] -= 1
+            _descend(model.of_class, spent[0], seen[0], gram, p)
+            again = np.argsort(skip)
+            _descend(model.of_class, spent[0], seen[0], skip[again], p[again])
             inside = np.flatnonzero((joined[a:b] >= 0) & (joined[a:b] < n_softmax))
             if len(inside):
-                word = joined[a:b][inside]
-                g = for_member[:, a:b][:, inside]
-                logits = model.of_member[g[0]] + model.of_member[g[1]]
+                inside = inside[np.argsort(for_member[a:b][inside])]
+                gram, word = for_member[a:b][inside], joined[a:b][inside]
+                logits = model.of_member[gram]
                 logits += model.member_bias[classes[a:b][inside]]
                 p = _softmax(logits)
                 p[np.arange(len(inside)), word // CLASSES] -= 1
-                for rows_ in g:
-                    _descend(model.of_member, spent[1], seen[1], rows_, p)
+                _descend(model.of_member, spent[1], seen[1], gram, p)
     return seen[0], seen[1]
 
 
@@ -261,7 +267,7 @@ def train(texts: DataFrame, v: Vocabulary, rounds: int = 1, rows: int = ROWS) ->
                         for text in batch.column(0).slice(start, 64).to_pylist():
                             ids.append(reader.ids(tokens_of(text)))
                             n += len(ids[-1])
-                            if n >= 8 * STEP:
+                            if n >= 16 * STEP:
                                 yield ids
                                 ids, n = [], 0
                 if ids:
@@ -309,22 +315,19 @@ class Scorer:
         v, m = self.v, self.model
         score = np.zeros(len(joined))
         classes = self.reader.class_of(joined)
-        for a in range(0, len(joined), STEP):
-            b = min(a + STEP, len(joined))
-            f = for_class[:, a:b]
-            logits = m.of_class[f[0]] + m.of_class[f[1]]
-            logits += m.of_class[f[2]]
+        for a in range(0, len(joined), SCORE_STEP):
+            b = min(a + SCORE_STEP, len(joined))
+            logits = m.of_class[for_class[0, a:b]]
+            logits += m.of_class[for_class[1, a:b]]
             logits += m.class_bias
-            logits -= logits.max(axis=1, keepdims=True)
             score[a:b] = logits[np.arange(b - a), classes[a:b]]
-            score[a:b] -= np.log(np.exp(logits).sum(axis=1))
+            score[a:b] -= np.log(_sums(np.exp(logits, out=logits)))
             inside = np.flatnonzero((joined[a:b] >= 0) & (joined[a:b] < v.in_softmax))
             if len(inside):
-                g = for_member[:, a:b][:, inside]
-                logits = m.of_member[g[0]] + m.of_member[g[1]]
+                logits = m.of_member[for_member[a:b][inside]]
                 logits += m.member_bias[classes[a:b][inside]]
-                logits -= logits.max(axis=1, keepdims=True)
-                score[a + inside] += logits[np.arange(len(inside)), joined[a:b][inside] // CLASSES] - np.log(np.exp(logits).sum(axis=1))
+                own = logits[np.arange(len(inside)), joined[a:b][inside] // CLASSES]
+                score[a + inside] += own - np.log(_sums(np.exp(logits, out=logits)))
         score /= math.log(10)
         looked = joined >= 0
         if len(v.counts):
