@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,11 +69,14 @@ def learn(labelled: DataFrame, bits: int = BITS, shard_docs: int = SHARD_DOCS) -
 
     ``labelled`` is a bounded sample (see ``sampled``), dealt by a hash of the id over shards of about
     ``shard_docs`` that learn side by side; their weights are averaged by each coordinate's squared
-    gradients. At most 2**``bits`` weights a shard are gathered, far fewer as L1 sets most to 0. Rows
-    with a null id, text or label don't count. Without rows every score is 0.5.
+    gradients. At most 2**``bits`` weights a shard are gathered, far fewer as L1 sets most to 0. The
+    bias is moved to even odds of both classes, as label 1 is rare. Rows with a null id, text or label
+    don't count. Without rows every score is 0.5.
     """
     known = labelled.where("doc_id is not null and text is not null and toxic in (0, 1)").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
-    shards = max(1, -(-known.count() // shard_docs))
+    of = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
+    shards = max(1, -(-sum(of.values()) // shard_docs))
+    even = math.log(of[0] / of[1]) if len(of) == 2 else 0.0
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("turn", kind="stable")
@@ -92,7 +96,8 @@ def learn(labelled: DataFrame, bits: int = BITS, shard_docs: int = SHARD_DOCS) -
         .toPandas()
         .sort_values("at")
     )
-    return merged["at"].to_numpy(np.int64), (merged["w"] / merged["n"].clip(lower=1e-12)).to_numpy(np.float64)
+    at, weights = merged["at"].to_numpy(np.int64), (merged["w"] / merged["n"].clip(lower=1e-12)).to_numpy(np.float64)
+    return at, np.where(at == 1 << bits, weights + even, weights)
 
 
 def sampled(labels: DataFrame, max_docs: int = MAX_DOCS_PER_CLASS) -> DataFrame:
