@@ -97,6 +97,25 @@ ORACLE_SQL: dict[str, str] = {
                doc_id = min(doc_id) over w as kept, text_sha256
         from n window w as (partition by text_sha256)
     """,
+    "op8_ngram_jaccard": r"""
+        with recursive d as (
+            select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents
+        ), s as (
+            select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+                else list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) end) as shingles from d
+        ), e as (
+            select doc_id, len(shingles) as n, unnest(shingles) as shingle from s
+        ), o as (
+            select a.doc_id as x, b.doc_id as y, a.n as nx, b.n as ny, count(*) as shared
+            from e a join e b on a.shingle = b.shingle and a.doc_id <> b.doc_id group by all
+        ), l as (
+            select x, y from o where 100 * shared >= 85 * (nx + ny - shared)
+        ), r(a, b) as (
+            select doc_id, doc_id from s union select r.a, l.y from r join l on l.x = r.b
+        )
+        select s.doc_id, len(any_value(s.shingles)) as n_shingles, min(r.b) as component_id from s join r on r.a = s.doc_id group by s.doc_id
+    """,
     "op9_topk_search": """
         with v as (
             select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as v
