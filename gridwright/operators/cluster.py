@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridwright.operators.graph import components, settled
 from gridwright.operators.grid_join import cell
-from gridwright.schema import EPS_M, EPS_S
+from gridwright.schema import EPS_M, EPS_S, JACCARD_REUSE
 
 
 def neighbours(alarms: DataFrame, eps_m: float = EPS_M, eps_s: float = EPS_S) -> DataFrame:
@@ -38,3 +39,32 @@ def st_dbscan(alarms: DataFrame, min_pts: int = 2) -> DataFrame:
     border = pairs.join(labels, pairs.b == labels.node).groupBy("a").agg(F.min("label").alias("adjacent"))
     own = labels.withColumnRenamed("node", "n").withColumnRenamed("label", "own")
     return alarms.select("alarm").join(own, F.col("alarm") == F.col("n"), "left").join(border, F.col("alarm") == F.col("a"), "left").select("alarm", F.coalesce("own", "adjacent").alias("cluster"))
+
+
+def stable_ids(snapshots: DataFrame) -> DataFrame:
+    """(region, at, cluster, id) of (region, at, cluster, members): a cluster keeps the id of the cluster of
+    the snapshot before that it shares most members with, at least half by Jaccard; each id goes to one.
+
+    Ids count up in order of snapshot and cluster. Only the last snapshot is remembered, so a region
+    is one ordered fold.
+    """
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        before, made, rows = {}, 0, []
+        for at, part in frame.sort_values(["at", "cluster"], kind="stable").groupby("at", sort=True):
+            now = {}
+            for cluster, members in zip(part["cluster"], part["members"], strict=True):
+                mine, best, name = set(members), 0.0, None
+                for known, old in before.items():
+                    share = len(mine & old) / len(mine | old)
+                    if known not in now and share >= JACCARD_REUSE and share > best:
+                        best, name = share, known
+                if name is None:
+                    made += 1
+                    name = f"CL-{made:03d}"
+                now[name] = mine
+                rows.append((frame["region"].iloc[0], at, cluster, name))
+            before = now
+        return pd.DataFrame(rows, columns=["region", "at", "cluster", "id"])
+
+    return snapshots.groupBy("region").applyInPandas(run, "region long, at double, cluster long, id string")

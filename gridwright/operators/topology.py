@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridwright.schema import HUB_FRACTION, REACH_M, RELAY_FRACTION
+from gridwright.schema import HUB_FRACTION, HUB_SPACING, REACH_M, RELAY_FRACTION
 
 
 def tiers(sites: DataFrame) -> DataFrame:
@@ -28,3 +30,29 @@ def parents(sites: DataFrame) -> DataFrame:
     pairs = ranked.where("tier <> 'hub'").join(above, F.col("prank") < F.col("rank")).withColumn("distance", d)
     nearest = F.slice(F.array_sort(F.collect_list(F.struct((F.col("distance") > REACH_M).alias("far"), "distance", "parent"))), 1, 6)
     return pairs.groupBy("site").agg(nearest.alias("best")).select("site", F.posexplode("best").alias("choice", "b")).select("site", "b.parent", "b.distance", (F.col("choice") + 1).alias("choice"))
+
+
+def spaced_hubs(sites: DataFrame) -> DataFrame:
+    """(site, turn): hubs by altitude, each at least twice the median spacing from those before it.
+
+    The share of hubs is fixed; if spacing leaves too few, the highest others fill up. The choice is
+    sequential over the fleet's sites, one bounded group.
+    """
+
+    def choose(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["altitude", "site"], ascending=[False, True], kind="stable")
+        xy, ids = frame[["x", "y"]].to_numpy(float), frame["site"].tolist()
+        nearest = []
+        for k in range(len(xy)):
+            d = np.hypot(*(xy - xy[k]).T)
+            d[k] = np.inf
+            nearest.append(d.min())
+        least = HUB_SPACING * float(np.median(nearest)) if len(xy) > 1 else 0.0
+        count, taken = max(1, round(HUB_FRACTION * len(xy))), []
+        for k in range(len(xy)):
+            if len(taken) < count and all(np.hypot(*(xy[k] - xy[o])) >= least for o in taken):
+                taken.append(k)
+        taken += [k for k in range(len(xy)) if k not in taken][: count - len(taken)]
+        return pd.DataFrame({"site": [ids[k] for k in taken], "turn": range(1, len(taken) + 1)})
+
+    return sites.select("site", "x", "y", "altitude", F.lit(0).alias("fleet")).groupBy("fleet").applyInPandas(choose, "site long, turn long")

@@ -344,3 +344,20 @@ def primary_parent(spark: SparkSession, sf: str) -> DataFrame:
     from gridwright.operators.topology import parents
 
     return parents(scene.site(spark, sf)).where("choice = 1").select("site", "parent", F.round("distance", 6).alias("distance"))
+
+
+@query()
+def hubs(spark: SparkSession, sf: str) -> DataFrame:
+    """The fleet's hubs: highest sites that keep their distance."""
+    from gridwright.operators.topology import spaced_hubs
+
+    return spaced_hubs(scene.site(spark, sf))
+
+
+@query(over("site", _TIERS + """, c as (select a.site, b.site as parent, a.r, sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) as d from tier a join tier b on b.r < a.r join site p on p.site = a.site join site q on q.site = b.site where a.tier <> 'hub')
+    select site, parent as protect, round(d, 6) as distance from (select *, row_number() over (partition by site order by d > 1400, d, parent) as k from c) where k = 2"""))
+def protect_parent(spark: SparkSession, sf: str) -> DataFrame:
+    """Each site's second choice of a feed."""
+    from gridwright.operators.topology import parents
+
+    return parents(scene.site(spark, sf)).where("choice = 2").select("site", F.col("parent").alias("protect"), F.round("distance", 6).alias("distance"))

@@ -327,3 +327,11 @@ def detected_incidents(spark: SparkSession, sf: str) -> DataFrame:
     from gridwright.streaming.event_log import incidents
 
     return incidents(detector.detect(scene.metrics6(spark, sf)).where("changed"))
+
+
+@query()
+def stable_cluster_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids of each day's alarm clusters that last while members do."""
+    alarms = scene.alarm(spark, sf)
+    daily = alarms.join(cluster.st_dbscan(alarms).where("cluster is not null"), "alarm").groupBy((F.floor(F.col("t") / 86400) * 86400.0).alias("at"), "cluster").agg(F.collect_set("site").alias("members"))
+    return cluster.stable_ids(daily.withColumn("region", F.lit(0).cast("long")))

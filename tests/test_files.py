@@ -47,3 +47,12 @@ def test_terrain_and_scenario(spark, tmp_path):
 def test_round_trip(spark):
     df = spark.createDataFrame([(1, "a"), (2, None)], "k long, v string")
     assert sorted(map(str, files.round_trip(df).collect())) == sorted(map(str, df.collect()))
+
+
+def test_cache_follows_its_fingerprint(spark, tmp_path):
+    a, b = spark.createDataFrame([(1, "x"), (2, None)], "k long, v string"), spark.createDataFrame([(2, None), (1, "x")], "k long, v string")
+    key = files.fingerprint(a, "k", "v")
+    assert len(key) == 16 and key == files.fingerprint(b, "k", "v") != files.fingerprint(a.where("k = 1"), "k", "v")
+    assert files.cached(a, str(tmp_path), key).count() == 2
+    assert files.cached(a.where("k = 1"), str(tmp_path), key).count() == 2
+    assert files.cached(a.where("k = 1"), str(tmp_path), "other").count() == 1

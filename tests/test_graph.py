@@ -55,3 +55,10 @@ def test_flood_factor_limits(spark):
     f = [r.factor for r in graph.flood_costs(e, 30.0).orderBy("src").collect()]
     assert f[:2] == [1.0, 1.0] and 1 < f[2] < f[3] < 3.2 and f[4] == f[5] == math.inf
     assert f[2] - 1 > 2.2 * 0.1 / 0.5
+
+
+def test_hubs_keep_their_distance(spark):
+    from gridwright.operators.topology import spaced_hubs
+
+    sites = spark.createDataFrame([(k, 100.0 * k, 0.0, 50.0 - k) for k in range(10)], "site long, x double, y double, altitude double")
+    assert [r.site for r in spaced_hubs(sites).orderBy("turn").collect()] == [0, 2]

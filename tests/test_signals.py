@@ -109,3 +109,9 @@ def test_incidents_open_and_close(spark):
     c = spark.createDataFrame([(1, 5.0, "degraded"), (1, 7.0, "down"), (1, 9.0, "healthy"), (1, 12.0, "degraded")], "site long, t double, state string")
     got = sorted((r.opened_at, r.severity, r.closed_at) for r in incidents(c).collect())
     assert got == [(5.0, "down", 9.0), (12.0, "degraded", None)]
+
+
+def test_stable_ids(spark):
+    rows = [(0, 1.0, 1, [1, 2]), (0, 1.0, 9, [7, 8]), (0, 2.0, 1, [1, 2, 3]), (0, 2.0, 5, [20, 21]), (0, 3.0, 1, [20, 21, 22]), (0, 4.0, 2, [1, 2, 3])]
+    got = {(r.at, r.cluster): r.id for r in cluster.stable_ids(spark.createDataFrame(rows, "region long, at double, cluster long, members array<long>")).collect()}
+    assert got == {(1.0, 1): "CL-001", (1.0, 9): "CL-002", (2.0, 1): "CL-001", (2.0, 5): "CL-003", (3.0, 1): "CL-003", (4.0, 2): "CL-004"}
