@@ -110,7 +110,8 @@ class Encoder:
 def frequent_table(docs: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS, entries: int = TABLE_ENTRIES) -> dict[str, int]:
     """The tokens of the most frequent chunks in a bounded sample of ``docs``, dealt by a hash of the id.
 
-    Each task returns its most frequent chunks, so nothing shuffles; the table only saves work.
+    The whole table is scanned at full width; the few sampled texts are dealt to eight tasks, each of
+    which returns its most frequent chunks. No pre-token shuffles, and the table only saves work.
     """
     n = docs.count()
     sample = docs.where(F.col("text").isNotNull()).where(sample_below(F.coalesce(F.col("doc_id"), F.lit(0)), min(1.0, sample_docs / max(1, n)))).select("text")
@@ -126,7 +127,7 @@ def frequent_table(docs: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS, e
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in top], pa.string()), pa.array([c for _, c in top], pa.int64())], ["chunk", "n"])
 
     total: Counter = Counter()
-    for row in sample.coalesce(8).mapInArrow(count, "chunk string, n long").toLocalIterator():
+    for row in sample.repartition(8).mapInArrow(count, "chunk string, n long").toLocalIterator():
         total[row.chunk] += row.n
     chosen = [x for x, _ in sorted(total.items(), key=lambda p: (-p[1], p[0]))[:entries]]
     lengths = [len(x) for x in _library(path).encode_batch_fast([" " + x for x in chosen], add_special_tokens=False)]
