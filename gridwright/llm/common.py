@@ -39,12 +39,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = 1_000_000, name: str = "side") -> DataFrame:
-    """``df`` (narrow rows) written and counted: broadcast up to ``max_rows`` rows, left to a shuffled join beyond."""
-    side = written(df, name)
+def broadcast_up_to(side: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+    """``side`` (a written table of narrow rows), counted: broadcast up to ``max_rows`` rows, left to a shuffled join beyond."""
     return F.broadcast(side) if side.count() <= max_rows else side
 
 
+def bounded_broadcast(df: DataFrame, max_rows: int = 1_000_000, name: str = "side") -> DataFrame:
+    """``df`` (narrow rows) written, then as in ``broadcast_up_to``."""
+    return broadcast_up_to(written(df, name), max_rows)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """The batches in slices of ``rows``, so that few texts are Python strings at a time."""
     for batch in batches:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridwright.llm.common import NON_SPACE, bounded_broadcast, written
+from gridwright.llm.common import NON_SPACE, bounded_broadcast, broadcast_up_to, written
 
 #: Weights by the sources' order, the mix's size and a source's largest target, both by what is
 #: there, and rows that one flight takes at once.
@@ -18,6 +18,8 @@ WEIGHTS = (5, 2, 1)
 TOTAL = 1.5
 MOST = 2.0
 CHUNK = 4000
+#: Sources whose targets are broadcast; those of more sources join by a shuffle.
+MANY_SOURCES = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -128,7 +130,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, total: float = TOTAL, most: f
     )
     targets = written(source_targets(rows, weights, total, most), "mix-targets")
     t = targets.select(F.col("source").alias("s"), "source_size", "target")
-    joined = rows.join(F.broadcast(t), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    joined = rows.join(broadcast_up_to(t, MANY_SOURCES), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     mean = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     planned = joined.withColumn("sure", F.when(F.col("size") > 0, F.floor(mean + 1e-12)).otherwise(0)).withColumn("p", F.when(F.col("size") > 0, F.greatest(F.lit(0.0), mean - F.col("sure"))).otherwise(0.0))
     schema = "source string, doc_id long, row long, size long, p double, draw double"
@@ -139,9 +141,9 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, total: float = TOTAL, most: f
         deepest = n.agg(F.max("n")).first()[0] or 0
         if not deepest:
             break
-        parts = n.select(F.col("source").alias("s"), F.ceil(F.col("n") / chunk).alias("parts"))
+        parts = broadcast_up_to(written(n.select(F.col("source").alias("s"), F.ceil(F.col("n") / chunk).alias("parts")), f"mix-parts-{level}"), MANY_SOURCES)
         last = deepest <= chunk
-        dealt = open_.join(F.broadcast(parts), F.col("source").eqNullSafe(F.col("s"))).withColumn("draw", _draw(level))
+        dealt = open_.join(parts, F.col("source").eqNullSafe(F.col("s"))).withColumn("draw", _draw(level))
         flown = written(
             dealt.withColumn("part", F.floor(F.col("draw") * F.col("parts")))
             .groupBy("source", "part")
