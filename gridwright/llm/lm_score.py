@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridwright.llm.common import written
+from gridwright.llm.common import pieces, written
 
 #: Words that workers look up by themselves, and of these the words of the softmax: CLASSES of
 #: MEMBERS each. Other words are in one of RARE classes, by their ending.
@@ -34,7 +34,7 @@ BLOCK = 16
 TRAINERS_PER_CORE = 2
 
 END = b"\n"
-_FLUSH = 400_000
+_FLUSH = 300_000
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
 
@@ -60,8 +60,8 @@ def count_words(texts: DataFrame) -> DataFrame:
             seen.clear()
             return out
 
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
+        for part in pieces(batches):
+            for text in part.column(0).to_pylist():
                 seen.update(tokens_of(text))
                 if len(seen) > _FLUSH:
                     yield flushed()
@@ -151,7 +151,7 @@ class Reader:
         found = list(map(self.v.places.get, words))
         if None in found:
             cache = self.unseen
-            if len(cache) > 300_000:
+            if len(cache) > 100_000:
                 cache.clear()
             for k, x in enumerate(found):
                 if x is None:
@@ -262,14 +262,13 @@ def train(texts: DataFrame, v: Vocabulary, rounds: int = 1, rows: int = ROWS) ->
 
             def read() -> Iterator[list[np.ndarray]]:
                 ids, n = [], 0
-                for batch in batches:
-                    for start in range(0, batch.num_rows, 64):
-                        for text in batch.column(0).slice(start, 64).to_pylist():
-                            ids.append(reader.ids(tokens_of(text)))
-                            n += len(ids[-1])
-                            if n >= 16 * STEP:
-                                yield ids
-                                ids, n = [], 0
+                for part in pieces(batches, 64):
+                    for text in part.column(0).to_pylist():
+                        ids.append(reader.ids(tokens_of(text)))
+                        n += len(ids[-1])
+                        if n >= 16 * STEP:
+                            yield ids
+                            ids, n = [], 0
                 if ids:
                     yield ids
 
@@ -369,13 +368,11 @@ def score_texts(docs: DataFrame, is_training: Column, rounds: int = 1) -> DataFr
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(words.value, learned.value)
-        for batch in batches:
-            for start in range(0, batch.num_rows, 64):
-                part = batch.slice(start, 64)
-                n, known, base, score, missing = zip(*scorer.of(part.column(1).to_pylist()), strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array(missing, pa.list_(pa.binary()))], names
-                )
+        for part in pieces(batches, 64):
+            n, known, base, score, missing = zip(*scorer.of(part.column(1).to_pylist()), strict=True)
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array(missing, pa.list_(pa.binary()))], names
+            )
 
     partial = written(
         docs.mapInArrow(label, "doc_id long, learned_from boolean, n_tokens long, known long, base double, model double, missing array<binary>").withColumn("row", F.monotonically_increasing_id()),
