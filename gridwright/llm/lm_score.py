@@ -19,9 +19,9 @@ from gridwright.llm.common import pieces, written
 #: Words that workers look up by themselves, and of these the words of the softmax: CLASSES of
 #: MEMBERS each. Other words are in one of RARE classes, by their ending.
 LOOKED_UP = 131_072
-CLASSES = 24
+CLASSES = 32
 MEMBERS = 64
-RARE = 8
+RARE = 16
 #: Rows of hashed feature weights; tokens of a gradient step and of a scoring one; learning rate;
 #: bound of a weight; rows of a block of the model on its way to the mean; trainers for each of the
 #: cluster's cores.
@@ -163,9 +163,9 @@ class Reader:
         return np.array(found, np.int64)
 
     def arrays(self, ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(token ids, features of the classes (2), features of the members (1)) over texts.
+        """(token ids, features of the classes (3), features of the members (2)) over texts.
 
-        Histories are the word before (n-gram) and, for classes, the one before that alone (skip).
+        Histories are the word before (n-gram), the one before that alone (skip) and, for classes, both.
         """
         sizes = np.array([len(x) for x in ids])
         joined = np.concatenate(ids)
@@ -175,9 +175,10 @@ class Reader:
         two = np.where(at >= 2, np.roll(joined, 2), -1001).astype(np.uint64)
         a, b = one * _A, two * _B
         a, b = a ^ (a >> np.uint64(32)), b ^ (b >> np.uint64(31))
+        both = (a * _C + b) * _D
         own = np.where((joined >= 0) & (joined < self.v.in_softmax), self.v.classes[np.maximum(joined, 0)], 0).astype(np.uint64) if len(self.v.classes) else np.zeros(len(joined), np.uint64)
-        for_class = np.stack([(x * _D >> np.uint64(40)) & self.mask for x in (a, b * _C)])
-        for_member = ((a + (own + np.uint64(1)) * _C) * _D >> np.uint64(40)) & self.mask
+        for_class = np.stack([(x * _D >> np.uint64(40)) & self.mask for x in (a, b * _C, both ^ (both >> np.uint64(29)))])
+        for_member = np.stack([((x + (own + np.uint64(1)) * _C) * _D >> np.uint64(40)) & self.mask for x in (a, b * _C)])
         return joined, for_class.astype(np.int64), for_member.astype(np.int64)
 
     def class_of(self, joined: np.ndarray) -> np.ndarray:
@@ -220,24 +221,29 @@ def train_pass(batches: Iterator[list[np.ndarray]], reader: Reader, model: Model
         for a in range(0, len(joined), STEP):
             b = min(a + STEP, len(joined))
             order = np.argsort(for_class[0, a:b])
-            gram, skip, target = for_class[0, a:b][order], for_class[1, a:b][order], classes[a:b][order]
+            gram, skip, both, target = *for_class[:, a:b][:, order], classes[a:b][order]
             logits = model.of_class[gram]
             logits += model.of_class[skip]
+            logits += model.of_class[both]
             logits += model.class_bias
             p = _softmax(logits)
             p[np.arange(b - a), target] -= 1
             _descend(model.of_class, spent[0], seen[0], gram, p)
-            again = np.argsort(skip)
-            _descend(model.of_class, spent[0], seen[0], skip[again], p[again])
+            for other in (skip, both):
+                again = np.argsort(other)
+                _descend(model.of_class, spent[0], seen[0], other[again], p[again])
             inside = np.flatnonzero((joined[a:b] >= 0) & (joined[a:b] < n_softmax))
             if len(inside):
-                inside = inside[np.argsort(for_member[a:b][inside])]
-                gram, word = for_member[a:b][inside], joined[a:b][inside]
+                inside = inside[np.argsort(for_member[0, a:b][inside])]
+                gram, skip, word = *for_member[:, a:b][:, inside], joined[a:b][inside]
                 logits = model.of_member[gram]
+                logits += model.of_member[skip]
                 logits += model.member_bias[classes[a:b][inside]]
                 p = _softmax(logits)
                 p[np.arange(len(inside)), word // CLASSES] -= 1
                 _descend(model.of_member, spent[1], seen[1], gram, p)
+                again = np.argsort(skip)
+                _descend(model.of_member, spent[1], seen[1], skip[again], p[again])
     return seen[0], seen[1]
 
 
@@ -318,12 +324,14 @@ class Scorer:
             b = min(a + SCORE_STEP, len(joined))
             logits = m.of_class[for_class[0, a:b]]
             logits += m.of_class[for_class[1, a:b]]
+            logits += m.of_class[for_class[2, a:b]]
             logits += m.class_bias
             score[a:b] = logits[np.arange(b - a), classes[a:b]]
             score[a:b] -= np.log(_sums(np.exp(logits, out=logits)))
             inside = np.flatnonzero((joined[a:b] >= 0) & (joined[a:b] < v.in_softmax))
             if len(inside):
-                logits = m.of_member[for_member[a:b][inside]]
+                logits = m.of_member[for_member[0, a:b][inside]]
+                logits += m.of_member[for_member[1, a:b][inside]]
                 logits += m.member_bias[classes[a:b][inside]]
                 own = logits[np.arange(len(inside)), joined[a:b][inside] // CLASSES]
                 score[a + inside] += own - np.log(_sums(np.exp(logits, out=logits)))

@@ -183,6 +183,27 @@ def test_lm_chances_of_the_softmax_sum_to_one():
     assert 0 < sum(p) < 1
 
 
+def trained(words, texts, rounds=400):
+    import numpy as np
+
+    v = lm_score.Vocabulary(len(words), len(words), {w: k for k, w in enumerate(words)}, np.ones(len(words), np.int64), np.zeros(lm_score.RARE), np.zeros(lm_score.RARE))
+    model = lm_score.unigram_model(v)
+    reader = lm_score.Reader(v)
+    lm_score.train_pass(iter([[reader.ids(lm_score.tokens_of(t)) for t in texts] for _ in range(rounds)]), reader, model)
+    return lambda text: lm_score.Scorer(v, model).of([text])[0][3]
+
+
+def test_lm_classes_go_by_both_words_before():
+    score = trained([b"a", b"b", b"x", b"y", b"p", b"q", lm_score.END], ["a x p", "b x q", "a y q", "b y p"])
+    assert score("a x p") - score("a x q") > 0.5 and score("b x q") - score("b x p") > 0.5
+
+
+def test_lm_members_go_by_the_skipped_word():
+    words = [b"s", *(b"w%d" % k for k in range(lm_score.CLASSES - 1)), b"t", b"a", b"b", b"x", lm_score.END]
+    score = trained(words, ["a x s", "b x t"])
+    assert score("a x s") - score("a x t") > 0.5 and score("b x t") - score("b x s") > 0.5
+
+
 def test_lm_odd_rows(spark, odd):
     got = lm_score.score_texts(odd, fold() != 1).collect()
     assert len(got) == len(ODD) and all(math.isfinite(r.score) and r.base_score <= 0 for r in got)
