@@ -16,16 +16,19 @@ from pyspark.sql import functions as F
 
 from gridwright.llm.common import pieces, written
 
-#: Words that workers look up by themselves, and of these the words of the softmax: CLASSES of
-#: MEMBERS each. Other words are in one of RARE classes, by their ending.
+#: Words that workers look up by themselves, at least, and of these the words of the softmax: CLASSES
+#: of MEMBERS each. Other words are in one of RARE classes, by their ending. The three hold up to
+#: VOCABULARY distinct words; beyond, each grows with the fourth root, so the softmax with the root.
 LOOKED_UP = 131_072
 CLASSES = 32
 MEMBERS = 64
 RARE = 16
-#: Rows of hashed feature weights; tokens of a gradient step and of a scoring one; learning rate;
+VOCABULARY = 1 << 20
+#: Rows of hashed feature weights, up to TOKENS of training and growing with their root beyond; tokens of a gradient step and of a scoring one; learning rate;
 #: bound of a weight; rows of a block of the model on its way to the mean; trainers for each of the
 #: cluster's cores.
 ROWS = 1 << 14
+TOKENS = 1 << 24
 STEP = 4096
 SCORE_STEP = 2048
 RATE = 0.5
@@ -35,6 +38,7 @@ TRAINERS_PER_CORE = 2
 
 END = b"\n"
 _FLUSH = 300_000
+_START = -(1 << 62)
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
 
@@ -45,8 +49,19 @@ def tokens_of(text: str | None) -> list[bytes]:
     return words
 
 
-def rare_class(word: bytes) -> int:
-    return CLASSES + xxhash.xxh32_intdigest(word[-2:]) % RARE
+def shape_of(size: int) -> tuple[int, int, int]:
+    """(classes, members of each, rare classes) over ``size`` distinct words."""
+    grown = max(1.0, (size / VOCABULARY) ** 0.25)
+    return tuple(math.ceil(x * grown) for x in (CLASSES, MEMBERS, RARE))
+
+
+def rows_of(n: int) -> int:
+    """Rows of each of the two weights over ``n`` training tokens, a power of two."""
+    return ROWS << max(0, math.ceil(0.5 * math.log2(max(n, 1) / TOKENS)))
+
+
+def rare_class(word: bytes, classes: int = CLASSES, rare: int = RARE) -> int:
+    return classes + xxhash.xxh32_intdigest(word[-2:]) % rare
 
 
 def count_words(texts: DataFrame) -> DataFrame:
@@ -83,33 +98,36 @@ class Vocabulary:
 
     def __post_init__(self) -> None:
         words = list(self.places)
-        self.in_softmax = min(len(words), CLASSES * MEMBERS)
+        self.n_classes, self.members, self.rare = shape_of(self.size)
+        self.in_softmax = min(len(words), self.n_classes * self.members)
         ids = np.arange(len(words), dtype=np.int64)
-        self.classes = np.where(ids < self.in_softmax, ids % CLASSES, 0)
-        self.classes[self.in_softmax :] = [rare_class(w) for w in words[self.in_softmax :]]
+        self.classes = np.where(ids < self.in_softmax, ids % self.n_classes, 0)
+        self.classes[self.in_softmax :] = [rare_class(w, self.n_classes, self.rare) for w in words[self.in_softmax :]]
         self.log_rare = np.log10(self.rare_n + 0.5 * (self.rare_size + 1))
         self.log_base = math.log10(self.n + 0.5 * (self.size + 1))
 
 
-def learn_vocabulary(counts: DataFrame, looked_up: int = LOOKED_UP) -> Vocabulary:
-    """The ``looked_up`` most frequent words of ``counts``, ties by word, and the totals by rare class."""
+def learn_vocabulary(counts: DataFrame, looked_up: int | None = None) -> Vocabulary:
+    """The ``looked_up`` most frequent words of ``counts`` (at least the softmax), ties by word, and the totals by rare class."""
     total = counts.agg(F.sum("n"), F.count("*")).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(looked_up).collect()
+    classes, members, rare = shape_of(int(total[1]))
+    top = counts.orderBy(F.desc("n"), "word").limit(looked_up or max(LOOKED_UP, classes * members)).collect()
     top.sort(key=lambda r: (-r.n, bytes(r.word)))
     places = {bytes(r.word): k for k, r in enumerate(top)}
-    softmax = {w for w, k in places.items() if k < CLASSES * MEMBERS}
+    softmax = {w for w, k in places.items() if k < classes * members}
 
     def by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, size = np.zeros(RARE, np.int64), np.zeros(RARE, np.int64)
+        n, size = np.zeros(rare, np.int64), np.zeros(rare, np.int64)
         for batch in batches:
             for word, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if word not in softmax:
-                    n[rare_class(word) - CLASSES] += c
-                    size[rare_class(word) - CLASSES] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(range(RARE), pa.int32()), pa.array(n), pa.array(size)], ["rare", "n", "size"])
+                    at = rare_class(word, classes, rare) - classes
+                    n[at] += c
+                    size[at] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(range(rare), pa.int32()), pa.array(n), pa.array(size)], ["rare", "n", "size"])
 
     sums = counts.select("word", "n").mapInArrow(by_class, "rare int, n long, size long").groupBy("rare").agg(F.sum("n").alias("n"), F.sum("size").alias("size")).collect()
-    rare_n, rare_size = np.zeros(RARE), np.zeros(RARE)
+    rare_n, rare_size = np.zeros(rare), np.zeros(rare)
     for r in sums:
         rare_n[r.rare], rare_size[r.rare] = r.n, r["size"]
     return Vocabulary(int(total[0] or 0), int(total[1]), places, np.array([r.n for r in top], np.int64), rare_n, rare_size)
@@ -125,32 +143,33 @@ class Model:
     member_bias: np.ndarray
 
 
-def unigram_model(v: Vocabulary, rows: int = ROWS) -> Model:
+def unigram_model(v: Vocabulary, rows: int | None = None) -> Model:
     """The model without features: biases are log relative frequencies."""
-    mass = np.zeros(CLASSES + RARE)
-    members = np.full((CLASSES, MEMBERS), -1e9, np.float32)
+    rows, width = rows or rows_of(v.n), v.n_classes + v.rare
+    mass = np.zeros(width)
+    members = np.full((v.n_classes, v.members), -1e9, np.float32)
     for k in range(v.in_softmax):
         mass[v.classes[k]] += v.counts[k]
-        members[v.classes[k], k // CLASSES] = math.log(v.counts[k])
+        members[v.classes[k], k // v.n_classes] = math.log(v.counts[k])
     members[(members < -1e8).all(axis=1)] = 0
     members -= np.log(np.exp(members).sum(axis=1, keepdims=True))
-    mass[CLASSES:] = v.rare_n + 0.5 * (v.rare_size + 1)
+    mass[v.n_classes :] = v.rare_n + 0.5 * (v.rare_size + 1)
     mass = np.maximum(mass, 0.5)
-    return Model(np.zeros((rows, CLASSES + RARE), np.float32), np.zeros((rows, MEMBERS), np.float32), np.log(mass / mass.sum()).astype(np.float32), members)
+    return Model(np.zeros((rows, width), np.float32), np.zeros((rows, v.members), np.float32), np.log(mass / mass.sum()).astype(np.float32), members)
 
 
 class Reader:
     """Turns texts into arrays: class, member and history features of every token."""
 
-    def __init__(self, v: Vocabulary, rows: int = ROWS) -> None:
-        self.v, self.mask = v, np.uint64(rows - 1)
+    def __init__(self, v: Vocabulary, rows: int | None = None) -> None:
+        self.v, self.mask = v, np.uint64((rows or rows_of(v.n)) - 1)
         self.unseen: dict[bytes, int] = {}
 
     def ids(self, words: list[bytes]) -> np.ndarray:
-        """Places of looked-up words; below 0 for others: -1 - rare class."""
+        """Places of looked-up words; below 0 for others, by a hash of the word and its rare class."""
         found = list(map(self.v.places.get, words))
         if None in found:
-            cache = self.unseen
+            cache, v = self.unseen, self.v
             if len(cache) > 100_000:
                 cache.clear()
             for k, x in enumerate(found):
@@ -158,7 +177,7 @@ class Reader:
                     word = words[k]
                     known = cache.get(word)
                     if known is None:
-                        known = cache[word] = -1 - rare_class(word)
+                        known = cache[word] = -1 - xxhash.xxh32_intdigest(word) * (v.n_classes + v.rare) - rare_class(word, v.n_classes, v.rare)
                     found[k] = known
         return np.array(found, np.int64)
 
@@ -171,8 +190,8 @@ class Reader:
         joined = np.concatenate(ids)
         start = np.repeat(np.cumsum(sizes) - sizes, sizes)
         at = np.arange(len(joined)) - start
-        one = np.where(at >= 1, np.roll(joined, 1), -1000).astype(np.uint64)
-        two = np.where(at >= 2, np.roll(joined, 2), -1001).astype(np.uint64)
+        one = np.where(at >= 1, np.roll(joined, 1), _START).astype(np.uint64)
+        two = np.where(at >= 2, np.roll(joined, 2), _START - 1).astype(np.uint64)
         a, b = one * _A, two * _B
         a, b = a ^ (a >> np.uint64(32)), b ^ (b >> np.uint64(31))
         both = (a * _C + b) * _D
@@ -182,9 +201,10 @@ class Reader:
         return joined, for_class.astype(np.int64), for_member.astype(np.int64)
 
     def class_of(self, joined: np.ndarray) -> np.ndarray:
+        rare = (-1 - joined) % (self.v.n_classes + self.v.rare)
         if not len(self.v.classes):
-            return -1 - joined
-        return np.where(joined >= 0, self.v.classes[np.maximum(joined, 0)], -1 - joined)
+            return rare
+        return np.where(joined >= 0, self.v.classes[np.maximum(joined, 0)], rare)
 
 
 def _sums(x: np.ndarray) -> np.ndarray:
@@ -240,14 +260,14 @@ def train_pass(batches: Iterator[list[np.ndarray]], reader: Reader, model: Model
                 logits += model.of_member[skip]
                 logits += model.member_bias[classes[a:b][inside]]
                 p = _softmax(logits)
-                p[np.arange(len(inside)), word // CLASSES] -= 1
+                p[np.arange(len(inside)), word // reader.v.n_classes] -= 1
                 _descend(model.of_member, spent[1], seen[1], gram, p)
                 again = np.argsort(skip)
                 _descend(model.of_member, spent[1], seen[1], skip[again], p[again])
     return seen[0], seen[1]
 
 
-def train(texts: DataFrame, v: Vocabulary, rounds: int = 1, rows: int = ROWS) -> Model:
+def train(texts: DataFrame, v: Vocabulary, rounds: int = 1, rows: int | None = None) -> Model:
     """``rounds`` of distributed gradient descent over all of ``texts`` (text).
 
     Each trainer takes the round's model, descends over its share of the texts and gives back its
@@ -255,6 +275,7 @@ def train(texts: DataFrame, v: Vocabulary, rounds: int = 1, rows: int = ROWS) ->
     cores, and what each sends is the model's size; only the mean reaches the driver.
     """
     spark = texts.sparkSession
+    rows = rows or rows_of(v.n)
     words = spark.sparkContext.broadcast(v)
     model = unigram_model(v, rows)
     trainers = texts.select("text").coalesce(max(1, TRAINERS_PER_CORE * spark.sparkContext.defaultParallelism))
@@ -333,7 +354,7 @@ class Scorer:
                 logits = m.of_member[for_member[0, a:b][inside]]
                 logits += m.of_member[for_member[1, a:b][inside]]
                 logits += m.member_bias[classes[a:b][inside]]
-                own = logits[np.arange(len(inside)), joined[a:b][inside] // CLASSES]
+                own = logits[np.arange(len(inside)), joined[a:b][inside] // v.n_classes]
                 score[a + inside] += own - np.log(_sums(np.exp(logits, out=logits)))
         score /= math.log(10)
         looked = joined >= 0
@@ -342,7 +363,7 @@ class Scorer:
         else:
             log_c = np.zeros(len(joined))
         rare = (joined < 0) | (joined >= v.in_softmax)
-        score += np.where(rare, log_c - v.log_rare[np.where(rare, classes - CLASSES, 0)], 0.0)
+        score += np.where(rare, log_c - v.log_rare[np.where(rare, classes - v.n_classes, 0)], 0.0)
         base = log_c - v.log_base
         ends = np.cumsum([len(x) for x in ids])
         starts = ends - [len(x) for x in ids]

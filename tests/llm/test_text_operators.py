@@ -204,6 +204,26 @@ def test_lm_members_go_by_the_skipped_word():
     assert score("a x s") - score("a x t") > 0.5 and score("b x t") - score("b x s") > 0.5
 
 
+def test_lm_grows_with_tokens_and_words():
+    import numpy as np
+
+    assert lm_score.rows_of(1) == lm_score.rows_of(lm_score.TOKENS) == lm_score.ROWS and lm_score.rows_of(64 * lm_score.TOKENS) == 8 * lm_score.ROWS
+    assert lm_score.shape_of(16 * lm_score.VOCABULARY) == (2 * lm_score.CLASSES, 2 * lm_score.MEMBERS, 2 * lm_score.RARE)
+    words = [b"w%d" % k for k in range(10_000)]
+    v = lm_score.Vocabulary(64 * lm_score.TOKENS, 16 * lm_score.VOCABULARY, {w: k for k, w in enumerate(words)}, np.ones(len(words), np.int64), np.zeros(32), np.zeros(32))
+    model = lm_score.unigram_model(v)
+    assert v.in_softmax == 4 * lm_score.CLASSES * lm_score.MEMBERS and len(model.of_class) == len(model.of_member) == 8 * lm_score.ROWS
+    reader = lm_score.Reader(v)
+    lm_score.train_pass(iter([[reader.ids(lm_score.tokens_of("w1 w9000 new w8191"))]]), reader, model)
+    n, known, _, score, missing = lm_score.Scorer(v, model).of(["w1 w9000 new w8191"])[0]
+    assert (n, known, missing) == (5, 3, [b"new", lm_score.END]) and math.isfinite(score)
+
+
+def test_lm_histories_tell_words_apart_that_are_not_looked_up():
+    score = trained([b"p", b"q", lm_score.END], ["uno p", "duno q"])
+    assert score("uno p") - score("uno q") > 0.5 and score("duno q") - score("duno p") > 0.5
+
+
 def test_lm_odd_rows(spark, odd):
     got = lm_score.score_texts(odd, fold() != 1).collect()
     assert len(got) == len(ODD) and all(math.isfinite(r.score) and r.base_score <= 0 for r in got)
