@@ -81,12 +81,15 @@ def candidate_spans(docs: DataFrame, templates: list[tuple[str, str]], k: int =
 
     All rolling k-grams of all words join the templates' positions. A diagonal is the offset between
     a text's position and the template's; votes on it and on neighbours at most ``near`` apart make a
-    candidate if its template positions could cover ``least`` of the words. The joined side has one
-    row for each k-gram of the templates, so its size is that of the parameter.
+    run, and neighbouring runs over different stretches of the template, less than its length apart,
+    join. A run is a candidate with the votes that ``least`` of the words leave where each missing word breaks k
+    k-grams, or one. The joined side has one row for each k-gram of the templates, so its size is
+    that of the parameter.
     """
     spark = docs.sparkSession
     grams = spark.createDataFrame(template_grams(templates, k), "gram long, template int, at int")
-    needs = spark.createDataFrame([(t, max(1, int(least * len(words_of(x))) - k + 1 - near * k)) for t, (_, x) in enumerate(templates)], "template int, votes_needed int")
+    lengths = [len(words_of(x)) for _, x in templates]
+    needs = spark.createDataFrame([(t, max(1, n - k + 1 - k * int((1 - least) * n + 1e-9)), n) for t, n in enumerate(lengths)], "template int, votes_needed int, length int")
 
     def roll(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling(k)
@@ -105,16 +108,29 @@ def candidate_spans(docs: DataFrame, templates: list[tuple[str, str]], k: int =
     )
     order = Window.partitionBy("text_key", "template").orderBy("diagonal")
     apart = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(order) > near).cast("int"), F.lit(1))
-    merged = (
+    runs = (
         votes.withColumn("apart", apart)
         .withColumn("run", F.sum("apart").over(order))
         .groupBy("text_key", "template", "run")
         .agg(
+            F.min("diagonal").alias("low"),
+            F.max("diagonal").alias("high"),
             F.min(F.col("diagonal") + F.array_min("ats")).alias("first"),
             F.max(F.col("diagonal") + F.array_max("ats") + k).alias("end"),
-            F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("votes"),
+            F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats"),
         )
         .join(F.broadcast(needs), "template")
+        .withColumn("least", F.array_min("ats"))
+        .withColumn("most", F.array_max("ats"))
+    )
+    order = Window.partitionBy("text_key", "template").orderBy("low")
+    overlap = (F.col("least") <= F.lag("most").over(order)) & (F.col("most") >= F.lag("least").over(order))
+    own = overlap | (F.col("low") - F.lag("high").over(order) >= F.col("length"))
+    merged = (
+        runs.withColumn("own", F.coalesce(own.cast("int"), F.lit(1)))
+        .withColumn("joined", F.sum("own").over(order))
+        .groupBy("text_key", "template", "votes_needed", "joined")
+        .agg(F.min("first").alias("first"), F.max("end").alias("end"), F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("votes"))
         .where("votes >= votes_needed")
     )
     return merged.groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct("first", "end", "template"))).alias("spans"))

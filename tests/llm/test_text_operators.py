@@ -122,6 +122,15 @@ def test_license_templates_are_found_where_they_stand(spark):
     assert 0.8 <= got[2].score < 1
 
 
+def test_license_templates_are_found_with_scattered_and_inserted_words(spark):
+    isc = dict(licenses.TEMPLATES)["isc"].split()
+    scattered = ["other" if k in (4, 9, 14, 19, 24, 29) else w for k, w in enumerate(isc)]
+    docs = spark.createDataFrame([(1, "head " + " ".join(scattered) + " tail"), (2, " ".join(isc[:17] + ["put", "in", "the", "very", "middle"] + isc[17:]))], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(docs).collect()}
+    assert (got[1].labels, got[2].labels, got[2].score) == ("isc", "isc", 1.0) and 0.8 <= got[1].score < 1
+    assert (got[2].spans[0].first, got[2].spans[0].end) == (0, len(isc) + 5)
+
+
 def test_token_counts_equal_the_library(spark, odd, documents):
     import public_tokenizers
     from tokenizers import Tokenizer
