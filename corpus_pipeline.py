@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from gridwright.llm.common import fold, written
 from gridwright.llm.exact_dedup import drop_exact
 from gridwright.llm.jaccard_join import drop_near
-from gridwright.llm.language_id import identify, learn_profiles
+from gridwright.llm.language_id import identify, learn_profiles, with_letter
 from gridwright.llm.mixing import mixed
 from gridwright.llm.packing import pack
 
@@ -19,6 +19,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language: what has no letter, or is null, goes. Columns stay."""
     profiles = learn_profiles(docs.where(fold() != 0))
+    if not profiles:
+        return with_letter(docs)
     return identify(docs, profiles).where("lang_pred <> 'und'").select(*docs.columns)
 
 

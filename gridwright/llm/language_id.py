@@ -130,6 +130,17 @@ class Ranker:
         return self.langs[best], float(1 - apart[best] / (self.size * len(own)))
 
 
+def with_letter(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose text has a letter."""
+    at = docs.columns.index("text")
+
+    def lettered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            yield batch.filter(pa.array([_has_letter(t) for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(lettered, docs.schema)
+
+
 def identify(docs: DataFrame, profiles: dict[str, np.ndarray], max_n: int = MAX_N, size: int = PROFILE_SIZE) -> DataFrame:
     """The rows of ``docs`` with lang_pred and score.
 

@@ -321,6 +321,12 @@ def test_pipeline_stages(spark):
     assert len(corpus_pipeline.STAGES) == 5
 
 
+def test_pipeline_without_labels_keeps_what_has_a_letter(spark):
+    docs = spark.createDataFrame([(1, "plain words", None, "s", 11), (2, "12 !", None, "s", 4), (3, None, None, "s", None), (4, "été", None, "s", 3)], SCHEMA)
+    out = corpus_pipeline.language_id(spark, docs, SF)
+    assert out.columns == docs.columns and {r.doc_id for r in out.collect()} == {1, 4}
+
+
 def test_pipeline_odd_and_empty_tables(spark, odd):
     for table in (odd.select(*SCHEMA.replace(" long", "").replace(" string", "").split(", ")), empty(spark)):
         for _, stage in corpus_pipeline.STAGES:
