@@ -151,7 +151,7 @@ def keys_of(tokens: np.ndarray, level: np.ndarray, percent: int) -> np.ndarray:
 
 
 def signed(docs: DataFrame, words: int, percent: int, common: Commonness) -> DataFrame:
-    """(doc_id, n_shingles, class, keys): equal sets have the same class; an empty set has none."""
+    """(doc_id, text_key, n_shingles, class, keys): equal sets have the same class; an empty set has none."""
     steps = docs.sparkSession.sparkContext.broadcast(common)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,9 +162,9 @@ def signed(docs: DataFrame, words: int, percent: int, common: Commonness) -> Dat
             keys = [keys_of(s, steps.value.of(s), percent) for s in sets]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in keys])])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys)))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes, pa.int64()), lists], ["doc_id", "n_shingles", "class", "keys"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes, pa.int64()), lists], ["doc_id", "text_key", "n_shingles", "class", "keys"])
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n_shingles long, class long, keys array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(sign, "doc_id long, text_key long, n_shingles long, class long, keys array<long>")
 
 
 def class_of(tokens: np.ndarray) -> int | None:
@@ -247,6 +247,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, chunk: i
     Null and empty texts have no set and link with nothing. Rows with a null id join their component
     and don't name it. Repeated rows are one class. An empty table gives an empty result.
     """
+    return _labelled(docs, words, percent, chunk).drop("text_key")
+
+
+def _labelled(docs: DataFrame, words: int, percent: int, chunk: int = CHUNK) -> DataFrame:
+    """``near_duplicates`` with text_key, a hash of the text."""
     docs = docs.select("doc_id", "text")
     rows = written(signed(docs, words, percent, commonness(docs, words, docs.count())), "jaccard-keys")
     keyed = rows.where("size(keys) > 0").select(F.explode("keys").alias("key"), "class")
@@ -297,14 +302,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, chunk: i
     )
     joined = components(links, "jaccard-links").select(F.col("node").alias("member"), "label")
     grouped = rows.drop("keys").join(joined, F.col("class") == F.col("member"), "left").withColumn("group", F.coalesce("label", "class"))
-    grouped = written(grouped.select("doc_id", "n_shingles", "group"), "jaccard-groups")
+    grouped = written(grouped.select("doc_id", "text_key", "n_shingles", "group"), "jaccard-groups")
     least = written(grouped.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1"), "jaccard-least")
     return grouped.join(least.select(F.col("group").alias("g"), "least"), F.col("group") == F.col("g"), "left").select(
-        "doc_id", "n_shingles", F.when(F.col("g").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id")
+        "doc_id", "text_key", "n_shingles", F.when(F.col("g").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id")
     )
 
 
 def drop_near(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` but those of a component that a smaller doc_id names. Rows without an id stay."""
-    gone = near_duplicates(docs.select("doc_id", "text"), words, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(bounded_broadcast(gone, name="jaccard-gone"), F.col("doc_id") == F.col("gone_id"), "left_anti")
+    """The rows of ``docs`` but those of a component that a smaller doc_id names, by id and text. Rows without an id stay."""
+    gone = _labelled(docs, words, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
+    same = (F.col("doc_id") == F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_key"))
+    return docs.join(bounded_broadcast(gone, name="jaccard-gone"), same, "left_anti")

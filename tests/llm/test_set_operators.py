@@ -143,6 +143,12 @@ def test_near_duplicates_odd_rows(spark, odd):
     assert jaccard_join.drop_near(odd).where("doc_id in (5, 14)").count() == 0
 
 
+def test_drop_near_keeps_another_text_of_the_same_id(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, text), (5, text + " more"), (5, "a text that has nothing to do with the others")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text[:6]) for r in jaccard_join.drop_near(docs).collect()) == [(1, "w0 w1 "), (5, "a text")]
+
+
 def test_shingle_gaps_round_trip():
     slots = np.sort(np.random.default_rng(1).integers(1000, 1 << 40, 5000)).astype(np.uint64)
     slots = np.concatenate([slots[:9], slots[:9], slots[9:] % np.uint64(1 << 22)])
