@@ -62,7 +62,7 @@ def pack(
 
     A document of ``capacity`` words or more is cut into full pieces, each a bin of its own in a
     shard of its own (below 0), and a rest. Rests are dealt by a hash to shards of
-    about ``shard_pieces``, longest first into the tightest bin that holds no text equal to theirs
+    about ``shard_pieces``, longest first into the tightest bin that holds no text equal to theirs (near copies may share one)
     and fewer than ``max_per_source`` documents of their source. (shard, bin) names a sequence.
 
     Texts without a word have no piece. A null source is a source of its own. Repeated rows are
