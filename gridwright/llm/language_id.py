@@ -80,10 +80,14 @@ def learn_profiles(
     """The profile of each language in ``labelled`` (doc_id, text, lang): hashes of its n-grams by rank.
 
     Learns from about ``max_docs`` documents of a language, dealt by a hash of their id. Rows with a
-    null lang, id or text don't count. The result has at most ``MAX_LANGS`` x ``size`` hashes.
+    null lang, id or text don't count. The result has at most ``MAX_LANGS`` x ``size`` hashes; more
+    languages raise a ValueError.
     """
     known = labelled.where("lang is not null and doc_id is not null and text is not null").select("doc_id", "text", "lang")
-    shares = known.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(max_docs)) / F.count("*")).alias("share")).orderBy("lang").limit(MAX_LANGS)
+    shares = known.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(max_docs)) / F.count("*")).alias("share")).limit(MAX_LANGS + 1).collect()
+    if len(shares) > MAX_LANGS:
+        raise ValueError(f"over {MAX_LANGS} values of lang: profiles are held in memory")
+    shares = labelled.sparkSession.createDataFrame(shares, known.select("lang", F.lit(1.0).alias("share")).schema)
     sample = known.join(F.broadcast(shares), "lang").where(sample_below(F.col("doc_id"), F.col("share"))).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

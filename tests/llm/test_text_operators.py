@@ -60,6 +60,15 @@ def test_language_odd_rows(spark, odd):
     assert {r.lang_pred for r in language_id.identify(odd.select("doc_id", "text"), {}).collect()} == {"und"}
 
 
+def test_language_fails_on_too_many_languages(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, "some words", f"l{k}") for k in range(3)], "doc_id long, text string, lang string")
+    monkeypatch.setattr(language_id, "MAX_LANGS", 3)
+    assert sorted(language_id.learn_profiles(docs)) == ["l0", "l1", "l2"]
+    monkeypatch.setattr(language_id, "MAX_LANGS", 2)
+    with pytest.raises(ValueError):
+        language_id.learn_profiles(docs)
+
+
 def test_long_texts_go_slice_by_slice(monkeypatch):
     text = "some words repeat and some do not " * 40
     whole = dict(zip(*map(list, language_id._grams(text, 4)), strict=True))
