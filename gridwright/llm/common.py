@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from gridwright.operators.graph import shared_dir
+
 #: White space of the contracts, for Spark's and DuckDB's regular expressions.
 SPACE = r"[\x20\x09-\x0D]"
 NON_SPACE = r"[^\x20\x09-\x0D]"
@@ -20,17 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="gridwright-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
@@ -61,6 +51,45 @@ def widened(df: DataFrame, ddl: str) -> StructType:
     return StructType(df.schema.fields + StructType.fromDDL(ddl).fields)
 
 
+def whole(docs: DataFrame, **keys: Column) -> DataFrame:
+    """``docs`` as one struct ``doc`` beside ``keys``, so that no name of a caller meets one of ours; ``doc.*`` gives them back."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *[column.alias(name) for name, column in keys.items()])
+
+
+def made_way(docs: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """``docs`` whose columns called like one of ``names`` (in any case) have underscores before them, as many as make them unlike any other."""
+    taken = {c.lower() for c in docs.columns} | set(names)
+    renamed = {}
+    for c in docs.columns:
+        if c.lower() in names:
+            fresh = f"_{c}"
+            while fresh.lower() in taken:
+                fresh = f"_{fresh}"
+            taken.add(fresh.lower())
+            renamed[c] = fresh
+    return docs.withColumnsRenamed(renamed)
+
+
+def numbered(rows: DataFrame, key: str, row: str, number: str) -> DataFrame:
+    """``rows`` (a written table, ``row`` from monotonically_increasing_id) with ``number``: 0, 1, ... among rows of equal ``key``.
+
+    Rows alone with their key get 0 and don't move. The others are numbered task by task of ``row``,
+    behind the counts of the tasks before, so rows of one key spread over as many windows as tasks
+    held them. Rows of equal ``key`` are taken for interchangeable.
+    """
+    repeated = written(rows.groupBy(F.col(key).alias("k")).agg(F.count("*").alias("n")).where("n > 1").select("k"), "numbered-keys")
+    if repeated.isEmpty():
+        return rows.withColumn(number, F.lit(0).cast("long"))
+    task = F.shiftrightunsigned(row, 33)
+    per_task = rows.join(broadcast_up_to(repeated), F.col(key) == F.col("k"), "left_semi").groupBy(F.col(key).alias("k"), task.alias("t")).agg(F.count("*").alias("n"))
+    before = Window.partitionBy("k").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
+    several = written(per_task.select("k", "t", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead")), "numbered-ahead")
+    joined = rows.join(broadcast_up_to(several), (F.col(key) == F.col("k")) & (task == F.col("t")), "left")
+    turn = F.row_number().over(Window.partitionBy("k", "t").orderBy(row))
+    among = joined.where("k is not null").withColumn(number, F.col("ahead") + turn - 1)
+    return joined.where("k is null").withColumn(number, F.lit(0).cast("long")).unionByName(among).drop("k", "t", "ahead")
+
+
 def fold(doc_id: str = "doc_id", folds: int = 5) -> Column:
     """crc32 of the id as text modulo ``folds``; null where the id is null."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridwright.llm.common import pieces, sample_below, widened
+from gridwright.llm.common import made_way, pieces, sample_below, widened
 
 #: Longest n-gram, n-grams of a profile, labelled documents that a profile learns from at most, and
 #: languages at most; the last two bound what is gathered and broadcast.
@@ -134,32 +134,43 @@ class Ranker:
         return self.langs[best], float(1 - apart[best] / (self.size * len(own)))
 
 
-def with_letter(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text has a letter."""
+def _filtered(docs: DataFrame, good: Callable[[str | None], bool]) -> DataFrame:
+    """The rows of ``docs`` with a ``good`` text, columns unchanged, whatever their names."""
     at = docs.columns.index("text")
 
-    def lettered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            yield batch.filter(pa.array([_has_letter(t) for t in batch.column(at).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([good(t) for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(chosen, docs.schema)
+
+
+def with_letter(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose text has a letter, columns unchanged."""
+    return _filtered(docs, _has_letter)
+
 
-    return docs.mapInArrow(lettered, docs.schema)
+def with_language(docs: DataFrame, profiles: dict[str, np.ndarray], max_n: int = MAX_N, size: int = PROFILE_SIZE) -> DataFrame:
+    """The rows of ``docs`` that ``identify`` gives a language, columns unchanged."""
+    ranker = docs.sparkSession.sparkContext.broadcast(Ranker(profiles, max_n, size))
+    return _filtered(docs, lambda text: ranker.value.predict(text)[0] != "und")
 
 
 def identify(docs: DataFrame, profiles: dict[str, np.ndarray], max_n: int = MAX_N, size: int = PROFILE_SIZE) -> DataFrame:
     """The rows of ``docs`` with lang_pred and score.
 
     A null text, or one without a letter, is ``und`` with score 0, and so is everything where no
-    language was learned. Only the text is looked at, all of it. An empty table gives an empty one.
+    language was learned. Only the text is looked at, all of it, slice by slice; equal distances go to
+    the first language by name. Repeated rows are told each. A column of ``docs`` called lang_pred or
+    score comes back as _lang_pred or _score. An empty table gives an empty one.
     """
     ranker = docs.sparkSession.sparkContext.broadcast(Ranker(profiles, max_n, size))
-    at = docs.columns.index("text")
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    schema = widened(docs.select(*names), "lang_pred string, score double")
+    docs = made_way(docs, ("lang_pred", "score"))
+    at, names = docs.columns.index("text"), [*docs.columns, "lang_pred", "score"]
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             said = [ranker.value.predict(t) for t in batch.column(at).to_pylist()]
-            kept = [batch.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array([x for x, _ in said], pa.string()), pa.array([y for _, y in said], pa.float64())], [*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in said], pa.string()), pa.array([y for _, y in said], pa.float64())], names)
 
-    return docs.mapInArrow(label, schema)
+    return docs.mapInArrow(label, widened(docs, "lang_pred string, score double"))

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import functools
-import math
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridwright.llm.common import NON_SPACE, bounded_broadcast, broadcast_up_to, written
+from gridwright.llm.common import NON_SPACE, bounded_broadcast, broadcast_up_to, numbered, whole, written
 
 #: Weights by the sources' order, the mix's size and a source's largest target, both by what is
 #: there, and rows that one flight takes at once.
@@ -78,39 +78,55 @@ def fly(sizes: list[float], chances: list[float], draws: list[float]) -> list[fl
     return p
 
 
-def land(sizes: list[float], chances: list[float], goal: float) -> list[float]:
-    """The landing of the fractions that are left, at the 0s and 1s nearest to ``goal``, the sum of sizes.
+def land(sizes: list[float], chances: list[float], goal: float, count: float) -> list[float]:
+    """The landing of the fractions that are left, near ``goal``, the sum of sizes, and ``count``, that of documents.
 
-    Then units change sides, the best one at a time, while that brings the sum nearer.
+    What is off counts in documents: the words by the mean size, and the documents. The open units
+    land where least is off; then one unit changes sides, or two swap, the best each time, while
+    that brings the two totals nearer.
     """
-    open_ = [k for k, p in enumerate(chances) if 0 < p < 1]
-    out = [float(p >= 1) for p in chances]
-    sure = sum(s for s, p in zip(sizes, out, strict=True) if p)
-    best = min(range(1 << len(open_)), key=lambda m: (abs(sure + sum(sizes[k] for j, k in enumerate(open_) if m >> j & 1) - goal), m))
-    for j, k in enumerate(open_):
-        out[k] = float(best >> j & 1)
-    over = sum(s for s, p in zip(sizes, out, strict=True) if p) - goal
+    x, p = np.array(sizes, float), np.array(chances, float)
+    each = max(1.0, float(x.mean())) if len(x) else 1.0
+    open_ = np.flatnonzero((p > 0) & (p < 1))
+    out = p >= 1
+
+    def off(words: np.ndarray | float, documents: np.ndarray | float) -> np.ndarray | float:
+        return abs(words) / each + abs(documents)
+
+    over, more = float(x[out].sum()) - goal, float(out.sum()) - count
+    best = min(range(1 << len(open_)), key=lambda m: (off(over + sum(x[k] for j, k in enumerate(open_) if m >> j & 1), more + m.bit_count()), m))
+    out[[k for j, k in enumerate(open_) if best >> j & 1]] = True
+    over, more = float(x[out].sum()) - goal, float(out.sum()) - count
     for _ in range(32):
-        gain, k = min(((abs(over + (s if not p else -s)), k) for k, (s, p) in enumerate(zip(sizes, out, strict=True))), default=(math.inf, -1))
-        if gain >= abs(over):
+        taken, left = np.flatnonzero(out), np.flatnonzero(~out)
+        turns = [(float(c.min()), [int(at[c.argmin()])]) for at, sign in ((taken, -1), (left, 1)) if len(at) for c in (off(over + sign * x[at], more + sign),)]
+        if len(taken) and len(left):
+            by_size = left[np.argsort(x[left], kind="stable")]
+            at = np.searchsorted(x[by_size], x[taken] - over)
+            for near in (np.maximum(at - 1, 0), np.minimum(at, len(by_size) - 1)):
+                c = off(over - x[taken] + x[by_size[near]], more)
+                turns.append((float(c.min()), [int(taken[c.argmin()]), int(by_size[near[c.argmin()]])]))
+        least, moved = min(turns, default=(np.inf, []))
+        if least >= off(over, more) - 1e-9:
             break
-        over += -sizes[k] if out[k] else sizes[k]
-        out[k] = 1 - out[k]
-    return out
+        for k in moved:
+            sign = -1 if out[k] else 1
+            over, more, out[k] = over + sign * x[k], more + sign, not out[k]
+    return out.astype(float).tolist()
 
 
 def _flight(last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def take_off(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame[["source", "doc_id", "row", "size", "p", "draw"]].sort_values(["size", "draw", "row"], ascending=[False, True, True], kind="stable")
+        frame = frame[["source", "unit", "row", "size", "p", "draw"]].sort_values(["size", "draw", "row"], ascending=[False, True, True], kind="stable")
         sizes = [float(x) for x in frame["size"]]
         p = fly(sizes, frame["p"].tolist(), frame["draw"].tolist())
-        return frame.assign(p=land(sizes, p, float((frame["size"] * frame["p"]).sum())) if last else p)
+        return frame.assign(p=land(sizes, p, float((frame["size"] * frame["p"]).sum()), float(frame["p"].sum())) if last else p)
 
     return take_off
 
 
 def _draw(level: int) -> Column:
-    return F.pmod(F.xxhash64("doc_id", "size", "source", F.lit(level)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return F.pmod(F.xxhash64("unit", F.lit(level)), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, total: float = TOTAL, most: float = MOST, chunk: int = CHUNK) -> DataFrame:
@@ -121,20 +137,25 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, total: float = TOTAL, most: f
     documents and of words, the few fractions that are left fly again, and the last two land. A
     source is never gathered: only fractions go on, at most two from a chunk.
 
-    Draws come from hashes, so reruns agree. A null text has no words, a null source is a source of
-    its own; documents without words take nothing. An empty table gives an empty result.
+    Draws come from hashes of the row and its number among equal ones, so reruns agree and repeated
+    rows spread over chunks. A null text has no words, a null source is a source of its own; documents
+    without words take nothing. Texts of any length are counted whole; other columns aren't looked at,
+    whatever their names. An empty table gives an empty result.
     """
-    rows = written(
-        docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("text_key")).withColumn("row", F.monotonically_increasing_id()),
+    read = written(
+        docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("text_key"))
+        .withColumn("equal", F.xxhash64("doc_id", "source", "text_key"))
+        .withColumn("row", F.monotonically_increasing_id()),
         "mix-sizes",
     )
+    rows = written(numbered(read, "equal", "row", "number").withColumn("unit", F.xxhash64("equal", "number")).drop("equal", "number"), "mix-units")
     targets = written(source_targets(rows, weights, total, most), "mix-targets")
     t = targets.select(F.col("source").alias("s"), "source_size", "target")
     joined = rows.join(broadcast_up_to(t, MANY_SOURCES), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     mean = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     planned = joined.withColumn("sure", F.when(F.col("size") > 0, F.floor(mean + 1e-12)).otherwise(0)).withColumn("p", F.when(F.col("size") > 0, F.greatest(F.lit(0.0), mean - F.col("sure"))).otherwise(0.0))
-    schema = "source string, doc_id long, row long, size long, p double, draw double"
-    open_ = planned.where("p > 0").select("source", "doc_id", "row", "size", "p")
+    schema = "source string, unit long, row long, size long, p double, draw double"
+    open_ = planned.where("p > 0").select("source", "unit", "row", "size", "p")
     settled: list[DataFrame] = []
     for level in range(12):
         n = open_.groupBy("source").agg(F.max("p").alias("_"), F.count("*").alias("n"))
@@ -166,15 +187,15 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, total: float = TOTAL, most: f
 
 
 def mixed(docs: DataFrame, **how: object) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them, columns unchanged.
+    """The rows of ``docs`` as often as the mix takes them, columns unchanged, whatever their names.
 
     Rows that doc_id, source and text don't tell apart count as one that stands for all their copies.
+    Nulls, empty and long texts and empty tables go as in ``mix``.
     """
-    columns = docs.columns
     keys = mix(docs.select("doc_id", "source", "text"), **how).groupBy("doc_id", "source", "text_key").agg(F.sum("copies").alias("copies"), F.count("*").alias("twins"))
     plan = written(keys.where("copies > 0").select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("text_key").alias("k"), "copies", "twins"), "mix-plan")
-    same = F.col("doc_id").eqNullSafe(F.col("d")) & F.col("source").eqNullSafe(F.col("s")) & (F.xxhash64("text") == F.col("k"))
-    taken = docs.join(bounded_broadcast(plan, name="mix-side"), same)
+    same = F.col("id").eqNullSafe(F.col("d")) & F.col("of").eqNullSafe(F.col("s")) & (F.col("key") == F.col("k"))
+    taken = whole(docs, id=F.col("doc_id"), of=F.col("source"), key=F.xxhash64("text")).join(bounded_broadcast(plan, name="mix-side"), same)
     if not plan.where("twins > 1").isEmpty():
         taken = taken.where("twins = 1").unionByName(taken.where("twins > 1").dropDuplicates(["d", "s", "k"]))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*columns)
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("doc.*")

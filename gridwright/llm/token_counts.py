@@ -114,7 +114,7 @@ def frequent_table(docs: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS, e
     which returns its most frequent chunks. No pre-token shuffles, and the table only saves work.
     """
     n = docs.count()
-    sample = docs.where(F.col("text").isNotNull()).where(sample_below(F.coalesce(F.col("doc_id"), F.lit(0)), min(1.0, sample_docs / max(1, n)))).select("text")
+    sample = docs.where(F.col("text").isNotNull()).where(sample_below(F.coalesce(F.col("doc_id"), F.xxhash64("text")), min(1.0, sample_docs / max(1, n)))).select("text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()

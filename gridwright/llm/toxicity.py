@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridwright.llm.common import pieces, sample_below, widened
+from gridwright.llm.common import made_way, pieces, sample_below, widened
 
 #: Hash bits of the features; labelled documents of a class that the fit takes at most; documents of a
 #: shard; passes over it; the learning rate's alpha and beta; L1 by the root of the shard's documents,
@@ -70,24 +70,33 @@ def learn(labelled: DataFrame, bits: int = BITS, shard_docs: int = SHARD_DOCS) -
     ``labelled`` is a bounded sample (see ``sampled``), dealt by a hash of the id over shards of about
     ``shard_docs`` that learn side by side; their weights are averaged by each coordinate's squared
     gradients. At most 2**``bits`` weights a shard are gathered, far fewer as L1 sets most to 0. The
-    bias is moved to even odds of both classes, as label 1 is rare. Rows with a null id, text or label
-    don't count. Without rows every score is 0.5.
+    bias is moved to even odds of both classes, as label 1 is rare. Texts of any length become features
+    where they lie; only those are dealt. Rows with a null id, text or label don't count, repeated rows
+    count each. Without rows every score is 0.5.
     """
     known = labelled.where("doc_id is not null and text is not null and toxic in (0, 1)").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
     of = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     shards = max(1, -(-sum(of.values()) // shard_docs))
     even = math.log(of[0] / of[1]) if len(of) == 2 else 0.0
 
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features = Features(bits)
+        for part in pieces(batches):
+            found = [features.of(t).astype(np.int32) for t in part.column(0).to_pylist()]
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in found])])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found)))
+            yield pa.RecordBatch.from_arrays([lists, part.column(1), part.column(2)], ["features", "toxic", "turn"])
+
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("turn", kind="stable")
-        hashed = Features(bits)
-        w, n = ftrl([hashed.of(t) for t in frame["text"]], frame["toxic"].tolist(), bits)
+        w, n = ftrl([np.asarray(x, np.int64) for x in frame["features"]], frame["toxic"].tolist(), bits)
         at = np.flatnonzero((w != 0) | (np.arange(len(w)) == 1 << bits))
         seen = n[at]
         return pd.DataFrame({"at": at.astype(np.int64), "w": w[at] * seen, "n": seen})
 
     merged = (
-        known.withColumn("turn", F.xxhash64("doc_id", F.lit(7)))
+        known.select("text", "toxic", F.xxhash64("doc_id", F.lit(7)).alias("turn"))
+        .mapInArrow(hashed, "features array<int>, toxic int, turn long")
         .withColumn("shard", F.pmod("turn", F.lit(shards)))
         .groupBy("shard")
         .applyInPandas(fit, "at long, w double, n double")
@@ -110,15 +119,16 @@ def sampled(labels: DataFrame, max_docs: int = MAX_DOCS_PER_CLASS) -> DataFrame:
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], bits: int = BITS) -> DataFrame:
     """The rows of ``docs`` with score (0 to 1) and predicted (1 from 0.5).
 
-    Whole texts; null and empty texts have the bias's score. An empty table gives an empty result.
+    Whole texts of any length; null and empty texts have the bias's score, repeated rows one each. A
+    column of ``docs`` called score or predicted comes back as _score or _predicted. An empty table
+    gives an empty result.
     """
     weights = np.zeros((1 << bits) + 1, np.float32)
     weights[model[0]] = model[1]
     at = np.flatnonzero(weights).astype(np.int32)
     sparse = docs.sparkSession.sparkContext.broadcast((at, weights[at]))
-    text_at = docs.columns.index("text")
-    names = [c for c in docs.columns if c not in ("score", "predicted")]
-    schema = widened(docs.select(*names), "score double, predicted int")
+    docs = made_way(docs, ("score", "predicted"))
+    text_at, names = docs.columns.index("text"), [*docs.columns, "score", "predicted"]
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dense = np.zeros((1 << bits) + 1, np.float32)
@@ -127,6 +137,6 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], bits: int = BIT
         for batch in pieces(batches):
             sums = np.array([float(dense[hashed.of(t)].sum()) for t in batch.column(text_at).to_pylist()]) + float(dense[-1])
             p = 1 / (1 + np.exp(-np.clip(sums, -35, 35)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names)
 
-    return docs.mapInArrow(label, schema)
+    return docs.mapInArrow(label, widened(docs, "score double, predicted int"))

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gridwright.llm import exact_dedup, jaccard_join, mixing, packing, topk_search
+from gridwright.llm import exact_dedup, jaccard_join, language_id, mixing, packing, topk_search, toxicity
 from gridwright.llm.common import components
 from gridwright.llm.registry import ORACLE_SQL, QUERIES
 
@@ -21,11 +21,17 @@ ODD = [
     (5, "a b  c", "en", "s1", 1), (3, "a\tb c", None, "s1", None), (9, None, None, None, None), (8, "", "en", "s2", 0), (7, "  ", "en", "s2", 0), (None, "a b c", "en", None, 1),
     (3, "a\tb c", None, "s1", None), (11, "only", "fr", "s3", 1), (12, "y" * 200_000, "fr", "s3", 1), (13, "w " * 30_000, "de", "s1", 1), (14, "a b c ", "en", "s1", 5),
 ]
+CLASHES = (
+    "row class score Lang_Pred _score _hash hash gone gone_id gone_key d s k t n copies twins _copy copy doc id of key unit number equal ahead label part own chunks group "
+    "size p draw target source_size taken text_sha256 kept keep_id text_key cluster shard bin piece".split()
+)
 
 
 @pytest.fixture(scope="module")
 def odd(spark):
-    return spark.createDataFrame(ODD, SCHEMA).withColumn("row", F.lit("clash")).withColumn("class", F.lit(2)).withColumn("_hash", F.lit(0)).drop("_hash")
+    """Odd rows with columns called like those that operators and stages work with."""
+    clashes = {c: F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for c in CLASHES}
+    return spark.createDataFrame(ODD, SCHEMA).withColumns(clashes)
 
 
 def empty(spark):
@@ -203,8 +209,9 @@ def test_cube_keeps_sums_and_lands_near(spark):
     assert sum(0 < x < 1 for x in flown) <= 2
     assert abs(sum(flown) - sum(p)) < 1e-6 and abs(sum(s * x for s, x in zip(sizes, flown, strict=True)) - sum(s * x for s, x in zip(sizes, p, strict=True))) < 1e-4
     goal = sum(s * x for s, x in zip(sizes, p, strict=True))
-    landed = mixing.land(sizes, flown, goal)
+    landed = mixing.land(sizes, flown, goal, sum(p))
     assert set(landed) <= {0.0, 1.0} and abs(sum(s * x for s, x in zip(sizes, landed, strict=True)) - goal) < 10
+    assert abs(sum(landed) - sum(p)) <= 1
 
 
 def test_mixing_in_small_chunks(spark):
@@ -337,3 +344,79 @@ def test_pipeline_odd_and_empty_tables(spark, odd):
     for table in (odd.select(*SCHEMA.replace(" long", "").replace(" string", "").split(", ")), empty(spark)):
         for _, stage in corpus_pipeline.STAGES:
             table = spark.createDataFrame((out := stage(spark, table, SF)).collect(), out.schema)
+
+
+def test_pipeline_leaves_columns_of_any_name_alone(spark, odd):
+    table = odd.where("doc_id is not null")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, table, SF)
+        rows = out.collect()
+        assert out.columns == odd.columns and rows, name
+        assert all(r[c] == f"{c} of {r.doc_id}" for r in rows for c in CLASHES), name
+        table = spark.createDataFrame(rows, out.schema)
+    assert corpus_pipeline.packing(spark, table, SF).columns == ["doc_id", "piece", "first_word", "n_words", "shard", "bin"]
+
+
+def test_operators_leave_columns_of_any_name_alone(spark, odd):
+    profiles = {"en": language_id._ranked(*language_id._grams("some words here", 4), 400)}
+    for out, made in ((language_id.identify(odd, profiles), ("lang_pred", "score")), (toxicity.score(odd, (np.array([1 << toxicity.BITS]), np.array([-1.0]))), ("score", "predicted"))):
+        assert out.columns[-2:] == list(made) and len(out.columns) == len(odd.columns) + 2
+        row = next(r for r in out.collect() if r.doc_id == 11)
+        assert isinstance(row.score, float) and row["__score"] == "score of 11" and row._score == "_score of 11" and row.gone_id == "gone_id of 11"
+
+
+def repeats(n):
+    return [(7, "same words again", "en", "s", 3)] * n + [(k, f"text number {k} of the corpus", "en", "s", 3) for k in range(1000, 1000 + n)]
+
+
+def test_repeated_rows_spread_over_chunks_and_shards(spark):
+    docs = spark.createDataFrame(repeats(3000), SCHEMA).repartition(5)
+    shards = packing.pack(docs, shard_pieces=500).groupBy("shard").count().collect()
+    assert len(shards) == 12 and max(r["count"] for r in shards) < 700
+    taken = mixing.mix(docs, chunk=400).groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g")).first()
+    assert abs(taken.t - taken.g) <= 6
+
+
+def test_mix_keeps_totals_of_documents(spark):
+    """Without a bound of a source's target that binds, documents of a source come as often as its words."""
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(k, " ".join(["w"] * rng.choice((1, 4, 20, 90))), "en", f"s{k % 2}", 0) for k in range(3000)], SCHEMA)
+    for r in mixing.mix(docs, chunk=300).groupBy("source").agg(F.sum("copies").alias("n"), F.count("*").alias("all"), F.first("target").alias("goal"), F.first("source_size").alias("whole"), F.sum("taken").alias("t")).collect():
+        assert abs(r.n - r.all * r.goal / r.whole) <= 2 and abs(r.t - r.goal) <= 0.001 * r.goal + 90
+
+
+def test_packing_takes_near_copies_for_a_cluster(spark):
+    docs = spark.createDataFrame([(k, " ".join(["w"] * (50 + k)), "en", f"s{k}", 0) for k in range(40)], SCHEMA)
+    clusters = spark.createDataFrame([(k, k % 4) for k in range(40)], "doc_id long, component_id long")
+    bins = collections.defaultdict(list)
+    for r in packing.pack(docs, clusters=clusters).collect():
+        bins[r.shard, r.bin].append(r.doc_id % 4)
+    assert all(len(x) == len(set(x)) for x in bins.values()) and len(bins) == 10
+
+
+def test_near_duplicates_of_a_large_group_of_near_copies_and_a_common_key(spark):
+    rng = random.Random(9)
+    base = [f"b{k}" for k in range(60)]
+    texts = {}
+    for k in range(300):
+        copy = list(base)
+        copy[rng.randrange(60)] = f"x{k}"
+        texts[k] = " ".join(copy)
+    for k in range(300, 500):
+        texts[k] = " ".join(["the", "same", "words", "here", *(f"u{k}-{j}" for j in range(rng.choice((2, 30))))])
+    df = spark.createDataFrame([*texts.items(), *[(None, texts[5])] * 50, *[(None, f"no id {k % 3} but words enough for shingles") for k in range(60)]], "doc_id long, text string")
+    got = jaccard_join.near_duplicates(df, 4, 85, chunk=16).collect()
+    assert len(got) == len(texts) + 110
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got if r.doc_id is not None} == brute_components(texts, 4, 85)
+
+
+def test_steps_grow_with_the_documents():
+    assert jaccard_join.levels_of(0) == jaccard_join.levels_of(jaccard_join.DOCS) == list(jaccard_join.LEVELS)
+    assert jaccard_join.levels_of(10 * jaccard_join.DOCS) == [10 * x for x in jaccard_join.LEVELS]
+
+
+def test_near_duplicates_beyond_the_least_step(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "DOCS", 10)
+    texts = near_copies(7)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(df, 3, 60, chunk=8).collect()} == brute_components(texts, 3, 60)
