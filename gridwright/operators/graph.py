@@ -12,9 +12,14 @@ from gridwright.schema import IMPASSABLE_M
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset.
+
+    Only a session on one machine gets a folder of its own; on a cluster executors couldn't see it.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="gridwright-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
