@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -24,17 +25,18 @@ CLASSES = 32
 MEMBERS = 64
 RARE = 16
 VOCABULARY = 1 << 20
-#: Rows of hashed feature weights, up to TOKENS of training and growing with their root beyond; tokens of a gradient step and of a scoring one; learning rate;
-#: bound of a weight; rows of a block of the model on its way to the mean; trainers for each of the
-#: cluster's cores.
+#: Rows of hashed feature weights, up to TOKENS of training and growing with their root beyond; tokens
+#: of a trainer for each of these rows, so what trainers send stays in proportion to the tokens; tokens
+#: of a gradient step and of a scoring one; learning rate; bound of a weight; rows of a block of the
+#: model on its way to the mean.
 ROWS = 1 << 14
 TOKENS = 1 << 24
+TOKENS_PER_ROW = 128
 STEP = 4096
 SCORE_STEP = 2048
 RATE = 0.5
 BOUND = 20.0
 BLOCK = 16
-TRAINERS_PER_CORE = 2
 
 END = b"\n"
 _FLUSH = 300_000
@@ -166,10 +168,12 @@ class Reader:
         self.unseen: dict[bytes, int] = {}
 
     def ids(self, words: list[bytes]) -> np.ndarray:
-        """Places of looked-up words; below 0 for others, by a hash of the word and its rare class."""
+        """Places of looked-up words; below 0 for others, by a hash of the word and its rare class. All fit in 32 bits."""
         found = list(map(self.v.places.get, words))
         if None in found:
             cache, v = self.unseen, self.v
+            width = v.n_classes + v.rare
+            span = (2**31 - 1) // width - 1
             if len(cache) > 100_000:
                 cache.clear()
             for k, x in enumerate(found):
@@ -177,9 +181,9 @@ class Reader:
                     word = words[k]
                     known = cache.get(word)
                     if known is None:
-                        known = cache[word] = -1 - xxhash.xxh32_intdigest(word) * (v.n_classes + v.rare) - rare_class(word, v.n_classes, v.rare)
+                        known = cache[word] = -1 - xxhash.xxh32_intdigest(word) % span * width - rare_class(word, v.n_classes, v.rare)
                     found[k] = known
-        return np.array(found, np.int64)
+        return np.array(found, np.int32)
 
     def arrays(self, ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(token ids, features of the classes (3), features of the members (2)) over texts.
@@ -187,7 +191,7 @@ class Reader:
         Histories are the word before (n-gram), the one before that alone (skip) and, for classes, both.
         """
         sizes = np.array([len(x) for x in ids])
-        joined = np.concatenate(ids)
+        joined = np.concatenate(ids).astype(np.int64)
         start = np.repeat(np.cumsum(sizes) - sizes, sizes)
         at = np.arange(len(joined)) - start
         one = np.where(at >= 1, np.roll(joined, 1), _START).astype(np.uint64)
@@ -218,15 +222,30 @@ def _softmax(logits: np.ndarray) -> np.ndarray:
     return logits
 
 
+def _totals(slope: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of the runs of ``slope``, all of them side by side while many are left: most are short."""
+    out, live, k = slope[starts], np.flatnonzero(sizes > 1), 1
+    while len(live) > 64:
+        out[live] += slope[starts[live] + k]
+        k += 1
+        live = live[sizes[live] > k]
+    for j in live:
+        out[j] += slope[starts[j] + k : starts[j] + sizes[j]].sum(axis=0)
+    return out
+
+
 def _descend(weights: np.ndarray, spent: np.ndarray, seen: np.ndarray, rows: np.ndarray, slope: np.ndarray) -> None:
     """One step of each row of ``weights`` that ``rows`` (in order) names, at the row's own rate."""
     starts = np.concatenate([[0], np.flatnonzero(rows[1:] != rows[:-1]) + 1])
-    sums = np.add.reduceat(slope, starts, axis=0)
+    sizes = np.diff(np.append(starts, len(rows)))
+    sums = _totals(slope, starts, sizes)
     at = rows[starts]
     spent[at] += np.einsum("ij,ij->i", sums, sums)
-    seen[at] += np.diff(np.append(starts, len(rows)))
+    seen[at] += sizes
     sums *= (RATE / np.sqrt(spent[at] + 1.0))[:, None]
-    weights[at] = np.clip(weights[at] - sums, -BOUND, BOUND)
+    own = weights[at]
+    own -= sums
+    weights[at] = np.clip(own, -BOUND, BOUND, out=own)
 
 
 def train_pass(batches: Iterator[list[np.ndarray]], reader: Reader, model: Model) -> tuple[np.ndarray, np.ndarray]:
@@ -267,55 +286,85 @@ def train_pass(batches: Iterator[list[np.ndarray]], reader: Reader, model: Model
     return seen[0], seen[1]
 
 
-def train(texts: DataFrame, v: Vocabulary, rounds: int = 1, rows: int | None = None) -> Model:
-    """``rounds`` of distributed gradient descent over all of ``texts`` (text).
+def read_ids(docs: DataFrame, v: Vocabulary, rows: int) -> DataFrame:
+    """(doc_id, learned_from, n_tokens, ids, missing, shard, turn) of ``docs`` (doc_id, text, learned_from).
+
+    ``ids`` are those of ``Reader``, ``missing`` the words that aren't looked up. Texts are dealt by a
+    hash to shards of about ``TOKENS_PER_ROW`` training tokens for each row of weights.
+    """
+    words = docs.sparkSession.sparkContext.broadcast(v)
+    shards = max(1, -(-v.n // (TOKENS_PER_ROW * rows)))
+    names = ["doc_id", "learned_from", "n_tokens", "ids", "missing", "shard", "turn"]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(words.value, rows)
+        for part in pieces(batches):
+            found = [tokens_of(t) for t in part.column(1).to_pylist()]
+            ids = [reader.ids(w) for w in found]
+            missing = [[w[j] for j in np.flatnonzero(x < 0)] for w, x in zip(found, ids, strict=True)]
+            made = [pa.array([len(w) for w in found], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(missing, pa.list_(pa.binary()))]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *made, part.column(3), part.column(4)], names)
+
+    turn = F.xxhash64("doc_id", "text")
+    dealt = docs.select("doc_id", "text", "learned_from", F.pmod(turn, F.lit(shards)).cast("int").alias("shard"), turn.alias("turn"))
+    return dealt.mapInArrow(read, "doc_id long, learned_from boolean, n_tokens long, ids binary, missing array<binary>, shard int, turn long")
+
+
+def train(read: DataFrame, v: Vocabulary, rounds: int = 1, rows: int | None = None) -> Model:
+    """``rounds`` of distributed gradient descent over all of ``read`` (ids, shard, turn).
 
-    Each trainer takes the round's model, descends over its share of the texts and gives back its
-    weights; a row's mean goes by how often each trainer has seen it. Trainers follow the cluster's
-    cores, and what each sends is the model's size; only the mean reaches the driver.
+    Each trainer takes the round's model, descends over a shard of the texts, in the order of their
+    turns, and gives back its weights in half precision; a row's mean goes by how often each trainer
+    has seen it. Shards don't depend on the cluster, so neither do scores. What each trainer sends is
+    the model's size; only the mean reaches the driver.
     """
-    spark = texts.sparkSession
+    spark = read.sparkSession
     rows = rows or rows_of(v.n)
     words = spark.sparkContext.broadcast(v)
     model = unigram_model(v, rows)
-    trainers = texts.select("text").coalesce(max(1, TRAINERS_PER_CORE * spark.sparkContext.defaultParallelism))
+    shards = max(1, -(-v.n // (TOKENS_PER_ROW * rows)))
+    trainers = read.select("shard", "turn", "ids").repartitionByRange(shards, "shard").sortWithinPartitions("shard", "turn")
     for _ in range(rounds):
         sent = spark.sparkContext.broadcast(model)
 
         def descend(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            own = sent.value
-            own = Model(own.of_class.copy(), own.of_member.copy(), own.class_bias, own.member_bias)
-            reader = Reader(words.value, rows)
+            def texts() -> Iterator[tuple[int, np.ndarray]]:
+                for part in pieces(batches):
+                    for shard, ids in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True):
+                        yield shard, np.frombuffer(ids, np.int32)
+
+            def steps(group: Iterator[tuple[int, np.ndarray]]) -> Iterator[list[np.ndarray]]:
+                held, n = [], 0
+                for _, ids in group:
+                    held.append(ids)
+                    n += len(ids)
+                    if n >= 16 * STEP:
+                        yield held
+                        held, n = [], 0
+                if held:
+                    yield held
 
-            def read() -> Iterator[list[np.ndarray]]:
-                ids, n = [], 0
-                for part in pieces(batches, 64):
-                    for text in part.column(0).to_pylist():
-                        ids.append(reader.ids(tokens_of(text)))
-                        n += len(ids[-1])
-                        if n >= 16 * STEP:
-                            yield ids
-                            ids, n = [], 0
-                if ids:
-                    yield ids
-
-            seen = train_pass(read(), reader, own)
-            for kind, (weights, counts) in enumerate(zip((own.of_class, own.of_member), seen, strict=True)):
-                at = np.flatnonzero(counts.reshape(-1, BLOCK).any(axis=1))
-                for some in np.array_split(at, max(1, len(at) // 128)):
-                    payload = [(weights[k * BLOCK : (k + 1) * BLOCK]).tobytes() for k in some]
-                    tally = [counts[k * BLOCK : (k + 1) * BLOCK].tobytes() for k in some]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([kind] * len(some), pa.int32()), pa.array(some, pa.int32()), pa.array(payload, pa.binary()), pa.array(tally, pa.binary())], ["kind", "block", "weights", "seen"]
-                    )
+            reader = Reader(words.value, rows)
+            for shard, group in itertools.groupby(texts(), key=lambda x: x[0]):
+                own = sent.value
+                own = Model(own.of_class.copy(), own.of_member.copy(), own.class_bias, own.member_bias)
+                seen = train_pass(steps(group), reader, own)
+                for kind, (weights, counts) in enumerate(zip((own.of_class, own.of_member), seen, strict=True)):
+                    at = np.flatnonzero(counts.reshape(-1, BLOCK).any(axis=1))
+                    for some in np.array_split(at, max(1, len(at) // 128)):
+                        payload = [weights[k * BLOCK : (k + 1) * BLOCK].astype(np.float16).tobytes() for k in some]
+                        tally = [counts[k * BLOCK : (k + 1) * BLOCK].tobytes() for k in some]
+                        made = [pa.array([x] * len(some), pa.int32()) for x in (shard, kind)] + [pa.array(some, pa.int32()), pa.array(payload, pa.binary()), pa.array(tally, pa.binary())]
+                        yield pa.RecordBatch.from_arrays(made, ["shard", "kind", "block", "weights", "seen"])
 
         def mean(frame: pd.DataFrame) -> pd.DataFrame:
+            frame = frame.sort_values("shard")
             tally = np.stack([np.frombuffer(x, np.float32) for x in frame["seen"]])
-            weights = np.stack([np.frombuffer(x, np.float32).reshape(BLOCK, -1) for x in frame["weights"]])
+            weights = np.stack([np.frombuffer(x, np.float16).astype(np.float32).reshape(BLOCK, -1) for x in frame["weights"]])
             total = (weights * tally[:, :, None]).sum(axis=0) / np.maximum(tally.sum(axis=0), 1)[:, None]
             return pd.DataFrame({"kind": frame["kind"].iloc[:1], "block": frame["block"].iloc[:1], "weights": [total.astype(np.float32).tobytes()]})
 
-        means = trainers.mapInArrow(descend, "kind int, block int, weights binary, seen binary").groupBy("kind", "block").applyInPandas(mean, "kind int, block int, weights binary")
+        means = trainers.mapInArrow(descend, "shard int, kind int, block int, weights binary, seen binary").groupBy("kind", "block").applyInPandas(mean, "kind int, block int, weights binary")
         fresh = [model.of_class.copy(), model.of_member.copy()]
         for row in means.toLocalIterator():
             block = np.frombuffer(row.weights, np.float32).reshape(BLOCK, -1)
@@ -337,6 +386,10 @@ class Scorer:
         """
         words = [tokens_of(t) for t in texts]
         ids = [self.reader.ids(w) for w in words]
+        return [(len(w), known, base, score, [w[j] for j in np.flatnonzero(x < 0)]) for w, x, (known, base, score) in zip(words, ids, self.of_ids(ids), strict=True)]
+
+    def of_ids(self, ids: list[np.ndarray]) -> list[tuple[int, float, float]]:
+        """(known, base, score) of each text's ids."""
         joined, for_class, for_member = self.reader.arrays(ids)
         v, m = self.v, self.model
         score = np.zeros(len(joined))
@@ -367,12 +420,7 @@ class Scorer:
         base = log_c - v.log_base
         ends = np.cumsum([len(x) for x in ids])
         starts = ends - [len(x) for x in ids]
-        out = []
-        for k, (a, b) in enumerate(zip(starts, ends, strict=True)):
-            known = looked[a:b]
-            missing = [words[k][j] for j in np.flatnonzero(~known)]
-            out.append((int(b - a), int(known.sum()), float(base[a:b].sum()), float(score[a:b].sum()), missing))
-        return out
+        return [(int(looked[a:b].sum()), float(base[a:b].sum()), float(score[a:b].sum())) for a, b in zip(starts, ends, strict=True)]
 
 
 def score_texts(docs: DataFrame, is_training: Column, rounds: int = 1) -> DataFrame:
@@ -384,27 +432,30 @@ def score_texts(docs: DataFrame, is_training: Column, rounds: int = 1) -> DataFr
     their class and their smoothed count there. Counts of words that workers don't look up join by
     word, so counts are exact for any vocabulary. Scores are log10 probabilities of the words and an end.
 
-    Null and empty texts are just an end. Without training rows words have the smoothing's chance
-    alone. Repeated rows are scored each. An empty table gives an empty result.
+    Null and empty texts are just an end; texts of any length are read whole. Equal counts go by the
+    word's bytes. Without training rows words have the smoothing's chance alone. Repeated rows are
+    scored each. Other columns aren't looked at, whatever their names. An empty table gives an empty
+    result.
     """
     docs = docs.select("doc_id", "text", F.coalesce(is_training, F.lit(False)).alias("learned_from"))
-    learn_from = docs.where("learned_from")
-    counts = written(count_words(learn_from), "lm-counts")
+    counts = written(count_words(docs.where("learned_from")), "lm-counts")
     v = learn_vocabulary(counts)
-    model = train(learn_from, v, rounds) if v.n else unigram_model(v)
+    rows = rows_of(v.n)
+    read = written(read_ids(docs, v, rows), "lm-ids")
+    model = train(read.where("learned_from"), v, rounds, rows) if v.n else unigram_model(v, rows)
     words, learned = (docs.sparkSession.sparkContext.broadcast(x) for x in (v, model))
-    names = ["doc_id", "learned_from", "n_tokens", "known", "base", "model", "missing"]
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(words.value, learned.value)
         for part in pieces(batches, 64):
-            n, known, base, score, missing = zip(*scorer.of(part.column(1).to_pylist()), strict=True)
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array(missing, pa.list_(pa.binary()))], names
-            )
+            known, base, score = zip(*scorer.of_ids([np.frombuffer(x, np.int32) for x in part.column(3).to_pylist()]), strict=True)
+            made = [pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], *made, part.column(4)], ["doc_id", "learned_from", "n_tokens", "known", "base", "model", "missing"])
 
     partial = written(
-        docs.mapInArrow(label, "doc_id long, learned_from boolean, n_tokens long, known long, base double, model double, missing array<binary>").withColumn("row", F.monotonically_increasing_id()),
+        read.select("doc_id", "learned_from", "n_tokens", "ids", "missing")
+        .mapInArrow(label, "doc_id long, learned_from boolean, n_tokens long, known long, base double, model double, missing array<binary>")
+        .withColumn("row", F.monotonically_increasing_id()),
         "lm-partial",
     )
     wanted = partial.select("row", F.explode("missing").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))

@@ -189,16 +189,44 @@ def test_lm_counts_join_for_words_that_are_not_looked_up(spark, monkeypatch):
         assert math.isfinite(r.score) and r.score < 0
 
 
-def test_lm_chances_of_the_softmax_sum_to_one():
+def test_lm_chances_sum_to_one_after_any_history():
+    """Recomputed from the weights, word by word: the softmax's words and the rare classes share all of the chance."""
     import numpy as np
 
-    words = [b"a", b"b", lm_score.END]
-    v = lm_score.Vocabulary(30, 3, {w: k for k, w in enumerate(words)}, np.array([15, 10, 5]), np.zeros(lm_score.RARE), np.zeros(lm_score.RARE))
-    model = lm_score.unigram_model(v)
-    reader = lm_score.Reader(v)
-    lm_score.train_pass(iter([[reader.ids(lm_score.tokens_of("a b a a"))] * 20]), reader, model)
-    p = [10 ** (lm_score.Scorer(v, model).of([f"a {w}"])[0][3]) for w in ("a", "b")]
-    assert 0 < sum(p) < 1
+    words = [b"w%d" % k for k in range(70)] + [lm_score.END]
+    v = lm_score.Vocabulary(1000, 90, {w: k for k, w in enumerate(words)}, np.arange(len(words), 0, -1), np.arange(lm_score.RARE) + 1.0, np.ones(lm_score.RARE))
+    model, reader = lm_score.unigram_model(v), lm_score.Reader(v)
+    texts = ["w1 w2 w40", "w3 w2 w7 unseen w9", "w1 w5 w69 w2"]
+    lm_score.train_pass(iter([[reader.ids(lm_score.tokens_of(t)) for t in texts]] * 20), reader, model)
+    scorer = lm_score.Scorer(v, model)
+    for before in ("", "w1 ", "w3 w2 ", "unseen w9 "):
+        base = scorer.of([before + "w0"])[0][3] - 0
+        ids = reader.ids(lm_score.tokens_of(before + "w0"))[:-1]
+        _, for_class, _ = reader.arrays([ids])
+        logits = model.of_class[for_class[:, -1]].sum(axis=0) + model.class_bias
+        of_class = np.exp(logits) / np.exp(logits).sum()
+        total = of_class[v.n_classes :].sum()
+        for k in range(v.in_softmax):
+            own = reader.ids([*lm_score.tokens_of(before)[:-1], words[k]])
+            _, _, for_member = reader.arrays([own])
+            c = v.classes[k]
+            logits = model.of_member[for_member[:, -1]].sum(axis=0) + model.member_bias[c]
+            total += of_class[c] * np.exp(logits[k // v.n_classes]) / np.exp(logits).sum()
+        assert abs(total - 1) < 1e-3 and math.isfinite(base)
+        chance = [math.log10(of_class[v.classes[0]])]
+        _, _, for_member = reader.arrays([ids])
+        logits = model.of_member[for_member[:, -1]].sum(axis=0) + model.member_bias[v.classes[0]]
+        chance.append(math.log10(np.exp(logits[0]) / np.exp(logits).sum()))
+        whole, shorter = (scorer.of_ids([x])[0][2] for x in (ids, ids[:-1])) if len(ids) > 1 else (scorer.of_ids([ids])[0][2], 0.0)
+        assert abs(whole - shorter - sum(chance)) < 1e-3
+
+
+def test_lm_scores_do_not_depend_on_the_tables_parts(spark, documents, monkeypatch):
+    monkeypatch.setattr(lm_score, "TOKENS_PER_ROW", 1)
+    rows = [(r.doc_id, r.text) for r in documents.values()][:400]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one, other = ({r.doc_id: r.score for r in lm_score.score_texts(df.repartition(n), fold() != 1).collect()} for n in (1, 7))
+    assert one.keys() == other.keys() and all(abs(one[k] - other[k]) < 1e-6 * abs(one[k]) + 1e-9 for k in one)
 
 
 def trained(words, texts, rounds=400):
