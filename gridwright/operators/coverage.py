@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridwright.functions.geom import crossing_span
-from gridwright.operators.grid_join import along, within
-from gridwright.schema import COVERED_SHARE, FACADE_FRACTIONS, MIN_SAMPLE_Z
+from gridwright.functions.geom import crossing_span, fresnel
+from gridwright.operators.grid_join import along, reaching
+from gridwright.operators.raster import sample
+from gridwright.schema import COVERED_SHARE, FACADE_FRACTIONS, FRESNEL_CLEARANCE, MIN_SAMPLE_Z, TERRAIN_SAMPLES
 
+#: Cells that rays are walked over, and those that ranges cover.
 CELL_M = 100.0
+RANGE_CELL_M = 200.0
 
 
-def in_range(sites: DataFrame, buildings: DataFrame, radius: float = 400.0) -> DataFrame:
-    """(site..., building...) pairs within each site's range; ``radius`` bounds all ranges."""
-    pairs = within(buildings, sites, radius, "cx", "cy", "x", "y")
-    return pairs.where((F.col("cx") - F.col("x")) ** 2 + (F.col("cy") - F.col("y")) ** 2 <= F.col("range_m") ** 2)
+def in_range(sites: DataFrame, buildings: DataFrame) -> DataFrame:
+    """(site..., building...) pairs within each site's own range, whatever it is."""
+    return reaching(sites, buildings, "range_m", RANGE_CELL_M, "x", "y", "cx", "cy")
 
 
 def unserved(served: DataFrame) -> DataFrame:
@@ -28,27 +30,39 @@ def _samples(cx: Column, cy: Column, half: Column, height: Column) -> list[tuple
     return [(cx + half * a, cy + half * b, F.greatest(F.lit(MIN_SAMPLE_Z), height * f)) for a, b in corners for f in FACADE_FRACTIONS]
 
 
-def line_of_sight(sites: DataFrame, buildings: DataFrame, clearance: Column | float = 0.0) -> DataFrame:
+def line_of_sight(sites: DataFrame, buildings: DataFrame, mhz: str | None = None, ground: DataFrame | None = None, host: str | None = None) -> DataFrame:
     """(site, bid, samples, blocked, visibility, covered): facade points of buildings in range that a ray reaches.
 
     A pair's candidate obstacles come from the grid cells along its axis, widened by the half sizes;
     rays are told apart only then, as bits of a mask, so no ray is shuffled. An obstacle blocks a ray
-    whose height over its roof, at the first or last crossing of its footprint, is under
-    ``clearance``. Roofs under both ends, and the target itself, never block.
+    whose height over its roof, at the first or last crossing of its footprint, is too small: under
+    0, or with ``mhz``, a column of ``sites``, under the share of the first Fresnel zone that a link
+    needs there. Roofs under both ends, the target itself and the site's ``host`` (a column) never block.
+    With ``ground``, a grid as of ``raster.as_array``, heights stand on it, and a ray is blocked too where
+    it comes as near to the ground at one of ``TERRAIN_SAMPLES`` places.
     """
     widest = buildings.agg(F.max("half").alias("widest"))
-    pairs = in_range(sites, buildings).select("site", "bid", F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("antenna_z").alias("z0"), F.col("cx").alias("x1"), F.col("cy").alias("y1"), "half", "height")
+    base = F.lit(0.0)
+    if ground is not None:
+        base = F.col("base")
+        buildings = buildings.crossJoin(F.broadcast(ground)).withColumn("base", F.round(sample(F.col("grid"), F.col("cx"), F.col("cy")), 6)).drop("grid")
+    kept = [F.col(mhz).alias("mhz")] if mhz else []
+    kept += [F.col(host).alias("host")] if host else []
+    kept += [base.alias("base")] if ground is not None else []
+    pairs = in_range(sites, buildings).select("site", "bid", F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("antenna_z").alias("z0"), F.col("cx").alias("x1"), F.col("cy").alias("y1"), "half", "height", *kept)
     margin = 2 * 1.4143 * float(widest.first()[0] or 0.0)
-    obstacles = buildings.select(F.col("bid").alias("obstacle"), F.col("cx").alias("px"), F.col("cy").alias("py"), F.col("half").alias("oh"), F.col("height").alias("roof"))
+    obstacles = buildings.select(F.col("bid").alias("obstacle"), F.col("cx").alias("px"), F.col("cy").alias("py"), F.col("half").alias("oh"), (base + F.col("height")).alias("roof"))
     length = F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
     off = F.abs((F.col("x1") - F.col("x0")) * (F.col("y0") - F.col("py")) - (F.col("x0") - F.col("px")) * (F.col("y1") - F.col("y0")))
     near = (
         along(pairs, obstacles, CELL_M, margin)
         .where("obstacle <> bid")
         .where((length == 0) | (off <= (F.col("oh") + F.col("half")) * 1.4143 * length))
-        .where(F.col("roof") > F.least("z0", F.greatest(F.lit(MIN_SAMPLE_Z), F.col("height") * FACADE_FRACTIONS[0])))
+        .where(F.col("roof") > F.least("z0", base + F.greatest(F.lit(MIN_SAMPLE_Z), F.col("height") * FACADE_FRACTIONS[0])))
     )
-    points = _samples(F.col("x1"), F.col("y1"), F.col("half"), F.col("height"))
+    if host:
+        near = near.where(F.col("host").isNull() | (F.col("host") != F.col("obstacle")))
+    points = [(x, y, base + z) for x, y, z in _samples(F.col("x1"), F.col("y1"), F.col("half"), F.col("height"))]
     rays = near.withColumn("ray", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), a.alias("x"), b.alias("y"), c.alias("z")) for k, (a, b, c) in enumerate(points)])))
     corners = [(F.col("px") + F.col("oh") * a, F.col("py") + F.col("oh") * b) for a, b in ((-1, -1), (1, -1), (1, 1), (-1, 1))]
     first, last = crossing_span(corners, F.col("x0"), F.col("y0"), F.col("ray.x"), F.col("ray.y"))
@@ -59,13 +73,31 @@ def line_of_sight(sites: DataFrame, buildings: DataFrame, clearance: Column | fl
     touched = (F.abs(rx * py - ry * px) <= reach * run) & (along_it >= -reach * run) & (along_it <= (run + reach) * run)
     tested = rays.where(F.col("roof") > F.least("z0", "ray.z")).where((run == 0) | touched)
 
+    def need(t: Column, run: Column) -> Column:
+        return fresnel(t * run, (1 - t) * run, F.col("mhz")) * FRESNEL_CLEARANCE if mhz else F.lit(0.0)
+
     def over(t: Column) -> Column:
         return F.col("z0") + (F.col("ray.z") - F.col("z0")) * t - F.col("roof")
 
-    need = clearance if isinstance(clearance, Column) else F.lit(float(clearance))
-    hit = tested.where((over(first) < need) | (over(last) < need))
+    hit = tested.where((over(first) < need(first, run)) | (over(last) < need(last, run)))
     masks = hit.groupBy("site", "bid").agg(F.bit_or(F.expr("shiftleft(1, ray.k)")).alias("mask"))
-    seen = 1 - F.bit_count(F.coalesce("mask", F.lit(0))) / len(points)
-    return pairs.select("site", "bid").join(masks, ["site", "bid"], "left").select(
-        "site", "bid", F.lit(len(points)).alias("samples"), F.bit_count(F.coalesce("mask", F.lit(0))).alias("blocked"), F.round(seen, 6).alias("visibility"), (seen >= COVERED_SHARE - 1e-12).alias("covered")
-    )
+    seen = pairs.join(masks, ["site", "bid"], "left").withColumn("mask", F.coalesce("mask", F.lit(0)))
+    if ground is not None:
+        seen = seen.crossJoin(F.broadcast(ground))
+
+        def dips(ray: Column) -> Column:
+            run = F.hypot(ray["x"] - F.col("x0"), ray["y"] - F.col("y0"))
+
+            def low(k: Column) -> Column:
+                t = k / float(TERRAIN_SAMPLES - 1)
+                under = F.round(sample(F.col("grid"), F.col("x0") + (ray["x"] - F.col("x0")) * t, F.col("y0") + (ray["y"] - F.col("y0")) * t), 6)
+                return F.col("z0") + (ray["z"] - F.col("z0")) * t - under < need(t, run)
+
+            return F.when((run > 0) & F.exists(F.sequence(F.lit(0), F.lit(TERRAIN_SAMPLES - 1)), low), ray["bit"]).otherwise(0)
+
+        targets = F.array(*[F.struct(F.lit(1 << k).alias("bit"), a.alias("x"), b.alias("y"), c.alias("z")) for k, (a, b, c) in enumerate(points)])
+        bits = F.aggregate(F.transform(targets, dips), F.lit(0), lambda a, b: a.bitwiseOR(b))
+        seen = seen.withColumn("mask", F.col("mask").bitwiseOR(bits))
+    blocked = F.bit_count("mask")
+    share = 1 - blocked / len(points)
+    return seen.select("site", "bid", F.lit(len(points)).alias("samples"), blocked.alias("blocked"), F.round(share, 6).alias("visibility"), (share >= COVERED_SHARE - 1e-12).alias("covered"))

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridwright.functions import geom
-from gridwright.operators import coverage, raster
-from gridwright.operators.grid_join import cell, within
+from gridwright.operators import coverage, raster, topology
+from gridwright.operators.grid_join import cell, nearest
 from gridwright.plans.registering import registry
 from gridwright.plans.scene_sql import over
 from gridwright.schema import BATTERY_S, CRITICAL_KINDS, DEFAULT_OCCUPANCY, OCCUPANCY, SIM_FACTOR, STOREY_M
@@ -61,6 +61,45 @@ def los_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return coverage.line_of_sight(scene.site(spark, sf), scene.building(spark, sf))
 
 
+_FRESNEL = (
+    """, spots as (select 's' || site as key, x as gx, y as gy from site union all select 'b' || bid, cx, cy from building)"""
+    + "{bilinear}"
+    + """, tall as (select b.*, ground as base from building b join ground on key = 'b' || bid),
+mast as (select s.*, case when site % 3 = 0 then site * 7 % 200 end as host, case when site % 4 = 0 then 900e0 else 2100e0 end as mhz from site s),
+pair as (select * from mast join tall on (cx - x) * (cx - x) + (cy - y) * (cy - y) <= range_m * range_m),
+ray as (select site, bid, host, mhz, x, y, antenna_z + 40 as z0, cx + c.a * half as px, cy + c.b * half as py, base + greatest(1.5e0, height * f.f) as pz, c.a * 10 + c.b as corner, f.f as share
+    from pair, (values (-1, -1), (1, -1), (1, 1), (-1, 1)) c(a, b), (values (0.05e0), (0.5e0), (0.9e0)) f(f)),
+slab as (select r.*, o.bid as obstacle, o.base + o.height as roof, sqrt((px - x) * (px - x) + (py - y) * (py - y)) as run,
+    case when px = x then case when abs(x - o.cx) <= o.half then -1e300 else 1e300 end else least((o.cx - o.half - x) / (px - x), (o.cx + o.half - x) / (px - x)) end as a0,
+    case when px = x then case when abs(x - o.cx) <= o.half then 1e300 else -1e300 end else greatest((o.cx - o.half - x) / (px - x), (o.cx + o.half - x) / (px - x)) end as a1,
+    case when py = y then case when abs(y - o.cy) <= o.half then -1e300 else 1e300 end else least((o.cy - o.half - y) / (py - y), (o.cy + o.half - y) / (py - y)) end as b0,
+    case when py = y then case when abs(y - o.cy) <= o.half then 1e300 else -1e300 end else greatest((o.cy - o.half - y) / (py - y), (o.cy + o.half - y) / (py - y)) end as b1
+    from ray r join tall o on o.bid <> r.bid and (r.host is null or o.bid <> r.host) and o.base + o.height > least(z0, pz) and o.cx between least(x, px) - 30 and greatest(x, px) + 30 and o.cy between least(y, py) - 30 and greatest(y, py) + 30),
+cut as (select *, greatest(a0, b0) as t0, least(a1, b1) as t1 from slab where greatest(a0, b0) <= least(a1, b1)),
+hit as (select distinct site, bid, corner, share from cut
+    where (t0 between 0 and 1 and z0 + (pz - z0) * t0 - roof < 0.6e0 * sqrt(299.792458e0 / mhz * t0 * run * (1 - t0) * run / run)) or (t1 between 0 and 1 and z0 + (pz - z0) * t1 - roof < 0.6e0 * sqrt(299.792458e0 / mhz * t1 * run * (1 - t1) * run / run))),
+walk as (select site, bid, corner, share, k / 23e0 as t, x + (px - x) * (k / 23e0) as wx, y + (py - y) * (k / 23e0) as wy, z0 + (pz - z0) * (k / 23e0) as wz, sqrt((px - x) * (px - x) + (py - y) * (py - y)) as run, mhz,
+    least(greatest((x + (px - x) * (k / 23e0) + 500) / 50e0, 0e0), 38.9999999e0) as fx, least(greatest((y + (py - y) * (k / 23e0) + 500) / 50e0, 0e0), 38.9999999e0) as fy from ray, range(24) q(k)),
+dip as (select distinct w.site, w.bid, w.corner, w.share from walk w join dem a on a.ix = floor(fx) and a.iy = floor(fy) join dem b on b.ix = floor(fx) + 1 and b.iy = floor(fy) join dem c on c.ix = floor(fx) and c.iy = floor(fy) + 1 join dem d on d.ix = floor(fx) + 1 and d.iy = floor(fy) + 1
+    where run > 0 and wz - round(a.z * (1 - (fx - floor(fx))) * (1 - (fy - floor(fy))) + b.z * (fx - floor(fx)) * (1 - (fy - floor(fy))) + c.z * (1 - (fx - floor(fx))) * (fy - floor(fy)) + d.z * (fx - floor(fx)) * (fy - floor(fy)), 6) < 0.6e0 * sqrt(299.792458e0 / mhz * t * run * (1 - t) * run / run)),
+shut as (select * from hit union select * from dip)
+select p.site, p.bid, cast(count(corner) as integer) as blocked, round(1 - count(corner) / 12e0, 6) as visibility, 1 - count(corner) / 12e0 >= 1 / 3e0 - 1e-12 as covered from pair p left join shut using (site, bid) group by p.site, p.bid"""
+)
+
+
+def fresnel_scene(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sites on hosts and frequencies, buildings and the ground's grid."""
+    k = F.col("site")
+    s = scene.site(spark, sf).withColumn("host", F.when(k % 3 == 0, k * 7 % 200)).withColumn("mhz", F.when(k % 4 == 0, 900.0).otherwise(2100.0)).withColumn("antenna_z", F.col("antenna_z") + 40)
+    return s, scene.building(spark, sf), raster.as_array(scene.dem(spark))
+
+
+def fresnel_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """Line of sight over ground with 60 % of the first Fresnel zone free of roofs and of terrain; hosts don't block."""
+    s, b, grid = fresnel_scene(spark, sf)
+    return coverage.line_of_sight(s, b, "mhz", grid, "host").select("site", "bid", "blocked", "visibility", "covered")
+
+
 @query(over("site building", _LOS + " select bid, any_value(subs) as subs from los where covered group by bid having bool_and(failed)"))
 def outage_3d(spark: SparkSession, sf: str) -> DataFrame:
     """Buildings that only failed sites cover, by line of sight."""
@@ -113,17 +152,10 @@ def served_by(spark: SparkSession, sf: str) -> DataFrame:
     )
 )
 def nearest_peer(spark: SparkSession, sf: str) -> DataFrame:
-    """Each site's nearest other site, ties to the smaller id: nine cells first, the rest by wider ones."""
+    """Each site's nearest other site, ties to the smaller id, however far."""
     s = scene.site(spark, sf).select("site", "x", "y")
     other = s.select(F.col("site").alias("peer"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    d = F.sqrt((F.col("x") - F.col("x2")) ** 2 + (F.col("y") - F.col("y2")) ** 2)
-    rounds, rest = [], s
-    for radius in (400.0, 1600.0, 25_600.0):
-        found = within(rest, other, radius).where("site <> peer").groupBy("site").agg(F.min(F.struct(d.alias("d"), "peer")).alias("best"))
-        rounds.append(found)
-        rest = rest.join(found, "site", "left_anti")
-    best = rounds[0].unionByName(rounds[1]).unionByName(rounds[2])
-    return best.select("site", "best.peer", F.round("best.d", 6).alias("distance"))
+    return nearest(s, other, "site", "peer", 1, 400.0, lambda: F.col("site") != F.col("peer")).select("site", "peer", F.round("distance", 6).alias("distance"))
 
 
 @query(
@@ -152,7 +184,7 @@ def point_in_ring(spark: SparkSession, sf: str) -> DataFrame:
     return scene.footprint(scene.building(spark, sf)).select("bid", geom.in_ring(F.col("ring"), px, py).alias("inside"))
 
 
-@query(over("site building", _SQUARE_SQL + " select bid, round(cx - half - (cx - 3 * half), 6) / round(6 * half, 6) as first, round((cx + half - (cx - 3 * half)) / (6 * half), 6) as last from ring"))
+@query(over("site building", _SQUARE_SQL + " select bid, round(2 * half / (6 * half), 6) as first, round(4 * half / (6 * half), 6) as last from ring"))
 def ring_crossings(spark: SparkSession, sf: str) -> DataFrame:
     """First and last crossing of a horizontal segment of three widths through each footprint."""
     f = scene.footprint(scene.building(spark, sf))
@@ -160,9 +192,6 @@ def ring_crossings(spark: SparkSession, sf: str) -> DataFrame:
     return f.withColumn("t", t).select("bid", F.round(F.element_at("t", 1), 6).alias("first"), F.round(F.element_at("t", -1), 6).alias("last"))
 
 
-ORACLE_SQL["ring_crossings"] = over("site building", _SQUARE_SQL + " select bid, round(2 * half / (6 * half), 6) as first, round(4 * half / (6 * half), 6) as last from ring")
-
-
 @query(
     over(
         "site building",
@@ -236,6 +265,9 @@ ground as (select {key}, round(a.z * (1 - (fx - floor(fx))) * (1 - (fy - floor(f
     from spot join dem a on a.ix = floor(fx) and a.iy = floor(fy) join dem b on b.ix = floor(fx) + 1 and b.iy = floor(fy) join dem c on c.ix = floor(fx) and c.iy = floor(fy) + 1 join dem d on d.ix = floor(fx) + 1 and d.iy = floor(fy) + 1)"""
 
 
+query(over("site building dem", _FRESNEL.replace("{bilinear}", _BILINEAR.format(key="key", x="gx", y="gy", source="spots"))))(fresnel_coverage)
+
+
 @query(over("site dem", _BILINEAR.format(key="site", x="x", y="y", source="site") + " select site, ground from ground"))
 def dem_sample(spark: SparkSession, sf: str) -> DataFrame:
     """Bilinear ground height under each site, clamped to the grid."""
@@ -312,52 +344,56 @@ def fresnel_terrain_block(spark: SparkSession, sf: str) -> DataFrame:
     return margin.groupBy("site").agg(F.bool_or(F.col("k").between(1, 30) & (F.col("margin") < need)).alias("blocked"))
 
 
-_TIERS = """, ranked as (select site, row_number() over (order by altitude desc, site) as r, count(*) over () as n from site),
-tier as (select site, r, case when r <= greatest(1, round_even(0.2e0 * n, 0)) then 'hub' when r <= greatest(1, round_even(0.2e0 * n, 0)) + round_even(0.33e0 * n, 0) then 'relay' else 'edge' end as tier from ranked)"""
+_FLEET = """, ranked as (select site, x, y, antenna_z + 40 as z, row_number() over (order by altitude desc, site) as r, count(*) over () as n from site),
+gap as (select 2 * coalesce((select median(d) from (select min(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) as d from ranked a join ranked b on a.site <> b.site group by a.site)), 0e0) as least),
+pick(r, hubs) as (select cast(0 as bigint), cast([] as struct(site bigint, x double, y double)[]) union all
+    select p.r + 1, case when len(p.hubs) < greatest(1, round_even(0.2e0 * q.n, 0)) and not coalesce(list_bool_or(list_transform(p.hubs, lambda h: sqrt((h.x - q.x) * (h.x - q.x) + (h.y - q.y) * (h.y - q.y)) < g.least)), false)
+    then list_append(p.hubs, struct_pack(site := q.site, x := q.x, y := q.y)) else p.hubs end from pick p join ranked q on q.r = p.r + 1, gap g),
+hub as (select unnest(hubs).site as site, unnest(range(1, len(hubs) + 1)) as turn from pick where r = (select max(r) from pick)),
+tier as (select k.*, case when h.site is not null then 'hub' when row_number() over (partition by h.site is null order by r) <= round_even(0.33e0 * n, 0) then 'relay' else 'edge' end as tier from ranked k left join hub h on h.site = k.site)"""
 
 
-@query(over("site", _TIERS + " select tier, count(*) as sites, cast(case tier when 'hub' then 28800 when 'relay' then 14400 else 3600 end as double) as battery_s from tier group by tier"))
+@query(over("site", _FLEET + " select tier, count(*) as sites, cast(case tier when 'hub' then 28800 when 'relay' then 14400 else 3600 end as double) as battery_s from tier group by tier", recursive=True))
 def tier_counts(spark: SparkSession, sf: str) -> DataFrame:
-    from gridwright.operators.topology import tiers
-
     battery = F.create_map(*[F.lit(x) for kv in BATTERY_S.items() for x in kv])
-    return tiers(scene.site(spark, sf)).groupBy("tier").agg(F.count("*").alias("sites")).withColumn("battery_s", battery[F.col("tier")])
+    return topology.tiers(scene.site(spark, sf)).groupBy("tier").agg(F.count("*").alias("sites")).withColumn("battery_s", battery[F.col("tier")])
 
 
-@query(over("site", _TIERS + " select site, r as rank, tier from tier"))
+@query(over("site", _FLEET + " select site, r as rank, tier from tier", recursive=True))
 def asset_tiers(spark: SparkSession, sf: str) -> DataFrame:
-    from gridwright.operators.topology import tiers
+    return topology.tiers(scene.site(spark, sf)).select("site", F.col("rank").cast("long").alias("rank"), "tier")
 
-    return tiers(scene.site(spark, sf)).select("site", F.col("rank").cast("long").alias("rank"), "tier")
 
-
-_PRIMARY = (
-    _TIERS
-    + """, c as (select a.site, b.site as parent, a.r, b.r as pr, sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) as d from tier a join tier b on b.r < a.r join site p on p.site = a.site join site q on q.site = b.site where a.tier <> 'hub')
-    select site, parent, round(d, 6) as distance from (select *, row_number() over (partition by site order by d > 1400, d, parent) as k from c) where k = 1"""
+@query(over("site", _FLEET + " select site, turn from hub", recursive=True))
+def hubs(spark: SparkSession, sf: str) -> DataFrame:
+    """The fleet's hubs: highest sites that keep their distance."""
+    return topology.spaced_hubs(topology.ranked(scene.site(spark, sf)))
+
+
+_FEEDS = (
+    _FLEET
+    + """, c as (select a.site, b.site as parent, a.x as x0, a.y as y0, a.z as z0, b.x as x1, b.y as y1, b.z as z1, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) as d from tier a join tier b on b.r < a.r where a.tier <> 'hub'),
+step as (select site, parent, x0 + (x1 - x0) * (k / 31e0) as px, y0 + (y1 - y0) * (k / 31e0) as py, z0 + (z1 - z0) * (k / 31e0) as ray, (site * 1000000 + parent) * 100 + k as id from c, range(32) r(k))"""
+    + _BILINEAR.format(key="id", x="px", y="py", source="step")
+    + """, cand as (select c.site, c.parent, c.d, bool_and(ray - ground >= 5) as clear from c join step using (site, parent) join ground using (id) group by all),
+main as (select site, parent, d, clear from (select *, row_number() over (partition by site order by not (d <= 1400 and clear), d, parent) as k from cand) where k = 1),
+rooted(site, root) as (select site, site from hub union all select m.site, q.root from rooted q join main m on m.parent = q.site),
+spare as (select site, parent, d, clear from (select a.*, row_number() over (partition by a.site order by not a.clear, a.d, a.parent) as k from cand a join main m on m.site = a.site and m.parent <> a.parent
+    join rooted p on p.site = a.parent join rooted q on q.site = a.site where a.d <= 1400 and p.root <> q.root) where k = 1)"""
 )
 
 
-@query(over("site", _PRIMARY))
-def primary_parent(spark: SparkSession, sf: str) -> DataFrame:
-    """Each relay's and edge's nearest higher-ranked site, those within reach first."""
-    from gridwright.operators.topology import parents
-
-    return parents(scene.site(spark, sf)).where("choice = 1").select("site", "parent", F.round("distance", 6).alias("distance"))
+def _fed(spark: SparkSession, sf: str) -> DataFrame:
+    return topology.feeds(scene.site(spark, sf).withColumn("z", F.col("antenna_z") + 40), raster.as_array(scene.dem(spark)))
 
 
-@query()
-def hubs(spark: SparkSession, sf: str) -> DataFrame:
-    """The fleet's hubs: highest sites that keep their distance."""
-    from gridwright.operators.topology import spaced_hubs
-
-    return spaced_hubs(scene.site(spark, sf))
+@query(over("site dem", _FEEDS + " select site, parent, round(d, 6) as distance, clear from main", recursive=True))
+def primary_parent(spark: SparkSession, sf: str) -> DataFrame:
+    """Each relay's and edge's feed: the nearest higher-ranked site within reach and clear, else the nearest at all."""
+    return _fed(spark, sf).where("role = 'primary'").select("site", "parent", F.round("distance", 6).alias("distance"), "clear")
 
 
-@query(over("site", _TIERS + """, c as (select a.site, b.site as parent, a.r, sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) as d from tier a join tier b on b.r < a.r join site p on p.site = a.site join site q on q.site = b.site where a.tier <> 'hub')
-    select site, parent as protect, round(d, 6) as distance from (select *, row_number() over (partition by site order by d > 1400, d, parent) as k from c) where k = 2"""))
+@query(over("site dem", _FEEDS + " select site, parent as protect, round(d, 6) as distance, clear from spare", recursive=True))
 def protect_parent(spark: SparkSession, sf: str) -> DataFrame:
-    """Each site's second choice of a feed."""
-    from gridwright.operators.topology import parents
-
-    return parents(scene.site(spark, sf)).where("choice = 2").select("site", F.col("parent").alias("protect"), F.round("distance", 6).alias("distance"))
+    """Each site's feed from another hub within reach, clear ones first."""
+    return _fed(spark, sf).where("role = 'protect'").select("site", F.col("parent").alias("protect"), F.round("distance", 6).alias("distance"), "clear")

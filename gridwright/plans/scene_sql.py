@@ -2,7 +2,7 @@
 
 SITE = """ext as (select cast(floor(400 * sqrt(count(*))) as bigint) as e from supplier),
 site as (select s_suppkey as site, cast(s_suppkey * 7919 % e - e // 2 as double) as x, cast(s_suppkey * 104729 % e - e // 2 as double) as y,
-    cast(20 + s_suppkey * 37 % 80 as double) as antenna_z, cast(400 as double) as range_m, s_suppkey % 5 = 0 as failed,
+    cast(20 + s_suppkey * 37 % 80 as double) as antenna_z, case s_suppkey % 8 when 0 then 900e0 when 1 then 250e0 when 2 then 600e0 else 400e0 end as range_m, s_suppkey % 5 = 0 as failed,
     cast(s_suppkey * 61 % 97 as double) as altitude from supplier, ext)"""
 BUILDING = """building as (select p_partkey as bid, cast(p_partkey * 7907 % e - e // 2 as double) as cx, cast(p_partkey * 5003 % e - e // 2 as double) as cy,
     (10 + p_partkey % 30) / 2e0 as half, cast(3 + 2 * p_size as double) as height, cast(10 * p_size as bigint) as subs, p_type = 'PROMO' as critical,
@@ -11,8 +11,8 @@ TELEMETRY = """telemetry as (select event_id, user_id as site, ts, epoch_us(ts)
 ALARM = """alarm as (select event_id as alarm, user_id as site, cast(user_id * 7919 % 4000 as double) as x, cast(user_id * 104729 % 4000 as double) as y,
     cast(50 as double) as z, epoch_us(ts) / 1e6 as t,
     (['rf_path', 'power', 'transport'])[cast(json_extract_string(props, '$.k') as bigint) % 3 + 1] as family from events where event_type = 'error')"""
-METRICS6 = """metrics6 as (select event_id % 7 as site, cast(event_id as double) as t, -68e0 + (event_id * 13 % 11 - 5) * 0.2e0 as rssi_dbm,
-    case when event_id % 53 < 4 and event_id > 1500 then 0.5e0 else 420e0 + (event_id * 29 % 23 - 11) * 1.5e0 end as throughput_mbps,
+METRICS6 = """metrics6 as (select user_id // 10 as site, cast(event_id as double) as t, -68e0 + (event_id * 13 % 11 - 5) * 0.2e0 as rssi_dbm,
+    case when event_id % 530 < 40 and event_id > 1500 then 0.5e0 else 420e0 + (event_id * 29 % 23 - 11) * 1.5e0 end as throughput_mbps,
     42e0 + (event_id * 7 % 9 - 4) * 0.3e0 + case when event_id % 700 > 600 and event_id > 2000 then 25e0 else 0e0 end as temperature_c,
     610e0 + (event_id * 17 % 13 - 6) * 2e0 as power_draw_w, 1.18e0 + (event_id * 5 % 7 - 3) * 0.01e0 as vswr,
     0.15e0 + (event_id * 3 % 5) * 0.02e0 as packet_loss_pct from events)"""
@@ -30,7 +30,7 @@ road_f as (select s_suppkey as src, s_suppkey + 1 as dst, s_suppkey * 2 as way f
     union all select s_suppkey, s_suppkey + 10, s_suppkey * 2 + 1 from supplier, road_n where s_suppkey + 10 < n),
 road as (select src, dst, way, cast(50 + way * 37 % 100 as double) as length, (['primary', 'secondary', 'residential', 'service', 'track'])[way % 5 + 1] as highway,
     'Street ' || (way % 12) as name, cast(src % 10 * 100 + dst % 10 * 100 as double) as x2, cast(src // 10 * 100 + dst // 10 * 100 as double) as y2,
-    28e0 + way * 11 % 50 / 10e0 as elev, way % 3 = 0 as closed from (select * from road_f union all select dst, src, way from road_f where way % 7 <> 0))"""
+    28e0 + way * 11 % 50 / 10e0 as elev, way % 3 = 0 as closed, ([null, '50', '60 km/h', '30 mph', 'signals', '200', '', '4'])[way % 8 + 1] as maxspeed from (select * from road_f union all select dst, src, way from road_f where way % 7 <> 0))"""
 DEM = """dem as (select id % 40 as ix, id // 40 as iy, id % 40 * 50e0 - 500 as x, id // 40 * 50e0 - 500 as y,
     case when abs(id % 40 * 50e0 - 500 - 333) <= 120 then 30e0 else 40e0 + (id % 40 * 3 + id // 40 * 7) % 5 end as z from range(1600) r(id))"""
 STORM = """storm as (select * from (values (1, 500e0, 500e0, 1000e0, 80e0, 0e0, 1000e0, 90e0, 36e0, 6e0), (2, -800e0, 200e0, 700e0, 45e0, 200e0, 800e0, 0e0, 18e0, 3e0),

@@ -33,7 +33,7 @@ def site(spark: SparkSession, sf_dir: str) -> DataFrame:
         x.alias("x"),
         y.alias("y"),
         (k * 37 % 80 + 20).cast("double").alias("antenna_z"),
-        F.lit(400.0).alias("range_m"),
+        F.when(k % 8 == 0, 900.0).when(k % 8 == 1, 250.0).when(k % 8 == 2, 600.0).otherwise(400.0).alias("range_m"),
         (k % 5 == 0).alias("failed"),
         (k * 61 % 97).cast("double").alias("altitude"),
     )
@@ -67,11 +67,11 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def metrics6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Six metrics a sample, formulas over the event's number and value; some samples are hard failures."""
-    e, v = F.col("event_id"), F.col("value")
-    dead = (e % 53) < 4
+    """Six metrics a sample, formulas over the event's number; ten users' events are a site's, so sites grow with the events."""
+    e = F.col("event_id")
+    dead = (e % 530) < 40
     return telemetry(spark, sf_dir).select(
-        (e % 7).alias("site"),
+        F.floor(F.col("site") / 10).alias("site"),
         e.cast("double").alias("t"),
         (-68.0 + (e * 13 % 11 - 5) * 0.2).alias("rssi_dbm"),
         F.when(dead & (e > 1500), 0.5).otherwise(420.0 + (e * 29 % 23 - 11) * 1.5).alias("throughput_mbps"),
@@ -140,6 +140,7 @@ def road_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = _read(spark, sf_dir, "supplier").select(k)
     n = nodes.agg(F.count("*").alias("n"))
     kinds = F.array(*[F.lit(v) for v in ("primary", "secondary", "residential", "service", "track")])
+    posted = F.array(*[F.lit(v).cast("string") for v in (None, "50", "60 km/h", "30 mph", "signals", "200", "", "4")])
     forward = (
         nodes.crossJoin(F.broadcast(n))
         .select(k.alias("src"), F.explode(F.array(F.when(k % WIDTH < WIDTH - 1, k + 1), F.when(k + WIDTH < F.col("n"), k + WIDTH))).alias("dst"))
@@ -158,6 +159,7 @@ def road_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.floor(F.col("src") / WIDTH) * 100 + F.floor(F.col("dst") / WIDTH) * 100).cast("double").alias("y2"),
         (28.0 + F.col("way") * 11 % 50 / 10).alias("elev"),
         (F.col("way") % 3 == 0).alias("closed"),
+        F.element_at(posted, (F.col("way") % 8 + 1).cast("int")).alias("maxspeed"),
     )
 
 
