@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridwright.operators.graph import components, settled
@@ -68,3 +68,26 @@ def stable_ids(snapshots: DataFrame) -> DataFrame:
         return pd.DataFrame(rows, columns=["region", "at", "cluster", "id"])
 
     return snapshots.groupBy("region").applyInPandas(run, "region long, at double, cluster long, id string")
+
+
+def spans(members: DataFrame) -> DataFrame:
+    """(cluster, alarms, span_s, span_m) of (cluster, x, y, z, t): the time that it lasts and its widest 3-D distance.
+
+    The extremes of the axes and diagonals bound the distance from below. Only places whose farthest
+    corner of the cluster's box lies at least as far can end the widest pair, so few meet each other.
+    """
+    ways = [(1, 0, 0), (0, 1, 0), (0, 0, 1), (1, 1, 0), (1, -1, 0)]
+    place = F.struct("x", "y", "z")
+    along = [F.col("x") * a + F.col("y") * b + F.col("z") * c for a, b, c in ways]
+
+    def apart(p: str, q: str) -> Column:
+        return F.sqrt(sum(((F.col(f"{p}.{c}") - F.col(f"{q}.{c}")) ** 2 for c in "xyz"), F.lit(0.0)))
+
+    ends = [f(place, w).alias(f"{n}{k}") for k, w in enumerate(along) for n, f in (("lo", F.min_by), ("hi", F.max_by))]
+    box = settled(members.groupBy("cluster").agg(F.count("*").alias("alarms"), F.round(F.max("t") - F.min("t"), 3).alias("span_s"), *[f(c).alias(f"{n}_{c}") for c in "xyz" for n, f in (("min", F.min), ("max", F.max))], *ends))
+    bound = F.greatest(*[apart(f"lo{k}", f"hi{k}") for k in range(len(ways))])
+    corner = F.sqrt(sum((F.greatest(F.col(c) - F.col(f"min_{c}"), F.col(f"max_{c}") - F.col(c)) ** 2 for c in "xyz"), F.lit(0.0)))
+    far = settled(members.select("cluster", "x", "y", "z").distinct().join(box.withColumn("bound", bound), "cluster").where(corner >= F.col("bound") - 1e-9).select("cluster", place.alias("p")))
+    pairs = far.join(far.select("cluster", F.col("p").alias("q")), "cluster")
+    wide = pairs.groupBy("cluster").agg(F.max(apart("p", "q")).alias("span_m"))
+    return box.select("cluster", "alarms", "span_s").join(wide, "cluster")

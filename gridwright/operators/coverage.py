@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridwright.functions.geom import crossing_span, fresnel
 from gridwright.operators.grid_join import along, reaching
+from gridwright.operators.graph import settled
 from gridwright.operators.raster import sample
 from gridwright.schema import COVERED_SHARE, FACADE_FRACTIONS, FRESNEL_CLEARANCE, MIN_SAMPLE_Z, TERRAIN_SAMPLES
 
@@ -45,7 +46,7 @@ def line_of_sight(sites: DataFrame, buildings: DataFrame, mhz: str | None = None
     base = F.lit(0.0)
     if ground is not None:
         base = F.col("base")
-        buildings = buildings.crossJoin(F.broadcast(ground)).withColumn("base", F.round(sample(F.col("grid"), F.col("cx"), F.col("cy")), 6)).drop("grid")
+        buildings = settled(buildings.crossJoin(F.broadcast(ground)).withColumn("base", F.round(sample(F.col("grid"), F.col("cx"), F.col("cy")), 6)).drop("grid"))
     kept = [F.col(mhz).alias("mhz")] if mhz else []
     kept += [F.col(host).alias("host")] if host else []
     kept += [base.alias("base")] if ground is not None else []
@@ -79,7 +80,7 @@ def line_of_sight(sites: DataFrame, buildings: DataFrame, mhz: str | None = None
     def over(t: Column) -> Column:
         return F.col("z0") + (F.col("ray.z") - F.col("z0")) * t - F.col("roof")
 
-    hit = tested.where((over(first) < need(first, run)) | (over(last) < need(last, run)))
+    hit = tested.where(F.exists(F.array(first, last), lambda t: over(t) < need(t, run)))
     masks = hit.groupBy("site", "bid").agg(F.bit_or(F.expr("shiftleft(1, ray.k)")).alias("mask"))
     seen = pairs.join(masks, ["site", "bid"], "left").withColumn("mask", F.coalesce("mask", F.lit(0)))
     if ground is not None:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridwright.functions import weather
 from gridwright.operators import cluster, detector
+from gridwright.operators.graph import settled
+from gridwright.operators.ordering import running
 from gridwright.plans.registering import registry
 from gridwright.plans.scene_sql import over
-from gridwright.schema import METRICS, VAR_FLOOR
+from gridwright.schema import BASELINE, BOUNDS, METRICS, PROFILES, RETENTION_S
 from gridwright.sources import scene
 
 QUERIES, ORACLE_SQL, query = registry()
@@ -57,31 +59,33 @@ def active_cells(spark: SparkSession, sf: str) -> DataFrame:
     return c.where(s > 0.01).select("t", F.concat(F.lit("CELL-"), "cell").alias("id"), F.round(x, 4).alias("x"), F.round(y, 4).alias("y"), F.round(F.col("peak") * s, 6).alias("rain"))
 
 
-_HOP_RAIN = """, hop as (select a.site, a.x as ax, a.y as ay, b.x as bx, b.y as by_, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) / 1000 as km from site a join site b on b.site = a.site + 1),
-live as (select *, (400e0 - start_s) / duration_s as phase from storm), cells as (select *, case when phase between 0 and 1 then (1 - cos(phase * 2 * pi())) / 2 else 0e0 end as power,
-    x0 + (400e0 - start_s) * kmh / 3.6e0 * sin(radians(bearing)) as cx, y0 + (400e0 - start_s) * kmh / 3.6e0 * cos(radians(bearing)) as cy from live),
+def _hop_rain(times: str) -> str:
+    """Rain fade of each hop to the next site at each of ``times``, and the capacity that it leaves."""
+    return f""", hop as (select a.site, a.x as ax, a.y as ay, b.x as bx, b.y as by_, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) / 1000 as km from site a join site b on b.site = a.site + 1),
+at_ as (select unnest([{times}]) as t), lit_ as (select *, (t - start_s) / duration_s as phase from storm, at_), shower as (select *, case when phase between 0 and 1 then (1 - cos(phase * 2 * pi())) / 2 else 0e0 end as power,
+    x0 + (t - start_s) * kmh / 3.6e0 * sin(radians(bearing)) as cx, y0 + (t - start_s) * kmh / 3.6e0 * cos(radians(bearing)) as cy from lit_),
 step as (select site, km, k, ax + (bx - ax) * k / 11e0 as x, ay + (by_ - ay) * k / 11e0 as y from hop, range(12) r(k)),
-wet as (select site, km, k, sum(peak * power * exp(((x - cx) * (x - cx) + (y - cy) * (y - cy)) / (radius * radius) * ln(0.25e0))) as rain from step, cells group by site, km, k),
-fade as (select site, avg(0.0691e0 * pow(greatest(rain, 0), 1.0818e0)) * any_value(km) as db from wet group by site)"""
+wet as (select site, t, km, k, sum(peak * power * exp(((x - cx) * (x - cx) + (y - cy) * (y - cy)) / (radius * radius) * ln(0.25e0))) as rain from step, shower group by site, t, km, k),
+fade as (select site, t, avg(0.0691e0 * pow(greatest(rain, 0), 1.0818e0)) * any_value(km) as db from wet group by site, t),
+cap as (select site, t, db, case when db >= 35 then 0e0 else greatest(0e0, least(1e0, log2(1 + pow(10, (30 - db) / 10)) / log2(1 + pow(10e0, 3)))) end as c from fade)"""
 
 
-@query(
-    over(
-        "site storm",
-        _HOP_RAIN
-        + """ select site, round(db, 6) as fade_db, round(case when db >= 35 then 0e0 else greatest(0e0, least(1e0, log2(1 + pow(10, (30 - db) / 10)) / log2(1 + pow(10e0, 3)))) end, 6) as capacity from fade""",
-    )
-)
-def hop_capacity(spark: SparkSession, sf: str) -> DataFrame:
-    """Rain fade along the hop to the next site at 400 s, and the capacity that it leaves."""
+def _capacity(spark: SparkSession, sf: str, times: tuple[float, ...]) -> DataFrame:
+    """(site, t, db, c): fade and capacity of the hop to the next site; the last has none."""
     s = scene.site(spark, sf).select("site", F.col("x").alias("ax"), F.col("y").alias("ay"))
     peer = s.select((F.col("site") - 1).alias("site"), F.col("ax").alias("bx"), F.col("ay").alias("by"))
     hops = s.join(peer, "site").withColumn("km", F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")) / 1000)
-    steps = hops.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(11)))).withColumn("t", F.lit(400.0))
+    steps = hops.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(11)))).withColumn("t", F.explode(F.array(*[F.lit(t) for t in times])))
     steps = steps.withColumn("x", F.col("ax") + (F.col("bx") - F.col("ax")) * F.col("k") / 11.0).withColumn("y", F.col("ay") + (F.col("by") - F.col("ay")) * F.col("k") / 11.0)
-    wet = _field(spark, steps).groupBy("site", "km", "k").agg(F.sum("rain").alias("rain"))
-    fade = wet.groupBy("site", "km").agg((F.avg(weather.attenuation(F.col("rain")))).alias("per_km")).withColumn("db", F.col("per_km") * F.col("km"))
-    return fade.select("site", F.round("db", 6).alias("fade_db"), F.round(weather.capacity(F.col("db")), 6).alias("capacity"))
+    wet = _field(spark, steps).groupBy("site", "t", "km", "k").agg(F.sum("rain").alias("rain"))
+    fade = wet.groupBy("site", "t", "km").agg((F.avg(weather.attenuation(F.col("rain")))).alias("per_km")).withColumn("db", F.col("per_km") * F.col("km"))
+    return fade.select("site", "t", "db", weather.capacity(F.col("db")).alias("c"))
+
+
+@query(over("site storm", _hop_rain("400e0") + " select site, round(db, 6) as fade_db, round(c, 6) as capacity from cap"))
+def hop_capacity(spark: SparkSession, sf: str) -> DataFrame:
+    """Rain fade along the hop to the next site at 400 s, and the capacity that it leaves."""
+    return _capacity(spark, sf, (400.0,)).select("site", F.round("db", 6).alias("fade_db"), F.round("c", 6).alias("capacity"))
 
 
 _FAULT = """, fault as (select s_suppkey as site, (['amplifier_degradation', 'power_failure', 'backhaul_congestion', 'antenna_misalignment'])[s_suppkey % 4 + 1] as profile,
@@ -90,19 +94,17 @@ open as (select e.event_id, e.site, e.t, f.profile, case when e.t < start_s or e
     from telemetry e join fault f on f.site = e.site and f.start_s <= e.t and e.t < f.resolved_at)"""
 
 
-@query(
-    over(
-        "telemetry",
-        _FAULT
-        + """ select event_id, profile, round(sev, 6) as severity,
-    round(least(1200e0, greatest(0e0, 420e0 * (1 + (case profile when 'amplifier_degradation' then 0.35e0 when 'power_failure' then 0e0 when 'backhaul_congestion' then 0.22e0 else 0.55e0 end - 1) * sev))), 6) as throughput_mbps,
-    round(least(100e0, greatest(0e0, 0.15e0 + case profile when 'amplifier_degradation' then 7.5e0 when 'power_failure' then 99e0 when 'backhaul_congestion' then 14e0 else 0e0 end * sev)), 6) as packet_loss_pct from open""",
-    )
-)
-def fault_blend(spark: SparkSession, sf: str) -> DataFrame:
-    """The open fault at each sample, its severity, and two metrics blended with its profile and clipped."""
-    from gridwright.schema import BASELINE, BOUNDS, PROFILES
+def _blend_sql(metric: str) -> str:
+    """A metric's baseline, moved by the open fault's profile to its severity and clipped."""
+    base, (least, most) = float(BASELINE[metric][0]), BOUNDS[metric]
+    moved = {p: f"{base}e0 * (1 + ({by}e0 - 1) * sev)" if how == "*" else f"{base}e0 + {by}e0 * sev" for p, effects in PROFILES.items() for m, (how, by) in effects.items() if m == metric}
+    cases = "case profile " + " ".join(f"when '{p}' then {x}" for p, x in moved.items()) + f" else {base}e0 end"
+    return f"round(least({most}e0, greatest({least}e0, {cases})), 6) as {metric}"
+
 
+@query(over("telemetry", _FAULT + " select event_id, profile, round(sev, 6) as severity, " + ", ".join(_blend_sql(m) for m in METRICS) + " from open"))
+def fault_blend(spark: SparkSession, sf: str) -> DataFrame:
+    """The open fault at each sample, its severity, and the metrics blended with its profile and clipped."""
     k = F.col("s_suppkey")
     kinds = F.array(*[F.lit(v) for v in PROFILES])
     start = k * 86400.0 / 4 + 1704067200.0
@@ -110,7 +112,7 @@ def fault_blend(spark: SparkSession, sf: str) -> DataFrame:
     open_ = scene.telemetry(spark, sf).join(faults, "site").where((F.col("start_s") <= F.col("t")) & (F.col("t") < F.col("resolved_at")))
     open_ = open_.withColumn("sev", weather.severity(F.col("t"), F.col("start_s"), F.lit(86400.0), F.col("resolved_at")))
 
-    def blended(metric: str):  # noqa: ANN202
+    def blended(metric: str) -> Column:
         base, (least, most) = BASELINE[metric][0], BOUNDS[metric]
         out = F.lit(base)
         for profile, effects in PROFILES.items():
@@ -120,29 +122,26 @@ def fault_blend(spark: SparkSession, sf: str) -> DataFrame:
                 out = F.when(F.col("profile") == profile, moved).otherwise(out)
         return F.round(F.least(F.lit(most), F.greatest(F.lit(least), out)), 6).alias(metric)
 
-    return open_.select("event_id", "profile", F.round("sev", 6).alias("severity"), blended("throughput_mbps"), blended("packet_loss_pct"))
+    return open_.select("event_id", "profile", F.round("sev", 6).alias("severity"), *[blended(m) for m in METRICS])
 
 
 @query(
     over(
         "site storm",
-        _RAIN
-        + """ select site, t, round(420e0 * greatest(0.2e0, 1 - rain / 120e0), 6) as throughput_mbps, round(0.15e0 + 6 * (rain / 150e0) * (rain / 150e0), 6) as packet_loss_pct,
-    round(42 + 0.05e0 * (least(100, 78 + 0.22e0 * rain) - 78) - 0.015e0 * rain, 6) as temperature_c, round(1.18e0 + 0.0012e0 * rain, 6) as vswr from field""",
+        _RAIN + _hop_rain("0e0, 300e0, 600e0, 900e0")
+        + """, hit as (select f.site, f.t, rain, least(100, 78 + 0.22e0 * rain) as humid, coalesce(c, 1e0) as c from field f left join cap using (site, t))
+    select site, t, -68e0 as rssi_dbm, round(420e0 * c, 6) as throughput_mbps, round(42 + 0.05e0 * (humid - 78) - 0.015e0 * rain, 6) as temperature_c, 610e0 as power_draw_w,
+    round(1.18e0 + 0.0012e0 * rain, 6) as vswr, round(0.15e0 + 6 * (1 - c) * (1 - c), 6) as packet_loss_pct from hit""",
     )
 )
 def weather_effects(spark: SparkSession, sf: str) -> DataFrame:
-    """What rain does to a site's metrics, for a link that loses capacity with rain."""
-    r = F.col("rain")
+    """What rain does to a site's metrics: its hop's capacity moves rate and loss, damp air and water the cabinet and the feeder."""
+    r, c = F.col("rain"), F.coalesce("c", F.lit(1.0))
     humid = F.least(F.lit(100.0), r * 0.22 + 78)
-    return _at_sites(spark, sf).select(
-        "site",
-        "t",
-        F.round(F.greatest(F.lit(0.2), 1 - r / 120) * 420, 6).alias("throughput_mbps"),
-        F.round(r / 150 * (r / 150) * 6 + 0.15, 6).alias("packet_loss_pct"),
-        F.round((humid - 78) * 0.05 - r * 0.015 + 42, 6).alias("temperature_c"),
-        F.round(r * 0.0012 + 1.18, 6).alias("vswr"),
-    )
+    base = {m: F.lit(float(BASELINE[m][0])) for m in METRICS}
+    moved = {"throughput_mbps": base["throughput_mbps"] * c, "packet_loss_pct": base["packet_loss_pct"] + (1 - c) * (1 - c) * 6, "temperature_c": (humid - 78) * 0.05 - r * 0.015 + base["temperature_c"], "vswr": r * 0.0012 + base["vswr"]}
+    at = _at_sites(spark, sf).join(_capacity(spark, sf, (0.0, 300.0, 600.0, 900.0)), ["site", "t"], "left")
+    return at.select("site", "t", *[F.round((base | moved)[m], 6).alias(m) for m in METRICS])
 
 
 _EWMA = """, ord as (select *, row_number() over (partition by site order by t, event_id) as k from telemetry),
@@ -155,11 +154,18 @@ def ewma_ungated(spark: SparkSession, sf: str) -> DataFrame:
     return detector.ewma(scene.telemetry(spark, sf)).select("site", "event_id", F.round("mean", 6).alias("mean"), F.round("variance", 6).alias("variance"))
 
 
-@query(over("telemetry", _EWMA + " select site, event_id, round(abs(x - mean) / sqrt(greatest(variance, 1e-6)), 5) as z, round(sqrt((x - mean) * (x - mean) / greatest(variance, 1e-6)), 5) as distance from e", recursive=True))
+_EWMA6 = (
+    ", long as (" + " union all ".join(f"select site, t, {k} as m, {m} as x from metrics6" for k, m in enumerate(METRICS)) + ")"
+    + """, ord as (select *, row_number() over (partition by site, m order by t) as k from long),
+e(site, m, k, t, x, mean, variance, m2, v2) as (select site, m, k, t, x, x, 1e0, x, 1e0 from ord where k = 1
+    union all select o.site, o.m, o.k, o.t, o.x, e.m2, e.v2, e.m2 + 0.002e0 * (o.x - e.m2), (1 - 0.002e0) * (e.v2 + 0.002e0 * (o.x - e.m2) * (o.x - e.m2)) from e join ord o on o.site = e.site and o.m = e.m and o.k = e.k + 1)"""
+)
+
+
+@query(over("metrics6", _EWMA6 + " select site, t, round(max(abs(x - mean) / sqrt(greatest(variance, 1e-6))), 5) as z, round(sqrt(sum((x - mean) * (x - mean) / greatest(variance, 1e-6))), 5) as distance from e group by site, t", recursive=True))
 def z_mahalanobis(spark: SparkSession, sf: str) -> DataFrame:
-    """z-score and diagonal Mahalanobis distance of each sample to the baseline before it."""
-    d, spread = F.col("x") - F.col("mean"), F.greatest(F.col("variance"), F.lit(VAR_FLOOR))
-    return detector.ewma(scene.telemetry(spark, sf)).select("site", "event_id", F.round(F.abs(d) / F.sqrt(spread), 5).alias("z"), F.round(F.sqrt(d * d / spread), 5).alias("distance"))
+    """The largest z-score and the diagonal Mahalanobis distance of each sample's six metrics to the baseline before it."""
+    return detector.distances(scene.metrics6(spark, sf)).select("site", "t", F.round("max_z", 5).alias("z"), F.round("distance", 5).alias("distance"))
 
 
 @query(
@@ -183,15 +189,12 @@ def detector_states(spark: SparkSession, sf: str) -> DataFrame:
     return detector.detect(scene.metrics6(spark, sf)).select("site", "t", "state", "changed", F.round("max_z", 4).alias("max_z"), F.round("distance", 4).alias("distance"))
 
 
-@query(over("metrics6", " select site, floor(t / 10) * 10 as window_s, max(t) as last_t, arg_max(throughput_mbps, t) as throughput_mbps, count(*) as samples from metrics6 group by site, floor(t / 10)"))
+@query(over("metrics6", " select site, cast(floor(t / 10) * 10 as double) as window_s, max(t) as last_t, arg_max(throughput_mbps, t) as throughput_mbps, count(*) as samples from metrics6 group by site, floor(t / 10)"))
 def digest(spark: SparkSession, sf: str) -> DataFrame:
     """The last sample of each ten seconds, on a clean clock."""
     return scene.metrics6(spark, sf).groupBy("site", (F.floor(F.col("t") / 10) * 10.0).alias("window_s")).agg(F.max("t").alias("last_t"), F.max_by("throughput_mbps", "t").alias("throughput_mbps"), F.count("*").alias("samples"))
 
 
-ORACLE_SQL["digest"] = over("metrics6", " select site, cast(floor(t / 10) * 10 as double) as window_s, max(t) as last_t, arg_max(throughput_mbps, t) as throughput_mbps, count(*) as samples from metrics6 group by site, floor(t / 10)")
-
-
 @query(over("metrics6", ", d as (select count(*) as n, count(distinct (site, floor(t / 10))) as digests from metrics6) select n as samples, n * 120 as raw_bytes, digests * 180 as uplink_bytes, round(100 * (1 - digests * 180e0 / (n * 120)), 6) as reduction_pct from d"))
 def uplink_bytes(spark: SparkSession, sf: str) -> DataFrame:
     """Raw against uplink bytes."""
@@ -231,7 +234,7 @@ _ROLL = over(
     _ST.format(2)
     + """, m as (select f.cluster, a.* from full_ f join alarm a using (alarm) where f.cluster is not null)
     select cluster, count(*) as alarms, string_agg(alarm, ',' order by alarm) as members, round(max(t) - min(t), 3) as span_s,
-    round((select max(sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y))) from m p join m q on p.cluster = q.cluster where p.cluster = m.cluster), 6) as span_m from m group by cluster""",
+    round((select max(sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z))) from m p join m q on p.cluster = q.cluster where p.cluster = m.cluster), 6) as span_m from m group by cluster""",
     recursive=True,
 )
 
@@ -240,29 +243,31 @@ _ROLL = over(
 def cluster_rollup(spark: SparkSession, sf: str) -> DataFrame:
     """Members, time span and widest distance of each cluster."""
     alarms = scene.alarm(spark, sf)
-    m = alarms.join(cluster.st_dbscan(alarms).where("cluster is not null"), "alarm")
-    other = m.select("cluster", F.col("x").alias("x2"), F.col("y").alias("y2")).distinct()
-    wide = m.select("cluster", "x", "y").distinct().join(other, "cluster").groupBy("cluster").agg(F.round(F.max(F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2"))), 6).alias("span_m"))
-    rolled = m.groupBy("cluster").agg(F.count("*").alias("alarms"), F.array_join(F.array_sort(F.collect_list("alarm")), ",").alias("members"), F.round(F.max("t") - F.min("t"), 3).alias("span_s"))
-    return rolled.join(wide, "cluster")
+    m = settled(alarms.join(cluster.st_dbscan(alarms).where("cluster is not null"), "alarm"))
+    named = m.groupBy("cluster").agg(F.array_join(F.array_sort(F.collect_list("alarm")), ",").alias("members"))
+    return cluster.spans(m).join(named, "cluster").select("cluster", "alarms", "members", "span_s", F.round("span_m", 6).alias("span_m"))
 
 
 @query(
     over(
         "alarm",
-        """, snap as (select t0, a.site from alarm a, (select unnest(range(1, 29)) * 86400e0 + 1704067200e0 as t0) where a.t between t0 - 86400 and t0),
-    s as (select distinct * from snap) select a.t0 as at, count(b.site) as shared, round(count(b.site) / cast((select count(*) from s x where x.t0 = a.t0) + (select count(*) from s x where x.t0 = a.t0 - 86400) - count(b.site) as double), 6) as jaccard
-    from s a left join s b on b.site = a.site and b.t0 = a.t0 - 86400 group by a.t0""",
+        _ST.format(2)
+        + """, s as (select distinct floor(a.t / 86400) * 86400e0 as at_, f.cluster, a.site from full_ f join alarm a using (alarm) where f.cluster is not null),
+    n as (select at_, cluster, count(*) as n from s group by all), o as (select a.at_, a.cluster, b.cluster as before, count(*) as shared from s a join s b on b.site = a.site and b.at_ = a.at_ - 86400 group by all)
+    select o.at_ as at, o.cluster, o.before, o.shared, round(o.shared / cast(x.n + y.n - o.shared as double), 6) as jaccard from o join n x on x.at_ = o.at_ and x.cluster = o.cluster join n y on y.at_ = o.at_ - 86400 and y.cluster = o.before""",
+        recursive=True,
     )
 )
 def cluster_jaccard(spark: SparkSession, sf: str) -> DataFrame:
-    """How much of a day's alarmed sites were alarmed the day before."""
-    day = F.explode(F.transform(F.sequence(F.lit(1), F.lit(28)), lambda d: d * 86400.0 + 1704067200.0))
-    a = scene.alarm(spark, sf).withColumn("at", day).where(F.col("t").between(F.col("at") - 86400, F.col("at"))).groupBy("at").agg(F.collect_set("site").alias("sites"))
-    before = a.select((F.col("at") + 86400).alias("at"), F.col("sites").alias("old"))
-    both = a.join(before, "at", "left").withColumn("old", F.coalesce("old", F.array().cast("array<bigint>")))
-    shared = F.size(F.array_intersect("sites", "old"))
-    return both.select("at", shared.cast("long").alias("shared"), F.round(shared / F.size(F.array_union("sites", "old")), 6).alias("jaccard"))
+    """How much of each day's clusters' sites were in the clusters of the day before, over all days that have alarms; pairs meet by site."""
+    alarms = scene.alarm(spark, sf)
+    held = cluster.st_dbscan(alarms).where("cluster is not null")
+    s = settled(alarms.join(held, "alarm").select((F.floor(F.col("t") / 86400) * 86400.0).alias("at"), "cluster", "site").distinct())
+    sizes = s.groupBy("at", "cluster").agg(F.count("*").alias("n"))
+    old = s.select((F.col("at") + 86400.0).alias("at"), F.col("cluster").alias("before"), "site")
+    both = s.join(old, ["at", "site"]).groupBy("at", "cluster", "before").agg(F.count("*").alias("shared"))
+    theirs = sizes.select((F.col("at") + 86400.0).alias("at"), F.col("cluster").alias("before"), F.col("n").alias("n2"))
+    return both.join(sizes, ["at", "cluster"]).join(theirs, ["at", "before"]).select("at", "cluster", "before", "shared", F.round(F.col("shared") / (F.col("n") + F.col("n2") - F.col("shared")), 6).alias("jaccard"))
 
 
 @query(
@@ -272,12 +277,20 @@ def cluster_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     )
 )
 def retention_window(spark: SparkSession, sf: str) -> DataFrame:
-    """Sites with an alarm in the half hour before each alarm, by an equi-join on half-hour bins."""
+    """Sites with an alarm in the half hour before each alarm.
+
+    Only a site's latest alarm counts, so its alarms merge into spells that last half an hour beyond
+    the last; the spells open at a time are a running sum, and no alarms are paired.
+    """
     alarms = scene.alarm(spark, sf).select("alarm", "site", "t")
-    at = F.floor(F.col("t") / 1800)
-    left = alarms.select("alarm", "t").withColumn("bin", F.explode(F.array(at - 1, at)))
-    right = alarms.select(F.col("site").alias("other"), F.col("t").alias("t2")).withColumn("bin", F.floor(F.col("t2") / 1800))
-    return left.join(right, "bin").where(F.col("t2").between(F.col("t") - 1800, F.col("t"))).groupBy("alarm").agg(F.count_distinct("other").alias("live_sites"))
+    order = Window.partitionBy("site").orderBy("t")
+    fresh = F.coalesce((F.col("t") - F.lag("t").over(order) > RETENTION_S).cast("int"), F.lit(1))
+    spells = alarms.withColumn("fresh", fresh).withColumn("spell", F.sum("fresh").over(order)).groupBy("site", "spell").agg(F.min("t").alias("start"), (F.max("t") + RETENTION_S).alias("end"))
+    none = F.lit(None).cast("long")
+    moves = spells.select(F.col("start").alias("at"), F.lit(0).alias("turn"), F.lit(1).alias("step"), none.alias("alarm"))
+    moves = moves.unionByName(spells.select(F.col("end").alias("at"), F.lit(2).alias("turn"), F.lit(-1).alias("step"), none.alias("alarm")))
+    moves = moves.unionByName(alarms.select(F.col("t").alias("at"), F.lit(1).alias("turn"), F.lit(0).alias("step"), "alarm"))
+    return running(moves, ["at", "turn"], "step", "live").where("alarm is not null").select("alarm", F.col("live").alias("live_sites"))
 
 
 @query(
@@ -321,6 +334,14 @@ def metric_means(spark: SparkSession, sf: str) -> DataFrame:
     return scene.metrics6(spark, sf).agg(F.count("*").alias("samples"), *[F.round(F.avg(m), 6).alias(m) for m in METRICS])
 
 
+@query()
+def confirmed_states(spark: SparkSession, sf: str) -> DataFrame:
+    """The gated detector with a second opinion: a reconstruction of healthy z-scores, trained here, strange beyond the 99.5th percentile of its errors."""
+    samples = scene.metrics6(spark, sf)
+    model = detector.train_reconstruction(settled(detector.healthy_scores(samples)))
+    return detector.detect(samples, model).select("site", "t", "state", "changed", F.round("max_z", 4).alias("max_z"), F.round("distance", 4).alias("distance"))
+
+
 @query()
 def detected_incidents(spark: SparkSession, sf: str) -> DataFrame:
     """Incidents that the detector's state changes open and close."""

@@ -5,7 +5,6 @@ from __future__ import annotations
 import pickle
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,8 +14,8 @@ from gridwright.operators.detector import Detector
 from gridwright.schema import METRICS
 
 
-def detect(samples: DataFrame) -> DataFrame:
-    """Verdicts of a stream (site, t, six metrics, repaired?); a site's detector is its state.
+def detect(samples: DataFrame, confirm: Callable[[list[float]], bool] | None = None) -> DataFrame:
+    """Verdicts of a stream (site, t, six metrics, repaired?); a site's detector is its state, ``confirm`` its second opinion.
 
     A batch is put in order of t first. A row whose ``repaired`` is true makes the detector relearn
     before it sees the sample. Restarting from a checkpoint goes on as if never stopped.
@@ -31,7 +30,7 @@ def detect(samples: DataFrame) -> DataFrame:
         for x, repaired in zip(frame[list(METRICS)].to_numpy(float), frame["repaired"], strict=True):
             if repaired:
                 detector.relearn()
-            said.append(detector.observe(np.asarray(x)))
+            said.append(detector.observe(x.tolist(), confirm))
         state.update((pickle.dumps(detector),))
         out = pd.DataFrame(said, columns=["state", "changed", "max_z", "distance"])
         yield pd.concat([frame[["site", "t"]].reset_index(drop=True), out], axis=1)
