@@ -41,6 +41,7 @@ BLOCK = 16
 END = b"\n"
 _FLUSH = 300_000
 _START = -(1 << 62)
+_ONES = np.ones(STEP, np.float32)
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
 
@@ -212,7 +213,7 @@ class Reader:
 
 
 def _sums(x: np.ndarray) -> np.ndarray:
-    return x @ np.ones(x.shape[1], np.float32)
+    return x @ _ONES[: x.shape[1]]
 
 
 def _softmax(logits: np.ndarray) -> np.ndarray:
@@ -222,15 +223,19 @@ def _softmax(logits: np.ndarray) -> np.ndarray:
     return logits
 
 
+def _take(rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return rows.take(at, axis=0, mode="clip")
+
+
 def _totals(slope: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Sums of the runs of ``slope``, all of them side by side while many are left: most are short."""
-    out, live, k = slope[starts], np.flatnonzero(sizes > 1), 1
+    out, live, k = _take(slope, starts), np.flatnonzero(sizes > 1), 1
     while len(live) > 64:
-        out[live] += slope[starts[live] + k]
+        out[live] += _take(slope, starts[live] + k)
         k += 1
         live = live[sizes[live] > k]
     for j in live:
-        out[j] += slope[starts[j] + k : starts[j] + sizes[j]].sum(axis=0)
+        out[j] += _ONES[: sizes[j] - k] @ slope[starts[j] + k : starts[j] + sizes[j]]
     return out
 
 
@@ -240,12 +245,15 @@ def _descend(weights: np.ndarray, spent: np.ndarray, seen: np.ndarray, rows: np.
     sizes = np.diff(np.append(starts, len(rows)))
     sums = _totals(slope, starts, sizes)
     at = rows[starts]
-    spent[at] += np.einsum("ij,ij->i", sums, sums)
+    grown = spent[at] + np.einsum("ij,ij->i", sums, sums)
+    spent[at] = grown
     seen[at] += sizes
-    sums *= (RATE / np.sqrt(spent[at] + 1.0))[:, None]
-    own = weights[at]
+    sums *= (RATE / np.sqrt(grown + 1.0))[:, None]
+    own = _take(weights, at)
     own -= sums
-    weights[at] = np.clip(own, -BOUND, BOUND, out=own)
+    if float(np.abs(own).max()) > BOUND:
+        np.clip(own, -BOUND, BOUND, out=own)
+    weights[at] = own
 
 
 def train_pass(batches: Iterator[list[np.ndarray]], reader: Reader, model: Model) -> tuple[np.ndarray, np.ndarray]:
@@ -261,28 +269,28 @@ def train_pass(batches: Iterator[list[np.ndarray]], reader: Reader, model: Model
             b = min(a + STEP, len(joined))
             order = np.argsort(for_class[0, a:b])
             gram, skip, both, target = *for_class[:, a:b][:, order], classes[a:b][order]
-            logits = model.of_class[gram]
-            logits += model.of_class[skip]
-            logits += model.of_class[both]
+            logits = _take(model.of_class, gram)
+            logits += _take(model.of_class, skip)
+            logits += _take(model.of_class, both)
             logits += model.class_bias
             p = _softmax(logits)
             p[np.arange(b - a), target] -= 1
             _descend(model.of_class, spent[0], seen[0], gram, p)
             for other in (skip, both):
                 again = np.argsort(other)
-                _descend(model.of_class, spent[0], seen[0], other[again], p[again])
+                _descend(model.of_class, spent[0], seen[0], other[again], _take(p, again))
             inside = np.flatnonzero((joined[a:b] >= 0) & (joined[a:b] < n_softmax))
             if len(inside):
                 inside = inside[np.argsort(for_member[0, a:b][inside])]
                 gram, skip, word = *for_member[:, a:b][:, inside], joined[a:b][inside]
-                logits = model.of_member[gram]
-                logits += model.of_member[skip]
-                logits += model.member_bias[classes[a:b][inside]]
+                logits = _take(model.of_member, gram)
+                logits += _take(model.of_member, skip)
+                logits += _take(model.member_bias, classes[a:b][inside])
                 p = _softmax(logits)
                 p[np.arange(len(inside)), word // reader.v.n_classes] -= 1
                 _descend(model.of_member, spent[1], seen[1], gram, p)
                 again = np.argsort(skip)
-                _descend(model.of_member, spent[1], seen[1], skip[again], p[again])
+                _descend(model.of_member, spent[1], seen[1], skip[again], _take(p, again))
     return seen[0], seen[1]
 
 
@@ -396,17 +404,17 @@ class Scorer:
         classes = self.reader.class_of(joined)
         for a in range(0, len(joined), SCORE_STEP):
             b = min(a + SCORE_STEP, len(joined))
-            logits = m.of_class[for_class[0, a:b]]
-            logits += m.of_class[for_class[1, a:b]]
-            logits += m.of_class[for_class[2, a:b]]
+            logits = _take(m.of_class, for_class[0, a:b])
+            logits += _take(m.of_class, for_class[1, a:b])
+            logits += _take(m.of_class, for_class[2, a:b])
             logits += m.class_bias
             score[a:b] = logits[np.arange(b - a), classes[a:b]]
             score[a:b] -= np.log(_sums(np.exp(logits, out=logits)))
             inside = np.flatnonzero((joined[a:b] >= 0) & (joined[a:b] < v.in_softmax))
             if len(inside):
-                logits = m.of_member[for_member[0, a:b][inside]]
-                logits += m.of_member[for_member[1, a:b][inside]]
-                logits += m.member_bias[classes[a:b][inside]]
+                logits = _take(m.of_member, for_member[0, a:b][inside])
+                logits += _take(m.of_member, for_member[1, a:b][inside])
+                logits += _take(m.member_bias, classes[a:b][inside])
                 own = logits[np.arange(len(inside)), joined[a:b][inside] // v.n_classes]
                 score[a + inside] += own - np.log(_sums(np.exp(logits, out=logits)))
         score /= math.log(10)
