@@ -146,6 +146,46 @@ def time_to_dark(edges: DataFrame, power: DataFrame) -> DataFrame:
             return state.select("node", "dark_s")
 
 
+def routes(edges: DataFrame, costs: DataFrame, source: int, sums: list[str], largest: list[str]) -> DataFrame:
+    """(node, way, ``sums``..., ``largest``...): the nodes from ``source`` on, and what the edges of the way add up to or reach at most.
+
+    ``edges`` (src, dst, cost, ...) cost more than 0; ``costs`` (node, cost) are the least ones from the
+    source. A node's last edge is the one that its cost comes by, to six places, ties to the smaller
+    node. Ways grow by doubling: each round every node takes over what the node at the end of its way
+    has, so rounds are the logarithm of the hops.
+    """
+    far = costs.select(F.col("node").alias("src"), F.col("cost").alias("so_far"))
+    by = F.min_by(F.struct(F.col("src").alias("at"), *sums, *largest), F.struct(F.round(F.col("so_far") + F.col("cost"), 6), "src"))
+    last = edges.join(far, "src").where(F.col("dst") != source).groupBy(F.col("dst").alias("node")).agg(by.alias("e")).select("node", "e.*")
+    start = costs.where(F.col("node") == source).select("node", F.lit(None).cast("long").alias("at"), *[F.lit(0.0).alias(c) for c in (*sums, *largest)])
+    grown = settled(last.select("node", "at", *[F.col(c).cast("double").alias(c) for c in (*sums, *largest)]).unionByName(start).withColumn("way", F.array("node")))
+    while not grown.where("at is not null").isEmpty():
+        end = grown.select(F.col("node").alias("n2"), F.col("at").alias("at2"), F.col("way").alias("way2"), *[F.col(c).alias(f"{c}2") for c in (*sums, *largest)])
+        joined = grown.join(end, F.col("at") == F.col("n2"), "left")
+        more = [(F.col(c) + F.coalesce(f"{c}2", F.lit(0.0))).alias(c) for c in sums] + [F.greatest(c, F.coalesce(f"{c}2", F.lit(0.0))).alias(c) for c in largest]
+        grown = settled(joined.select("node", F.col("at2").alias("at"), *more, F.when(F.col("way2").isNull(), F.col("way")).otherwise(F.concat("way", "way2")).alias("way")))
+    return grown.select("node", F.reverse("way").alias("way"), *sums, *largest)
+
+
+def topological(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, level, cyclic): the most hops from a node without parents, by peeling; what hangs on a cycle comes after all levels.
+
+    Sorted by level and node this is a topological order; with a cycle, roots come first and then the
+    rest by node, an approximation that still answers.
+    """
+    edges = settled(edges.select("src", "dst").distinct())
+    left, done, level = settled(nodes.select("node")), None, 0
+    while not left.isEmpty():
+        fed = edges.join(left, edges.src == left.node, "left_semi").select(F.col("dst").alias("node")).distinct()
+        now = settled(left.join(fed, "node", "left_anti").select("node", F.lit(level).alias("level"), F.lit(False).alias("cyclic")))
+        if now.isEmpty():
+            now = settled(left.select("node", F.lit(level).alias("level"), F.lit(True).alias("cyclic")))
+        done = now if done is None else done.unionByName(now)
+        left = settled(left.join(now, "node", "left_anti"))
+        level += 1
+    return done if done is not None else nodes.select("node", F.lit(0).alias("level"), F.lit(False).alias("cyclic")).limit(0)
+
+
 def flood_costs(edges: DataFrame, level: float) -> DataFrame:
     """``edges`` (base_time, congestion, elev) with depth, factor and the costs of the dry and wading passes.
 

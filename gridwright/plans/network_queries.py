@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridwright.functions.roads import speed_kmh
 from gridwright.operators import graph
 from gridwright.operators.grid_join import within
+from gridwright.operators.ordering import ordinal
 from gridwright.plans.registering import registry
 from gridwright.plans.scene_sql import over
 from gridwright.schema import DEFAULT_SPEED_KMH, FLOOD_SLOWDOWN, JUNCTION_S, SPEED_KMH
@@ -14,19 +16,20 @@ from gridwright.sources import scene
 
 QUERIES, ORACLE_SQL, query = registry()
 
-_SPEED = "case highway " + " ".join(f"when '{k}' then {v}e0" for k, v in SPEED_KMH.items()) + f" else {DEFAULT_SPEED_KMH}e0 end"
-_TIMED = f", timed as (select *, ({_SPEED}) as kmh, length / (({_SPEED}) / 3.6e0) + {JUNCTION_S}e0 as base_time from road)"
+_CLASS = "case highway " + " ".join(f"when '{k}' then {v}e0" for k, v in SPEED_KMH.items()) + f" else {DEFAULT_SPEED_KMH}e0 end"
+_TIMED = f""", spoken as (select *, trim(replace(lower(maxspeed), 'km/h', '')) as said from road),
+posted as (select *, coalesce(case when contains(said, 'mph') then try_cast(trim(replace(said, 'mph', '')) as double) * 1.609e0 when try_cast(said as double) between 5 and 130 then try_cast(said as double) end, {_CLASS}) as kmh from spoken),
+timed as (select *, length / (kmh / 3.6e0) + {JUNCTION_S}e0 as base_time from posted)"""
 
 
 def timed_edges(spark: SparkSession, sf: str) -> DataFrame:
-    speeds = F.create_map(*[F.lit(x) for kv in SPEED_KMH.items() for x in kv])
-    e = scene.road_edge(spark, sf).withColumn("kmh", F.coalesce(speeds[F.col("highway")], F.lit(DEFAULT_SPEED_KMH)))
+    e = scene.road_edge(spark, sf).withColumn("kmh", speed_kmh(F.col("maxspeed"), F.col("highway")))
     return e.withColumn("base_time", F.col("length") / (F.col("kmh") / 3.6) + JUNCTION_S)
 
 
-@query(over("road", _TIMED + " select src, dst, highway, round(base_time, 6) as seconds from timed"))
+@query(over("road", _TIMED + " select src, dst, highway, round(kmh, 6) as kmh, round(base_time, 6) as seconds from timed"))
 def travel_time(spark: SparkSession, sf: str) -> DataFrame:
-    return timed_edges(spark, sf).select("src", "dst", "highway", F.round("base_time", 6).alias("seconds"))
+    return timed_edges(spark, sf).select("src", "dst", "highway", F.round("kmh", 6).alias("kmh"), F.round("base_time", 6).alias("seconds"))
 
 
 @query(
@@ -136,6 +139,37 @@ def resilient_route(spark: SparkSession, sf: str) -> DataFrame:
     return nodes.join(hard, "node", "left").join(soft, "node", "left").join(dry, "node", "left").select("node", status.alias("status"), F.round(best, 6).alias("seconds"), F.round(best - F.col("dry_cost"), 6).alias("detour"))
 
 
+def _ways(name: str, costs: str, cost: str) -> str:
+    """The way to each node of a cost table, walked back along the edges that its cost comes by."""
+    return f"""{name}_last as (select dst, arg_min(struct_pack(src := r.src, length := length, depth := depth), struct_pack(c := round(p.cost + {cost}, 6), s := r.src)) as e
+    from {costs} p join (select w.src, w.dst, w.length, w.depth, k.{cost} from wet w join priced k on k.src = w.src and k.dst = w.dst where k.{cost} is not null) r on r.src = p.node where r.dst <> 0 group by dst),
+{name}(node, at_, way, metres, wet, deepest) as (select node, node, cast(node as varchar), 0e0, cast(0 as bigint), 0e0 from {costs} union all
+    select w.node, l.e.src, l.e.src || '>' || w.way, w.metres + l.e.length, w.wet + case when l.e.depth > 0 then 1 else 0 end, greatest(w.deepest, l.e.depth) from {name} w join {name}_last l on l.dst = w.at_ where w.at_ <> 0)"""
+
+
+@query(
+    over(
+        "road",
+        _PRICED + ", " + _paths("hard", "hard_cost", "0") + ", " + _paths("soft", "soft_cost", "0") + ", " + _ways("dry_way", "hard", "hard_cost") + ", " + _ways("wet_way", "soft", "soft_cost")
+        + """ select h.node, 'dry' as status, w.way, round(h.cost, 6) as seconds, round(w.metres, 6) as metres, w.wet, round(w.deepest, 6) as deepest from hard h join dry_way w on w.node = h.node and w.at_ = 0
+    union all select s.node, 'wading', w.way, round(s.cost, 6), round(w.metres, 6), w.wet, round(w.deepest, 6) from soft s join wet_way w on w.node = s.node and w.at_ = 0 where s.node not in (select node from hard)""",
+        recursive=True,
+    )
+)
+def route_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """Routes from the depot under water as nodes: distance, seconds, wet edges and the deepest water; dry ones where there are, else wading."""
+    e = graph.settled(graph.flood_costs(congested_edges(spark, sf), 29.5))
+    depot, found = spark.sql("select 0L as source"), []
+    for cost, status in (("hard_cost", "dry"), ("soft_cost", "wading")):
+        own = e.where(F.col(cost).isNotNull()).select("src", "dst", F.col(cost).alias("cost"), F.col("length").alias("metres"), (F.col("depth") > 0).cast("double").alias("wet"), F.greatest("depth", F.lit(0.0)).alias("deepest"))
+        costs = graph.settled(graph.shortest(own.select("src", "dst", "cost"), depot).select("node", "cost"))
+        ways = graph.routes(own, costs, 0, ["metres", "wet"], ["deepest"]).join(costs, "node")
+        way = F.array_join(F.transform("way", lambda n: n.cast("string")), ">")
+        found.append(ways.select("node", F.lit(status).alias("status"), way.alias("way"), F.round("cost", 6).alias("seconds"), F.round("metres", 6).alias("metres"), F.col("wet").cast("long").alias("wet"), F.round("deepest", 6).alias("deepest")))
+    dry, wading = graph.settled(found[0]), found[1]
+    return dry.unionByName(wading.join(dry.select("node"), "node", "left_anti"))
+
+
 @query(
     over(
         "site road",
@@ -228,6 +262,36 @@ def unprotected(spark: SparkSession, sf: str) -> DataFrame:
     return whole.join(lit, whole.parent == lit.node, "left_semi").join(lit, whole.child == lit.node, "left_semi").groupBy(F.col("child").alias("node")).count().where("count = 1").select("node")
 
 
+_LATER = (
+    _LIT
+    + """, later as (select s_suppkey as node from supplier where s_suppkey % 11 = 4 or s_suppkey % 13 = 5),
+lit2(node) as (select s_suppkey from supplier where s_suppkey = 0 union select child from lit2 join link on link.parent = lit2.node where child not in (select node from later)),
+before as (select s_suppkey as node from supplier where s_suppkey not in (select node from lit) and s_suppkey not in (select node from failed)),
+now_ as (select s_suppkey as node from supplier where s_suppkey not in (select node from lit2) and s_suppkey not in (select node from later))"""
+)
+
+
+@query(over("link", _LATER + " select node, node not in (select node from before) as newly from now_", recursive=True))
+def isolated(spark: SparkSession, sf: str) -> DataFrame:
+    """Sites cut off without a fault of their own after more have failed, and which of them were not before."""
+    nodes, links, hub = _nodes(spark, sf), _links(spark, sf), spark.sql("select 0L as node")
+
+    def cut_off(failed: DataFrame) -> DataFrame:
+        lit = graph.reachable(links, hub, failed).select("node")
+        return nodes.join(lit, "node", "left_anti").join(failed, "node", "left_anti")
+
+    earlier = cut_off(_failed(spark, sf)).withColumn("old", F.lit(True))
+    later = nodes.where("node % 11 = 4 or node % 13 = 5")
+    return cut_off(later).join(earlier, "node", "left").select("node", F.col("old").isNull().alias("newly"))
+
+
+@query(over("link", """, walk(node, level) as (select s_suppkey, 0 from supplier where s_suppkey not in (select child from link) union select l.child, w.level + 1 from walk w join link l on l.parent = w.node),
+    deep as (select node, max(level) as level from walk group by node) select node, level, false as cyclic, row_number() over (order by level, node) as turn from deep""", recursive=True))
+def topological_order(spark: SparkSession, sf: str) -> DataFrame:
+    """The order in which feeds can be settled: every site after all of its parents."""
+    return ordinal(graph.topological(_links(spark, sf), _nodes(spark, sf)), ["level", "node"], "turn")
+
+
 _POWER = ", power as (select s_suppkey as node, case when s_suppkey % 11 = 4 then 0e0 when s_suppkey % 7 = 3 then cast(600 + s_suppkey * 13 % 3000 as double) else cast('inf' as double) end as p from supplier)"
 
 
@@ -256,7 +320,7 @@ def time_to_dark(spark: SparkSession, sf: str) -> DataFrame:
 )
 def at_risk_schedule(spark: SparkSession, sf: str) -> DataFrame:
     dark = time_to_dark(spark, sf).where(F.col("dark_s") > 0).where(F.col("dark_s") < F.lit(float("inf")))
-    return dark.withColumn("turn", F.row_number().over(Window.orderBy("dark_s", "node")))
+    return ordinal(dark, ["dark_s", "node"], "turn").withColumn("turn", F.col("turn").cast("int"))
 
 
 @query(
@@ -307,24 +371,72 @@ def descendants(spark: SparkSession, sf: str) -> DataFrame:
 
 _CAUSE = """, c(a, n, h) as (select parent, child, 1 from link union select c.a, l.child, c.h + 1 from c join link l on l.parent = c.n),
     member as (select s_suppkey as node, s_suppkey // 10 as cluster, cast(s_suppkey * 37 % 600 as double) as t, s_suppkey % 3 as tier_rank from supplier where s_suppkey % 3 <> 1),
-    reach as (select m.cluster, m.node, m.t, m.tier_rank, count(distinct d.node) as downstream from member m left join c on c.a = m.node left join member d on d.node = c.n and d.cluster = m.cluster group by all)
-    select cluster, case when downstream > 0 then node end as source, downstream, members from (select *, row_number() over (partition by cluster order by downstream desc, t, tier_rank, node) as r, count(*) over (partition by cluster) as members from reach) where r = 1"""
+    reach as (select m.cluster, m.node, m.t, m.tier_rank, count(distinct d.node) as downstream from member m left join c on c.a = m.node left join member d on d.node = c.n and d.cluster = m.cluster group by all),
+    placed as (select *, row_number() over (partition by cluster order by downstream desc, t, tier_rank, node) as r, count(*) over (partition by cluster) as members from reach),
+    cause as (select h.cluster, case when h.downstream > 0 then h.node end as source, h.downstream, h.members,
+        case when h.downstream > 0 then case when v.node is null or v.downstream <> h.downstream then 'topological' when v.t <> h.t then 'temporal' when v.tier_rank <> h.tier_rank then 'tier' else 'tie' end end as basis
+        from placed h left join placed v on v.cluster = h.cluster and v.r = 2 where h.r = 1)"""
+_HOPS = """, hop as (select x.cluster, x.source, x.basis, m.node, min(c.h) as hops from cause x join member m on m.cluster = x.cluster join c on c.a = x.source and c.n = m.node group by all)"""
 
 
-@query(over("link", _CAUSE, recursive=True))
-def root_cause(spark: SparkSession, sf: str) -> DataFrame:
-    """The likely source of each alarm cluster: the member that feeds most of the others, then the earliest."""
+def _causes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members of clusters, (cluster, source, downstream, members, basis), and the closure of the links."""
     k = F.col("s_suppkey")
     member = spark.read.parquet(f"{sf}/supplier.parquet").where("s_suppkey % 3 <> 1").select(k.alias("node"), F.floor(k / 10).alias("cluster"), (k * 37 % 600).cast("double").alias("t"), (k % 3).alias("tier_rank"))
-    fed = graph.closure(_links(spark, sf)).select("ancestor", F.col("node").alias("below"))
+    fed = graph.closure(_links(spark, sf)).select("ancestor", F.col("node").alias("below"), "hops")
     other = member.select(F.col("node").alias("below"), F.col("cluster").alias("c2"))
     reach = (
         member.join(fed.join(other, "below"), (F.col("ancestor") == F.col("node")) & (F.col("c2") == F.col("cluster")), "left")
         .groupBy("cluster", "node", "t", "tier_rank")
         .agg(F.count_distinct("below").alias("downstream"))
     )
-    first = F.min_by(F.struct("node", "downstream"), F.struct(-F.col("downstream"), "t", "tier_rank", "node"))
-    return reach.groupBy("cluster").agg(first.alias("s"), F.count("*").alias("members")).select("cluster", F.when(F.col("s.downstream") > 0, F.col("s.node")).alias("source"), "s.downstream", "members")
+    order = Window.partitionBy("cluster").orderBy(F.desc("downstream"), "t", "tier_rank", "node")
+    first = reach.withColumn("r", F.row_number().over(order)).where("r <= 2").withColumn("s", F.struct("node", "downstream", "t", "tier_rank"))
+    two = first.groupBy("cluster").agg(F.max(F.when(F.col("r") == 1, F.col("s"))).alias("h"), F.max(F.when(F.col("r") == 2, F.col("s"))).alias("v"))
+    basis = F.when(F.col("v").isNull() | (F.col("v.downstream") != F.col("h.downstream")), "topological").when(F.col("v.t") != F.col("h.t"), "temporal").when(F.col("v.tier_rank") != F.col("h.tier_rank"), "tier").otherwise("tie")
+    led = F.col("h.downstream") > 0
+    counts = member.groupBy("cluster").agg(F.count("*").alias("members"))
+    cause = two.join(counts, "cluster").select("cluster", F.when(led, F.col("h.node")).alias("source"), "h.downstream", "members", F.when(led, basis).alias("basis"))
+    return member, graph.settled(cause), fed
+
+
+@query(over("link", _CAUSE + " select cluster, source, downstream, members, basis from cause", recursive=True))
+def root_cause(spark: SparkSession, sf: str) -> DataFrame:
+    """The likely source of each alarm cluster: the member that feeds most of the others, then the earliest; and what told it from the next."""
+    return _causes(spark, sf)[1]
+
+
+def _cause_hops(spark: SparkSession, sf: str) -> DataFrame:
+    member, cause, fed = _causes(spark, sf)
+    mine = member.select(F.col("node").alias("below"), F.col("cluster").alias("c2"))
+    led = cause.where("source is not null").join(fed, F.col("ancestor") == F.col("source"))
+    return led.join(mine, "below").where("c2 = cluster").select("cluster", "source", "basis", F.col("below").alias("node"), "hops")
+
+
+@query(over("link", _CAUSE + _HOPS + " select cluster, source, node, hops from hop", recursive=True))
+def cause_hops(spark: SparkSession, sf: str) -> DataFrame:
+    """How many feeds lie between each cluster's source and its symptoms."""
+    return _cause_hops(spark, sf).select("cluster", "source", "node", "hops")
+
+
+@query(
+    over(
+        "link",
+        _CAUSE + _HOPS
+        + """ select cluster, source || ' is the head' || case basis when 'temporal' then ', upstream and alarmed first' when 'topological' then ', upstream of every other alarm here' else '' end || ': '
+    || string_agg(case when hops = 1 then h.node || ' sits on its ' || l.role || ' feed' else h.node || ' is ' || hops || ' hops downstream' end, '; ' order by h.node) as reason
+    from hop h left join link l on l.parent = h.source and l.child = h.node group by cluster, source, basis""",
+        recursive=True,
+    )
+)
+def cause_reason(spark: SparkSession, sf: str) -> DataFrame:
+    """One sentence a cluster that says why its head is the head."""
+    feeds = _links(spark, sf).select(F.col("src").alias("source"), F.col("dst").alias("node"), "role")
+    told = F.when(F.col("hops") == 1, F.concat("node", F.lit(" sits on its "), "role", F.lit(" feed"))).otherwise(F.concat("node", F.lit(" is "), "hops", F.lit(" hops downstream")))
+    parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node", told.alias("told")))), lambda x: x["told"]), "; ")
+    lead = F.when(F.col("basis") == "temporal", ", upstream and alarmed first").when(F.col("basis") == "topological", ", upstream of every other alarm here").otherwise("")
+    said = _cause_hops(spark, sf).join(feeds, ["source", "node"], "left").groupBy("cluster", "source", "basis").agg(parts.alias("parts"))
+    return said.select("cluster", F.concat("source", F.lit(" is the head"), lead, F.lit(": "), "parts").alias("reason"))
 
 
 @query(over("dem road", """, m as (select src, dst, least(greatest((x2 / 2 + 500) / 50e0, 0), 38.9999999e0) as fx, least(greatest((y2 / 2 + 500) / 50e0, 0), 38.9999999e0) as fy from road)

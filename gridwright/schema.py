@@ -31,6 +31,7 @@ SPEED_KMH = {
     "residential": 22.0, "living_street": 12.0, "service": 14.0, "motorway_link": 45.0, "trunk_link": 38.0,
     "primary_link": 32.0, "secondary_link": 28.0, "tertiary_link": 25.0,
 }
+POSTED_KMH = (5.0, 130.0)
 DEFAULT_SPEED_KMH, JUNCTION_S, NODE_SNAP_M, MAX_SNAP_M = 25.0, 4.0, 0.5, 250.0
 IMPASSABLE_M, WADING_FACTOR, FLAT_DEM_M, FLOOD_SLOWDOWN = 0.5, 40.0, 0.5, 3.2
 
