@@ -8,21 +8,48 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridwright.schema import METRICS
+from gridwright.schema import HIGH_SHARE, MEDIUM_SHARE, RISK_FEATURES
 
 
-def risk_scores(fleet: DataFrame) -> DataFrame:
-    """(site, score, held_out): 0-100 failure chance; every fourth site by hash is held out."""
-    data = VectorAssembler(inputCols=["age", "days", "load", "slope"], outputCol="v").transform(fleet.withColumn("label", F.col("failed").cast("double")))
+def risk_scores(fleet: DataFrame, features: tuple[str, ...] = RISK_FEATURES) -> DataFrame:
+    """(site, p, held_out): the chance of failure in seven days by the contract's features; every fourth site by hash is held out."""
+    data = VectorAssembler(inputCols=list(features), outputCol="v").transform(fleet.withColumn("label", F.col("failed").cast("double")))
     data = data.withColumn("held_out", F.pmod(F.xxhash64("site"), F.lit(4)) == 0)
     model = GBTClassifier(featuresCol="v", labelCol="label", maxIter=10, maxDepth=3, seed=7).fit(data.where("not held_out"))
-    return model.transform(data).select("site", F.round(vector_to_array("probability")[1] * 100, 1).alias("score"), "held_out")
+    return model.transform(data).select("site", vector_to_array("probability")[1].alias("p"), "held_out")
+
+
+def banded(scores: DataFrame, p: str = "p", high: float = HIGH_SHARE, medium: float = MEDIUM_SHARE) -> DataFrame:
+    """``scores`` with band: by the fleet's own quantiles of ``p``."""
+    cuts = scores.agg(F.percentile(p, F.lit(high)).alias("_high"), F.percentile(p, F.lit(medium)).alias("_medium"))
+    band = F.when(F.col(p) >= F.col("_high"), "high").when(F.col(p) >= F.col("_medium"), "medium").otherwise("low")
+    return scores.crossJoin(F.broadcast(cuts)).withColumn("band", band).drop("_high", "_medium")
+
+
+def daily_hazard() -> Column:
+    """The chance of failure in a day: a small base rate times the stressors of a site's attributes and weather."""
+    c = F.col
+    stressors = [
+        F.pow(F.lit(2.0), (c("peak_temperature_c") - 40) / 10),  # heat doubles it every 10 degrees
+        F.pow(c("recent_thermal_cycles") / 100, F.lit(0.6)) * 0.6 + 1,
+        F.pow(c("asset_age_years") / 12, F.lit(1.9)) + 1,
+        c("days_since_maintenance") / (c("days_since_maintenance") + 240) * 0.9 + 1,
+        c("vswr_trend_30d") * 3.4 + 1,
+        c("lightning_density_per_km2") * 0.05 * (c("antenna_height_m") / 100) * (c("elevation_m") / 200 + 1) + 1,
+        c("rainfall_intensity_mm_hr") * 0.010 * (c("humidity_pct") / 100) * (c("asset_age_years") / 12) + 1,
+        c("terrain_slope_deg") * 0.020 + 1,
+        c("encroachment_risk") * 0.35 + 1,
+    ]
+    out = F.lit(2.0e-4)
+    for x in stressors:
+        out = out * x
+    return out
 
 
 def imputed_heights(features: DataFrame) -> DataFrame:
@@ -33,35 +60,26 @@ def imputed_heights(features: DataFrame) -> DataFrame:
     return model.transform(data).select("bid", F.round(F.least(F.lit(460.0), F.greatest(F.lit(3.0), F.expm1("prediction"))), 3).alias("imputed"))
 
 
-def reconstruction(samples: DataFrame, components: int = 3) -> DataFrame:
-    """(site, t, error): mean squared error of standardised metrics rebuilt from their principal components."""
-    v = VectorAssembler(inputCols=list(METRICS), outputCol="raw").transform(samples)
-    scaled = StandardScaler(inputCol="raw", outputCol="z", withMean=True).fit(v).transform(v)
-    model = PCA(k=components, inputCol="z", outputCol="code").fit(scaled)
-    axes = model.pc.toArray().tolist()
-    coded = model.transform(scaled).select("site", "t", vector_to_array("z").alias("z"), vector_to_array("code").alias("c"))
-    terms = [(F.col("z")[i] - sum(F.col("c")[j] * float(axes[i][j]) for j in range(components))) for i in range(len(METRICS))]
-    return coded.select("site", "t", F.round(sum(x * x for x in terms) / len(METRICS), 6).alias("error"))
+def stable_unit(text: str, salt: str) -> float:
+    """A value in [0, 1) from a text, the same everywhere."""
+    return int.from_bytes(hashlib.blake2b(f"{salt}:{text}".encode(), digest_size=4).digest(), "big") / 2**32
 
 
 def hashed_profile(names: DataFrame) -> DataFrame:
-    """(site, age_years, days_since_service, load) from BLAKE2b of the name and the attribute; not a Spark function."""
-
-    def unit(text: str) -> float:
-        return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=4).digest(), "big") / 2**32
+    """(site, asset_age_years, days_since_maintenance, load_factor) from BLAKE2b of the attribute and the name; not a Spark function."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             yield pd.DataFrame(
                 {
                     "site": f["site"],
-                    "age_years": [round(1 + 14 * unit(f"{n}:age"), 3) for n in f["name"]],
-                    "days_since_service": [round(365 * unit(f"{n}:service"), 3) for n in f["name"]],
-                    "load": [round(0.3 + 0.65 * unit(f"{n}:load"), 3) for n in f["name"]],
+                    "asset_age_years": [round(1 + 14 * stable_unit(n, "age"), 2) for n in f["name"]],
+                    "days_since_maintenance": [round(10 + 355 * stable_unit(n, "maint"), 1) for n in f["name"]],
+                    "load_factor": [round(0.35 + 0.6 * stable_unit(n, "load"), 3) for n in f["name"]],
                 }
             )
 
-    return names.mapInPandas(run, "site long, age_years double, days_since_service double, load double")
+    return names.mapInPandas(run, "site long, asset_age_years double, days_since_maintenance double, load_factor double")
 
 
 def placed(buildings: DataFrame, a_district: int = 3, separation: float = 400.0, district_m: float = 2000.0) -> DataFrame:

@@ -18,7 +18,7 @@ METRICS6 = """metrics6 as (select user_id // 10 as site, cast(event_id as double
     0.15e0 + (event_id * 3 % 5) * 0.02e0 as packet_loss_pct from events)"""
 INCIDENT = """incident as (select o_orderkey as incident, o_custkey % 100 as site, case when o_orderkey % 3 = 0 then 'down' else 'degraded' end as severity,
     cast(o_orderkey * 31 % 5000 as bigint) as subscribers, cast(o_orderkey * 7 % 4 as bigint) as critical,
-    cast(o_orderkey * 17 % 3000 - o_orderkey * 13 % 900 as double) as fault_at, cast(o_orderkey * 17 % 3000 as double) as detected_at,
+    cast(o_orderkey * 17 % 3000 - o_orderkey * 13 % 900 as double) as fault_at, cast(o_orderkey * 17 % 3000 as double) as detected_at, case when o_custkey % 2 = 1 then o_orderkey * 17 % 3000 + cast(o_orderkey * 11 % 300 as double) end as localised_at,
     case when o_orderstatus = 'F' then o_orderkey * 17 % 3000 + (o_orderkey * 37 % 120 + 1) * 60e0 end as resolved_at,
     case when o_custkey % 2 = 0 then 'baseline' else 'improved' end as arm from orders)"""
 CREW = """crew as (select cast(n_nationkey as bigint) as crew, cast(n_nationkey * 1103 % 4000 as double) as x, cast(n_nationkey * 2741 % 4000 as double) as y,

@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridwright.operators import dispatch, learning
+from gridwright.operators import detector, dispatch, learning
+from gridwright.operators.graph import settled
+from gridwright.operators.grid_join import nearest
+from gridwright.operators.ordering import ordinal, running
 from gridwright.plans.registering import registry
 from gridwright.plans.scene_sql import over
+from gridwright.schema import CRITICAL_EXTRA, HIGH_BAND, MEDIUM_BAND, NOMINAL_SUBSCRIBERS, RISK_FEATURES, SEVERITY, SLA_MIN
 from gridwright.sources import scene
 
 QUERIES, ORACLE_SQL, query = registry()
@@ -17,19 +21,28 @@ def _incidents(spark: SparkSession, sf: str) -> DataFrame:
     return scene.incident(spark, sf)
 
 
-_PRIORITY = "subscribers / 1000e0 * case severity when 'down' then 1e0 else 0.45e0 end * (1 + 2.5e0 * critical) * (1 + (3600 - detected_at) / 60e0 / 60e0 * ((3600 - detected_at) / 60e0 / 60e0)) + 1e-9"
+def _to(value: Column, places: int) -> Column:
+    """Rounded half up by plain arithmetic, as the oracles do."""
+    scale = float(10**places)
+    return F.floor(value * scale + 0.5) / scale
+
+
+_PRIORITY = "floor(subscribers / 1000e0 * case severity when 'down' then 1e0 else 0.45e0 end * (1 + 2.5e0 * critical) * (1 + (3600 - detected_at) / 60e0 / 60e0 * ((3600 - detected_at) / 60e0 / 60e0)) * 1000000e0 + 0.5e0) / 1000000e0"
 
 
 def _priority() -> Column:
-    waited = (3600 - F.col("detected_at")) / 60 / 60
-    return F.col("subscribers") / 1000 * F.when(F.col("severity") == "down", 1.0).otherwise(0.45) * (F.col("critical") * 2.5 + 1) * (waited * waited + 1) + 1e-9
+    waited = (3600 - F.col("detected_at")) / 60 / SLA_MIN
+    severity = F.when(F.col("severity") == "down", SEVERITY["down"]).otherwise(SEVERITY["degraded"])
+    return _to(F.col("subscribers") / 1000 * severity * (F.col("critical") * CRITICAL_EXTRA + 1) * (waited * waited + 1), 6)
 
 
-@query(over("incident", f" select incident, round({_PRIORITY}, 6) as priority, cast(row_number() over (partition by arm order by round({_PRIORITY}, 6) desc, incident) as integer) as rank from incident"))
+@query(over("incident", f" select incident, {_PRIORITY} as priority, cast(row_number() over (partition by arm order by {_PRIORITY} desc, incident) as integer) as rank from incident"))
 def priority_rank(spark: SparkSession, sf: str) -> DataFrame:
-    """Priority at the hour and the rank in its arm's queue."""
-    p = _incidents(spark, sf).withColumn("priority", F.round(_priority(), 6))
-    return p.withColumn("rank", F.row_number().over(Window.partitionBy("arm").orderBy(F.desc("priority"), "incident"))).select("incident", "priority", "rank")
+    """Priority at the hour and the rank in its arm's queue; the queue is sorted by ranges, not in one task an arm."""
+    p = _incidents(spark, sf).select("arm", "incident", _priority().alias("priority"))
+    placed = settled(ordinal(p, ["arm", F.desc("priority"), "incident"], "place"))
+    first = placed.groupBy("arm").agg(F.min("place").alias("first"))
+    return placed.join(F.broadcast(first), "arm").select("incident", "priority", (F.col("place") - F.col("first") + 1).cast("int").alias("rank"))
 
 
 @query(over("incident", " select incident, round(60 - (coalesce(resolved_at, 3600) - detected_at) / 60, 6) as sla_left from incident"))
@@ -40,6 +53,8 @@ def sla_left(spark: SparkSession, sf: str) -> DataFrame:
 _METRICS = """ select arm, count(*) as incidents, count(resolved_at) as resolved, round(coalesce(avg((resolved_at - fault_at) / 60), 0), 6) as mttr, round(coalesce(quantile_cont((resolved_at - fault_at) / 60, 0.5), 0), 6) as p50,
     round(coalesce(quantile_cont((resolved_at - fault_at) / 60, 0.9), 0), 6) as p90, round(avg((detected_at - fault_at) / 60) filter (resolved_at is not null), 6) as mttd,
     round(sum(subscribers * greatest(coalesce(resolved_at, 3600) - fault_at, 0) / 60), 4) as subscriber_minutes, count(*) filter ((coalesce(resolved_at, 3600) - fault_at) / 60 > 60) as breaches,
+    round(coalesce(avg((localised_at - fault_at) / 60) filter (resolved_at is not null), 0), 6) as mttl,
+    round(case when sum(subscribers) > 0 then 100 * (1 - sum(subscribers * greatest(coalesce(resolved_at, 3600) - fault_at, 0) / 60) / (sum(subscribers) * 60e0)) else 100 end, 6) as uptime_pct,
     round(case when sum(subscribers) > 0 then 100 * (1 - count(*) filter (resolved_at is null) / cast(count(*) as double)) else 100 end, 6) as closed_pct from incident group by arm"""
 
 
@@ -57,6 +72,8 @@ def run_metrics(spark: SparkSession, sf: str) -> DataFrame:
         F.round(F.avg(F.when(F.col("resolved_at").isNotNull(), (F.col("detected_at") - F.col("fault_at")) / 60)), 6).alias("mttd"),
         F.round(F.sum(F.col("subscribers") * F.greatest(lasted, F.lit(0.0)) / 60), 4).alias("subscriber_minutes"),
         F.count_if(lasted / 60 > 60).alias("breaches"),
+        F.round(F.coalesce(F.avg(F.when(F.col("resolved_at").isNotNull(), (F.col("localised_at") - F.col("fault_at")) / 60)), F.lit(0.0)), 6).alias("mttl"),
+        F.round(F.when(F.sum("subscribers") > 0, (1 - F.sum(F.col("subscribers") * F.greatest(lasted, F.lit(0.0)) / 60) / (F.sum("subscribers") * 60.0)) * 100).otherwise(100.0), 6).alias("uptime_pct"),
         F.round(F.when(F.sum("subscribers") > 0, (1 - F.count_if(F.col("resolved_at").isNull()) / F.count("*")) * 100).otherwise(100.0), 6).alias("closed_pct"),
     )
 
@@ -99,12 +116,11 @@ def fleet_rollup(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(over("incident", " select arm, list_sort(list((resolved_at - fault_at) / 60) filter (resolved_at is not null))[cast(floor(0.95e0 * count(resolved_at)) as bigint) + 1] as nearest_rank, round(quantile_cont((resolved_at - fault_at) / 60, 0.95), 6) as interpolated from incident group by arm"))
 def rank_percentile(spark: SparkSession, sf: str) -> DataFrame:
-    """Nearest-rank against interpolated 95th percentile; the rank comes from a window, not from a gathered list."""
-    repair = _incidents(spark, sf).where("resolved_at is not null").withColumn("m", (F.col("resolved_at") - F.col("fault_at")) / 60)
-    w = Window.partitionBy("arm")
-    ranked = repair.withColumn("k", F.row_number().over(w.orderBy("m")) - 1).withColumn("n", F.count("*").over(w))
-    near = ranked.where(F.col("k") == F.floor(F.col("n") * 0.95)).select("arm", F.col("m").alias("nearest_rank"))
-    return near.join(repair.groupBy("arm").agg(F.round(F.percentile("m", F.lit(0.95)), 6).alias("interpolated")), "arm")
+    """Nearest-rank against interpolated 95th percentile; ranks come from a sort by ranges."""
+    repair = _incidents(spark, sf).where("resolved_at is not null").select("arm", "incident", ((F.col("resolved_at") - F.col("fault_at")) / 60).alias("m"))
+    placed = settled(ordinal(repair, ["arm", "m", "incident"], "place"))
+    per = placed.groupBy("arm").agg(F.min("place").alias("first"), F.count("*").alias("n"), F.round(F.percentile("m", F.lit(0.95)), 6).alias("interpolated"))
+    return placed.join(F.broadcast(per), "arm").where(F.col("place") - F.col("first") == F.floor(F.col("n") * 0.95)).select("arm", F.col("m").alias("nearest_rank"), "interpolated")
 
 
 _COSTS = """, place as (select incident, cast(incident * 1301 % 4000 as double) as ix, cast(incident * 2203 % 4000 as double) as iy from incident),
@@ -149,33 +165,70 @@ def crew_interpolation(spark: SparkSession, sf: str) -> DataFrame:
     return cum.where((F.col("d") >= F.col("upto") - F.col("len")) & (F.col("d") < F.col("upto"))).select("crew", F.col("k").alias("leg"), F.round((F.col("d") - (F.col("upto") - F.col("len"))) / F.col("len"), 6).alias("along"))
 
 
-_RISK = "round(100 * (0.35e0 * least(1e0, subscribers / 12000e0) + 0.30e0 * case severity when 'down' then 1e0 else 0.45e0 end + 0.20e0 * least(1, critical) + 0.15e0 * least(1e0, greatest(0e0, (3600 - detected_at) / 3600))) + 1e-7, 1)"
+_RISK = "floor(100 * (0.35e0 * least(1e0, subscribers / 12000e0) + 0.30e0 * case severity when 'down' then 1e0 else 0.45e0 end + 0.20e0 * least(1, critical) + 0.15e0 * least(1e0, greatest(0e0, (3600 - detected_at) / 3600))) * 10e0 + 0.5e0) / 10e0"
 
 
 @query(over("incident", f", r as (select incident, {_RISK} as score from incident) select incident, score, case when score >= 75 then 'high' when score >= 45 then 'medium' else 'low' end as band from r"))
 def heuristic_risk(spark: SparkSession, sf: str) -> DataFrame:
     """Weighted reach, severity, criticality and urgency, and its band."""
     sev = F.when(F.col("severity") == "down", 1.0).otherwise(0.45)
-    score = F.least(F.lit(1.0), F.col("subscribers") / 12000) * 0.35 + sev * 0.30 + F.least(F.lit(1), "critical") * 0.20 + F.least(F.lit(1.0), F.greatest(F.lit(0.0), (3600 - F.col("detected_at")) / 3600)) * 0.15
-    r = _incidents(spark, sf).select("incident", F.round(score * 100 + 1e-7, 1).alias("score"))
-    return r.withColumn("band", F.when(F.col("score") >= 75, "high").when(F.col("score") >= 45, "medium").otherwise("low"))
+    score = F.least(F.lit(1.0), F.col("subscribers") / NOMINAL_SUBSCRIBERS) * 0.35 + sev * 0.30 + F.least(F.lit(1), "critical") * 0.20 + F.least(F.lit(1.0), F.greatest(F.lit(0.0), (3600 - F.col("detected_at")) / 3600)) * 0.15
+    r = _incidents(spark, sf).select("incident", _to(score * 100, 1).alias("score"))
+    return r.withColumn("band", F.when(F.col("score") >= HIGH_BAND, "high").when(F.col("score") >= MEDIUM_BAND, "medium").otherwise("low"))
 
 
-_FLEET = """, fleet as (select c_custkey as site, c_custkey * 37 % 20 + 1 as age, c_custkey * 53 % 365 as days, c_custkey * 29 % 100 / 100e0 as load, c_custkey * 71 % 90 / 10e0 as slope from customer),
-    hazard as (select *, 0.004e0 * (1 + age / 12e0) * (1 + days / 240e0) * (1 + load) * (1 + slope / 20e0) as h from fleet), risk as (select *, 1 - exp(-7 * h) as p from hazard)"""
+_FLEET = """, raw as (select c_custkey as site, 0.5e0 + c_custkey * 37 % 245 / 10e0 as asset_age_years, c_custkey * 29 % 90 / 100e0 + 0.1e0 as load_factor, c_custkey * 13 % 115 + 5e0 as elevation_m,
+    c_custkey * 71 % 350 / 10e0 as terrain_slope_deg, c_custkey * 43 % 288 + 12e0 as antenna_height_m, c_custkey * 61 % 12000 + 200e0 as subscribers_served, c_custkey * 17 % 100 / 100e0 as encroachment_risk,
+    case when c_custkey % 3 = 0 then c_custkey * 47 % 800 / 10e0 else c_custkey * 47 % 90 / 10e0 end as rainfall_intensity_mm_hr, c_custkey * 59 % 60 / 10e0 as lightning_density_per_km2, c_custkey * 67 % 45 + 55e0 as humidity_pct from customer),
+    fleet as (select *, least(900e0, 12 * asset_age_years + site * 53 % 250) as days_since_maintenance, 70 + 40 * load_factor + site * 31 % 50 as recent_thermal_cycles,
+    32 + 18 * load_factor + site * 19 % 60 / 10e0 - 0.02e0 * rainfall_intensity_mm_hr as peak_temperature_c, 0.012e0 * asset_age_years + site * 23 % 60 / 100e0 as vswr_trend_30d from raw),
+    hazard as (select *, 0.0002e0 * pow(2e0, (peak_temperature_c - 40) / 10) * (1 + 0.6e0 * pow(recent_thermal_cycles / 100, 0.6e0)) * (1 + pow(asset_age_years / 12, 1.9e0))
+    * (1 + 0.9e0 * (days_since_maintenance / (days_since_maintenance + 240))) * (1 + 3.4e0 * vswr_trend_30d) * (1 + 0.05e0 * lightning_density_per_km2 * (antenna_height_m / 100) * (1 + elevation_m / 200))
+    * (1 + 0.010e0 * rainfall_intensity_mm_hr * (humidity_pct / 100) * (asset_age_years / 12)) * (1 + 0.020e0 * terrain_slope_deg) * (1 + 0.35e0 * encroachment_risk) as h from fleet),
+    risk as (select *, round(1 - exp(-7 * h), 9) as p from hazard)"""
 
 
 def fleet(spark: SparkSession, sf: str) -> DataFrame:
+    """Sites of the contract's features by formulas, age dragging maintenance and the feeder along, and their chance of failure in seven days."""
     k = F.col("c_custkey")
-    f = spark.read.parquet(f"{sf}/customer.parquet").select(k.alias("site"), (k * 37 % 20 + 1).alias("age"), (k * 53 % 365).alias("days"), (k * 29 % 100 / 100).alias("load"), (k * 71 % 90 / 10).alias("slope"))
-    h = F.lit(0.004) * (F.col("age") / 12 + 1) * (F.col("days") / 240 + 1) * (F.col("load") + 1) * (F.col("slope") / 20 + 1)
-    return f.withColumn("p", 1 - F.exp(h * -7))
+    raw = spark.read.parquet(f"{sf}/customer.parquet").select(
+        k.alias("site"),
+        (k * 37 % 245 / 10 + 0.5).alias("asset_age_years"),
+        (k * 29 % 90 / 100 + 0.1).alias("load_factor"),
+        (k * 13 % 115 + 5.0).alias("elevation_m"),
+        (k * 71 % 350 / 10).alias("terrain_slope_deg"),
+        (k * 43 % 288 + 12.0).alias("antenna_height_m"),
+        (k * 61 % 12000 + 200.0).alias("subscribers_served"),
+        (k * 17 % 100 / 100).alias("encroachment_risk"),
+        F.when(k % 3 == 0, k * 47 % 800 / 10).otherwise(k * 47 % 90 / 10).alias("rainfall_intensity_mm_hr"),
+        (k * 59 % 60 / 10).alias("lightning_density_per_km2"),
+        (k * 67 % 45 + 55.0).alias("humidity_pct"),
+    )
+    s = F.col("site")
+    whole = raw.withColumns(
+        {
+            "days_since_maintenance": F.least(F.lit(900.0), F.col("asset_age_years") * 12 + s * 53 % 250),
+            "recent_thermal_cycles": F.col("load_factor") * 40 + 70 + s * 31 % 50,
+            "peak_temperature_c": F.col("load_factor") * 18 + 32 + s * 19 % 60 / 10 - F.col("rainfall_intensity_mm_hr") * 0.02,
+            "vswr_trend_30d": F.col("asset_age_years") * 0.012 + s * 23 % 60 / 100,
+        }
+    )
+    return whole.withColumn("p", F.round(1 - F.exp(learning.daily_hazard() * -7), 9))
+
 
+_BANDS = ", cut as (select quantile_cont(p, 0.9) as high, quantile_cont(p, 0.67) as medium from risk)"
 
-@query("with " + _FLEET.removeprefix(",") + " select site, round(p, 6) as p, case when p >= 0.10e0 then 'high' when p >= 0.05e0 then 'medium' else 'low' end as band from risk")
+
+@query("with " + _FLEET.removeprefix(",") + _BANDS + " select site, round(p, 6) as p, case when p >= high then 'high' when p >= medium then 'medium' else 'low' end as band from risk, cut")
 def hazard_labels(spark: SparkSession, sf: str) -> DataFrame:
-    """Failure chance in seven days from multiplied stressors, and its band."""
-    return fleet(spark, sf).select("site", F.round("p", 6).alias("p"), F.when(F.col("p") >= 0.10, "high").when(F.col("p") >= 0.05, "medium").otherwise("low").alias("band"))
+    """Failure chance in seven days from multiplied stressors, and its band among the fleet."""
+    return learning.banded(fleet(spark, sf)).select("site", F.round("p", 6).alias("p"), "band")
+
+
+@query("with " + _FLEET.removeprefix(",") + " select site, " + ", ".join(f"round({c}, 6) as {c}" for c in RISK_FEATURES) + " from fleet")
+def risk_features(spark: SparkSession, sf: str) -> DataFrame:
+    """The features of the risk model, in the contract's order."""
+    return fleet(spark, sf).select("site", *[F.round(c, 6).alias(c) for c in RISK_FEATURES])
 
 
 _SPLIT = """, drawn as (select site, p, site * 48271 % 997 / 997e0 < p * 6 as failed from risk)"""
@@ -196,17 +249,21 @@ def _drawn(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("with " + _FLEET.removeprefix(",") + _SPLIT + """, r as (select *, avg(k) over (partition by p) as rk from (select *, row_number() over (order by p) as k from drawn)),
-    s as (select count(*) filter (failed) as pos, count(*) filter (not failed) as neg, sum(rk) filter (failed) as ranks, avg(pow(p - case when failed then 1 else 0 end, 2)) as brier, median(abs(p - case when failed then 1 else 0 end)) as medae, avg(abs(p - case when failed then 1 else 0 end)) as mae from r)
-    select round((ranks - pos * (pos + 1) / 2e0) / (cast(pos as double) * neg), 6) as auc, round(brier, 6) as brier, round(medae, 6) as medae, round(mae, 6) as mae from s""")
+    s as (select count(*) filter (failed) as pos, count(*) filter (not failed) as neg, sum(rk) filter (failed) as ranks, avg(pow(p - case when failed then 1 else 0 end, 2)) as brier, median(abs(p - case when failed then 1 else 0 end)) as medae, avg(abs(p - case when failed then 1 else 0 end)) as mae from r),
+    g as (select p, count(*) as n, count(*) filter (failed) as pos from drawn group by p), c as (select pos, sum(pos) over (order by p desc) as hits, sum(n) over (order by p desc) as seen from g),
+    a as (select sum(pos * (hits / cast(seen as double))) / sum(pos) as ap from c)
+    select round((ranks - pos * (pos + 1) / 2e0) / (cast(pos as double) * neg), 6) as auc, round(ap, 6) as ap, round(pos / cast(pos + neg as double), 6) as base_rate, round(brier, 6) as brier, round(medae, 6) as medae, round(mae, 6) as mae from s, a""")
 def eval_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    """Ranking and calibration metrics: AUC by counts below each score, ties half."""
+    """Ranking and calibration of the true chances, so the ceiling of any model: AUC by counts below each score, ties half, and average precision."""
     d = _drawn(spark, sf)
     by = d.groupBy("p").agg(F.count_if("failed").alias("pos"), F.count_if(~F.col("failed")).alias("neg"))
-    below = by.withColumn("under", F.sum("neg").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)))
-    auc = below.agg((F.sum(F.col("pos") * (F.coalesce("under", F.lit(0)) + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))).alias("auc"))
+    upto = settled(running(by, ["p"], "neg", "under"))
+    auc = upto.agg((F.sum(F.col("pos") * (F.col("under") - F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))).alias("auc"))
+    down = running(settled(running(upto.select("p", "pos", (F.col("pos") + F.col("neg")).alias("n")), [F.desc("p")], "pos", "hits")), [F.desc("p")], "n", "seen")
+    ap = down.agg((F.sum(F.col("pos") * (F.col("hits") / F.col("seen"))) / F.sum("pos")).alias("ap"))
     off = F.abs(F.col("p") - F.col("failed").cast("int"))
-    rest = d.agg(F.avg(off * off).alias("brier"), F.median(off).alias("medae"), F.avg(off).alias("mae"))
-    return auc.crossJoin(rest).select(*[F.round(c, 6).alias(c) for c in ("auc", "brier", "medae", "mae")])
+    rest = d.agg(F.avg(F.col("failed").cast("int")).alias("base_rate"), F.avg(off * off).alias("brier"), F.median(off).alias("medae"), F.avg(off).alias("mae"))
+    return auc.crossJoin(ap).crossJoin(rest).select(*[F.round(c, 6).alias(c) for c in ("auc", "ap", "base_rate", "brier", "medae", "mae")])
 
 
 @query("""with s as (select s_suppkey as site, s_name from supplier) select site, round(0.15e0 + (cast('0x' || substr(sha1(s_name), 1, 8) as bigint) % 70) / 100e0, 4) as risk from s""")
@@ -231,18 +288,15 @@ def ndvi_reduce(spark: SparkSession, sf: str) -> DataFrame:
     return r.where(F.col("n") >= F.col("all") * 0.5).select("site", F.round("m", 6).alias("ndvi"), F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("m") - 0.1) / 0.6)), 6).alias("risk"))
 
 
-@query(over("site building", """, d as (select a.bid, b.bid as other, b.height, sqrt((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy)) as d from building a join building b on a.bid <> b.bid and (a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy) <= 40000),
+@query(over("site building", """, d as (select a.bid, b.bid as other, b.height, sqrt((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy)) as d from building a join building b on a.bid <> b.bid),
     r as (select *, row_number() over (partition by bid order by d, other) as k from d) select bid, count(*) as neighbours, round(avg(height), 6) as mean_height, round(sum(height / greatest(d, 1)) / sum(1 / greatest(d, 1)), 6) as idw_height from r where k <= 20 group by bid"""))
 def knn_features(spark: SparkSession, sf: str) -> DataFrame:
-    """Mean and distance-weighted height of the twenty nearest buildings within 200 m, the building itself left out."""
-    from gridwright.operators.grid_join import within
-
+    """Mean and distance-weighted height of the twenty nearest buildings, however far, the building itself left out."""
     b = scene.building(spark, sf)
+    own = b.select("bid", F.col("cx").alias("x"), F.col("cy").alias("y"))
     other = b.select(F.col("bid").alias("other"), F.col("cx").alias("x2"), F.col("cy").alias("y2"), F.col("height").alias("h2"))
-    d = F.sqrt((F.col("cx") - F.col("x2")) ** 2 + (F.col("cy") - F.col("y2")) ** 2)
-    near = within(b, other, 200.0, "cx", "cy").where("bid <> other").withColumn("d", d)
-    top = near.withColumn("k", F.row_number().over(Window.partitionBy("bid").orderBy("d", "other"))).where("k <= 20")
-    w = 1 / F.greatest("d", F.lit(1.0))
+    top = nearest(own, other, "bid", "other", 20, 200.0, lambda: F.col("bid") != F.col("other"))
+    w = 1 / F.greatest("distance", F.lit(1.0))
     return top.groupBy("bid").agg(F.count("*").alias("neighbours"), F.round(F.avg("h2"), 6).alias("mean_height"), F.round(F.sum(F.col("h2") * w) / F.sum(w), 6).alias("idw_height"))
 
 
@@ -339,17 +393,23 @@ def snapshot_json(spark: SparkSession, sf: str) -> DataFrame:
     return _incidents(spark, sf).select("incident", F.to_json(F.struct("incident", "severity", F.col("resolved_at").isNull().alias("open"))).alias("doc"))
 
 
-@query(over("incident", " select sha256(string_agg(incident || ':' || severity, '|' order by incident)) as fingerprint, count(*) as n from incident"))
+_HALVES = ", ".join(f"sum(cast('0x' || substr(h, {k}, 8) as bigint))" for k in (1, 9, 17))
+
+
+@query(over("incident", f", d as (select sha256(incident || ':' || severity) as h from incident) select substr(sha256(concat_ws(':', count(*), {_HALVES})), 1, 16) as fingerprint, count(*) as n from d"))
 def fingerprint(spark: SparkSession, sf: str) -> DataFrame:
-    """A digest over ordered rows, for stale caches."""
-    rows = F.array_sort(F.collect_list(F.struct("incident", "severity")))
-    return _incidents(spark, sf).agg(F.sha2(F.array_join(F.transform(rows, lambda r: F.concat(r["incident"], F.lit(":"), r["severity"])), "|"), 256).alias("fingerprint"), F.count("*").alias("n"))
+    """A digest over the rows whatever their order, for stale caches: sums of parts of each row's hash."""
+    h = F.sha2(F.concat("incident", F.lit(":"), "severity").cast("binary"), 256)
+    sums = [F.sum(F.conv(F.substring(h, k, 8), 16, 10).cast("long")) for k in (1, 9, 17)]
+    whole = F.concat_ws(":", *[c.cast("string") for c in (F.count("*"), *sums)])
+    return _incidents(spark, sf).agg(whole.alias("all"), F.count("*").alias("n")).select(F.substring(F.sha2(F.col("all").cast("binary"), 256), 1, 16).alias("fingerprint"), "n")
 
 
 @query()
 def risk_model(spark: SparkSession, sf: str) -> DataFrame:
-    """Gradient-boosted failure risk, trained on a split by site, scored over all."""
-    return learning.risk_scores(_drawn(spark, sf))
+    """Gradient-boosted failure risk over the contract's features, trained on a split by site, scored over all, banded by the fleet's quantiles."""
+    scored = settled(learning.risk_scores(_drawn(spark, sf)))
+    return learning.banded(scored).select("site", F.round(F.col("p") * 100, 1).alias("score"), "band", "held_out")
 
 
 @query()
@@ -361,8 +421,12 @@ def height_model(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def ae_score(spark: SparkSession, sf: str) -> DataFrame:
-    """Reconstruction error of standardised samples, by principal components."""
-    return learning.reconstruction(scene.metrics6(spark, sf))
+    """Reconstruction error of each healthy sample's z-scores, and whether it is beyond the threshold of half a per cent."""
+    scores = settled(detector.healthy_scores(scene.metrics6(spark, sf)))
+    model = detector.train_reconstruction(scores)
+    if model is None:
+        return scores.select("site", "t", F.lit(0.0).alias("error"), F.lit(False).alias("strange"))
+    return scores.select("site", "t", detector.error(model).alias("e")).select("site", "t", F.round("e", 6).alias("error"), (F.col("e") > model.threshold).alias("strange"))
 
 
 @query()
@@ -371,12 +435,13 @@ def hash_profile(spark: SparkSession, sf: str) -> DataFrame:
     return learning.hashed_profile(spark.read.parquet(f"{sf}/supplier.parquet").select(F.col("s_suppkey").alias("site"), F.col("s_name").alias("name")))
 
 
-@query("with " + _FLEET.removeprefix(",") + """, c as (select site, unnest([struct_pack(f := 'age', w := age / 12e0), struct_pack(f := 'days', w := days / 240e0), struct_pack(f := 'load', w := load), struct_pack(f := 'slope', w := -slope / 20e0)]) as s from risk)
+@query("with " + _FLEET.removeprefix(",") + """, c as (select site, unnest([struct_pack(f := 'age', w := asset_age_years / 12), struct_pack(f := 'days', w := days_since_maintenance / 240), struct_pack(f := 'load', w := load_factor), struct_pack(f := 'slope', w := -terrain_slope_deg / 20)]) as s from risk)
     select site, cast(k as integer) as rank, f as factor, round(w, 6) as weight from (select site, s.f, s.w, row_number() over (partition by site order by abs(s.w) desc, s.f) as k from c) where k <= 2""")
 def top_factors(spark: SparkSession, sf: str) -> DataFrame:
     """The two factors that weigh most, by size."""
     f = fleet(spark, sf)
-    parts = F.array(*[F.struct((-F.abs(w)).alias("o"), F.lit(n).alias("f"), w.alias("w")) for n, w in (("age", F.col("age") / 12), ("days", F.col("days") / 240), ("load", F.col("load")), ("slope", -F.col("slope") / 20))])
+    weights = (("age", F.col("asset_age_years") / 12), ("days", F.col("days_since_maintenance") / 240), ("load", F.col("load_factor")), ("slope", -F.col("terrain_slope_deg") / 20))
+    parts = F.array(*[F.struct((-F.abs(w)).alias("o"), F.lit(n).alias("f"), w.alias("w")) for n, w in weights])
     return f.select("site", F.posexplode(F.slice(F.array_sort(parts), 1, 2)).alias("k", "s")).select("site", (F.col("k") + 1).alias("rank"), F.col("s.f").alias("factor"), F.round("s.w", 6).alias("weight"))
 
 

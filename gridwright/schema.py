@@ -71,5 +71,10 @@ DETOUR_S, PREEMPT, REPAIR_S, DEFAULT_REPAIR_S = 300.0, 1.35, {"degraded": 1200.0
 RAW_BYTES, EVENT_BYTES, FUEL_L_KM, CO2_KG_L, ROLL_COST = 120, 180, 0.11, 2.68, 420.0
 ANNUAL_SITES, ANNUAL_RATE = 2000, 4.0
 HIGH_BAND, MEDIUM_BAND, HIGH_P, MEDIUM_P, NOMINAL_SUBSCRIBERS = 75.0, 45.0, 0.10, 0.05, 12000.0
+HIGH_SHARE, MEDIUM_SHARE = 0.90, 0.67
+RISK_FEATURES = (
+    "asset_age_years", "days_since_maintenance", "recent_thermal_cycles", "peak_temperature_c", "vswr_trend_30d", "load_factor", "subscribers_served",
+    "terrain_slope_deg", "elevation_m", "antenna_height_m", "rainfall_intensity_mm_hr", "lightning_density_per_km2", "humidity_pct", "encroachment_risk",
+)
 DIGEST_S, CASCADE_S, FLOOD_SCAN_S, RETRY_S, EVENT_TAIL = 10.0, 30.0, 60.0, 60.0, 40
 EARTH_M = 6_371_000.0

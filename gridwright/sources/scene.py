@@ -108,6 +108,7 @@ def incident(spark: SparkSession, sf_dir: str) -> DataFrame:
         (k * 7 % 4).cast("long").alias("critical"),
         (detected - (k * 13 % 900)).alias("fault_at"),
         detected.alias("detected_at"),
+        F.when(F.col("o_custkey") % 2 == 1, detected + (k * 11 % 300)).alias("localised_at"),
         F.when(F.col("o_orderstatus") == "F", detected + (k * 37 % 120 + 1) * 60.0).alias("resolved_at"),
         F.when(F.col("o_custkey") % 2 == 0, "baseline").otherwise("improved").alias("arm"),
     )
