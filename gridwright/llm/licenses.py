@@ -42,6 +42,8 @@ TEMPLATES = [
 K = 3
 NEAR = 3
 LEAST = 0.8
+#: k-grams of the templates that are broadcast.
+MAX_GRAMS = 1_000_000
 
 #: A-Z to a-z, other ASCII but digits and letters to a space; other bytes stay.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -83,11 +85,13 @@ def candidate_spans(docs: DataFrame, templates: list[tuple[str, str]], k: int =
     a text's position and the template's; votes on it and on neighbours at most ``near`` apart make a
     run, and neighbouring runs over different stretches of the template, less than its length apart,
     join. A run is a candidate with the votes that ``least`` of the words leave where each missing word breaks k
-    k-grams, or one. The joined side has one row for each k-gram of the templates, so its size is
-    that of the parameter.
+    k-grams, or one. The joined side has one row for each k-gram of the templates; it is broadcast up
+    to ``MAX_GRAMS`` of them and shuffled beyond.
     """
     spark = docs.sparkSession
-    grams = spark.createDataFrame(template_grams(templates, k), "gram long, template int, at int")
+    found = template_grams(templates, k)
+    side = F.broadcast if len(found) <= MAX_GRAMS else lambda x: x
+    grams = spark.createDataFrame(found, "gram long, template int, at int")
     lengths = [len(words_of(x)) for _, x in templates]
     needs = spark.createDataFrame([(t, max(1, n - k + 1 - k * int((1 - least) * n + 1e-9)), n) for t, n in enumerate(lengths)], "template int, votes_needed int, length int")
 
@@ -102,7 +106,7 @@ def candidate_spans(docs: DataFrame, templates: list[tuple[str, str]], k: int =
     rolled = docs.where("text is not null").select("text_key", "text").mapInArrow(roll, "text_key long, grams array<long>")
     votes = (
         rolled.select("text_key", F.posexplode("grams").alias("pos", "gram"))
-        .join(F.broadcast(grams), "gram")
+        .join(side(grams), "gram")
         .groupBy("text_key", "template", (F.col("pos") - F.col("at")).alias("diagonal"))
         .agg(F.collect_set("at").alias("ats"))
     )
@@ -119,7 +123,7 @@ def candidate_spans(docs: DataFrame, templates: list[tuple[str, str]], k: int =
             F.max(F.col("diagonal") + F.array_max("ats") + k).alias("end"),
             F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats"),
         )
-        .join(F.broadcast(needs), "template")
+        .join(side(needs), "template")
         .withColumn("least", F.array_min("ats"))
         .withColumn("most", F.array_max("ats"))
     )
@@ -146,12 +150,28 @@ def _places(joined: bytes, phrase: bytes) -> list[int]:
     return out
 
 
-def verified(words: list[bytes], first: int, end: int, template: list[bytes]) -> float:
-    """The share of the template's words that stand in order in the span."""
-    near = len(template)
-    span = words[max(0, first - near) : end + near]
-    blocks = SequenceMatcher(None, template, span, autojunk=False).get_matching_blocks()
-    return sum(b.size for b in blocks) / len(template)
+def verified(words: list[bytes], first: int, end: int, template: list[bytes], least: float = LEAST) -> list[tuple[float, int, int]]:
+    """(share, first word, end) of the stretches that hold at least ``least`` of the template's words in order.
+
+    The run is looked at in overlapping windows of twice the template's length, so a stretch is the
+    template and gaps of its length at most, however long the run is. Stretches don't overlap.
+    """
+    n, found = len(template), []
+    a, b = max(0, first - n), min(len(words), end + n)
+    for start in range(a, max(a + 1, b - n), max(1, n // 2)):
+        if found and start < found[-1][2] - n // 2:
+            continue
+        blocks = [x for x in SequenceMatcher(None, template, words[start : min(b, start + 2 * n)], autojunk=False).get_matching_blocks() if x.size]
+        share = sum(x.size for x in blocks) / n
+        if share < least:
+            continue
+        here = (share, start + blocks[0].b, start + blocks[-1].b + blocks[-1].size)
+        if found and here[1] < found[-1][2]:
+            if share > found[-1][0]:
+                found[-1] = here
+        else:
+            found.append(here)
+    return found
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, phrases: dict[str, str] | None = None, k: int = K, least: float = LEAST) -> DataFrame:
@@ -159,10 +179,13 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, phrase
 
     ``base_labels`` are those of phrases whose words stand consecutively. Templates are found by
     diagonal voting and verified word by word; ``spans`` lists (label, first word, end) of those with
-    at least ``least`` of their words. ``score`` is 1 with a base phrase, else the best such share.
+    at least ``least`` of their words, gaps up to the template's length. ``score`` is 1 with a base
+    phrase, else the best such share.
 
-    Null and empty texts have no words and no labels, score 0. Equal texts share their candidates.
-    An empty table gives an empty result.
+    Null and empty texts have no words and no labels, score 0; texts of any length are read whole.
+    Templates that stand at the same place all count. Equal texts, so repeated rows too, share their
+    candidates and have a row each. Other columns aren't looked at, whatever their names. An empty
+    table gives an empty result.
     """
     templates, phrases = templates or TEMPLATES, phrases or PHRASES
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
@@ -184,10 +207,9 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, phrase
                 base = sorted({tag for _, tag in found})
                 best, good = 1.0 if found else 0.0, []
                 for m in marks or []:
-                    share = verified(words, m["first"], m["end"], bodies[m["template"]])
-                    if share >= least:
+                    for share, first, end in verified(words, m["first"], m["end"], bodies[m["template"]], least):
                         best = max(best, share)
-                        good.append({"label": templates[m["template"]][0], "first": m["first"], "end": m["end"]})
+                        good.append({"label": templates[m["template"]][0], "first": first, "end": end})
                 labels = sorted({*base, *(g["label"] for g in good)})
                 places = [p for p, _ in found]
                 out.append((len(words), len(found), min(places, default=None), max(places, default=None), ",".join(base), ",".join(labels), best, good))

@@ -137,7 +137,9 @@ def frequent_table(docs: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS, e
 def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 512) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_tokens, over_limit.
 
-    Whole texts; a null text counts as empty. An empty table gives an empty result.
+    Whole texts of any length; a null text counts as empty. Repeated rows are counted each; entries of
+    the frequent table that are as frequent go by their text. Other columns aren't looked at, whatever
+    their names. An empty table gives an empty result.
     """
     path = path or default_path()
     docs = docs.select("doc_id", "text")

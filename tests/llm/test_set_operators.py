@@ -281,9 +281,9 @@ def test_packing_odd_rows(spark, odd):
 def brute_top(rows, k, every):
     out = []
     good = [(i, np.floor(64 * np.array(v, float)).astype(int)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
-    for i, v in good:
+    for a, (i, v) in enumerate(good):
         if i % every == 0:
-            scores = sorted((-int(v @ w), j) for j, w in good if j != i and len(w) == len(v))[:k]
+            scores = sorted((-int(v @ w), j) for b, (j, w) in enumerate(good) if b != a and len(w) == len(v))[:k]
             out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scores)]
     return sorted(out)
 
@@ -292,7 +292,8 @@ def test_top_k_equals_brute_force_on_hard_rows(spark):
     rng = np.random.default_rng(5)
     rows = [(k, [float(x) for x in rng.normal(0, 1 if k < 200 else 0.01, 8)]) for k in range(300)]
     rows += [(300 + k, [0.5] * 8) for k in range(40)] + [(400, None), (401, [None] * 8), (402, [float("nan")] * 8), (403, [float("inf")] * 8), (404, []), (420, [1.0, 2.0]), (440, [2.0, 1.0]), (None, [0.0] * 8)]
-    df = spark.createDataFrame([(*r, "clash") for r in rows], "vec_id long, embedding array<double>, dim string")
+    rows += [(0, [0.3] * 8), (20, rows[20][1]), (7, [0.1] * 8)]
+    df = spark.createDataFrame([(*r, "clash", 1) for r in rows], "vec_id long, embedding array<double>, dim string, row int")
     got = topk_search.top_k(df, "vec_id % 20 = 0", 7, data_block=64, query_block=5)
     assert sorted(map(tuple, got.collect())) == brute_top(rows, 7, 20)
     assert topk_search.top_k(df.where("vec_id < 0"), "vec_id % 20 = 0").count() == 0
@@ -305,13 +306,50 @@ def test_top_k_with_many_query_blocks(spark, monkeypatch):
     assert sorted(map(tuple, topk_search.top_k(df, "vec_id % 2 = 0", 5, data_block=50, query_block=20).collect())) == brute_top(rows, 5, 2)
 
 
-def test_cover_tree_covers():
-    x = np.random.default_rng(6).integers(-60, 60, (500, 6))
-    tree = topk_search.cover_tree(x, np.arange(500))
+def test_top_k_says_when_scores_do_not_fit(spark):
+    big = spark.createDataFrame([(0, [1e15] * 4), (1, [1e15] * 4)], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="do not fit a long"):
+        topk_search.top_k(big, "vec_id % 20 = 0").collect()
+
+
+@pytest.mark.parametrize("spread", [60, 3])
+def test_cover_tree_covers_and_separates(spread):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.integers(-spread, spread, (50, 6)) + c for c in rng.integers(-500, 500, (12, 6))] + [np.zeros((100, 6), int)])
+    tree = topk_search.cover_tree(x, np.arange(len(x)), leaf=8)
+    inner = 0
     for k in range(len(tree.radius)):
         part = tree.points[tree.start[k] : tree.end[k]]
         assert np.sqrt(((part - tree.center[k]) ** 2).sum(axis=1)).max() <= tree.radius[k] + 1e-9
         assert sum(tree.end[c] - tree.start[c] for c in tree.children[k]) in (0, tree.end[k] - tree.start[k])
+        if not tree.children[k]:
+            continue
+        inner += 1
+        nodes = [c for c in tree.children[k] if not tree.bucket[c]]
+        singles = [p for c in tree.children[k] if tree.bucket[c] for p in tree.points[tree.start[c] : tree.end[c]]]
+        net = np.array([*tree.center[nodes], *singles], float)
+        apart = np.sqrt(((net[:, None] - net[None]) ** 2).sum(axis=2)) + np.eye(len(net)) * 1e9
+        assert apart.min() > tree.scale[k] - 1e-9 and all(tree.radius[c] <= tree.scale[k] + 1e-9 for c in nodes)
+    assert inner > 3
+
+
+def test_search_prunes_clusters():
+    rng = np.random.default_rng(7)
+    centers = rng.integers(-400, 400, (20, 6))
+    x = np.concatenate([rng.integers(-5, 5, (100, 6)) + c for c in centers])
+    tree, asked = topk_search.cover_tree(x, np.arange(2000), leaf=16), topk_search.cover_tree(x[:30], np.arange(30), leaf=16)
+    opened = []
+    found, products = None, topk_search._products
+    try:
+        topk_search._products = lambda a, b: opened.append(len(a) * len(b)) or products(a, b)
+        found = topk_search.search(tree, asked, np.full(30, -np.inf), 5)
+    finally:
+        topk_search._products = products
+    assert sum(opened) < 0.5 * 30 * 2000
+    for k, (ids, scores) in enumerate(found):
+        q = asked.points[k]
+        want = sorted((-int(q @ w), j) for j, w in enumerate(x) if j != asked.ids[k])[:5]
+        assert [(-s, i) for i, s in zip(ids, scores, strict=True)] == want
 
 
 def test_pipeline_stages(spark):

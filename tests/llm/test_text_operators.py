@@ -101,6 +101,84 @@ def test_toxicity_odd_rows(spark, odd):
     assert toxicity.score(empty(spark), model).count() == 0
 
 
+def test_ftrl_equals_the_update_written_out():
+    """Coordinate by coordinate: z and n are sums of gradients, weights the closed form with L1."""
+    import numpy as np
+
+    features = [np.array([0, 3]), np.array([1, 3]), np.array([0, 2, 3]), np.array([], np.int64)]
+    labels, bits, alpha, beta, l1, l2 = [1, 0, 1, 0], 2, 0.5, 1.0, 0.05, 0.1
+    got, squares = toxicity.ftrl(features, labels, bits, passes=3, alpha=alpha, beta=beta, l1=l1, l2=l2)
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(i):
+        least = 0.0 if i == 4 else l1 * math.sqrt(len(labels))
+        if abs(z[i]) <= least:
+            return 0.0
+        return -(z[i] - math.copysign(least, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(3):
+        for x, y in zip(features, labels, strict=True):
+            at = [*x.tolist(), 4]
+            w = {i: weight(i) for i in at}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            for i in at:
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * w[i]
+                n[i] += g * g
+    assert np.allclose(got, [weight(i) for i in range(5)]) and np.allclose(squares, [n[i] for i in range(5)])
+
+
+def test_toxicity_features_and_scores_are_recomputed(spark):
+    """Words, neighbours and pairs over one word, by the weights of the distinct ones."""
+    import numpy as np
+
+    features = toxicity.Features(20)
+    assert len(features.of("a b c a")) == 3 + 3 + 2 and len(features.of("")) == 0
+    model = (np.array([*features.of("bad word"), 1 << 20]), np.array([0.5, -0.25, 1.0, -0.1]))
+    weights = dict(zip(model[0].tolist(), model[1].tolist(), strict=True))
+    for r in toxicity.score(spark.createDataFrame([(1, "a BAD word"), (2, "word bad word bad"), (3, None)], "doc_id long, text string"), model).collect():
+        total = sum(weights.get(int(f), 0.0) for f in features.of(r.text)) - 0.1
+        assert abs(r.score - 1 / (1 + math.exp(-total))) < 1e-6 and r.predicted == int(total >= 0)
+
+
+def ranked_grams(text, size, ties=lambda key: key):
+    """N-grams of letters by rank, written out: words between edges, counted, most frequent first, ties by hash."""
+    import numpy as np
+
+    found = collections.Counter()
+    for word in re.sub(r"[\W\d_]+", " ", text.lower()).split():
+        edged = "_" + word + "_"
+        for n in range(1, 5):
+            for k in range(len(edged) - n + 1):
+                gram = edged[k : k + n]
+                if gram != "_":
+                    found[gram] += 1
+
+    def key(gram):
+        value = np.uint64(0)
+        for c in gram:
+            value = np.uint64((int(value) + ord(c)) * int(language_id._MIX) & (2**64 - 1))
+            value ^= value >> np.uint64(29)
+        return int(value) + len(gram) & (2**64 - 1)
+
+    return [key(g) for g, _ in sorted(found.items(), key=lambda x: (-x[1], ties(key(x[0]))))][:size]
+
+
+def test_language_distances_are_recomputed(spark):
+    texts = {"en": "the quick brown fox and the lazy dog and the other fox", "de": "der schnelle braune fuchs und der faule hund und die anderen"}
+    import numpy as np
+
+    profiles = {lang: ranked_grams(t, 60, lambda key: key - 2**64 if key >= 2**63 else key) for lang, t in texts.items()}  # a table's longs have a sign
+    docs = spark.createDataFrame([(k, t, lang) for k, (lang, t) in enumerate(texts.items())], "doc_id long, text string, lang string")
+    learned = language_id.learn_profiles(docs, size=60)
+    assert {lang: x.tolist() for lang, x in learned.items()} == profiles
+    ranker = language_id.Ranker({lang: np.array(x, np.uint64) for lang, x in profiles.items()}, size=60)
+    for text in ("the dog and a fox", "und der hund", "fox und dog"):
+        own = ranked_grams(text, 60)
+        apart = {lang: sum(abs(p.index(g) - k) if g in p else 60 for k, g in enumerate(own)) for lang, p in profiles.items()}
+        best = min(sorted(apart), key=lambda lang: apart[lang])
+        assert ranker.predict(text) == (best, 1 - apart[best] / (60 * len(own)))
+
+
 def license_rows(rows):
     out = {}
     for key, text in rows:
@@ -140,6 +218,17 @@ def test_license_templates_are_found_with_scattered_and_inserted_words(spark):
     assert (got[2].spans[0].first, got[2].spans[0].end) == (0, len(isc) + 5)
 
 
+def test_license_spans_are_bounded_by_the_template(spark):
+    mpl = dict(licenses.TEMPLATES)["mpl"].split()
+    third = len(mpl) // 3
+    scraps = " ".join(w for part in (mpl[:third], mpl[third : 2 * third], mpl[2 * third :]) for _ in range(100) for w in part)
+    twice = " ".join([*mpl, *["filler"] * 40, *mpl])
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame([(1, scraps), (2, twice), (3, " ".join(mpl * 5))], "doc_id long, text string")).collect()}
+    assert (got[1].labels, got[1].score, got[1].spans) == ("", 0.0, [])
+    assert [(s.first, s.end) for s in got[2].spans] == [(0, len(mpl)), (len(mpl) + 40, 2 * len(mpl) + 40)]
+    assert got[3].labels == "mpl" and all(s.end - s.first <= 2 * len(mpl) for s in got[3].spans) and len(got[3].spans) >= 3
+
+
 def test_token_counts_equal_the_library(spark, odd, documents):
     import public_tokenizers
     from tokenizers import Tokenizer
