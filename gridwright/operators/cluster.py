@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gridwright.operators.graph import components, settled
 from gridwright.operators.grid_join import cell
-from gridwright.schema import EPS_M, EPS_S, JACCARD_REUSE
+from gridwright.schema import EPS_M, EPS_S, JACCARD_REUSE, MIN_PTS
 
 
 def neighbours(alarms: DataFrame, eps_m: float = EPS_M, eps_s: float = EPS_S) -> DataFrame:
@@ -26,7 +26,7 @@ def neighbours(alarms: DataFrame, eps_m: float = EPS_M, eps_s: float = EPS_S) ->
     return left.join(right, ["i", "j", "k"]).where(F.col("alarma") != F.col("alarmb")).where(near & (F.abs(F.col("ta") - F.col("tb")) <= eps_s) & ~apart).select(F.col("alarma").alias("a"), F.col("alarmb").alias("b"))
 
 
-def st_dbscan(alarms: DataFrame, min_pts: int = 2) -> DataFrame:
+def st_dbscan(alarms: DataFrame, min_pts: int = MIN_PTS) -> DataFrame:
     """(alarm, cluster): cluster is the least core alarm of the cluster, null for noise.
 
     Cores have ``min_pts`` neighbours with themselves; clusters are the cores' components; a border

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwright.schema import IMPASSABLE_M
+from gridwright.schema import IMPASSABLE_M, WADING_FACTOR
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -196,4 +196,4 @@ def flood_costs(edges: DataFrame, level: float) -> DataFrame:
     slowed = 1 + 2.2 * F.sqrt(F.least(F.lit(1.0), F.greatest(F.lit(0.0), depth / IMPASSABLE_M)))
     dry = F.col("base_time") * F.col("congestion")
     priced = edges.withColumn("depth", depth).withColumn("factor", F.when(depth <= 0, 1.0).when(depth >= IMPASSABLE_M, F.lit(float("inf"))).otherwise(slowed))
-    return priced.withColumn("dry_cost", dry).withColumn("hard_cost", F.when(depth < IMPASSABLE_M, dry * F.col("factor"))).withColumn("soft_cost", dry * F.when(depth >= IMPASSABLE_M, 40.0).otherwise(F.col("factor")))
+    return priced.withColumn("dry_cost", dry).withColumn("hard_cost", F.when(depth < IMPASSABLE_M, dry * F.col("factor"))).withColumn("soft_cost", dry * F.when(depth >= IMPASSABLE_M, WADING_FACTOR).otherwise(F.col("factor")))

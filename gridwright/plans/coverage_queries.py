@@ -10,7 +10,7 @@ from gridwright.operators import coverage, raster, topology
 from gridwright.operators.grid_join import cell, nearest
 from gridwright.plans.registering import registry
 from gridwright.plans.scene_sql import over
-from gridwright.schema import BATTERY_S, CRITICAL_KINDS, DEFAULT_OCCUPANCY, OCCUPANCY, SIM_FACTOR, STOREY_M
+from gridwright.schema import BATTERY_S, CLEARANCE_M, CRITICAL_AMENITIES, CRITICAL_KINDS, FLAT_DEM_M, DEFAULT_OCCUPANCY, OCCUPANCY, SIM_FACTOR, STOREY_M
 from gridwright.sources import scene
 
 QUERIES, ORACLE_SQL, query = registry()
@@ -226,7 +226,7 @@ _OCC = "case kind " + " ".join(f"when '{k}' then {v!r}e0" for k, v in OCCUPANCY.
 @query(
     over(
         "site building",
-        f", f as (select *, greatest(1, round_even(height / {STOREY_M}e0, 0)) as floors from building) select bid, cast(floors as integer) as floors, cast(floor(4 * half * half * floors * ({_OCC}) * {SIM_FACTOR}e0) as bigint) as subscribers, kind in ('hospital', 'train_station', 'transportation') as is_critical from f",
+        f", f as (select *, greatest(1, round_even(height / {STOREY_M}e0, 0)) as floors from building) select bid, cast(floors as integer) as floors, cast(floor(4 * half * half * floors * ({_OCC}) * {SIM_FACTOR}e0) as bigint) as subscribers, kind in ('hospital', 'train_station', 'transportation') or coalesce(amenity, '') in {CRITICAL_AMENITIES} as is_critical from f",
     )
 )
 def building_dim(spark: SparkSession, sf: str) -> DataFrame:
@@ -234,7 +234,7 @@ def building_dim(spark: SparkSession, sf: str) -> DataFrame:
     occupancy = F.create_map(*[F.lit(x) for kv in OCCUPANCY.items() for x in kv])
     floors = F.greatest(F.lit(1.0), F.bround(F.col("height") / STOREY_M))
     people = 4 * F.col("half") * F.col("half") * floors * F.coalesce(occupancy[F.col("kind")], F.lit(DEFAULT_OCCUPANCY)) * SIM_FACTOR
-    return scene.building(spark, sf).select("bid", floors.cast("int").alias("floors"), F.floor(people).cast("long").alias("subscribers"), F.col("kind").isin(*CRITICAL_KINDS).alias("is_critical"))
+    return scene.building(spark, sf).select("bid", floors.cast("int").alias("floors"), F.floor(people).cast("long").alias("subscribers"), (F.col("kind").isin(*CRITICAL_KINDS) | F.coalesce("amenity", F.lit("")).isin(*CRITICAL_AMENITIES)).alias("is_critical"))
 
 
 @query(over("site building", " select count(*) as buildings, cast(sum(subs) as bigint) as subscribers, count(*) filter (critical) as critical_sites, arg_max(bid, struct_pack(h := height, b := -bid)) as tallest from building"))
@@ -306,7 +306,7 @@ def low_lying(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(over("dem", " select count(*) as cells, min(z) as min_z, max(z) as max_z, round(avg(z), 6) as mean_z, max(z) - min(z) < 0.5 as is_flat from dem"))
 def dem_scan(spark: SparkSession, sf: str) -> DataFrame:
-    return scene.dem(spark).agg(F.count("*").alias("cells"), F.min("z").alias("min_z"), F.max("z").alias("max_z"), F.round(F.avg("z"), 6).alias("mean_z"), (F.max("z") - F.min("z") < 0.5).alias("is_flat"))
+    return scene.dem(spark).agg(F.count("*").alias("cells"), F.min("z").alias("min_z"), F.max("z").alias("max_z"), F.round(F.avg("z"), 6).alias("mean_z"), (F.max("z") - F.min("z") < FLAT_DEM_M).alias("is_flat"))
 
 
 _HOPS = """, hop as (select a.site, b.site as peer, a.x as x0, a.y as y0, a.antenna_z + 40 as z0, b.x as x1, b.y as y1, b.antenna_z + 40 as z1 from site a join site b on b.site = a.site + 1),
@@ -322,7 +322,7 @@ def hop_clearance(spark: SparkSession, sf: str) -> DataFrame:
     hops = s.join(peer, "site").select("site", "peer", F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("antenna_z") + 40).alias("z0"), "x1", "y1", "z1")
     margin = raster.profile(hops, raster.as_array(scene.dem(spark)), 32)
     return margin.groupBy("site").agg(
-        F.first("peer").alias("peer"), F.round(F.min("margin"), 4).alias("clearance"), (F.min("margin") >= 5).alias("clear"), F.min_by("k", F.struct(F.round("margin", 6), "k")).cast("long").alias("at_sample")
+        F.first("peer").alias("peer"), F.round(F.min("margin"), 4).alias("clearance"), (F.min("margin") >= CLEARANCE_M).alias("clear"), F.min_by("k", F.struct(F.round("margin", 6), "k")).cast("long").alias("at_sample")
     )
 
 

@@ -11,7 +11,7 @@ from gridwright.operators.grid_join import within
 from gridwright.operators.ordering import ordinal
 from gridwright.plans.registering import registry
 from gridwright.plans.scene_sql import over
-from gridwright.schema import DEFAULT_SPEED_KMH, FLOOD_SLOWDOWN, JUNCTION_S, SPEED_KMH
+from gridwright.schema import DEFAULT_SPEED_KMH, FLAT_DEM_M, FLOOD_SLOWDOWN, JUNCTION_S, MAX_SNAP_M, SPEED_KMH, WADING_FACTOR
 from gridwright.sources import scene
 
 QUERIES, ORACLE_SQL, query = registry()
@@ -81,7 +81,7 @@ def flood_reprice_flat(spark: SparkSession, sf: str) -> DataFrame:
 )
 def flood_reprice_graded(spark: SparkSession, sf: str) -> DataFrame:
     priced = graph.flood_costs(congested_edges(spark, sf), 29.5)
-    return priced.select("src", "dst", F.round(F.greatest("depth", F.lit(0.0)), 6).alias("depth"), F.round(F.col("base_time") * F.greatest("congestion", F.least(F.lit(40.0), "factor")), 6).alias("seconds"))
+    return priced.select("src", "dst", F.round(F.greatest("depth", F.lit(0.0)), 6).alias("depth"), F.round(F.col("base_time") * F.greatest("congestion", F.least(F.lit(WADING_FACTOR), "factor")), 6).alias("seconds"))
 
 
 @query(over("road", _FLOOD + " select least(src, dst) as a, greatest(src, dst) as b, round(max(depth), 6) as depth from wet where depth > 0 group by 1, 2"))
@@ -94,7 +94,7 @@ def flooded_segments(spark: SparkSession, sf: str) -> DataFrame:
 @query(over("road", _FLOOD + " select count(*) as edges, count(*) filter (depth >= 0) as wet, round(max(greatest(depth, 0)), 6) as deepest, round(min(elev), 6) as lowest, max(elev) - min(elev) < 0.5 as no_dem from wet"))
 def flood_summary(spark: SparkSession, sf: str) -> DataFrame:
     p = graph.flood_costs(congested_edges(spark, sf), 29.5)
-    return p.agg(F.count("*").alias("edges"), F.count_if(F.col("depth") >= 0).alias("wet"), F.round(F.max(F.greatest("depth", F.lit(0.0))), 6).alias("deepest"), F.round(F.min("elev"), 6).alias("lowest"), (F.max("elev") - F.min("elev") < 0.5).alias("no_dem"))
+    return p.agg(F.count("*").alias("edges"), F.count_if(F.col("depth") >= 0).alias("wet"), F.round(F.max(F.greatest("depth", F.lit(0.0))), 6).alias("deepest"), F.round(F.min("elev"), 6).alias("lowest"), (F.max("elev") - F.min("elev") < FLAT_DEM_M).alias("no_dem"))
 
 
 def _paths(name: str, cost: str, source: str) -> str:
@@ -184,7 +184,7 @@ def snap_nearest(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("s_suppkey")
     nodes = spark.read.parquet(f"{sf}/supplier.parquet").select(k.alias("node"), (k % 10 * 100).cast("double").alias("x2"), (F.floor(k / 10) * 100).cast("double").alias("y2"))
     d = F.sqrt((F.col("x") - F.col("x2")) ** 2 + (F.col("y") - F.col("y2")) ** 2)
-    best = within(s, nodes, 250.0).groupBy("site").agg(F.min(F.struct(d.alias("d"), "node")).alias("best"))
+    best = within(s, nodes, MAX_SNAP_M).groupBy("site").agg(F.min(F.struct(d.alias("d"), "node")).alias("best"))
     return s.select("site").join(best, "site", "left").select("site", "best.node", F.round("best.d", 6).alias("distance"))
 
 

@@ -6,7 +6,7 @@ site as (select s_suppkey as site, cast(s_suppkey * 7919 % e - e // 2 as double)
     cast(s_suppkey * 61 % 97 as double) as altitude from supplier, ext)"""
 BUILDING = """building as (select p_partkey as bid, cast(p_partkey * 7907 % e - e // 2 as double) as cx, cast(p_partkey * 5003 % e - e // 2 as double) as cy,
     (10 + p_partkey % 30) / 2e0 as half, cast(3 + 2 * p_size as double) as height, cast(10 * p_size as bigint) as subs, p_type = 'PROMO' as critical,
-    (['office', 'apartments', 'hospital', 'retail', 'warehouse', 'unknown'])[p_partkey % 6 + 1] as kind from part, ext)"""
+    (['office', 'apartments', 'hospital', 'retail', 'warehouse', 'unknown'])[p_partkey % 6 + 1] as kind, ([null, 'clinic', 'cafe', 'police', ''])[p_partkey % 5 + 1] as amenity from part, ext)"""
 TELEMETRY = """telemetry as (select event_id, user_id as site, ts, epoch_us(ts) / 1e6 as t, value, event_type, props from events)"""
 ALARM = """alarm as (select event_id as alarm, user_id as site, cast(user_id * 7919 % 4000 as double) as x, cast(user_id * 104729 % 4000 as double) as y,
     cast(50 as double) as z, epoch_us(ts) / 1e6 as t,

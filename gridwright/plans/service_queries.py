@@ -11,7 +11,7 @@ from gridwright.operators.grid_join import nearest
 from gridwright.operators.ordering import ordinal, running
 from gridwright.plans.registering import registry
 from gridwright.plans.scene_sql import over
-from gridwright.schema import CRITICAL_EXTRA, HIGH_BAND, MEDIUM_BAND, NOMINAL_SUBSCRIBERS, RISK_FEATURES, SEVERITY, SLA_MIN
+from gridwright.schema import ANNUAL_RATE, ANNUAL_SITES, CO2_KG_L, CRITICAL_EXTRA, FUEL_L_KM, HIGH_BAND, MEDIUM_BAND, NOMINAL_SUBSCRIBERS, RISK_FEATURES, SEVERITY, SLA_MIN
 from gridwright.sources import scene
 
 QUERIES, ORACLE_SQL, query = registry()
@@ -99,7 +99,7 @@ def ab_compare(spark: SparkSession, sf: str) -> DataFrame:
     )
     saved = (F.col("b_lost") - F.col("i_lost")) / F.greatest(F.lit(1), "resolved")
     gain = lambda n: F.round((F.col(f"b_{n}") - F.col(f"i_{n}")) / F.col(f"b_{n}") * 100, 6)
-    return one.select(gain("mttr").alias("mttr_gain_pct"), gain("mttd").alias("mttd_gain_pct"), F.round(saved, 6).alias("saved_per_incident"), F.round(saved / 60 * 2000 * 4, 4).alias("annual_hours"))
+    return one.select(gain("mttr").alias("mttr_gain_pct"), gain("mttd").alias("mttd_gain_pct"), F.round(saved, 6).alias("saved_per_incident"), F.round(saved / 60 * ANNUAL_SITES * ANNUAL_RATE, 4).alias("annual_hours"))
 
 
 @query(over("incident", " select count(*) as incidents, round(avg(detected_at - fault_at), 6) as mean_latency, arg_max(detected_at - fault_at, incident) as last_latency from incident"))
@@ -111,7 +111,7 @@ def detection_rollup(spark: SparkSession, sf: str) -> DataFrame:
 @query(over("crew", " select count(*) as crews, count(*) filter (busy) as busy, round(sum(sqrt(x * x + y * y)) / 1000, 6) as km, round(sum(sqrt(x * x + y * y)) / 1000 * 0.11e0, 6) as fuel_l, round(sum(sqrt(x * x + y * y)) / 1000 * 0.11e0 * 2.68e0, 6) as co2_kg from crew"))
 def fleet_rollup(spark: SparkSession, sf: str) -> DataFrame:
     km = F.sum(F.hypot("x", "y")) / 1000
-    return scene.crew(spark, sf).agg(F.count("*").alias("crews"), F.count_if("busy").alias("busy"), F.round(km, 6).alias("km"), F.round(km * 0.11, 6).alias("fuel_l"), F.round(km * 0.11 * 2.68, 6).alias("co2_kg"))
+    return scene.crew(spark, sf).agg(F.count("*").alias("crews"), F.count_if("busy").alias("busy"), F.round(km, 6).alias("km"), F.round(km * FUEL_L_KM, 6).alias("fuel_l"), F.round(km * FUEL_L_KM * CO2_KG_L, 6).alias("co2_kg"))
 
 
 @query(over("incident", " select arm, list_sort(list((resolved_at - fault_at) / 60) filter (resolved_at is not null))[cast(floor(0.95e0 * count(resolved_at)) as bigint) + 1] as nearest_rank, round(quantile_cont((resolved_at - fault_at) / 60, 0.95), 6) as interpolated from incident group by arm"))

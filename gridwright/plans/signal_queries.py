@@ -11,7 +11,7 @@ from gridwright.operators.graph import settled
 from gridwright.operators.ordering import running
 from gridwright.plans.registering import registry
 from gridwright.plans.scene_sql import over
-from gridwright.schema import BASELINE, BOUNDS, METRICS, PROFILES, RETENTION_S
+from gridwright.schema import BASELINE, BOUNDS, DIGEST_S, EVENT_BYTES, EVENT_TAIL, FLOOD_RAIN_MM, METRICS, PROFILES, RAW_BYTES, RETENTION_S
 from gridwright.sources import scene
 
 QUERIES, ORACLE_SQL, query = registry()
@@ -48,7 +48,7 @@ def storm_conditions(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(over("site storm", _RAIN + " select t, round(max(rain), 6) as peak, count(*) filter (rain >= 30) as wet_sites, count(*) as sites from field group by t"))
 def rain_peak(spark: SparkSession, sf: str) -> DataFrame:
-    return _at_sites(spark, sf).groupBy("t").agg(F.round(F.max("rain"), 6).alias("peak"), F.count_if(F.col("rain") >= 30).alias("wet_sites"), F.count("*").alias("sites"))
+    return _at_sites(spark, sf).groupBy("t").agg(F.round(F.max("rain"), 6).alias("peak"), F.count_if(F.col("rain") >= FLOOD_RAIN_MM).alias("wet_sites"), F.count("*").alias("sites"))
 
 
 @query(over("site storm", _RAIN + " select t, 'CELL-' || cell as id, round(cx, 4) as x, round(cy, 4) as y, round(peak * power, 6) as rain from cells where power > 0.01"))
@@ -192,14 +192,14 @@ def detector_states(spark: SparkSession, sf: str) -> DataFrame:
 @query(over("metrics6", " select site, cast(floor(t / 10) * 10 as double) as window_s, max(t) as last_t, arg_max(throughput_mbps, t) as throughput_mbps, count(*) as samples from metrics6 group by site, floor(t / 10)"))
 def digest(spark: SparkSession, sf: str) -> DataFrame:
     """The last sample of each ten seconds, on a clean clock."""
-    return scene.metrics6(spark, sf).groupBy("site", (F.floor(F.col("t") / 10) * 10.0).alias("window_s")).agg(F.max("t").alias("last_t"), F.max_by("throughput_mbps", "t").alias("throughput_mbps"), F.count("*").alias("samples"))
+    return scene.metrics6(spark, sf).groupBy("site", (F.floor(F.col("t") / DIGEST_S) * DIGEST_S).alias("window_s")).agg(F.max("t").alias("last_t"), F.max_by("throughput_mbps", "t").alias("throughput_mbps"), F.count("*").alias("samples"))
 
 
 @query(over("metrics6", ", d as (select count(*) as n, count(distinct (site, floor(t / 10))) as digests from metrics6) select n as samples, n * 120 as raw_bytes, digests * 180 as uplink_bytes, round(100 * (1 - digests * 180e0 / (n * 120)), 6) as reduction_pct from d"))
 def uplink_bytes(spark: SparkSession, sf: str) -> DataFrame:
     """Raw against uplink bytes."""
-    n, up = F.sum("samples"), F.count("*") * 180
-    return digest(spark, sf).agg(n.alias("samples"), (n * 120).alias("raw_bytes"), up.alias("uplink_bytes"), F.round((1 - up / (n * 120)) * 100, 6).alias("reduction_pct"))
+    n, up = F.sum("samples"), F.count("*") * EVENT_BYTES
+    return digest(spark, sf).agg(n.alias("samples"), (n * RAW_BYTES).alias("raw_bytes"), up.alias("uplink_bytes"), F.round((1 - up / (n * RAW_BYTES)) * 100, 6).alias("reduction_pct"))
 
 
 @query(
@@ -326,7 +326,7 @@ def event_dedup(spark: SparkSession, sf: str) -> DataFrame:
 @query("select event_id, event_type, epoch_us(ts) / 1e6 as t from events order by event_id desc limit 40")
 def event_tail(spark: SparkSession, sf: str) -> DataFrame:
     """The last forty log entries, a top-N report."""
-    return scene.telemetry(spark, sf).orderBy(F.desc("event_id")).limit(40).select("event_id", "event_type", "t")
+    return scene.telemetry(spark, sf).orderBy(F.desc("event_id")).limit(EVENT_TAIL).select("event_id", "event_type", "t")
 
 
 @query(over("metrics6", " select count(*) as samples, " + ", ".join(f"round(avg({m}), 6) as {m}" for m in METRICS) + " from metrics6"))

@@ -2,7 +2,6 @@
 
 # Coverage geometry.
 FACADE_FRACTIONS = (0.05, 0.5, 0.9)
-FACADE_POINTS = 6
 COVERED_SHARE = 1 / 3
 FRESNEL_CLEARANCE = 0.6
 MIN_SAMPLE_Z = 1.5
@@ -41,8 +40,6 @@ FLOOD_RAIN_MM, EDGE_SHARE = 30.0, 0.25
 
 # Alarm clustering.
 EPS_M, EPS_S, MIN_PTS, RETENTION_S, JACCARD_REUSE = 900.0, 600.0, 2, 1800.0, 0.5
-FAMILY = {"amplifier_degradation": "rf_path", "antenna_misalignment": "rf_path", "power_failure": "power", "backhaul_congestion": "transport"}
-DEFAULT_FAMILY = "rf_path"
 
 # Edge detector.
 METRICS = ("rssi_dbm", "throughput_mbps", "temperature_c", "power_draw_w", "vswr", "packet_loss_pct")
@@ -62,19 +59,18 @@ BOUNDS = {
     "rssi_dbm": (-125.0, -30.0), "throughput_mbps": (0.0, 1200.0), "temperature_c": (-10.0, 130.0),
     "power_draw_w": (0.0, 1500.0), "vswr": (1.0, 12.0), "packet_loss_pct": (0.0, 100.0),
 }
-RAMP_S = 25.0
 
 # Priorities, dispatch and indicators.
 SEVERITY = {"degraded": 0.45, "down": 1.0}
 CRITICAL_EXTRA, SLA_MIN = 2.5, 60.0
 DETOUR_S, PREEMPT, REPAIR_S, DEFAULT_REPAIR_S = 300.0, 1.35, {"degraded": 1200.0, "down": 2100.0}, 1800.0
-RAW_BYTES, EVENT_BYTES, FUEL_L_KM, CO2_KG_L, ROLL_COST = 120, 180, 0.11, 2.68, 420.0
+RAW_BYTES, EVENT_BYTES, FUEL_L_KM, CO2_KG_L = 120, 180, 0.11, 2.68
 ANNUAL_SITES, ANNUAL_RATE = 2000, 4.0
-HIGH_BAND, MEDIUM_BAND, HIGH_P, MEDIUM_P, NOMINAL_SUBSCRIBERS = 75.0, 45.0, 0.10, 0.05, 12000.0
+HIGH_BAND, MEDIUM_BAND, NOMINAL_SUBSCRIBERS = 75.0, 45.0, 12000.0
 HIGH_SHARE, MEDIUM_SHARE = 0.90, 0.67
 RISK_FEATURES = (
     "asset_age_years", "days_since_maintenance", "recent_thermal_cycles", "peak_temperature_c", "vswr_trend_30d", "load_factor", "subscribers_served",
     "terrain_slope_deg", "elevation_m", "antenna_height_m", "rainfall_intensity_mm_hr", "lightning_density_per_km2", "humidity_pct", "encroachment_risk",
 )
-DIGEST_S, CASCADE_S, FLOOD_SCAN_S, RETRY_S, EVENT_TAIL = 10.0, 30.0, 60.0, 60.0, 40
+DIGEST_S, EVENT_TAIL = 10.0, 40
 EARTH_M = 6_371_000.0

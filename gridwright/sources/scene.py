@@ -42,6 +42,7 @@ def site(spark: SparkSession, sf_dir: str) -> DataFrame:
 def building(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y = _placed("p_partkey", 7907, 5003)
     k = F.col("p_partkey")
+    amenities = F.array(*[F.lit(v).cast("string") for v in (None, "clinic", "cafe", "police", "")])
     kinds = F.array(*[F.lit(v) for v in ("office", "apartments", "hospital", "retail", "warehouse", "unknown")])
     return _read(spark, sf_dir, "part").crossJoin(F.broadcast(_extent(spark, sf_dir))).select(
         k.alias("bid"),
@@ -52,6 +53,7 @@ def building(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("p_size") * 10).cast("long").alias("subs"),
         (F.col("p_type") == "PROMO").alias("critical"),
         F.element_at(kinds, (k % 6 + 1).cast("int")).alias("kind"),
+        F.element_at(amenities, (k % 5 + 1).cast("int")).alias("amenity"),
     )
 
 

@@ -43,3 +43,44 @@ def test_range_join_has_no_nested_loop(spark):
     s, b = spark.createDataFrame([(1, 0.0, 0.0, 30.0, 400.0, False)], SITE), spark.createDataFrame([(1, 1.0, 1.0, 5.0, 9.0)], BUILDING)
     assert "NestedLoop" not in coverage.in_range(s, b)._jdf.queryExecution().executedPlan().toString()
     assert coverage.in_range(s, b).select(F.count("*")).first()[0] == 1
+
+
+def test_ranges_of_any_size_reach_as_far_as_they_say(spark):
+    sites = spark.createDataFrame([(1, 0.0, 0.0, 30.0, 600.0, False), (2, 0.0, 0.0, 30.0, 250.0, False), (3, 0.0, 0.0, 30.0, 5000.0, False)], SITE)
+    buildings = spark.createDataFrame([(k, 100.0 * k, 0.0, 5.0, 9.0) for k in range(1, 60)], BUILDING)
+    got = {r.site: r.n for r in coverage.in_range(sites, buildings).groupBy("site").agg(F.count("*").alias("n")).collect()}
+    assert got == {1: 6, 2: 2, 3: 50}
+
+
+def test_nearest_finds_neighbours_however_far(spark):
+    from gridwright.operators.grid_join import nearest
+
+    points = [(1, 0.0, 0.0), (2, 3.0, 0.0), (3, 1e6, 0.0), (4, 1e6, 500.0), (5, 0.0, 4.0)]
+    left = spark.createDataFrame(points, "site long, x double, y double")
+    right = spark.createDataFrame(points, "other long, x2 double, y2 double")
+    got = {(r.site, r.turn): r.other for r in nearest(left, right, "site", "other", 2, 10.0, lambda: F.col("site") != F.col("other")).collect()}
+    assert got == {(1, 1): 2, (1, 2): 5, (2, 1): 1, (2, 2): 5, (3, 1): 4, (3, 2): 2, (4, 1): 3, (4, 2): 2, (5, 1): 1, (5, 2): 2}
+    alone = nearest(left.where("site = 1"), right.where("other = 1"), "site", "other", 1, 10.0, lambda: F.col("site") != F.col("other"))
+    assert alone.count() == 0
+
+
+def test_fresnel_zone_hosts_and_ground_block(spark):
+    site = spark.createDataFrame([(1, 0.0, 0.0, 40.0, 900.0, False, 7, 100.0)], SITE + ", host long, mhz double")
+    target, low, host = (1, 400.0, 0.0, 5.0, 30.0), (2, 200.0, 0.0, 10.0, 17.5), (7, 10.0, 0.0, 15.0, 39.0)
+
+    def covered(buildings, **how):
+        return {r.bid: r.visibility for r in coverage.line_of_sight(site, spark.createDataFrame(buildings, BUILDING), **how).collect()}[1]
+
+    assert covered([target, low]) > covered([target, low], mhz="mhz")
+    assert covered([target, host]) < covered([target, host], host="host") == 1.0
+    hill = spark.createDataFrame([([100.0 if k % 40 == 14 else 0.0 for k in range(1600)],)], "grid array<double>")
+    flat = spark.createDataFrame([([0.0] * 1600,)], "grid array<double>")
+    assert covered([target], ground=flat) == 1.0 and covered([target], ground=hill) == 0.0
+
+
+def test_speeds_are_read_as_posted(spark):
+    from gridwright.functions.roads import speed_kmh
+
+    rows = [("50", "primary"), (" 60 KM/H ", "primary"), ("30 mph", "primary"), ("signals", "primary"), ("200", "service"), (None, "track"), ("", None)]
+    got = [r[0] for r in spark.createDataFrame(rows, "m string, h string").select(speed_kmh(F.col("m"), F.col("h"))).collect()]
+    assert got == [50.0, 60.0, 30 * 1.609, 45.0, 14.0, 25.0, 25.0]

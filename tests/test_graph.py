@@ -58,7 +58,31 @@ def test_flood_factor_limits(spark):
 
 
 def test_hubs_keep_their_distance(spark):
-    from gridwright.operators.topology import spaced_hubs
+    from gridwright.operators.topology import ranked, spaced_hubs
 
     sites = spark.createDataFrame([(k, 100.0 * k, 0.0, 50.0 - k) for k in range(10)], "site long, x double, y double, altitude double")
-    assert [r.site for r in spaced_hubs(sites).orderBy("turn").collect()] == [0, 2]
+    assert [r.site for r in spaced_hubs(ranked(sites)).orderBy("turn").collect()] == [0, 2]
+
+
+def test_routes_give_ways_and_sums(spark):
+    roads = spark.createDataFrame([(0, 1, 5.0, 50.0, 0.0), (1, 2, 5.0, 70.0, 0.4), (0, 2, 11.0, 90.0, 0.0), (2, 3, 1.0, 10.0, 0.2), (5, 6, 1.0, 1.0, 0.0)], "src long, dst long, cost double, metres double, deepest double")
+    costs = graph.shortest(roads.select("src", "dst", "cost"), spark.createDataFrame([(0,)], "source long")).select("node", "cost")
+    got = {r.node: (r.way, r.metres, r.deepest) for r in graph.routes(roads, costs, 0, ["metres"], ["deepest"]).collect()}
+    assert got == {0: ([0], 0.0, 0.0), 1: ([0, 1], 50.0, 0.0), 2: ([0, 1, 2], 120.0, 0.4), 3: ([0, 1, 2, 3], 130.0, 0.4)}
+
+
+def test_topological_order_and_its_fallback(spark):
+    got = {r.node: (r.level, r.cyclic) for r in graph.topological(edges(spark, [(0, 1), (1, 2), (0, 2)]), ids(spark, 0, 1, 2, 9)).collect()}
+    assert got == {0: (0, False), 1: (1, False), 2: (2, False), 9: (0, False)}
+    got = {r.node: r.cyclic for r in graph.topological(edges(spark, [(0, 1), (1, 2), (2, 1)]), ids(spark, 0, 1, 2)).collect()}
+    assert got == {0: False, 1: True, 2: True}
+
+
+def test_orders_and_running_sums(spark):
+    from gridwright.operators.ordering import ordinal, running
+
+    df = spark.range(1000).selectExpr("id", "(id * 7919) % 1009 as v")
+    want = {v: k + 1 for k, v in enumerate(sorted(i * 7919 % 1009 for i in range(1000)))}
+    assert all(r.place == want[r.v] for r in ordinal(df, ["v"], "place").collect())
+    rows = sorted((r.v, r["sum"]) for r in running(df, ["v"], "v", "sum").collect())
+    assert [s for _, s in rows] == [sum(v for v, _ in rows[: k + 1]) for k in range(1000)]

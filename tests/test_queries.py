@@ -1,5 +1,7 @@
 """Registered queries against their oracles at the smallest scale."""
 
+import os
+
 import duckdb
 import pytest
 
@@ -8,7 +10,6 @@ from gridwright.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"scc_core", "restoration_order", "resilient_route"}
 
 
 @pytest.fixture(scope="module")
@@ -25,7 +26,7 @@ def rows(found, columns):
     return sorted(tuple(cell(r[k]) for k in order) for r in found)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.ORACLE_SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
 def test_query_equals_its_oracle(spark, duck, name):
     got = catalog.QUERIES[name](spark, SF)
     want = duck.sql(catalog.ORACLE_SQL[name])
@@ -33,9 +34,11 @@ def test_query_equals_its_oracle(spark, duck, name):
     assert rows(got.collect(), got.columns) == rows(want.fetchall(), want.columns)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL) - SLOW))
-def test_query_without_oracle_has_rows(spark, name):
-    assert catalog.QUERIES[name](spark, SF).count() >= 0
+def test_queries_without_oracle_are_tested_by_themselves():
+    """Each against plain Python in ``test_models``."""
+    with open(f"{os.path.dirname(__file__)}/test_models.py", encoding="utf-8") as f:
+        text = f.read()
+    assert all(f'"{name}"' in text for name in set(catalog.QUERIES) - set(catalog.ORACLE_SQL))
 
 
 def test_entry(spark):
