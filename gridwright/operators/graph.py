@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import heapq
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +29,10 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: Edges of a graph that each worker may hold whole, counted before; larger ones are relaxed by joins.
+HELD_EDGES = 1_000_000
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df`` written in the shared folder and read again: each round of a loop starts from a table."""
     path = f"{shared_dir(df.sparkSession)}/gridwright-graph/{uuid.uuid4().hex}"
@@ -32,13 +40,112 @@ def settled(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Held:
+    """A graph of counted size in arrays: the edges of each node one after another."""
+
+    def __init__(self, src: np.ndarray, dst: np.ndarray, cost: np.ndarray | None = None) -> None:
+        self.nodes = np.unique(np.concatenate([src, dst]))
+        a, b = np.searchsorted(self.nodes, src), np.searchsorted(self.nodes, dst)
+        order = np.argsort(a, kind="stable")
+        self.dst, self.cost = b[order].tolist(), None if cost is None else cost[order].tolist()
+        self.start = np.searchsorted(a[order], np.arange(len(self.nodes) + 1)).tolist()
+
+    def place(self, node: int) -> int | None:
+        at = int(np.searchsorted(self.nodes, node))
+        return at if at < len(self.nodes) and self.nodes[at] == node else None
+
+    def costs(self, source: int) -> tuple[list[int], list[float]]:
+        """Nodes and least costs from ``source``, nearest first."""
+        first = self.place(source)
+        if first is None:
+            return [source], [0.0]
+        best, done, out = {first: 0.0}, set(), ([], [])
+        todo = [(0.0, first)]
+        while todo:
+            cost, k = heapq.heappop(todo)
+            if k in done:
+                continue
+            done.add(k)
+            out[0].append(int(self.nodes[k]))
+            out[1].append(cost)
+            for e in range(self.start[k], self.start[k + 1]):
+                reached = cost + self.cost[e]
+                to = self.dst[e]
+                if to not in done and reached < best.get(to, np.inf):
+                    best[to] = reached
+                    heapq.heappush(todo, (reached, to))
+        return out
+
+    def strong(self) -> list[int]:
+        """The nodes of the largest strongly connected component, of equal ones that with the least node."""
+        n = len(self.nodes)
+        index, low, on, stack, best, count = [-1] * n, [0] * n, [False] * n, [], [], 0
+        for root in range(n):
+            if index[root] >= 0:
+                continue
+            walk = [(root, self.start[root])]
+            index[root] = low[root] = count
+            count += 1
+            stack.append(root)
+            on[root] = True
+            while walk:
+                k, e = walk.pop()
+                if e < self.start[k + 1]:
+                    walk.append((k, e + 1))
+                    to = self.dst[e]
+                    if index[to] < 0:
+                        index[to] = low[to] = count
+                        count += 1
+                        stack.append(to)
+                        on[to] = True
+                        walk.append((to, self.start[to]))
+                    elif on[to]:
+                        low[k] = min(low[k], index[to])
+                    continue
+                if walk:
+                    low[walk[-1][0]] = min(low[walk[-1][0]], low[k])
+                if low[k] == index[k]:
+                    part = []
+                    while True:
+                        x = stack.pop()
+                        on[x] = False
+                        part.append(x)
+                        if x == k:
+                            break
+                    if (-len(part), min(part)) < (-len(best), min(best, default=n)):
+                        best = part
+        return [int(self.nodes[k]) for k in sorted(best)]
+
+
+def held(edges: DataFrame, limit: int | None = None) -> Held | None:
+    """``edges`` (src, dst, cost?) in arrays if there are no more than ``limit``, else None."""
+    if edges.count() > (HELD_EDGES if limit is None else limit):
+        return None
+    found = edges.toArrow()
+    columns = {c: found.column(c).to_numpy() for c in found.column_names}
+    return Held(columns["src"].astype(np.int64), columns["dst"].astype(np.int64), columns.get("cost"))
+
+
 def shortest(edges: DataFrame, sources: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """(source, node, cost): least cost from each of ``sources`` (source) over ``edges`` (src, dst, cost).
 
-    Frontier relaxation: only nodes whose cost fell in a round pass it on in the next, and a round
-    is three hops, so a round's shuffle is by (source, node) and rounds are a third of the hops.
+    A graph of at most ``HELD_EDGES`` edges goes to every worker, and the sources are the parallelism.
+    Larger ones are relaxed from frontiers: only nodes whose cost fell in a round pass it on in the
+    next, and a round is three hops, so a round's shuffle is by (source, node) and rounds are a third
+    of the hops.
     """
     edges = settled(edges.groupBy("src", "dst").agg(F.min("cost").alias("cost")))
+    whole = held(edges)
+    if whole is not None:
+        sent = edges.sparkSession.sparkContext.broadcast(whole)
+
+        def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for source in batch.column(0).to_pylist():
+                    nodes, costs = sent.value.costs(source)
+                    yield pa.RecordBatch.from_arrays([pa.array([source] * len(nodes), pa.int64()), pa.array(nodes, pa.int64()), pa.array(costs, pa.float64())], ["source", "node", "cost"])
+
+        return settled(sources.select(F.col("source").cast("long").alias("source")).mapInArrow(walk, "source long, node long, cost double"))
     best = settled(sources.select("source", F.col("source").alias("node"), F.lit(0.0).alias("cost")))
     front = best
     for _ in range(max_rounds):
@@ -95,11 +202,15 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def strong_core(edges: DataFrame) -> DataFrame:
     """(node) of the largest strongly connected component, by forward colours and backward reach.
 
-    Every node takes the least node that reaches it; a colour's root and what reaches the root inside
-    the colour is one component. The rest goes on until no larger component can be left.
+    A graph of at most ``HELD_EDGES`` edges is searched depth first in one place. In larger ones every
+    node takes the least node that reaches it; a colour's root and what reaches the root inside the
+    colour is one component. The rest goes on until no larger component can be left.
     """
     best, best_size = None, 0
     left = settled(edges.select("src", "dst").distinct())
+    whole = held(left)
+    if whole is not None:
+        return edges.sparkSession.createDataFrame([(n,) for n in whole.strong()], "node long")
     while True:
         nodes = left.selectExpr("src as node").union(left.selectExpr("dst as node")).distinct()
         if nodes.count() <= best_size:

@@ -1,6 +1,7 @@
 """Small graphs with known answers."""
 
 import math
+import random
 
 from gridwright.operators import graph
 
@@ -31,6 +32,16 @@ def test_shortest_takes_the_fast_loop(spark):
     assert got == {0: 0.0, 1: 30.0, 2: 120.0, 3: 150.0}
 
 
+def test_graphs_too_large_to_hold_give_the_same(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(rng.randrange(40), rng.randrange(40), float(rng.randrange(1, 30))) for _ in range(90)]
+    roads, sources = edges(spark, rows, ", cost double"), spark.createDataFrame([(0,), (7,), (99,)], "source long")
+    small = sorted(map(tuple, graph.shortest(roads, sources).select("source", "node", "cost").collect())), sorted(r.node for r in graph.strong_core(roads).collect())
+    monkeypatch.setattr(graph, "HELD_EDGES", 3)
+    assert small == (sorted(map(tuple, graph.shortest(roads, sources).select("source", "node", "cost").collect())), sorted(r.node for r in graph.strong_core(roads).collect()))
+    assert len(small[1]) > 3
+
+
 def test_time_to_dark(spark):
     inf = math.inf
     power = spark.createDataFrame([(0, inf), (1, 120.0), (2, inf), (3, inf)], "node long, power double")
