@@ -7,7 +7,7 @@ import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
@@ -17,12 +17,20 @@ from pyspark.sql import functions as F
 from gridwright.schema import HIGH_SHARE, MEDIUM_SHARE, RISK_FEATURES
 
 
-def risk_scores(fleet: DataFrame, features: tuple[str, ...] = RISK_FEATURES) -> DataFrame:
-    """(site, p, held_out): the chance of failure in seven days by the contract's features; every fourth site by hash is held out."""
+def risk_model(fleet: DataFrame, features: tuple[str, ...] = RISK_FEATURES) -> GBTClassificationModel:
+    """Boosted trees over the contract's features of ``fleet`` (site, features, failed), every fourth site by hash held out."""
     data = VectorAssembler(inputCols=list(features), outputCol="v").transform(fleet.withColumn("label", F.col("failed").cast("double")))
-    data = data.withColumn("held_out", F.pmod(F.xxhash64("site"), F.lit(4)) == 0)
-    model = GBTClassifier(featuresCol="v", labelCol="label", maxIter=10, maxDepth=3, seed=7).fit(data.where("not held_out"))
-    return model.transform(data).select("site", vector_to_array("probability")[1].alias("p"), "held_out")
+    return GBTClassifier(featuresCol="v", labelCol="label", maxIter=10, maxDepth=3, seed=7).fit(data.where(~held_out()))
+
+
+def held_out() -> Column:
+    return F.pmod(F.xxhash64("site"), F.lit(4)) == 0
+
+
+def risk_scores(fleet: DataFrame, model: GBTClassificationModel, features: tuple[str, ...] = RISK_FEATURES) -> DataFrame:
+    """(site, p, held_out): the chance of failure in seven days."""
+    data = VectorAssembler(inputCols=list(features), outputCol="v").transform(fleet)
+    return model.transform(data).select("site", vector_to_array("probability")[1].alias("p"), held_out().alias("held_out"))
 
 
 def banded(scores: DataFrame, p: str = "p", high: float = HIGH_SHARE, medium: float = MEDIUM_SHARE) -> DataFrame:

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridwright.operators import detector, dispatch, learning
+from gridwright.operators import detector, dispatch, learning, shapley
 from gridwright.operators.graph import settled
 from gridwright.operators.grid_join import nearest
 from gridwright.operators.ordering import ordinal, running
 from gridwright.plans.registering import registry
 from gridwright.plans.scene_sql import over
-from gridwright.schema import ANNUAL_RATE, ANNUAL_SITES, CO2_KG_L, CRITICAL_EXTRA, FUEL_L_KM, HIGH_BAND, MEDIUM_BAND, NOMINAL_SUBSCRIBERS, RISK_FEATURES, SEVERITY, SLA_MIN
+from gridwright.schema import ANNUAL_RATE, ANNUAL_SITES, BATTERY_S, CO2_KG_L, CRITICAL_EXTRA, FUEL_L_KM, HIGH_BAND, MEDIUM_BAND, NOMINAL_SUBSCRIBERS, RISK_FEATURES, SEVERITY, SLA_MIN
 from gridwright.sources import scene
 
 QUERIES, ORACLE_SQL, query = registry()
@@ -408,10 +408,31 @@ def fingerprint(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def risk_model(spark: SparkSession, sf: str) -> DataFrame:
     """Gradient-boosted failure risk over the contract's features, trained on a split by site, scored over all, banded by the fleet's quantiles."""
-    scored = settled(learning.risk_scores(_drawn(spark, sf)))
+    sites = _drawn(spark, sf)
+    scored = settled(learning.risk_scores(sites, learning.risk_model(sites)))
     return learning.banded(scored).select("site", F.round(F.col("p") * 100, 1).alias("score"), "band", "held_out")
 
 
+@query()
+def risk_factors(spark: SparkSession, sf: str) -> DataFrame:
+    """The four features that move each site's risk most: exact Shapley shares of the boosted trees' margin."""
+    sites = _drawn(spark, sf)
+    return shapley.top_contributions(sites, shapley.trees_of(learning.risk_model(sites)), RISK_FEATURES)
+
+
+_OVERRIDE = """, stated as (select s_suppkey as site, (s_suppkey % 20) / 10e0 - 0.3e0 as risk, cast(s_suppkey % 50 as double) as minutes from supplier where s_suppkey % 7 = 0)"""
+
+
+@query("with s as (select s_suppkey as site, s_name from supplier)" + _OVERRIDE + """, h as (select site, round(0.15e0 + (cast('0x' || substr(sha1(s_name), 1, 8) as bigint) % 70) / 100e0, 4) as risk from s)
+    select h.site, round(least(1e0, greatest(0e0, coalesce(t.risk, h.risk))), 6) as risk, coalesce(t.minutes * 60, 3600e0) as battery_s from h left join stated t on t.site = h.site""")
+def scenario_overrides(spark: SparkSession, sf: str) -> DataFrame:
+    """What a scenario states of a site wins over what is derived: vegetation pressure, kept in [0, 1], and battery minutes."""
+    k = F.col("s_suppkey")
+    stated = spark.read.parquet(f"{sf}/supplier.parquet").where("s_suppkey % 7 = 0").select(k.alias("site"), (k % 20 / 10 - 0.3).alias("stated"), (k % 50).cast("double").alias("minutes"))
+    both = hashed_encroachment(spark, sf).join(stated, "site", "left")
+    return both.select("site", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("stated", "risk"))), 6).alias("risk"), F.coalesce(F.col("minutes") * 60, F.lit(BATTERY_S["edge"])).alias("battery_s"))
+
+
 @query()
 def height_model(spark: SparkSession, sf: str) -> DataFrame:
     """Heights imputed by a forest over footprint and neighbour features."""

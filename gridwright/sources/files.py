@@ -77,10 +77,21 @@ def read_terrain(spark: SparkSession, path: str) -> DataFrame:
     return doc.select("nx", F.posexplode("elevations").alias("k", "z")).select((F.col("k") % F.col("nx")).alias("ix"), F.floor(F.col("k") / F.col("nx")).alias("iy"), "z")
 
 
-def read_scenario(spark: SparkSession, path: str) -> DataFrame:
-    """(tower, profile, start_s) of a scenario document's faults."""
-    doc = spark.read.schema("faults array<struct<tower_id:string,profile:string,start_s:double>>").option("multiLine", True).json(path)
-    return doc.select(F.explode("faults").alias("f")).select("f.tower_id", "f.profile", "f.start_s")
+_SCENARIO = """faults array<struct<tower_id:string,profile:string,start_s:double>>, crews array<struct<id:string,lon:double,lat:double>>,
+    weather struct<cells:array<struct<id:string,lon:double,lat:double,radius_m:double,peak_mm_hr:double,start_s:double,duration_s:double,bearing_deg:double,speed_kmh:double,lightning:double>>>,
+    congestion array<struct<name:string,highway:string,factor:double>>, water_level_m double, duration_s double, seed long, encroachment_risk map<string,double>, battery_minutes map<string,double>"""
+
+
+def read_scenario(spark: SparkSession, path: str, part: str = "faults") -> DataFrame:
+    """A part of a scenario document as rows: faults, crews, cells, congestion, or what it states by site (encroachment_risk,
+    battery_minutes); ``settings`` has the level of the water, the duration and the seed. A part that isn't there has no rows."""
+    doc = spark.read.schema(_SCENARIO).option("multiLine", True).json(path)
+    if part == "settings":
+        return doc.select("water_level_m", "duration_s", "seed")
+    if part in ("encroachment_risk", "battery_minutes"):
+        return doc.select(F.explode(part).alias("tower_id", "value"))
+    rows = doc.select(F.explode("weather.cells" if part == "cells" else part).alias("f"))
+    return rows.select("f.*")
 
 
 def round_trip(df: DataFrame) -> DataFrame:

@@ -83,6 +83,30 @@ def test_risk_ranks_failures_and_bands_the_fleet(spark):
     assert share["high"] >= 0.1 * len(rows) - 1 and share["high"] + share["medium"] >= 0.33 * len(rows) - 1 and share["low"] > 0
 
 
+def test_contributions_are_shapley_values_and_add_up(spark):
+    from itertools import permutations
+
+    from gridwright.operators import learning, shapley
+    from gridwright.schema import RISK_FEATURES
+
+    sites = service_queries._drawn(spark, LARGER)
+    model = learning.risk_model(sites)
+    trees = shapley.trees_of(model)
+    rows = sites.orderBy("site").limit(20).toPandas()
+    x = rows[list(RISK_FEATURES)].to_numpy(float)
+    base, shares = shapley.contributions(trees, x)
+    p = {r.site: r.p for r in learning.risk_scores(sites, model).collect()}
+    assert np.allclose(1 / (1 + np.exp(-2 * (base + shares.sum(axis=1)))), [p[s] for s in rows["site"]])
+    weight, root = trees[0]
+    own = sorted(root.features())
+    orders = list(permutations(own))
+    for f in own:
+        by_hand = sum(root.expected(x, frozenset(o[: o.index(f) + 1])) - root.expected(x, frozenset(o[: o.index(f)])) for o in orders) / len(orders)
+        assert np.allclose(weight * by_hand, shapley.contributions(trees[:1], x)[1][:, f])
+    got = catalog.QUERIES["risk_factors"](spark, LARGER).where("site = " + str(rows["site"][3])).orderBy("rank").collect()
+    assert len(got) == 4 and [abs(r.contribution) for r in got] == sorted((round(abs(v), 4) for v in shares[3]), reverse=True)[:4]
+
+
 def test_imputed_heights_beat_the_mean(spark):
     heights = {r.bid: r.height for r in scene.building(spark, LARGER).collect()}
     rows = catalog.QUERIES["height_model"](spark, LARGER).collect()
