@@ -7,10 +7,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridwright.llm.common import NON_SPACE, bounded_broadcast, broadcast_up_to, numbered, whole, written
+from gridwright.operators.ordering import ordinal, running
 
 #: Weights by the sources' order, the mix's size and a source's largest target, both by what is
 #: there, and rows that one flight takes at once.
@@ -30,20 +31,21 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, total: float = TO
     """(source, source_size, target) from (source, size): weights repeat over the sources by code point, null last.
 
     Targets are the water level at which sources filled to ``most`` times their size and weighted
-    shares of the others make ``total``. The windows run over one row a source, not over documents.
+    shares of the others make ``total``. Sources are put in order by ranges, so there may be as many as
+    documents.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = Window.orderBy(F.col("source").isNull(), "source")
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int"))
-    capped = per.withColumn("w", weight).withColumn("cap", F.lit(most) * F.col("source_size"))
-    fill = Window.orderBy((F.col("cap") / F.col("w")), F.col("source").isNull(), "source")
-    whole = Window.partitionBy()
-    level = (F.lit(total) * F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(fill.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))) / F.sum("w").over(
-        fill.rowsBetween(0, Window.unboundedFollowing)
-    )
-    filled = capped.withColumn("level", level).withColumn("full", F.col("cap") <= F.col("level") * F.col("w"))
-    first = F.min(F.when(~F.col("full"), F.struct((F.col("cap") / F.col("w")).alias("r"), F.col("level").alias("level")))).over(whole)
-    return filled.withColumn("first", first).select("source", "source_size", F.when(F.col("full"), F.col("cap")).otherwise(F.col("first.level") * F.col("w")).alias("target"))
+    null_last = [F.col("source").isNull(), F.col("source")]
+    per = written(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
+    turn = (F.pmod(F.col("place") - 1, F.lit(len(weights))) + 1).cast("int")
+    weighed = ordinal(per, null_last, "place").select("source", "source_size", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), turn).alias("w"))
+    capped = written(weighed.withColumn("cap", F.lit(most) * F.col("source_size")).withColumn("r", F.col("cap") / F.col("w")), "mix-caps")
+    sums = capped.agg(F.sum("source_size").alias("all_size"), F.sum("w").alias("all_w"))
+    fill = [F.col("r"), *null_last]
+    filled = running(running(capped, fill, "cap", "caps"), fill, "w", "ws").crossJoin(F.broadcast(sums))
+    level = (F.lit(total) * F.col("all_size") - (F.col("caps") - F.col("cap"))) / (F.col("all_w") - (F.col("ws") - F.col("w")))
+    filled = written(filled.withColumn("level", level).withColumn("full", F.col("cap") <= F.col("level") * F.col("w")), "mix-levels")
+    first = filled.where("not full").agg(F.min(F.struct("r", "level")).alias("first"))
+    return filled.crossJoin(F.broadcast(first)).select("source", "source_size", F.when(F.col("full"), F.col("cap")).otherwise(F.col("first.level") * F.col("w")).alias("target"))
 
 
 def fly(sizes: list[float], chances: list[float], draws: list[float]) -> list[float]:
