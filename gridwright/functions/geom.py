@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gridwright.schema import EARTH_M
+from gridwright.schema import EARTH_M, LIGHT_M_US
 
 
 def to_local(lon: Column, lat: Column, lon0: float, lat0: float) -> tuple[Column, Column]:
@@ -96,4 +96,4 @@ def fresnel(d1: Column, d2: Column, mhz: Column | float) -> Column:
     """Radius of the first Fresnel zone; 0 without length or frequency."""
     mhz = mhz if isinstance(mhz, Column) else F.lit(float(mhz))
     total = d1 + d2
-    return F.when((total <= 0) | (mhz <= 0), 0.0).otherwise(F.sqrt(299.792458 / F.nullif(mhz, F.lit(0.0)) * d1 * d2 / F.nullif(total, F.lit(0.0))))
+    return F.when((total <= 0) | (mhz <= 0), 0.0).otherwise(F.sqrt(LIGHT_M_US / F.nullif(mhz, F.lit(0.0)) * d1 * d2 / F.nullif(total, F.lit(0.0))))

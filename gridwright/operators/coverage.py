@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridwright.functions.geom import crossing_span, fresnel
 from gridwright.operators.grid_join import along, reaching
 from gridwright.operators.graph import settled
-from gridwright.operators.raster import sample
-from gridwright.schema import COVERED_SHARE, FACADE_FRACTIONS, FRESNEL_CLEARANCE, MIN_SAMPLE_Z, TERRAIN_SAMPLES
+from gridwright.operators.raster import sample, sampled
+from gridwright.schema import COVERED_SHARE, FACADE_FRACTIONS, FRESNEL_CLEARANCE, LIGHT_M_US, MIN_SAMPLE_Z, TERRAIN_SAMPLES
 
 #: Cells that rays are walked over, and those that ranges cover.
 CELL_M = 100.0
@@ -31,6 +35,32 @@ def _samples(cx: Column, cy: Column, half: Column, height: Column) -> list[tuple
     return [(cx + half * a, cy + half * b, F.greatest(F.lit(MIN_SAMPLE_Z), height * f)) for a, b in corners for f in FACADE_FRACTIONS]
 
 
+def terrain_masks(pairs: DataFrame, ground: DataFrame) -> DataFrame:
+    """(site, bid, low): the rays of each pair, as bits, that come too near to the ground at one of their places.
+
+    The ground is one raster tile of bounded size, held by each worker; a batch's rays are one array.
+    """
+    grid = ground.sparkSession.sparkContext.broadcast(np.array(ground.first()["grid"], np.float64))
+    zone = "mhz" in pairs.columns
+    corners, t = np.array([(-1, -1), (1, -1), (1, 1), (-1, 1)], np.float64), np.arange(TERRAIN_SAMPLES) / (TERRAIN_SAMPLES - 1)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 2048):
+                batch = whole.slice(start, 2048)
+                x0, y0, z0, x1, y1, half, height, base, *mhz = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.float64) for k in range(2, batch.num_columns))
+                px, py = ((v[:, None] + half[:, None] * corners[:, k]).repeat(len(FACADE_FRACTIONS), axis=1) for k, v in ((0, x1), (1, y1)))
+                pz = np.tile(base[:, None] + np.maximum(MIN_SAMPLE_Z, height[:, None] * np.array(FACADE_FRACTIONS)), (1, len(corners)))
+                run = np.hypot(px - x0[:, None], py - y0[:, None])[:, :, None]
+                x, y, z = (a[:, None, None] + (b - a[:, None])[:, :, None] * t for a, b in ((x0, px), (y0, py), (z0, pz)))
+                free = FRESNEL_CLEARANCE * np.sqrt(LIGHT_M_US / mhz[0][:, None, None] * t * run * (1 - t)) if zone else 0.0
+                dips = ((z - np.round(sampled(grid.value, x, y), 6) < free) & (run > 0)).any(axis=2)
+                low = (dips << np.arange(dips.shape[1])).sum(axis=1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(low)], ["site", "bid", "low"])
+
+    return pairs.mapInArrow(look, "site long, bid long, low int")
+
+
 def line_of_sight(sites: DataFrame, buildings: DataFrame, mhz: str | None = None, ground: DataFrame | None = None, host: str | None = None) -> DataFrame:
     """(site, bid, samples, blocked, visibility, covered): facade points of buildings in range that a ray reaches.
 
@@ -63,6 +93,19 @@ def line_of_sight(sites: DataFrame, buildings: DataFrame, mhz: str | None = None
     )
     if host:
         near = near.where(F.col("host").isNull() | (F.col("host") != F.col("obstacle")))
+
+    def lowest(z: Column, rx: Column, ry: Column, reach: Column) -> Column:
+        """The least height of a ray to ``z``, (rx, ry) away, within ``reach`` of the obstacle, less the widest zone that it needs."""
+        run = F.hypot(rx, ry)
+        t = F.when(run > 0, (rx * (F.col("px") - F.col("x0")) + ry * (F.col("py") - F.col("y0"))) / (run * run)).otherwise(0.5)
+        wide = F.when(run > 0, reach / run).otherwise(1.0)
+        low, high = (F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)) for x in (t - wide, t + wide))
+        free = fresnel(run / 2, run / 2, F.col("mhz")) * (FRESNEL_CLEARANCE * 1.1) if mhz else F.lit(0.0)
+        return F.col("z0") + (z - F.col("z0")) * F.when(z < F.col("z0"), high).otherwise(low) - free - 1e-6
+
+    foot = base + F.greatest(F.lit(MIN_SAMPLE_Z), F.col("height") * FACADE_FRACTIONS[0])
+    dx, dy, around = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), (F.col("oh") + F.col("half") * 2) * 1.4143
+    near = near.where((length <= 3 * around) | (F.col("roof") > lowest(foot, dx, dy, around)))
     points = [(x, y, base + z) for x, y, z in _samples(F.col("x1"), F.col("y1"), F.col("half"), F.col("height"))]
     rays = near.withColumn("ray", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), a.alias("x"), b.alias("y"), c.alias("z")) for k, (a, b, c) in enumerate(points)])))
     corners = [(F.col("px") + F.col("oh") * a, F.col("py") + F.col("oh") * b) for a, b in ((-1, -1), (1, -1), (1, 1), (-1, 1))]
@@ -72,7 +115,7 @@ def line_of_sight(sites: DataFrame, buildings: DataFrame, mhz: str | None = None
     reach, run = F.col("oh") * 1.4143, F.hypot(rx, ry)
     along_it = rx * px + ry * py
     touched = (F.abs(rx * py - ry * px) <= reach * run) & (along_it >= -reach * run) & (along_it <= (run + reach) * run)
-    tested = rays.where(F.col("roof") > F.least("z0", "ray.z")).where((run == 0) | touched)
+    tested = rays.where(F.col("roof") > F.least("z0", "ray.z")).where((run == 0) | touched).where(F.col("roof") > lowest(F.col("ray.z"), rx, ry, reach))
 
     def need(t: Column, run: Column) -> Column:
         return fresnel(t * run, (1 - t) * run, F.col("mhz")) * FRESNEL_CLEARANCE if mhz else F.lit(0.0)
@@ -80,25 +123,13 @@ def line_of_sight(sites: DataFrame, buildings: DataFrame, mhz: str | None = None
     def over(t: Column) -> Column:
         return F.col("z0") + (F.col("ray.z") - F.col("z0")) * t - F.col("roof")
 
-    hit = tested.where(F.exists(F.array(first, last), lambda t: over(t) < need(t, run)))
+    blocks = F.exists(F.array(first, last), lambda t: over(t) < need(t, run)) if mhz else F.least(over(first), over(last)) < 0
+    hit = tested.where(blocks)
     masks = hit.groupBy("site", "bid").agg(F.bit_or(F.expr("shiftleft(1, ray.k)")).alias("mask"))
     seen = pairs.join(masks, ["site", "bid"], "left").withColumn("mask", F.coalesce("mask", F.lit(0)))
     if ground is not None:
-        seen = seen.crossJoin(F.broadcast(ground))
-
-        def dips(ray: Column) -> Column:
-            run = F.hypot(ray["x"] - F.col("x0"), ray["y"] - F.col("y0"))
-
-            def low(k: Column) -> Column:
-                t = k / float(TERRAIN_SAMPLES - 1)
-                under = F.round(sample(F.col("grid"), F.col("x0") + (ray["x"] - F.col("x0")) * t, F.col("y0") + (ray["y"] - F.col("y0")) * t), 6)
-                return F.col("z0") + (ray["z"] - F.col("z0")) * t - under < need(t, run)
-
-            return F.when((run > 0) & F.exists(F.sequence(F.lit(0), F.lit(TERRAIN_SAMPLES - 1)), low), ray["bit"]).otherwise(0)
-
-        targets = F.array(*[F.struct(F.lit(1 << k).alias("bit"), a.alias("x"), b.alias("y"), c.alias("z")) for k, (a, b, c) in enumerate(points)])
-        bits = F.aggregate(F.transform(targets, dips), F.lit(0), lambda a, b: a.bitwiseOR(b))
-        seen = seen.withColumn("mask", F.col("mask").bitwiseOR(bits))
+        low = terrain_masks(pairs.select("site", "bid", "x0", "y0", "z0", "x1", "y1", "half", "height", "base", *[c for c in ("mhz",) if mhz]), ground)
+        seen = seen.join(low, ["site", "bid"]).withColumn("mask", F.col("mask").bitwiseOR(F.col("low")))
     blocked = F.bit_count("mask")
     share = 1 - blocked / len(points)
     return seen.select("site", "bid", F.lit(len(points)).alias("samples"), blocked.alias("blocked"), F.round(share, 6).alias("visibility"), (share >= COVERED_SHARE - 1e-12).alias("covered"))

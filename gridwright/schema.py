@@ -4,6 +4,7 @@
 FACADE_FRACTIONS = (0.05, 0.5, 0.9)
 COVERED_SHARE = 1 / 3
 FRESNEL_CLEARANCE = 0.6
+LIGHT_M_US = 299.792458
 MIN_SAMPLE_Z = 1.5
 TERRAIN_SAMPLES = 24
 
