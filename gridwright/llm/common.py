@@ -21,12 +21,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stored(df: DataFrame, name: str) -> str:
+    """The path in the shared folder at which ``df`` is written as Parquet."""
+    path = f"{shared_dir(df.sparkSession)}/gridwright/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/gridwright/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(stored(df, name))
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a table that no later one reads."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
 
 
 def broadcast_up_to(side: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
@@ -104,26 +114,26 @@ def components(edges: DataFrame, name: str = "components", max_rounds: int = 64)
     """Connected components of ``edges(u, v)`` as (node, label), label the least node; distributed.
 
     Minimum labels move over edges, and each round then follows label-of-label pointers, so a chain
-    of length n takes about log n rounds. Each round is a written table. No links reach the driver.
+    of length n takes about log n rounds. Each round is a written table that takes the place of the one
+    before, so only the last is left. No links reach the driver.
     """
-    both = written(
-        edges.where("u <> v").selectExpr("explode(array(struct(u, v), struct(v as u, u as v))) e").select("e.*").distinct(),
-        f"{name}-edges",
-    )
-    labels = written(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("u")).alias("label")), f"{name}-0")
+    spark = edges.sparkSession
+    split = edges.where("u <> v").selectExpr("explode(array(struct(u, v), struct(v as u, u as v))) e").select("e.*").distinct()
+    links = stored(split, f"{name}-edges")
+    both = spark.read.schema(split.schema).parquet(links)
+    first = both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("u")).alias("label"))
+    path = stored(first, f"{name}-0")
+    labels = spark.read.schema(first.schema).parquet(path)
     for step in range(1, max_rounds):
-        near = (
-            both.join(labels, both.v == labels.node)
-            .groupBy("u")
-            .agg(F.min("label").alias("near"))
-        )
+        near = both.join(labels, both.v == labels.node).groupBy("u").agg(F.min("label").alias("near"))
         moved = labels.join(near, labels.node == near.u).select("node", F.col("label").alias("old"), F.least("label", "near").alias("at"))
         jump = labels.select(F.col("node").alias("at"), F.col("label").alias("further"))
-        fresh = written(
-            moved.join(jump, "at", "left").select("node", "old", F.least("at", F.coalesce("further", "at")).alias("label")),
-            f"{name}-{step}",
-        )
+        made = moved.join(jump, "at", "left").select("node", "old", F.least("at", F.coalesce("further", "at")).alias("label"))
+        before, path = path, stored(made, f"{name}-{step}")
+        discard(spark, before)
+        fresh = spark.read.schema(made.schema).parquet(path)
         labels = fresh.select("node", "label")
         if fresh.where("old <> label").isEmpty():
+            discard(spark, links)
             return labels
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
