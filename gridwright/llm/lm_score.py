@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridwright.llm.common import pieces, written
+from gridwright.llm.common import discard, pieces, stored, written
 
 #: Words that workers look up by themselves, at least, and of these the words of the softmax: CLASSES
 #: of MEMBERS each. Other words are in one of RARE classes, by their ending. The three hold up to
@@ -449,7 +449,9 @@ def score_texts(docs: DataFrame, is_training: Column, rounds: int = 1) -> DataFr
     counts = written(count_words(docs.where("learned_from")), "lm-counts")
     v = learn_vocabulary(counts)
     rows = rows_of(v.n)
-    read = written(read_ids(docs, v, rows), "lm-ids")
+    unread = read_ids(docs, v, rows)
+    path = stored(unread, "lm-ids")
+    read = docs.sparkSession.read.schema(unread.schema).parquet(path)
     model = train(read.where("learned_from"), v, rounds, rows) if v.n else unigram_model(v, rows)
     words, learned = (docs.sparkSession.sparkContext.broadcast(x) for x in (v, model))
 
@@ -466,6 +468,7 @@ def score_texts(docs: DataFrame, is_training: Column, rounds: int = 1) -> DataFr
         .withColumn("row", F.monotonically_increasing_id()),
         "lm-partial",
     )
+    discard(docs.sparkSession, path)
     wanted = partial.select("row", F.explode("missing").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))
     looked = (
         wanted.join(counts.select(F.col("word").alias("w"), "n"), F.col("word") == F.col("w"), "left")
