@@ -18,9 +18,9 @@ from gridwright.llm.common import bounded_broadcast, broadcast_up_to, components
 GROUP = 32
 CHUNK = 2048
 BATCH = 4000
-#: Numbers of sets from which a shingle counts as more common, up to DOCS documents and growing with
-#: them beyond; the largest bitmap of one step, of which that fills a third at most; parts that the
-#: sets of a key of the last step are dealt to.
+#: Numbers of sets from which a shingle counts as more common, up to DOCS documents; beyond, all but
+#: the least grow with them. The largest bitmap of one step; parts that the sets of a key of the last
+#: step are dealt to.
 LEVELS = (2, 8, 64)
 DOCS = 1 << 21
 MAX_BITS = 30
@@ -58,12 +58,12 @@ class Shingler:
 class Commonness:
     """How many texts' sets hold a shingle, by steps, from bitmaps over hash prefixes.
 
-    A shingle that several sets hold is never taken for a rarer one; a few are taken for more common.
-    ``tells_single`` says that the least step is only for shingles of one set, which can't link anything.
+    A shingle that several sets hold is never taken for a rarer one; some are taken for more common.
+    Level 0 is only for shingles of one set, which can't link anything.
     """
 
-    def __init__(self, bitmaps: list[np.ndarray], tells_single: bool = True) -> None:
-        self.bitmaps, self.tells_single = bitmaps, tells_single
+    def __init__(self, bitmaps: list[np.ndarray]) -> None:
+        self.bitmaps = bitmaps
         self.shifts = [np.uint64(64 - (len(x) * 8).bit_length() + 1) for x in bitmaps]
 
     def of(self, tokens: np.ndarray) -> np.ndarray:
@@ -97,14 +97,20 @@ def levels_of(n_docs: int) -> list[int]:
     return [x * max(1, -(-n_docs // DOCS)) for x in LEVELS]
 
 
+def steps_of(n_docs: int) -> list[int]:
+    """``levels_of``, but the least is two sets however many documents there are: single shingles are told apart at any size."""
+    return [2, *levels_of(n_docs)[1:]]
+
+
 def commonness(docs: DataFrame, words: int, n_docs: int) -> Commonness:
-    """Counts every shingle of all of ``docs``, as hash prefixes, and keeps the steps of ``levels_of``.
+    """Counts every shingle of all of ``docs``, as hash prefixes, and keeps the steps of ``steps_of``.
 
     Tasks send sorted prefixes as 16-bit gaps, about two bytes a shingle, by hash range; a range's
     counts become a block of each bitmap. The bitmaps have about 512 bits a document, up to
-    2**``MAX_BITS``. Steps grow with the documents from there on, so they never fill.
+    2**``MAX_BITS``. From there on the least step's fills slowly, and single shingles whose bits are
+    taken stand behind those known as single; the other steps grow with the documents.
     """
-    levels = levels_of(n_docs)
+    levels = steps_of(n_docs)
     width = 16 + max(14, _power(n_docs))
     ranges = min(20, max(7, _power(n_docs // 2048)))
     sizes = [min(MAX_BITS, max(20, _power(512 * n_docs))) - (3 if k else 0) for k in range(len(levels))]
@@ -148,18 +154,17 @@ def commonness(docs: DataFrame, words: int, n_docs: int) -> Commonness:
     for row in sent.toLocalIterator():
         for bits, block in zip(bitmaps, row.blocks, strict=True):
             bits[row.range * len(block) : (row.range + 1) * len(block)] = np.frombuffer(block, np.uint8)
-    return Commonness(bitmaps, levels[0] == 2)
+    return Commonness(bitmaps)
 
 
-def keys_of(tokens: np.ndarray, level: np.ndarray, percent: int, tells_single: bool = True) -> tuple[np.ndarray, int]:
+def keys_of(tokens: np.ndarray, level: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
     """The shingles, rarest first, one of which any set that links with this one has among its own; how many are of the last step.
 
-    Those that only this set has are left out where the steps tell: nothing can meet them.
+    Those that only this set has are left out: nothing can meet them.
     """
     prefix = len(tokens) - -(-len(tokens) * percent // 100) + 1
     chosen = np.argsort(level, kind="stable")[:prefix]
-    if tells_single:
-        chosen = chosen[level[chosen] > 0]
+    chosen = chosen[level[chosen] > 0]
     return tokens[chosen].view(np.int64), int((level[chosen] == len(LEVELS)).sum())
 
 
@@ -172,7 +177,7 @@ def signed(docs: DataFrame, words: int, percent: int, common: Commonness) -> Dat
         shingler = Shingler(words)
         for part in pieces(batches):
             sets = [shingler.of(t) for t in part.column(1).to_pylist()]
-            keys, hot = zip(*(keys_of(s, steps.value.of(s), percent, steps.value.tells_single) for s in sets), strict=True)
+            keys, hot = zip(*(keys_of(s, steps.value.of(s), percent) for s in sets), strict=True)
             ends = np.concatenate([[0], np.cumsum([len(x) for x in keys])])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys)))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64()), lists, pa.array(hot, pa.int32())], names)

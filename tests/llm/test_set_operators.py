@@ -458,3 +458,17 @@ def test_near_duplicates_beyond_the_least_step(spark, monkeypatch):
     texts = near_copies(7)
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(df, 3, 60, chunk=8).collect()} == brute_components(texts, 3, 60)
+
+
+def test_single_shingles_are_told_apart_however_many_documents(spark, monkeypatch):
+    texts = {k: " ".join(f"w{k}-{j}" for j in range(40)) for k in range(60)}
+    texts |= {100 + k: texts[k] + " end" for k in range(5)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = []
+    for docs in (jaccard_join.DOCS, 10):
+        monkeypatch.setattr(jaccard_join, "DOCS", docs)
+        signed = jaccard_join.signed(df, 5, 80, jaccard_join.commonness(df, 5, len(texts)))
+        found.append({r.doc_id: sorted(r["keys"]) for r in signed.collect()})
+    assert found[0] == found[1]
+    assert {k for k, keys in found[1].items() if keys} == {*range(5), *range(100, 105)}
+    assert {r.doc_id for r in jaccard_join.drop_near(df).collect()} == set(range(60))
