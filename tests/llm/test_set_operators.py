@@ -472,3 +472,13 @@ def test_single_shingles_are_told_apart_however_many_documents(spark, monkeypatc
     assert found[0] == found[1]
     assert {k for k, keys in found[1].items() if keys} == {*range(5), *range(100, 105)}
     assert {r.doc_id for r in jaccard_join.drop_near(df).collect()} == set(range(60))
+
+
+def test_op8_keys_do_not_grow_with_the_steps(spark, monkeypatch):
+    texts = near_copies(3) | {1000 + k: " ".join(f"s{k}-{j}" for j in range(50)) for k in range(40)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    monkeypatch.setattr(jaccard_join, "DOCS", 10)
+    signed = jaccard_join.signed(df, 4, 85, jaccard_join.commonness(df, 4, len(texts))).collect()
+    shingles = collections.Counter(s for t in texts.values() for s in jaccard_join.Shingler(4).of(t).view(np.int64).tolist())
+    assert all(shingles[k] > 1 for r in signed for k in r["keys"])
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(df, 4, 85).collect()} == brute_components(texts, 4, 85)
