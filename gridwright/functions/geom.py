@@ -73,19 +73,6 @@ def crossings(ring: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> C
     return F.array_sort(F.filter(F.transform(edges(ring), at), lambda t: t.isNotNull()))
 
 
-def crossing_span(vertices: list[tuple[Column, Column]], x0: Column, y0: Column, x1: Column, y1: Column) -> tuple[Column, Column]:
-    """First and last of ``crossings`` for a ring whose vertices are columns: plain expressions, compiled; null without one."""
-    dx, dy = x1 - x0, y1 - y0
-    found = []
-    for (ax, ay), (bx, by) in zip(vertices, vertices[1:] + vertices[:1], strict=True):
-        ex, ey, px, py = bx - ax, by - ay, ax - x0, ay - y0
-        det = dx * ey - dy * ex
-        safe = F.when(F.abs(det) >= 1e-12, det)
-        t = (px * ey - py * ex) / safe
-        found.append(F.when(t.between(0, 1) & ((px * dy - py * dx) / safe).between(0, 1), t))
-    return F.least(*found), F.greatest(*found)
-
-
 def square(cx: Column, cy: Column, half: Column) -> Column:
     """The closed ring of a square."""
     corners = ((-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridwright.functions.geom import crossing_span, fresnel
+from gridwright.functions.geom import fresnel
 from gridwright.operators.grid_join import along, reaching
 from gridwright.operators.graph import settled
 from gridwright.operators.raster import sample, sampled
@@ -30,9 +30,84 @@ def unserved(served: DataFrame) -> DataFrame:
     return served.where("failed").select("bid").distinct().join(served.where("not failed").select("bid").distinct(), "bid", "left_anti")
 
 
-def _samples(cx: Column, cy: Column, half: Column, height: Column) -> list[tuple[Column, Column, Column]]:
-    corners = ((-1, -1), (1, -1), (1, 1), (-1, 1))
-    return [(cx + half * a, cy + half * b, F.greatest(F.lit(MIN_SAMPLE_Z), height * f)) for a, b in corners for f in FACADE_FRACTIONS]
+_CORNERS = ((-1.0, -1.0), (1.0, -1.0), (1.0, 1.0), (-1.0, 1.0))
+_ROWS = 8192
+
+
+def _zone(d1: np.ndarray, d2: np.ndarray, mhz: np.ndarray) -> np.ndarray:
+    """``geom.fresnel`` over arrays."""
+    total = d1 + d2
+    return np.where((total <= 0) | (mhz <= 0), 0.0, np.sqrt(np.maximum(LIGHT_M_US / mhz * d1 * d2 / total, 0.0)))
+
+
+def _lowest(z0: np.ndarray, z: np.ndarray, rx: np.ndarray, ry: np.ndarray, px: np.ndarray, py: np.ndarray, reach: np.ndarray, mhz: np.ndarray | None) -> np.ndarray:
+    """The least height of a ray to ``z``, (rx, ry) away, within ``reach`` of the obstacle at (px, py), less the widest zone that it needs."""
+    run = np.hypot(rx, ry)
+    t, wide = np.where(run > 0, (rx * px + ry * py) / (run * run), 0.5), np.where(run > 0, reach / run, 1.0)
+    low, high = (np.clip(x, 0.0, 1.0) for x in (t - wide, t + wide))
+    free = 0.0 if mhz is None else _zone(run / 2, run / 2, mhz) * (FRESNEL_CLEARANCE * 1.1)
+    return z0 + (z - z0) * np.where(z < z0, high, low) - free - 1e-6
+
+
+def _blocked(x0, y0, z0, x1, y1, half, height, base, px, py, oh, roof, mhz=None) -> np.ndarray:  # noqa: ANN001
+    """For each pair with an obstacle, the rays that it blocks as bits: rays that pass it by fall before crossings are computed."""
+    mask = np.zeros(len(x0), np.int32)
+    for c, (a, b) in enumerate(_CORNERS):
+        rx, ry = x1 + half * a - x0, y1 + half * b - y0
+        qx, qy, reach, run = px - x0, py - y0, oh * 1.4143, np.hypot(rx, ry)
+        on = rx * qx + ry * qy
+        here = np.flatnonzero((run == 0) | ((np.abs(rx * qy - ry * qx) <= reach * run) & (on >= -reach * run) & (on <= (run + reach) * run)))
+        if not len(here):
+            continue
+        zs, base_, height_, roof_, rx, ry, run = z0[here], base[here], height[here], roof[here], rx[here], ry[here], run[here]
+        band = None if mhz is None else mhz[here]
+        heights = [base_ + np.fmax(MIN_SAMPLE_Z, height_ * f) for f in FACADE_FRACTIONS]
+        open_ = [(roof_ > np.fmin(zs, z)) & (roof_ > _lowest(zs, z, rx, ry, qx[here], qy[here], reach[here], band)) for z in heights]
+        crossing = np.flatnonzero(np.logical_or.reduce(open_))
+        if not len(crossing):
+            continue
+        at = here[crossing]
+        first, last = _spans(px[at], py[at], oh[at], x0[at], y0[at], (x1 + half * a)[at], (y1 + half * b)[at])
+        for k, (z, there) in enumerate(zip(heights, open_, strict=True)):
+            z, zf, r = z[crossing], zs[crossing], roof_[crossing]
+            hit = np.zeros(len(at), np.bool_)
+            for t in (first, last):
+                need = 0.0 if band is None else _zone(t * run[crossing], (1 - t) * run[crossing], band[crossing]) * FRESNEL_CLEARANCE
+                hit |= zf + (z - zf) * t - r < need
+            mask[at[hit & there[crossing]]] |= 1 << (c * len(FACADE_FRACTIONS) + k)
+    return mask
+
+
+def _spans(px, py, oh, x0, y0, x1, y1) -> tuple[np.ndarray, np.ndarray]:  # noqa: ANN001
+    """First and last of ``geom.crossings`` of squares over arrays; NaN without a crossing."""
+    dx, dy = x1 - x0, y1 - y0
+    corners = [(px + oh * a, py + oh * b) for a, b in _CORNERS]
+    first = last = np.full(len(px), np.nan)
+    for (ax, ay), (bx, by) in zip(corners, corners[1:] + corners[:1], strict=True):
+        ex, ey, qx, qy = bx - ax, by - ay, ax - x0, ay - y0
+        det = dx * ey - dy * ex
+        safe = np.where(np.abs(det) >= 1e-12, det, np.nan)
+        t, u = (qx * ey - qy * ex) / safe, (qx * dy - qy * dx) / safe
+        t = np.where((t >= 0) & (t <= 1) & (u >= 0) & (u <= 1), t, np.nan)
+        first, last = np.fmin(first, t), np.fmax(last, t)
+    return first, last
+
+
+def roof_masks(near: DataFrame) -> DataFrame:
+    """(site, bid, mask): the rays of each pair, as bits, that one of its obstacles blocks; a batch's rays are arrays, so none is a row.
+
+    ``near`` has site, bid, x0, y0, z0, x1, y1, half, height, base, px, py, oh, roof and, for Fresnel zones, mhz.
+    """
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, _ROWS):
+                batch = whole.slice(start, _ROWS)
+                with np.errstate(all="ignore"):
+                    mask = _blocked(*(batch.column(k).to_numpy(zero_copy_only=False).astype(np.float64) for k in range(2, batch.num_columns)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(mask)], ["site", "bid", "mask"]).filter(pa.array(mask != 0))
+
+    return near.mapInArrow(look, "site long, bid long, mask int")
 
 
 def terrain_masks(pairs: DataFrame, ground: DataFrame) -> DataFrame:
@@ -95,7 +170,7 @@ def line_of_sight(sites: DataFrame, buildings: DataFrame, mhz: str | None = None
         near = near.where(F.col("host").isNull() | (F.col("host") != F.col("obstacle")))
 
     def lowest(z: Column, rx: Column, ry: Column, reach: Column) -> Column:
-        """The least height of a ray to ``z``, (rx, ry) away, within ``reach`` of the obstacle, less the widest zone that it needs."""
+        """As ``_lowest``, for the whole building."""
         run = F.hypot(rx, ry)
         t = F.when(run > 0, (rx * (F.col("px") - F.col("x0")) + ry * (F.col("py") - F.col("y0"))) / (run * run)).otherwise(0.5)
         wide = F.when(run > 0, reach / run).otherwise(1.0)
@@ -106,30 +181,13 @@ def line_of_sight(sites: DataFrame, buildings: DataFrame, mhz: str | None = None
     foot = base + F.greatest(F.lit(MIN_SAMPLE_Z), F.col("height") * FACADE_FRACTIONS[0])
     dx, dy, around = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), (F.col("oh") + F.col("half") * 2) * 1.4143
     near = near.where((length <= 3 * around) | (F.col("roof") > lowest(foot, dx, dy, around)))
-    points = [(x, y, base + z) for x, y, z in _samples(F.col("x1"), F.col("y1"), F.col("half"), F.col("height"))]
-    rays = near.withColumn("ray", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), a.alias("x"), b.alias("y"), c.alias("z")) for k, (a, b, c) in enumerate(points)])))
-    corners = [(F.col("px") + F.col("oh") * a, F.col("py") + F.col("oh") * b) for a, b in ((-1, -1), (1, -1), (1, 1), (-1, 1))]
-    first, last = crossing_span(corners, F.col("x0"), F.col("y0"), F.col("ray.x"), F.col("ray.y"))
-    rx, ry = F.col("ray.x") - F.col("x0"), F.col("ray.y") - F.col("y0")
-    px, py = F.col("px") - F.col("x0"), F.col("py") - F.col("y0")
-    reach, run = F.col("oh") * 1.4143, F.hypot(rx, ry)
-    along_it = rx * px + ry * py
-    touched = (F.abs(rx * py - ry * px) <= reach * run) & (along_it >= -reach * run) & (along_it <= (run + reach) * run)
-    tested = rays.where(F.col("roof") > F.least("z0", "ray.z")).where((run == 0) | touched).where(F.col("roof") > lowest(F.col("ray.z"), rx, ry, reach))
-
-    def need(t: Column, run: Column) -> Column:
-        return fresnel(t * run, (1 - t) * run, F.col("mhz")) * FRESNEL_CLEARANCE if mhz else F.lit(0.0)
-
-    def over(t: Column) -> Column:
-        return F.col("z0") + (F.col("ray.z") - F.col("z0")) * t - F.col("roof")
-
-    blocks = F.exists(F.array(first, last), lambda t: over(t) < need(t, run)) if mhz else F.least(over(first), over(last)) < 0
-    hit = tested.where(blocks)
-    masks = hit.groupBy("site", "bid").agg(F.bit_or(F.expr("shiftleft(1, ray.k)")).alias("mask"))
+    masks = roof_masks(near.select("site", "bid", "x0", "y0", "z0", "x1", "y1", "half", "height", base.alias("base"), "px", "py", "oh", "roof", *[c for c in ("mhz",) if mhz]))
+    masks = masks.groupBy("site", "bid").agg(F.bit_or("mask").alias("mask"))
     seen = pairs.join(masks, ["site", "bid"], "left").withColumn("mask", F.coalesce("mask", F.lit(0)))
     if ground is not None:
         low = terrain_masks(pairs.select("site", "bid", "x0", "y0", "z0", "x1", "y1", "half", "height", "base", *[c for c in ("mhz",) if mhz]), ground)
         seen = seen.join(low, ["site", "bid"]).withColumn("mask", F.col("mask").bitwiseOR(F.col("low")))
     blocked = F.bit_count("mask")
-    share = 1 - blocked / len(points)
-    return seen.select("site", "bid", F.lit(len(points)).alias("samples"), blocked.alias("blocked"), F.round(share, 6).alias("visibility"), (share >= COVERED_SHARE - 1e-12).alias("covered"))
+    points = 4 * len(FACADE_FRACTIONS)
+    share = 1 - blocked / points
+    return seen.select("site", "bid", F.lit(points).alias("samples"), blocked.alias("blocked"), F.round(share, 6).alias("visibility"), (share >= COVERED_SHARE - 1e-12).alias("covered"))

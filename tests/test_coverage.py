@@ -1,5 +1,8 @@
 """Hand-checkable scenes of square buildings."""
 
+import math
+import random
+
 from pyspark.sql import functions as F
 
 from gridwright.operators import coverage
@@ -84,3 +87,35 @@ def test_speeds_are_read_as_posted(spark):
     rows = [("50", "primary"), (" 60 KM/H ", "primary"), ("30 mph", "primary"), ("signals", "primary"), ("200", "service"), (None, "track"), ("", None)]
     got = [r[0] for r in spark.createDataFrame(rows, "m string, h string").select(speed_kmh(F.col("m"), F.col("h"))).collect()]
     assert got == [50.0, 60.0, 30 * 1.609, 45.0, 14.0, 25.0, 25.0]
+
+
+def test_rays_are_bits_of_arrays_and_equal_plain_python(spark):
+    rng = random.Random(5)
+    sites = [(k, rng.uniform(0, 400), rng.uniform(0, 400), rng.uniform(20, 60), 300.0, False, rng.choice((900.0, 2100.0, 0.0))) for k in range(6)] + [(9, 100.0, 100.0, 30.0, 300.0, False, 900.0)]
+    blocks = [(k, rng.uniform(0, 400), rng.uniform(0, 400), rng.uniform(5, 20), rng.uniform(2, 70)) for k in range(40)] + [(90, 110.0, 110.0, 10.0, 20.0), (91, 100.0, 160.0, 8.0, 60.0)]
+    made = coverage.line_of_sight(spark.createDataFrame(sites, SITE + ", mhz double"), spark.createDataFrame(blocks, BUILDING), "mhz")
+    plan = made._jdf.queryExecution().analyzed().toString()
+    assert "ray#" not in plan and "MapInArrow" in plan
+
+    def span(x, y, px, py, box):
+        _, cx, cy, half, _ = box
+        ring = [(cx + half * a, cy + half * b) for a, b in ((-1, -1), (1, -1), (1, 1), (-1, 1))]
+        for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1], strict=True):
+            det = (px - x) * (by - ay) - (py - y) * (bx - ax)
+            if abs(det) >= 1e-12:
+                t = ((ax - x) * (by - ay) - (ay - y) * (bx - ax)) / det
+                if 0 <= t <= 1 and 0 <= ((ax - x) * (py - y) - (ay - y) * (px - x)) / det <= 1:
+                    yield t
+
+    def hidden(x, y, z, mhz, px, py, pz, box):
+        run = math.hypot(px - x, py - y)
+        zone = [0.6 * math.sqrt(299.792458 / mhz * t * run * (1 - t)) if mhz else 0.0 for t in span(x, y, px, py, box)]
+        return box[4] > min(z, pz) and any(z + (pz - z) * t - box[4] < need for t, need in zip(span(x, y, px, py, box), zone, strict=True))
+
+    want = {}
+    for s, x, y, z, reach, _, mhz in sites:
+        for bid, cx, cy, half, height in blocks:
+            if math.dist((x, y), (cx, cy)) <= reach:
+                rays = [(cx + half * a, cy + half * b, max(1.5, height * f)) for a, b in ((-1, -1), (1, -1), (1, 1), (-1, 1)) for f in (0.05, 0.5, 0.9)]
+                want[s, bid] = sum(any(hidden(x, y, z, mhz, *ray, o) for o in blocks if o[0] != bid) for ray in rays)
+    assert {(r.site, r.bid): r.blocked for r in made.collect()} == want and 0 < sum(want.values())
