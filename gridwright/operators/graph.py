@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Edges of a graph that each worker may hold whole, counted before; larger ones are relaxed by joins.
 HELD_EDGES = 1_000_000
+#: Dark nodes and links among them that one task of repairs takes; more are dealt by component.
+REPAIR_ROWS = 200_000
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -308,3 +311,119 @@ def flood_costs(edges: DataFrame, level: float) -> DataFrame:
     dry = F.col("base_time") * F.col("congestion")
     priced = edges.withColumn("depth", depth).withColumn("factor", F.when(depth <= 0, 1.0).when(depth >= IMPASSABLE_M, F.lit(float("inf"))).otherwise(slowed))
     return priced.withColumn("dry_cost", dry).withColumn("hard_cost", F.when(depth < IMPASSABLE_M, dry * F.col("factor"))).withColumn("soft_cost", dry * F.when(depth >= IMPASSABLE_M, WADING_FACTOR).otherwise(F.col("factor")))
+
+
+class Repairs:
+    """Greedy repairs of dark nodes: ``failed`` ones are down, ``fed`` ones have a lit parent (or are the hub).
+
+    A repair lights what it reaches over dark nodes that are not down. Only the gains of nodes near what a
+    repair changed are counted again, so a turn costs what lies around it and not the whole network.
+    """
+
+    def __init__(self, n: int, src: list[int], dst: list[int], failed: list[bool], fed: list[bool]) -> None:
+        self.down, self.fed, self.lit = list(failed), list(fed), [False] * n
+        self.children, self.parents = [[] for _ in range(n)], [[] for _ in range(n)]
+        for a, b in zip(src, dst, strict=True):
+            self.children[a].append(b)
+            self.parents[b].append(a)
+
+    def reach(self, pick: int) -> list[int]:
+        """What the repair of ``pick`` lights."""
+        if not self.fed[pick]:
+            return []
+        out, seen = [pick], {pick}
+        for k in out:
+            for c in self.children[k]:
+                if c not in seen and not self.down[c] and not self.lit[c]:
+                    seen.add(c)
+                    out.append(c)
+        return out
+
+    def touched(self, changed: list[int]) -> set[int]:
+        """Nodes still down whose gain what ``changed`` may have changed: those it feeds, and those that reach it."""
+        found, seen, todo = set(), set(changed), list(changed)
+        for k in changed:
+            if self.lit[k]:
+                for c in self.children[k]:
+                    if self.down[c]:
+                        self.fed[c] = True
+                        found.add(c)
+        while todo:
+            for a in self.parents[todo.pop()]:
+                if self.down[a]:
+                    found.add(a)
+                elif a not in seen and not self.lit[a]:
+                    seen.add(a)
+                    todo.append(a)
+        return found
+
+    def order(self) -> Iterator[tuple[int, int]]:
+        """(node, newly lit) in the order of repairs: most lit first, ties to the smaller node."""
+        gains = {k: len(self.reach(k)) for k, down in enumerate(self.down) if down}
+        heap = [(-g, k) for k, g in gains.items()]
+        heapq.heapify(heap)
+        while heap:
+            gain, pick = heapq.heappop(heap)
+            if not self.down[pick] or gains[pick] != -gain:
+                continue
+            lights = self.reach(pick)
+            self.down[pick] = False
+            for k in lights:
+                self.lit[k] = True
+            yield pick, len(lights)
+            for k in self.touched(lights or [pick]):
+                g = len(self.reach(k))
+                if g != gains[k]:
+                    gains[k] = g
+                    heapq.heappush(heap, (-g, k))
+
+
+def _repaired(frame: pd.DataFrame) -> pd.DataFrame:
+    """The repairs of one task's dark nodes (node, failed, fed, children), as they follow each other there."""
+    frame = frame.sort_values("node")
+    nodes = frame["node"].to_numpy(np.int64)
+    lists = [np.asarray(x, np.int64) for x in frame["children"]]
+    src, dst = np.repeat(np.arange(len(nodes)), [len(x) for x in lists]), np.searchsorted(nodes, np.concatenate(lists))
+    rows, last = [], None
+    for at, (k, gain) in enumerate(Repairs(len(nodes), src.tolist(), dst.tolist(), frame["failed"].tolist(), frame["fed"].tolist()).order()):
+        last = max(last or (-gain, int(nodes[k])), (-gain, int(nodes[k])))
+        rows.append((int(nodes[k]), gain, *last, at))
+    return pd.DataFrame(rows, columns=["node", "gain", "least", "after", "at"]).astype("int64")
+
+
+def restoration(edges: DataFrame, failed: DataFrame, hub: int) -> tuple[DataFrame, int]:
+    """(node, gain, least, after, at): every node of ``failed`` (node), to be repaired in the order of the last three; and how many are lit before.
+
+    At each turn it is the failed node whose repair lights most nodes, ties to the smaller one; gain is
+    how many it lights. What is lit from the hub despite the faults is left out first: only links among
+    dark nodes matter. Weak components of these don't bear on each other, so a component's own order
+    holds in the whole, and orders merge by the largest (-gain, node) up to each repair: a repair that
+    is better than the one before it in its component follows that one at once, as nothing elsewhere
+    was better than that. Up to ``REPAIR_ROWS`` dark nodes and links are one task; beyond, components
+    are dealt to tasks, and a component is never cut.
+    """
+    spark = edges.sparkSession
+    edges = settled(edges.select("src", "dst").distinct())
+    failed = settled(failed.select(F.col("node").cast("long").alias("node")).distinct())
+    centre = spark.range(1).select(F.lit(hub).cast("long").alias("node"))
+    lit = reachable(edges, centre, failed).select("node")
+    inside = edges.join(lit.withColumnRenamed("node", "dst"), "dst", "left_anti")
+    from_lit = lit.select(F.col("node").alias("src"))
+    fed = inside.join(from_lit, "src", "left_semi").select(F.col("dst").alias("node")).unionByName(centre).distinct().withColumn("fed", F.lit(True))
+    links = settled(inside.join(from_lit, "src", "left_anti").select("src", "dst"))
+    dark = links.select(F.col("src").alias("node")).unionByName(links.select(F.col("dst").alias("node"))).unionByName(failed).distinct()
+    below = links.groupBy(F.col("src").alias("node")).agg(F.collect_list("dst").alias("children"))
+    down = failed.withColumn("failed", F.lit(True))
+    rows = settled(
+        dark.join(down, "node", "left")
+        .join(fed, "node", "left")
+        .join(below, "node", "left")
+        .select("node", F.coalesce("failed", F.lit(False)).alias("failed"), F.coalesce("fed", F.lit(False)).alias("fed"), F.coalesce("children", F.array().cast("array<bigint>")).alias("children"))
+    )
+    size = rows.agg(F.sum(1 + F.size("children"))).first()[0] or 0
+    tasks = -(-size // REPAIR_ROWS)
+    if tasks > 1:
+        dealt = rows.join(components(links, rows.select("node")), "node").withColumn("task", F.pmod(F.xxhash64("label"), F.lit(tasks))).drop("label")
+    else:
+        dealt = rows.withColumn("task", F.lit(0))
+    return dealt.groupBy("task").applyInPandas(lambda f: _repaired(f.drop(columns="task")), "node long, gain long, least long, after long, at long"), lit.count()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gridwright.functions.roads import speed_kmh
 from gridwright.operators import graph
 from gridwright.operators.grid_join import within
-from gridwright.operators.ordering import ordinal
+from gridwright.operators.ordering import ordinal, running
 from gridwright.plans.registering import registry
 from gridwright.plans.scene_sql import over
 from gridwright.schema import DEFAULT_SPEED_KMH, FLAT_DEM_M, FLOOD_SLOWDOWN, JUNCTION_S, MAX_SNAP_M, SPEED_KMH, WADING_FACTOR
@@ -343,25 +343,11 @@ def cascade_depth(spark: SparkSession, sf: str) -> DataFrame:
 def restoration_order(spark: SparkSession, sf: str) -> DataFrame:
     """Greedy repair: at each turn the failed site whose repair lights most sites, ties to the smaller id.
 
-    All picks of a turn are one frontier over (pick, node), so a turn costs the depth of the network.
+    Turns come from a repair's place among all, what is lit from the gains up to it.
     """
-    links = graph.settled(_links(spark, sf).select("src", "dst").distinct())
-    left = graph.settled(_failed(spark, sf))
-    turns, turn = None, 0
-    while not left.isEmpty():
-        turn += 1
-        picks = left.withColumnRenamed("node", "pick")
-        seen = graph.settled(picks.withColumn("node", F.lit(0).cast("long")).join(left, "node", "left_anti").select("pick", "node"))
-        front = seen
-        while not front.isEmpty():
-            step = front.join(links, F.col("node") == F.col("src")).select("pick", F.col("dst").alias("node")).distinct()
-            dark = step.join(left.withColumn("down", F.lit(True)), "node", "left").where("down is null or node = pick").select("pick", "node")
-            front = graph.settled(dark.join(seen, ["pick", "node"], "left_anti"))
-            seen = graph.settled(seen.unionByName(front))
-        best = graph.settled(seen.groupBy("pick").agg(F.count("*").alias("lit")).orderBy(F.desc("lit"), "pick").limit(1).select(F.lit(turn).alias("turn"), F.col("pick").alias("node"), "lit"))
-        turns = best if turns is None else turns.unionByName(best)
-        left = graph.settled(left.join(best, "node", "left_anti"))
-    return turns
+    repairs, before = graph.restoration(_links(spark, sf), _failed(spark, sf), 0)
+    turns = running(ordinal(repairs, ["least", "after", "at"], "turn"), ["turn"], "gain", "gained")
+    return turns.select(F.col("turn").cast("int").alias("turn"), "node", (F.col("gained") + before).alias("lit"))
 
 
 @query(over("link", ", " + "c(a, n, h) as (select parent, child, 1 from link union select c.a, l.child, c.h + 1 from c join link l on l.parent = c.n) select a as ancestor, n as node, min(h) as hops from c group by a, n", recursive=True))

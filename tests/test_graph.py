@@ -1,8 +1,11 @@
 """Small graphs with known answers."""
 
+import collections
 import math
 import random
 
+import pytest
+
 from gridwright.operators import graph
 
 CHAIN = [(0, 1), (1, 2), (2, 3)]
@@ -97,3 +100,42 @@ def test_orders_and_running_sums(spark):
     assert all(r.place == want[r.v] for r in ordinal(df, ["v"], "place").collect())
     rows = sorted((r.v, r["sum"]) for r in running(df, ["v"], "v", "sum").collect())
     assert [s for _, s in rows] == [sum(v for v, _ in rows[: k + 1]) for k in range(1000)]
+
+
+@pytest.mark.parametrize("rows", [None, 12])
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_restoration_is_greedy_in_one_task_and_in_several(spark, monkeypatch, rows, seed):
+    if rows:
+        monkeypatch.setattr(graph, "REPAIR_ROWS", rows)
+    rng = random.Random(seed)
+    links = {(rng.randrange(k), k) for k in range(1, 90)} | {(rng.randrange(90), rng.randrange(90)) for _ in range(25)} | {(95, 96)}
+    left = {k for k in range(90) if rng.random() < 0.3} - {0} | {96, 99} | ({0} if seed == 3 else set())
+    children = collections.defaultdict(set)
+    for a, b in links:
+        children[a].add(b)
+
+    def lit(down):
+        seen, todo = set(), [0] if 0 not in down else []
+        while todo:
+            n = todo.pop()
+            if n not in seen:
+                seen.add(n)
+                todo += [c for c in children[n] if c not in down]
+        return len(seen)
+
+    failed, want, before = [(n,) for n in left] * 2, [], lit(left)
+    kept, written = graph.settled, []
+    monkeypatch.setattr(graph, "settled", lambda df: written.append(1) or kept(df))
+    repairs, lit_before = graph.restoration(spark.createDataFrame([*links] * 2, "src long, dst long"), spark.createDataFrame(failed, "node long"), 0)
+    got = [(r.node, r.gain) for r in repairs.orderBy("least", "after", "at").collect()]
+    while left:
+        best = max(sorted(left), key=lambda n: lit(left - {n}))
+        now = lit(left)
+        left.remove(best)
+        want.append((best, lit(left) - now))
+    assert (got, lit_before) == (want, before) and len(written) < 60
+
+
+def test_restoration_of_nothing_is_empty(spark):
+    repairs, lit = graph.restoration(spark.createDataFrame([(0, 1)], "src long, dst long"), spark.createDataFrame([], "node long"), 0)
+    assert repairs.count() == 0 and lit == 2
