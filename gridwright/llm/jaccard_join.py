@@ -212,10 +212,10 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def nearest_leaders(keyed: DataFrame) -> DataFrame:
+def nearest_leaders(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(class, leader): of the least classes of its keys, the one that a class shares most keys with; ``keyed`` has key, hot, class.
 
-    A key of the last step is dealt to ``SALTS`` parts, whose least classes then meet.
+    The second table (class) has all those least classes, also those that no class goes to. A key of the last step is dealt to ``SALTS`` parts, whose least classes then meet.
     """
     spread = max(8, int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     salted = keyed.select("key", F.when(F.col("hot"), F.pmod(F.xxhash64("class"), F.lit(SALTS))).otherwise(-1).cast("int").alias("salt"), "class")
@@ -223,8 +223,10 @@ def nearest_leaders(keyed: DataFrame) -> DataFrame:
     says = found.where("v is null").select("key", "u")
     tops = says.groupBy("key").agg(F.min("u").alias("top"))
     among = says.join(tops, "key").where("u <> top").select(F.col("top").alias("u"), F.col("u").alias("v"))
-    edges = found.where("v is not null").select("u", "v").unionByName(among).groupBy("v", "u").agg(F.count("*").alias("n"))
-    return edges.groupBy(F.col("v").alias("class")).agg(F.max(F.struct("n", F.bitwise_not("u").alias("low"), "u")).alias("best")).select("class", F.col("best.u").alias("leader"))
+    pairs = found.where("v is not null").select("u", "v").unionByName(among)
+    edges = pairs.groupBy("v", "u").agg(F.count("*").alias("n"))
+    best = edges.groupBy(F.col("v").alias("class")).agg(F.max(F.struct("n", F.bitwise_not("u").alias("low"), "u")).alias("best"))
+    return best.select("class", F.col("best.u").alias("leader")), pairs.select(F.col("u").alias("class")).distinct()
 
 
 def linked(classes: np.ndarray, sets: list[np.ndarray], sides: np.ndarray | None, percent: int, parts: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -357,11 +359,12 @@ def _labelled(docs: DataFrame, words: int, percent: int, chunk: int = CHUNK) ->
     )
     keyed = classes.select("class", F.posexplode("keys").alias("pos", "key"), (F.size("keys") - F.col("n_hot")).alias("calm")).select("key", (F.col("pos") >= F.col("calm")).alias("hot"), "class")
 
-    leaders = written(nearest_leaders(keyed), "jaccard-leaders")
+    leaders, met = nearest_leaders(keyed)
+    leaders = written(leaders, "jaccard-leaders")
     cut = written(_chunks(leaders, "leader", chunk).select(F.col("leader").alias("label"), "class", "chunks", "own"), "jaccard-first")
     heads = cut.groupBy("label").agg(F.max("chunks").alias("chunks")).select("label", F.col("label").alias("class"), "chunks", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("own"))
     first_round = cut.unionByName(heads.select(*cut.columns)).select("*", F.col("own").alias("i"), F.col("own").alias("j"), F.col("class").alias("part"))
-    wanted = cut.select("class").unionByName(cut.select(F.col("label").alias("class"))).distinct()
+    wanted = cut.select("class").unionByName(met).distinct()
     named = classes.join(wanted, "class", "left_semi").select("class", F.col("at.doc_id").alias("id"), F.col("at.text_key").alias("key"))
     sets = written(_sets(docs, named, words), "jaccard-sets")
     links = written(_open(first_round, sets, percent), "jaccard-links")

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 
@@ -482,3 +483,30 @@ def test_op8_keys_do_not_grow_with_the_steps(spark, monkeypatch):
     shingles = collections.Counter(s for t in texts.values() for s in jaccard_join.Shingler(4).of(t).view(np.int64).tolist())
     assert all(shingles[k] > 1 for r in signed for k in r["keys"])
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(df, 4, 85).collect()} == brute_components(texts, 4, 85)
+
+
+def star_of_unchosen_leader(n=10):
+    """Sets of words: the least class of a family links with all of it, but each of them shares more rare words with a stranger that it doesn't link with."""
+
+    def least(make, below):
+        return next(t for t in map(make, itertools.count()) if jaccard_join.class_of(jaccard_join.Shingler(1).of(t)) < below)
+
+    def class_of(text):
+        return jaccard_join.class_of(jaccard_join.Shingler(1).of(text))
+
+    family, common = (" ".join(f"{x}{j}" for j in range(n)) for x, n in (("f", 39), ("c", 30)))
+    hub = least(lambda k: f"{family} hub{k}", -(1 << 62))
+    texts = {0: hub}
+    for i in range(n):
+        shared = " ".join(f"p{i}-{j}" for j in range(4))
+        texts[1 + i] = next(t for t in (f"{hub} {shared} q{i}-{k}" for k in itertools.count()) if class_of(t) > class_of(hub))
+        texts[100 + i] = least(lambda k, i=i, shared=shared: f"{shared} {common} y{i}-{k}", class_of(texts[1 + i]))
+    return texts
+
+
+def test_near_duplicates_read_leaders_that_none_chose(spark):
+    texts = star_of_unchosen_leader()
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = brute_components(texts, 1, 85)
+    assert {want[k][1] for k in range(11)} == {0}
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(df, 1, 85).collect()} == want
