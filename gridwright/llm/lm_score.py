@@ -112,28 +112,30 @@ class Vocabulary:
 
 def learn_vocabulary(counts: DataFrame, looked_up: int | None = None) -> Vocabulary:
     """The ``looked_up`` most frequent words of ``counts`` (at least the softmax), ties by word, and the totals by rare class."""
-    total = counts.agg(F.sum("n"), F.count("*")).first()
-    classes, members, rare = shape_of(int(total[1]))
-    top = counts.orderBy(F.desc("n"), "word").limit(looked_up or max(LOOKED_UP, classes * members)).collect()
-    top.sort(key=lambda r: (-r.n, bytes(r.word)))
-    places = {bytes(r.word): k for k, r in enumerate(top)}
-    softmax = {w for w, k in places.items() if k < classes * members}
-
-    def by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, size = np.zeros(rare, np.int64), np.zeros(rare, np.int64)
-        for batch in batches:
-            for word, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if word not in softmax:
-                    at = rare_class(word, classes, rare) - classes
-                    n[at] += c
-                    size[at] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(range(rare), pa.int32()), pa.array(n), pa.array(size)], ["rare", "n", "size"])
-
-    sums = counts.select("word", "n").mapInArrow(by_class, "rare int, n long, size long").groupBy("rare").agg(F.sum("n").alias("n"), F.sum("size").alias("size")).collect()
+    ending = F.expr("substring(word, greatest(length(word) - 1, 1), 2)").alias("ending")
+    endings = [(bytes(r.ending), r.n, r["size"]) for r in counts.groupBy(ending).agg(F.sum("n").alias("n"), F.count("*").alias("size")).collect()]
+    n, size = sum(x[1] for x in endings), sum(x[2] for x in endings)
+    classes, members, rare = shape_of(size)
+    top = most_frequent(counts, looked_up or max(LOOKED_UP, classes * members))
+    places = {word: k for k, (word, _) in enumerate(top)}
     rare_n, rare_size = np.zeros(rare), np.zeros(rare)
-    for r in sums:
-        rare_n[r.rare], rare_size[r.rare] = r.n, r["size"]
-    return Vocabulary(int(total[0] or 0), int(total[1]), places, np.array([r.n for r in top], np.int64), rare_n, rare_size)
+    for word, c, k in itertools.chain(endings, ((word, -c, -1) for word, c in top[: classes * members])):
+        at = rare_class(word, classes, rare) - classes
+        rare_n[at] += c
+        rare_size[at] += k
+    return Vocabulary(n, size, places, np.array([c for _, c in top], np.int64), rare_n, rare_size)
+
+
+def most_frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """The first ``most`` (word, n) of ``counts`` by n, then by word; only words of the last n are ranked by Spark."""
+    left, least = most, 0
+    for r in sorted(counts.groupBy("n").agg(F.count("*").alias("words")).collect(), reverse=True):
+        least = r.n
+        if r.words >= left:
+            break
+        left -= r.words
+    rows = counts.where(F.col("n") > least).select("word", "n").collect() + counts.where(F.col("n") == least).select("word", "n").orderBy("word").limit(left).collect()
+    return sorted(((bytes(r.word), r.n) for r in rows), key=lambda x: (-x[1], x[0]))
 
 
 @dataclass
@@ -161,30 +163,32 @@ def unigram_model(v: Vocabulary, rows: int | None = None) -> Model:
     return Model(np.zeros((rows, width), np.float32), np.zeros((rows, v.members), np.float32), np.log(mass / mass.sum()).astype(np.float32), members)
 
 
+class Places(dict):
+    """Places of looked-up words; other words, of which few are kept, go below 0 by a hash of the word and its rare class. All fit in 32 bits."""
+
+    def __init__(self, v: Vocabulary) -> None:
+        super().__init__(v.places)
+        self.v, self.width, self.most = v, v.n_classes + v.rare, len(v.places) + 100_000
+        self.span = (2**31 - 1) // self.width - 1
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > self.most:
+            self.clear()
+            self.update(self.v.places)
+        place = self[word] = -1 - xxhash.xxh32_intdigest(word) % self.span * self.width - rare_class(word, self.v.n_classes, self.v.rare)
+        return place
+
+
 class Reader:
     """Turns texts into arrays: class, member and history features of every token."""
 
     def __init__(self, v: Vocabulary, rows: int | None = None) -> None:
         self.v, self.mask = v, np.uint64((rows or rows_of(v.n)) - 1)
-        self.unseen: dict[bytes, int] = {}
+        self.places = Places(v)
 
     def ids(self, words: list[bytes]) -> np.ndarray:
-        """Places of looked-up words; below 0 for others, by a hash of the word and its rare class. All fit in 32 bits."""
-        found = list(map(self.v.places.get, words))
-        if None in found:
-            cache, v = self.unseen, self.v
-            width = v.n_classes + v.rare
-            span = (2**31 - 1) // width - 1
-            if len(cache) > 100_000:
-                cache.clear()
-            for k, x in enumerate(found):
-                if x is None:
-                    word = words[k]
-                    known = cache.get(word)
-                    if known is None:
-                        known = cache[word] = -1 - xxhash.xxh32_intdigest(word) % span * width - rare_class(word, v.n_classes, v.rare)
-                    found[k] = known
-        return np.array(found, np.int32)
+        """The words' ``Places``."""
+        return np.fromiter(map(self.places.__getitem__, words), np.int32, len(words))
 
     def arrays(self, ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(token ids, features of the classes (3), features of the members (2)) over texts.
@@ -227,23 +231,25 @@ def _take(rows: np.ndarray, at: np.ndarray) -> np.ndarray:
     return rows.take(at, axis=0, mode="clip")
 
 
-def _totals(slope: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Sums of the runs of ``slope``, all of them side by side while many are left: most are short."""
-    out, live, k = _take(slope, starts), np.flatnonzero(sizes > 1), 1
+def _totals(slope: np.ndarray, order: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of the runs of ``slope`` in ``order``, all of them side by side while many are left: most are short."""
+    out, live, k = _take(slope, order[starts]), np.flatnonzero(sizes > 1), 1
     while len(live) > 64:
-        out[live] += _take(slope, starts[live] + k)
+        out[live] += _take(slope, order[starts[live] + k])
         k += 1
         live = live[sizes[live] > k]
     for j in live:
-        out[j] += _ONES[: sizes[j] - k] @ slope[starts[j] + k : starts[j] + sizes[j]]
+        out[j] += _ONES[: sizes[j] - k] @ _take(slope, order[starts[j] + k : starts[j] + sizes[j]])
     return out
 
 
 def _descend(weights: np.ndarray, spent: np.ndarray, seen: np.ndarray, rows: np.ndarray, slope: np.ndarray) -> None:
-    """One step of each row of ``weights`` that ``rows`` (in order) names, at the row's own rate."""
+    """One step of each row of ``weights`` that ``rows`` names, at the row's own rate."""
+    order = np.argsort(rows)
+    rows = rows[order]
     starts = np.concatenate([[0], np.flatnonzero(rows[1:] != rows[:-1]) + 1])
     sizes = np.diff(np.append(starts, len(rows)))
-    sums = _totals(slope, starts, sizes)
+    sums = _totals(slope, order, starts, sizes)
     at = rows[starts]
     grown = spent[at] + np.einsum("ij,ij->i", sums, sums)
     spent[at] = grown
@@ -267,37 +273,32 @@ def train_pass(batches: Iterator[list[np.ndarray]], reader: Reader, model: Model
         classes = reader.class_of(joined)
         for a in range(0, len(joined), STEP):
             b = min(a + STEP, len(joined))
-            order = np.argsort(for_class[0, a:b])
-            gram, skip, both, target = *for_class[:, a:b][:, order], classes[a:b][order]
+            gram, skip, both, target = *for_class[:, a:b], classes[a:b]
             logits = _take(model.of_class, gram)
             logits += _take(model.of_class, skip)
             logits += _take(model.of_class, both)
             logits += model.class_bias
             p = _softmax(logits)
             p[np.arange(b - a), target] -= 1
-            _descend(model.of_class, spent[0], seen[0], gram, p)
-            for other in (skip, both):
-                again = np.argsort(other)
-                _descend(model.of_class, spent[0], seen[0], other[again], _take(p, again))
+            for own in (gram, skip, both):
+                _descend(model.of_class, spent[0], seen[0], own, p)
             inside = np.flatnonzero((joined[a:b] >= 0) & (joined[a:b] < n_softmax))
             if len(inside):
-                inside = inside[np.argsort(for_member[0, a:b][inside])]
                 gram, skip, word = *for_member[:, a:b][:, inside], joined[a:b][inside]
                 logits = _take(model.of_member, gram)
                 logits += _take(model.of_member, skip)
                 logits += _take(model.member_bias, classes[a:b][inside])
                 p = _softmax(logits)
                 p[np.arange(len(inside)), word // reader.v.n_classes] -= 1
-                _descend(model.of_member, spent[1], seen[1], gram, p)
-                again = np.argsort(skip)
-                _descend(model.of_member, spent[1], seen[1], skip[again], _take(p, again))
+                for own in (gram, skip):
+                    _descend(model.of_member, spent[1], seen[1], own, p)
     return seen[0], seen[1]
 
 
 def read_ids(docs: DataFrame, v: Vocabulary, rows: int) -> DataFrame:
     """(doc_id, learned_from, n_tokens, ids, missing, shard, turn) of ``docs`` (doc_id, text, learned_from).
 
-    ``ids`` are those of ``Reader``, ``missing`` the words that aren't looked up. Texts are dealt by a
+    ``ids`` are those of ``Reader``, ``missing`` how often each word stands that isn't looked up. Texts are dealt by a
     hash to shards of about ``TOKENS_PER_ROW`` training tokens for each row of weights.
     """
     words = docs.sparkSession.sparkContext.broadcast(v)
@@ -309,13 +310,13 @@ def read_ids(docs: DataFrame, v: Vocabulary, rows: int) -> DataFrame:
         for part in pieces(batches):
             found = [tokens_of(t) for t in part.column(1).to_pylist()]
             ids = [reader.ids(w) for w in found]
-            missing = [[w[j] for j in np.flatnonzero(x < 0)] for w, x in zip(found, ids, strict=True)]
-            made = [pa.array([len(w) for w in found], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(missing, pa.list_(pa.binary()))]
+            missing = [list(Counter([w[j] for j in np.flatnonzero(x < 0)]).items()) for w, x in zip(found, ids, strict=True)]
+            made = [pa.array([len(w) for w in found], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(missing, pa.map_(pa.binary(), pa.int32()))]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *made, part.column(3), part.column(4)], names)
 
     turn = F.xxhash64("doc_id", "text")
     dealt = docs.select("doc_id", "text", "learned_from", F.pmod(turn, F.lit(shards)).cast("int").alias("shard"), turn.alias("turn"))
-    return dealt.mapInArrow(read, "doc_id long, learned_from boolean, n_tokens long, ids binary, missing array<binary>, shard int, turn long")
+    return dealt.mapInArrow(read, "doc_id long, learned_from boolean, n_tokens long, ids binary, missing map<binary,int>, shard int, turn long")
 
 
 def train(read: DataFrame, v: Vocabulary, rounds: int = 1, rows: int | None = None) -> Model:
@@ -449,7 +450,7 @@ def score_texts(docs: DataFrame, is_training: Column, rounds: int = 1) -> DataFr
     counts = written(count_words(docs.where("learned_from")), "lm-counts")
     v = learn_vocabulary(counts)
     rows = rows_of(v.n)
-    unread = read_ids(docs, v, rows)
+    unread = read_ids(docs, v, rows).withColumn("row", F.monotonically_increasing_id())
     path = stored(unread, "lm-ids")
     read = docs.sparkSession.read.schema(unread.schema).parquet(path)
     model = train(read.where("learned_from"), v, rounds, rows) if v.n else unigram_model(v, rows)
@@ -460,25 +461,23 @@ def score_texts(docs: DataFrame, is_training: Column, rounds: int = 1) -> DataFr
         for part in pieces(batches, 64):
             known, base, score = zip(*scorer.of_ids([np.frombuffer(x, np.int32) for x in part.column(3).to_pylist()]), strict=True)
             made = [pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())]
-            yield pa.RecordBatch.from_arrays([*part.columns[:3], *made, part.column(4)], ["doc_id", "learned_from", "n_tokens", "known", "base", "model", "missing"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], *made, part.column(4)], ["doc_id", "learned_from", "n_tokens", "known", "base", "model", "row"])
 
     partial = written(
-        read.select("doc_id", "learned_from", "n_tokens", "ids", "missing")
-        .mapInArrow(label, "doc_id long, learned_from boolean, n_tokens long, known long, base double, model double, missing array<binary>")
-        .withColumn("row", F.monotonically_increasing_id()),
+        read.select("doc_id", "learned_from", "n_tokens", "ids", "row").mapInArrow(label, "doc_id long, learned_from boolean, n_tokens long, known long, base double, model double, row long"),
         "lm-partial",
     )
-    discard(docs.sparkSession, path)
-    wanted = partial.select("row", F.explode("missing").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))
-    looked = (
+    wanted = read.select("row", F.explode("missing").alias("word", "times"))
+    looked = written(
         wanted.join(counts.select(F.col("word").alias("w"), "n"), F.col("word") == F.col("w"), "left")
-        .groupBy("row")
+        .groupBy(F.col("row").alias("r"))
         .agg(
             F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("more"),
             F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("also"),
-        )
-        .withColumnRenamed("row", "r")
+        ),
+        "lm-looked",
     )
+    discard(docs.sparkSession, path)
     more = F.coalesce("more", F.lit(0.0))
     return partial.join(looked, F.col("row") == F.col("r"), "left").select(
         "doc_id",

@@ -2,9 +2,11 @@
 
 import collections
 import math
+import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -359,6 +361,27 @@ def test_lm_histories_tell_words_apart_that_are_not_looked_up():
     assert score("uno p") - score("uno q") > 0.5 and score("duno q") - score("duno p") > 0.5
 
 
+def test_lm_missing_words_come_once_a_text(spark):
+    docs = spark.createDataFrame([(1, "a new a new old"), (2, "")], "doc_id long, text string").withColumn("learned_from", F.lit(True))
+    v = lm_score.Vocabulary(9, 3, {b"a": 0, lm_score.END: 1}, np.array([5, 4]), np.zeros(lm_score.RARE), np.zeros(lm_score.RARE))
+    got = {r.doc_id: {bytes(k): n for k, n in r.missing.items()} for r in lm_score.read_ids(docs, v, lm_score.ROWS).collect()}
+    assert got == {1: {b"new": 2, b"old": 1}, 2: {}}
+
+
+def test_lm_vocabulary_equals_a_full_sort(spark):
+    rng = random.Random(4)
+    counts = {bytes(rng.choice(b"abcxyz") for _ in range(rng.randint(1, 5))): rng.choice((1, 1, 1, 2, 2, 3, 9)) for _ in range(400)}
+    df = spark.createDataFrame([(bytearray(w), n) for w, n in counts.items()], "word binary, n long")
+    ranked = sorted(counts, key=lambda w: (-counts[w], w))
+    for most in (0, 1, 7, len(counts) // 2, len(counts), 1000):
+        assert lm_score.most_frequent(df, most) == [(w, counts[w]) for w in ranked[:most]]
+    v = lm_score.learn_vocabulary(df, 5)
+    assert (v.n, v.size, list(v.places)) == (sum(counts.values()), len(counts), ranked[:5])
+    for k in range(v.rare):
+        own = [w for w in ranked[5:] if lm_score.rare_class(w) == lm_score.CLASSES + k]
+        assert (v.rare_n[k], v.rare_size[k]) == (sum(counts[w] for w in own), len(own))
+
+
 def test_lm_odd_rows(spark, odd):
     got = lm_score.score_texts(odd, fold() != 1).collect()
     assert len(got) == len(ODD) and all(math.isfinite(r.score) and r.base_score <= 0 for r in got)
