@@ -170,12 +170,17 @@ class Places(dict):
         super().__init__(v.places)
         self.v, self.width, self.most = v, v.n_classes + v.rare, len(v.places) + 100_000
         self.span = (2**31 - 1) // self.width - 1
+        self.kinds: dict[bytes, int] = {}
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > self.most:
             self.clear()
             self.update(self.v.places)
-        place = self[word] = -1 - xxhash.xxh32_intdigest(word) % self.span * self.width - rare_class(word, self.v.n_classes, self.v.rare)
+        end = word[-2:]
+        kind = self.kinds.get(end)
+        if kind is None:
+            kind = self.kinds[end] = rare_class(word, self.v.n_classes, self.v.rare)
+        place = self[word] = -1 - xxhash.xxh32_intdigest(word) % self.span * self.width - kind
         return place
 
 
@@ -310,8 +315,10 @@ def read_ids(docs: DataFrame, v: Vocabulary, rows: int) -> DataFrame:
         for part in pieces(batches):
             found = [tokens_of(t) for t in part.column(1).to_pylist()]
             ids = [reader.ids(w) for w in found]
-            missing = [list(Counter([w[j] for j in np.flatnonzero(x < 0)]).items()) for w, x in zip(found, ids, strict=True)]
-            made = [pa.array([len(w) for w in found], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(missing, pa.map_(pa.binary(), pa.int32()))]
+            missing = [Counter([w[j] for j in np.flatnonzero(x < 0).tolist()]) for w, x in zip(found, ids, strict=True)]
+            ends = pa.array(np.cumsum([0, *map(len, missing)]), pa.int32())
+            each = [pa.array(list(itertools.chain.from_iterable(x)), kind) for x, kind in ((missing, pa.binary()), (map(Counter.values, missing), pa.int32()))]
+            made = [pa.array([len(w) for w in found], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary()), pa.MapArray.from_arrays(ends, *each)]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *made, part.column(3), part.column(4)], names)
 
     turn = F.xxhash64("doc_id", "text")
@@ -387,6 +394,7 @@ class Scorer:
 
     def __init__(self, v: Vocabulary, model: Model) -> None:
         self.v, self.model, self.reader = v, model, Reader(v, len(model.of_class))
+        self.log_counts = np.log10(v.counts + 0.5)
 
     def of(self, texts: list[str | None]) -> list[tuple[int, int, float, float, list[bytes]]]:
         """(tokens, known, base, score, words whose count is still to come) of each text.
@@ -421,7 +429,7 @@ class Scorer:
         score /= math.log(10)
         looked = joined >= 0
         if len(v.counts):
-            log_c = np.where(looked, np.log10(v.counts[np.maximum(joined, 0)] + 0.5), 0.0)
+            log_c = np.where(looked, self.log_counts[np.maximum(joined, 0)], 0.0)
         else:
             log_c = np.zeros(len(joined))
         rare = (joined < 0) | (joined >= v.in_softmax)
