@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,9 +37,12 @@ SCORE_STEP = 2048
 RATE = 0.5
 BOUND = 20.0
 BLOCK = 16
+#: Bytes of texts that are read at once.
+HEAP = 1 << 22
 
 END = b"\n"
 _FLUSH = 300_000
+_FLUSH_BYTES = 1 << 25
 _START = -(1 << 62)
 _ONES = np.ones(STEP, np.float32)
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
@@ -52,6 +55,24 @@ def tokens_of(text: str | None) -> list[bytes]:
     return words
 
 
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all ``texts``, as ``tokens_of`` gives them but for the ends, and how many each text has."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words, of_text = split.flatten(), np.repeat(np.arange(len(texts)), pc.list_value_length(split).to_numpy())
+    real = pc.greater(pc.binary_length(words), 0)  # white space at either end splits off an empty word
+    return words.filter(real).cast(pa.binary()), np.bincount(of_text[real.to_numpy(zero_copy_only=False)], minlength=len(texts))
+
+
+def heaps(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``HEAP`` bytes of the texts in ``column``, or of one longer text and what is beside it."""
+    for batch in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(), dtype=np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(sizes // HEAP)) + 1).tolist(), batch.num_rows]
+        for a, b in itertools.pairwise(cuts):
+            if b > a:
+                yield batch.slice(a, b - a)
+
+
 def shape_of(size: int) -> tuple[int, int, int]:
     """(classes, members of each, rare classes) over ``size`` distinct words."""
     grown = max(1.0, (size / VOCABULARY) ** 0.25)
@@ -71,19 +92,20 @@ def count_words(texts: DataFrame) -> DataFrame:
     """(word, n) over all of ``texts`` (text), each task adding up before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        seen: list[pa.RecordBatch] = []
 
         def flushed() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+            sums = pa.Table.from_batches(seen).group_by("word", use_threads=False).aggregate([("n", "sum")])
             seen.clear()
-            return out
+            return pa.RecordBatch.from_arrays([sums.column(k).combine_chunks() for k in ("word", "n_sum")], ["word", "n"])
 
-        for part in pieces(batches):
-            for text in part.column(0).to_pylist():
-                seen.update(tokens_of(text))
-                if len(seen) > _FLUSH:
-                    yield flushed()
-        yield flushed()
+        for part in heaps(batches, 0):
+            ends = [pa.array([END], pa.binary()), pa.array([part.num_rows], pa.int64())]
+            seen += [pa.RecordBatch.from_arrays(x, ["word", "n"]) for x in (words_of(part.column(0))[0].value_counts().flatten(), ends)]
+            if sum(x.num_rows for x in seen) > _FLUSH or sum(x.nbytes for x in seen) > _FLUSH_BYTES:
+                yield flushed()
+        if seen:
+            yield flushed()
 
     return texts.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -146,6 +168,11 @@ class Model:
     of_member: np.ndarray
     class_bias: np.ndarray
     member_bias: np.ndarray
+    odds: bool = False
+
+    def as_odds(self) -> Model:
+        """The model with its exponentials, whose products are odds as sums of weights are their logarithms: three of at most exp(``BOUND``) and a chance fit single precision."""
+        return self if self.odds else Model(*map(np.exp, (self.of_class, self.of_member, self.class_bias, self.member_bias)), odds=True)
 
 
 def unigram_model(v: Vocabulary, rows: int | None = None) -> Model:
@@ -164,24 +191,23 @@ def unigram_model(v: Vocabulary, rows: int | None = None) -> Model:
 
 
 class Places(dict):
-    """Places of looked-up words; other words, of which few are kept, go below 0 by a hash of the word and its rare class. All fit in 32 bits."""
+    """Places of looked-up words; other words go below 0 by a hash of the word and its rare class. All fit in 32 bits."""
 
     def __init__(self, v: Vocabulary) -> None:
         super().__init__(v.places)
-        self.v, self.width, self.most = v, v.n_classes + v.rare, len(v.places) + 100_000
+        self.v, self.width = v, v.n_classes + v.rare
         self.span = (2**31 - 1) // self.width - 1
         self.kinds: dict[bytes, int] = {}
 
+    def below(self, words: Sequence[bytes]) -> np.ndarray:
+        """Places of ``words`` that aren't looked up."""
+        ends = [w[-2:] for w in words]
+        self.kinds.update((end, rare_class(end, self.v.n_classes, self.v.rare)) for end in set(ends) - self.kinds.keys())
+        hashes, kinds = (np.fromiter(map(f, x), np.int64, len(words)) for f, x in ((xxhash.xxh32_intdigest, words), (self.kinds.__getitem__, ends)))
+        return (-1 - hashes % self.span * self.width - kinds).astype(np.int32)
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) > self.most:
-            self.clear()
-            self.update(self.v.places)
-        end = word[-2:]
-        kind = self.kinds.get(end)
-        if kind is None:
-            kind = self.kinds[end] = rare_class(word, self.v.n_classes, self.v.rare)
-        place = self[word] = -1 - xxhash.xxh32_intdigest(word) % self.span * self.width - kind
-        return place
+        return int(self.below([word])[0])
 
 
 class Reader:
@@ -189,12 +215,40 @@ class Reader:
 
     def __init__(self, v: Vocabulary, rows: int | None = None) -> None:
         self.v, self.mask = v, np.uint64((rows or rows_of(v.n)) - 1)
-        self.places = Places(v)
+        self.places, self.looked_up = Places(v), pa.array(list(v.places), pa.binary())
 
     def ids(self, words: list[bytes]) -> np.ndarray:
         """The words' ``Places``."""
         return np.fromiter(map(self.places.__getitem__, words), np.int32, len(words))
 
+    def read(self, texts: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+        """(number of tokens, ``ids`` of the tokens as bytes, how often each word stands that isn't looked up) of each text."""
+        words, sizes = words_of(texts)
+        found = pc.index_in(words, value_set=self.looked_up)
+        own = pc.fill_null(found, 0).to_numpy().astype(np.int32)
+        missing = np.flatnonzero(found.is_null().to_numpy(zero_copy_only=False))
+        apart = words.take(pa.array(missing)).dictionary_encode()
+        codes, of_text = apart.indices.to_numpy(), np.repeat(np.arange(len(sizes)), sizes)[missing]
+        kinds, end = apart.dictionary.to_numpy(zero_copy_only=False), self.places[END]
+        own[missing] = self.places.below(kinds)[codes]
+        after = np.cumsum(sizes + 1)
+        ids = np.empty(len(own) + len(sizes), np.int32)
+        ends = np.zeros(len(ids), bool)
+        ends[after - 1] = True
+        ids[~ends], ids[ends] = own, end
+        width = len(kinds) + 1
+        if end < 0:
+            codes, of_text = (np.concatenate(x) for x in ((codes, np.full(len(sizes), len(kinds))), (of_text, np.arange(len(sizes)))))
+        each, times = np.unique(of_text * width + codes, return_counts=True)
+        starts = np.concatenate([[0], np.cumsum(np.bincount(each // width, minlength=len(sizes)))])
+        named = pa.concat_arrays([apart.dictionary, pa.array([END], pa.binary())]).take(pa.array(each % width))
+        offsets = pa.array(np.concatenate([[0], 4 * after]), pa.int32()).buffers()[1]
+        return (
+            pa.array(sizes + 1, pa.int64()),
+            pa.Array.from_buffers(pa.binary(), len(sizes), [None, offsets, pa.py_buffer(ids)]),
+            pa.MapArray.from_arrays(pa.array(starts, pa.int32()), named, pa.array(times, pa.int32())),
+        )
+
     def arrays(self, ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(token ids, features of the classes (3), features of the members (2)) over texts.
 
@@ -232,37 +286,45 @@ def _softmax(logits: np.ndarray) -> np.ndarray:
     return logits
 
 
-def _take(rows: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return rows.take(at, axis=0, mode="clip")
+def _take(rows: np.ndarray, at: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+    """Rows at ``at``, in the first rows of ``out`` if given."""
+    return rows.take(at, axis=0, mode="clip", out=None if out is None else out[: len(at)])
 
 
-def _totals(slope: np.ndarray, order: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Sums of the runs of ``slope`` in ``order``, all of them side by side while many are left: most are short."""
-    out, live, k = _take(slope, order[starts]), np.flatnonzero(sizes > 1), 1
-    while len(live) > 64:
-        out[live] += _take(slope, order[starts[live] + k])
+def _totals(slope: np.ndarray, order: np.ndarray, starts: np.ndarray, sizes: np.ndarray, spare: np.ndarray) -> np.ndarray:
+    """Sums of the runs of ``slope`` in ``order``, longest first, all of them side by side while many are left: most are short."""
+    out, left, k = _take(slope, order[starts]), np.count_nonzero(sizes > 1), 1
+    while left > 64:
+        out[:left] += _take(slope, order[starts[:left] + k], spare)
         k += 1
-        live = live[sizes[live] > k]
-    for j in live:
-        out[j] += _ONES[: sizes[j] - k] @ _take(slope, order[starts[j] + k : starts[j] + sizes[j]])
+        left = np.count_nonzero(sizes[:left] > k)
+    for j in range(left):
+        out[j] += _ONES[: sizes[j] - k] @ _take(slope, order[starts[j] + k : starts[j] + sizes[j]], spare)
     return out
 
 
-def _descend(weights: np.ndarray, spent: np.ndarray, seen: np.ndarray, rows: np.ndarray, slope: np.ndarray) -> None:
+def _order(keys: np.ndarray, most: int) -> np.ndarray:
+    """Places of ``keys`` (from 0, below ``most``) in their order; by radix where 16 bits hold them."""
+    return np.argsort(keys.astype(np.uint16), kind="stable") if most <= 1 << 16 else np.argsort(keys)
+
+
+def _descend(weights: np.ndarray, spent: np.ndarray, seen: np.ndarray, rows: np.ndarray, slope: np.ndarray, spare: np.ndarray) -> None:
     """One step of each row of ``weights`` that ``rows`` names, at the row's own rate."""
-    order = np.argsort(rows)
+    order = _order(rows, len(weights))
     rows = rows[order]
     starts = np.concatenate([[0], np.flatnonzero(rows[1:] != rows[:-1]) + 1])
     sizes = np.diff(np.append(starts, len(rows)))
-    sums = _totals(slope, order, starts, sizes)
+    longest = _order(len(rows) - sizes, len(rows))
+    starts, sizes = starts[longest], sizes[longest]
+    sums = _totals(slope, order, starts, sizes, spare)
     at = rows[starts]
     grown = spent[at] + np.einsum("ij,ij->i", sums, sums)
     spent[at] = grown
     seen[at] += sizes
     sums *= (RATE / np.sqrt(grown + 1.0))[:, None]
-    own = _take(weights, at)
+    own = _take(weights, at, spare)
     own -= sums
-    if float(np.abs(own).max()) > BOUND:
+    if own.max() > BOUND or own.min() < -BOUND:
         np.clip(own, -BOUND, BOUND, out=own)
     weights[at] = own
 
@@ -272,6 +334,7 @@ def train_pass(batches: Iterator[list[np.ndarray]], reader: Reader, model: Model
     rows = len(model.of_class)
     spent = [np.zeros(rows, np.float32), np.zeros(rows, np.float32)]
     seen = [np.zeros(rows, np.float32), np.zeros(rows, np.float32)]
+    held, spare = ([np.empty((STEP, x.shape[1]), np.float32) for x in (model.of_class, model.of_member)] for _ in range(2))
     n_softmax = reader.v.in_softmax
     for ids in batches:
         joined, for_class, for_member = reader.arrays(ids)
@@ -279,24 +342,24 @@ def train_pass(batches: Iterator[list[np.ndarray]], reader: Reader, model: Model
         for a in range(0, len(joined), STEP):
             b = min(a + STEP, len(joined))
             gram, skip, both, target = *for_class[:, a:b], classes[a:b]
-            logits = _take(model.of_class, gram)
-            logits += _take(model.of_class, skip)
-            logits += _take(model.of_class, both)
+            logits = _take(model.of_class, gram, held[0])
+            logits += _take(model.of_class, skip, spare[0])
+            logits += _take(model.of_class, both, spare[0])
             logits += model.class_bias
             p = _softmax(logits)
             p[np.arange(b - a), target] -= 1
             for own in (gram, skip, both):
-                _descend(model.of_class, spent[0], seen[0], own, p)
+                _descend(model.of_class, spent[0], seen[0], own, p, spare[0])
             inside = np.flatnonzero((joined[a:b] >= 0) & (joined[a:b] < n_softmax))
             if len(inside):
                 gram, skip, word = *for_member[:, a:b][:, inside], joined[a:b][inside]
-                logits = _take(model.of_member, gram)
-                logits += _take(model.of_member, skip)
-                logits += _take(model.member_bias, classes[a:b][inside])
+                logits = _take(model.of_member, gram, held[1])
+                logits += _take(model.of_member, skip, spare[1])
+                logits += _take(model.member_bias, classes[a:b][inside], spare[1])
                 p = _softmax(logits)
                 p[np.arange(len(inside)), word // reader.v.n_classes] -= 1
                 for own in (gram, skip):
-                    _descend(model.of_member, spent[1], seen[1], own, p)
+                    _descend(model.of_member, spent[1], seen[1], own, p, spare[1])
     return seen[0], seen[1]
 
 
@@ -312,14 +375,8 @@ def read_ids(docs: DataFrame, v: Vocabulary, rows: int) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(words.value, rows)
-        for part in pieces(batches):
-            found = [tokens_of(t) for t in part.column(1).to_pylist()]
-            ids = [reader.ids(w) for w in found]
-            missing = [Counter([w[j] for j in np.flatnonzero(x < 0).tolist()]) for w, x in zip(found, ids, strict=True)]
-            ends = pa.array(np.cumsum([0, *map(len, missing)]), pa.int32())
-            each = [pa.array(list(itertools.chain.from_iterable(x)), kind) for x, kind in ((missing, pa.binary()), (map(Counter.values, missing), pa.int32()))]
-            made = [pa.array([len(w) for w in found], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary()), pa.MapArray.from_arrays(ends, *each)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *made, part.column(3), part.column(4)], names)
+        for part in heaps(batches, 1):
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *reader.read(part.column(1)), part.column(3), part.column(4)], names)
 
     turn = F.xxhash64("doc_id", "text")
     dealt = docs.select("doc_id", "text", "learned_from", F.pmod(turn, F.lit(shards)).cast("int").alias("shard"), turn.alias("turn"))
@@ -393,7 +450,7 @@ class Scorer:
     """log10 probabilities of texts, but for the counts of words that aren't looked up."""
 
     def __init__(self, v: Vocabulary, model: Model) -> None:
-        self.v, self.model, self.reader = v, model, Reader(v, len(model.of_class))
+        self.v, self.model, self.reader = v, model.as_odds(), Reader(v, len(model.of_class))
         self.log_counts = np.log10(v.counts + 0.5)
 
     def of(self, texts: list[str | None]) -> list[tuple[int, int, float, float, list[bytes]]]:
@@ -411,21 +468,20 @@ class Scorer:
         v, m = self.v, self.model
         score = np.zeros(len(joined))
         classes = self.reader.class_of(joined)
+        held, spare = ([np.empty((min(SCORE_STEP, len(joined)), x.shape[1]), np.float32) for x in (m.of_class, m.of_member)] for _ in range(2))
         for a in range(0, len(joined), SCORE_STEP):
             b = min(a + SCORE_STEP, len(joined))
-            logits = _take(m.of_class, for_class[0, a:b])
-            logits += _take(m.of_class, for_class[1, a:b])
-            logits += _take(m.of_class, for_class[2, a:b])
-            logits += m.class_bias
-            score[a:b] = logits[np.arange(b - a), classes[a:b]]
-            score[a:b] -= np.log(_sums(np.exp(logits, out=logits)))
+            odds = _take(m.of_class, for_class[0, a:b], held[0])
+            odds *= _take(m.of_class, for_class[1, a:b], spare[0])
+            odds *= _take(m.of_class, for_class[2, a:b], spare[0])
+            odds *= m.class_bias
+            score[a:b] = np.log(odds[np.arange(b - a), classes[a:b]]) - np.log(_sums(odds))
             inside = np.flatnonzero((joined[a:b] >= 0) & (joined[a:b] < v.in_softmax))
             if len(inside):
-                logits = _take(m.of_member, for_member[0, a:b][inside])
-                logits += _take(m.of_member, for_member[1, a:b][inside])
-                logits += _take(m.member_bias, classes[a:b][inside])
-                own = logits[np.arange(len(inside)), joined[a:b][inside] // v.n_classes]
-                score[a + inside] += own - np.log(_sums(np.exp(logits, out=logits)))
+                odds = _take(m.of_member, for_member[0, a:b][inside], held[1])
+                odds *= _take(m.of_member, for_member[1, a:b][inside], spare[1])
+                odds *= _take(m.member_bias, classes[a:b][inside], spare[1])
+                score[a + inside] += np.log(odds[np.arange(len(inside)), joined[a:b][inside] // v.n_classes]) - np.log(_sums(odds))
         score /= math.log(10)
         looked = joined >= 0
         if len(v.counts):
@@ -462,7 +518,7 @@ def score_texts(docs: DataFrame, is_training: Column, rounds: int = 1) -> DataFr
     path = stored(unread, "lm-ids")
     read = docs.sparkSession.read.schema(unread.schema).parquet(path)
     model = train(read.where("learned_from"), v, rounds, rows) if v.n else unigram_model(v, rows)
-    words, learned = (docs.sparkSession.sparkContext.broadcast(x) for x in (v, model))
+    words, learned = (docs.sparkSession.sparkContext.broadcast(x) for x in (v, model.as_odds()))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(words.value, learned.value)

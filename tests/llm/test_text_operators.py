@@ -382,6 +382,56 @@ def test_lm_vocabulary_equals_a_full_sort(spark):
         assert (v.rare_n[k], v.rare_size[k]) == (sum(counts[w] for w in own), len(own))
 
 
+def test_lm_reads_texts_in_arrays_as_word_by_word(spark, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    texts = [None, "", " \t\n", " A\x0bb\x0cC\rend", "\x1cx\x85 \u3000É é", "new a new OLD a", "\x00 a", "w" * 5000, "a b " * 700]
+    words = [lm_score.tokens_of(t) for t in texts]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+    monkeypatch.setattr(lm_score, "HEAP", 1000)
+    parts = list(lm_score.heaps(iter([batch, batch.slice(2, 0)]), 0))
+    assert len(parts) == 3 and pa.Table.from_batches(parts).column(0).to_pylist() == texts
+    for looked_up in ([b"a", b"b", lm_score.END], [b"\xc3\x89"], []):
+        v = lm_score.Vocabulary(9, 4, {w: k for k, w in enumerate(looked_up)}, np.ones(len(looked_up)), np.zeros(lm_score.RARE), np.zeros(lm_score.RARE))
+        reader = lm_score.Reader(v)
+        got = [x for part in parts for x in zip(*(column.to_pylist() for column in reader.read(part.column(0))), strict=True)]
+        for (n, ids, missing), ws in zip(got, words, strict=True):
+            assert n == len(ws) and np.frombuffer(ids, np.int32).tolist() == reader.ids(ws).tolist()
+            assert dict(missing) == collections.Counter(w for w in ws if w not in looked_up)
+    monkeypatch.setattr(lm_score, "_FLUSH", 2)
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(2)
+    assert {bytes(r.word): r.n for r in lm_score.count_words(df).collect()} == collections.Counter(w for ws in words for w in ws)
+    assert lm_score.count_words(df.limit(0)).count() == 0
+
+
+def test_lm_scores_at_the_bound_are_sums_of_weights():
+    import numpy as np
+
+    words = [b"w%d" % k for k in range(5000)] + [lm_score.END]
+    v = lm_score.Vocabulary(10**9, 90, {w: k for k, w in enumerate(words)}, np.ones(len(words)), np.ones(lm_score.RARE), np.ones(lm_score.RARE))
+    model, text = lm_score.unigram_model(v), "w1 w4999 w2 w3 w1"
+    rng = np.random.default_rng(3)
+    for weights in (model.of_class, model.of_member):
+        weights[:] = rng.choice([-lm_score.BOUND, lm_score.BOUND], weights.shape)
+    weights, of_member = model.of_class, model.of_member
+    weights[:, 1:] = lm_score.BOUND
+    weights[:, 0] = -lm_score.BOUND
+    scorer = lm_score.Scorer(v, model)
+    ids, want = scorer.reader.ids(lm_score.tokens_of(text)), 0.0
+    joined, for_class, for_member = scorer.reader.arrays([ids])
+    for j, (word, c) in enumerate(zip(joined, scorer.reader.class_of(joined), strict=True)):
+        logits = weights[for_class[:, j]].sum(axis=0, dtype=float) + model.class_bias
+        want += logits[c] - np.logaddexp.reduce(logits)
+        if word < v.in_softmax:
+            logits = of_member[for_member[:, j]].sum(axis=0, dtype=float) + model.member_bias[c]
+            want += logits[word // v.n_classes] - np.logaddexp.reduce(logits)
+        else:
+            want += math.log(1.5) - math.log(10) * v.log_rare[c - v.n_classes]
+    got = scorer.of([text])[0][3]
+    assert math.isfinite(got) and abs(got - want / math.log(10)) < 1e-5 * abs(got)
+
+
 def test_lm_odd_rows(spark, odd):
     got = lm_score.score_texts(odd, fold() != 1).collect()
     assert len(got) == len(ODD) and all(math.isfinite(r.score) and r.base_score <= 0 for r in got)
